@@ -76,11 +76,12 @@ def host_filter_group(H: DataFrame, members: DataFrame, group_id: int | None) ->
     return H.join(m, "instance", "left_semi")
 
 
-_SORTS = {
-    "instance": [F.col("instance")],
-    "cpu_desc": [F.col("cpu").desc(), F.col("instance")],
-    "memory_desc": [F.col("memory").desc(), F.col("instance")],
-}
+def _sort_cols(sort: str):
+    if sort == "cpu_desc":
+        return [F.col("cpu").desc(), F.col("instance")]
+    if sort == "memory_desc":
+        return [F.col("memory").desc(), F.col("instance")]
+    return [F.col("instance")]
 
 
 def host_list(H: DataFrame, members: DataFrame | None = None, status: str | None = None, q: str | None = None,
@@ -90,7 +91,7 @@ def host_list(H: DataFrame, members: DataFrame | None = None, status: str | None
     if group_id is not None and members is not None:
         h = host_filter_group(h, members, group_id)
     h = host_filter_risk(host_filter_text(host_filter_status(h, status), q), risk)
-    return h.orderBy(*_SORTS.get(sort, _SORTS["instance"]))
+    return h.orderBy(*_sort_cols(sort))
 
 
 def overview(H: DataFrame, active: DataFrame, generated_us: int) -> DataFrame:

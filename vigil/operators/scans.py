@@ -118,39 +118,43 @@ def _asof_next(ev: DataFrame, gap_us: int) -> DataFrame:
 
 
 def greedy_ttl_accept(df: DataFrame, keys: Sequence[str], ts: str, id_col: str, ttl_us: int,
-                      out: str = "accepted", checkpoint_every: int = 4) -> DataFrame:
+                      out: str = "accepted") -> DataFrame:
     """Greedy TTL de-duplication, exact and distributed.
 
     Per key, the first event is accepted and opens a window of ``ttl``; events with
     ``ts - accepted_ts <= ttl`` are duplicates (they do not extend it); the first event
     after it is accepted and opens a new window. The accepted events of a key are the
     orbit of its first event under ``next(e) = first event with ts > e.ts + ttl``.
-    ``next`` comes from a bucketed as-of scan; the orbit is marked by pointer doubling
-    (``log2(max events per key)`` rounds of joins) so no key is ever handled by one task.
-    ``id_col`` must be a unique BIGINT.
+    ``next`` comes from a bucketed as-of scan; the orbit is marked by pointer doubling,
+    so no key is ever handled by one task. The number of rounds is ``log2`` of the
+    longest possible orbit (``min(events, span / ttl + 1)`` per key, one aggregate); each
+    jump table is checkpointed to the shared checkpoint folder, which keeps the plan
+    linear and lets a lost executor resume from the last level. ``id_col`` must be a
+    unique BIGINT.
     """
+    from vigil.session import checkpoint_dir
+
     keys = list(keys)
+    checkpoint_dir(df.sparkSession)
     ev = df.select(composite_key(keys).alias("_k"), F.col(ts).alias("_t"), F.col(id_col).alias("_id"))
-    nxt = _asof_next(ev, ttl_us)
-    stats = ev.groupBy("_k").count().agg(F.max("count").alias("m")).first()
-    max_n = int(stats["m"] or 0) if stats else 0
-    rounds = max(0, math.ceil(math.log2(max_n))) if max_n > 1 else 0
-    jumps = [nxt.filter(F.col("_nxt").isNotNull())]
-    for r in range(rounds):
-        a = jumps[-1].alias("a")
-        b = jumps[-1].alias("b")
-        j = (a.join(b, F.col("a._nxt") == F.col("b._id"))
-             .select(F.col("a._id").alias("_id"), F.col("b._nxt").alias("_nxt")))
-        if checkpoint_every and (r + 1) % checkpoint_every == 0:
-            j = j.checkpoint()
+    bound = (ev.groupBy("_k")
+             .agg(F.least(F.count(F.lit(1)),
+                          F.floor((F.max("_t") - F.min("_t")) / F.lit(ttl_us)) + 1).alias("_l"))
+             .agg(F.max("_l").alias("m")).first())
+    longest = int(bound["m"] or 0) if bound else 0
+    rounds = max(0, math.ceil(math.log2(longest)) - 1) + 1 if longest > 1 else 0
+    jumps: list[DataFrame] = []
+    if rounds:
+        j = _asof_next(ev, ttl_us).filter(F.col("_nxt").isNotNull()).checkpoint()
         jumps.append(j)
-    starts = (ev.groupBy("_k").agg(F.min_by("_id", F.struct("_t", "_id")).alias("_id")).select("_id"))
-    acc = starts
-    for r in range(len(jumps) - 1, -1, -1):
-        step = acc.join(jumps[r], "_id").select(F.col("_nxt").alias("_id"))
-        acc = acc.unionByName(step)
-        if checkpoint_every and r and r % checkpoint_every == 0:
-            acc = acc.checkpoint()
+        for _ in range(rounds - 1):
+            a, b = j.alias("a"), j.alias("b")
+            j = (a.join(b, F.col("a._nxt") == F.col("b._id"))
+                 .select(F.col("a._id").alias("_id"), F.col("b._nxt").alias("_nxt")).checkpoint())
+            jumps.append(j)
+    acc = ev.groupBy("_k").agg(F.min_by("_id", F.struct("_t", "_id")).alias("_id")).select("_id")
+    for j in reversed(jumps):
+        acc = acc.unionByName(acc.join(j, "_id").select(F.col("_nxt").alias("_id")))
     acc = acc.select(F.col("_id").alias("_acc_id"), F.lit(True).alias("_acc"))
     res = df.join(acc, df[id_col] == acc["_acc_id"], "left")
     return res.withColumn(out, F.coalesce(F.col("_acc"), F.lit(False))).drop("_acc_id", "_acc")
