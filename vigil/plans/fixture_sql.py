@@ -90,7 +90,13 @@ SELECT event_id, t_us,
        'req-' || CAST(event_id AS VARCHAR) AS request_id,
        CASE WHEN k % 2 = 0 THEN 'GET' ELSE 'POST' END AS method,
        route AS path, status, latency_s * 1000 AS latency_ms, client_ip,
-       CASE WHEN status >= 500 THEN 'upstream timeout' END AS error,
+       CASE WHEN status >= 500 AND k % 7 = 0
+              THEN 'dial postgres://app:' || substr(md5(CAST(event_id AS VARCHAR)), 1, 12) || '@db:5432/metrics: timeout'
+            WHEN status >= 500 AND k % 7 = 1 THEN 'upstream 401 Authorization: Bearer ' || md5(CAST(event_id AS VARCHAR))
+            WHEN status >= 500 THEN 'upstream timeout'
+            WHEN k % 29 = 0 THEN 'cookie rejected: Cookie: session=' || substr(md5(CAST(event_id AS VARCHAR)), 1, 16)
+            WHEN k % 31 = 0 THEN 'bad request token=' || substr(md5(CAST(event_id AS VARCHAR)), 1, 20)
+                                 || ' password=hunter' || CAST(k AS VARCHAR) END AS error,
        CASE WHEN status >= 500 AND k % 3 = 2 THEN
             CASE k % 5 WHEN 0 THEN 'cpu' WHEN 1 THEN 'memory' WHEN 2 THEN 'disk' WHEN 3 THEN 'network' ELSE 'load' END
        END AS collector,

@@ -146,6 +146,15 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace = F.when(F.col("k") % 4 != 0, F.md5((F.col("event_id").cast("bigint") / 4).cast("bigint").cast("string")))
     collector = F.when((F.col("status") >= 500) & (F.col("k") % 3 == 2),
                        F.element_at(F.array(*[F.lit(c) for c in COLLECTORS]), (F.col("k") % 5 + 1).cast("int")))
+    h = F.md5(F.col("event_id").cast("string"))
+    k, st = F.col("k"), F.col("status")
+    error = (F.when((st >= 500) & (k % 7 == 0),
+                    F.concat(F.lit("dial postgres://app:"), F.substring(h, 1, 12), F.lit("@db:5432/metrics: timeout")))
+             .when((st >= 500) & (k % 7 == 1), F.concat(F.lit("upstream 401 Authorization: Bearer "), h))
+             .when(st >= 500, F.lit("upstream timeout"))
+             .when(k % 29 == 0, F.concat(F.lit("cookie rejected: Cookie: session="), F.substring(h, 1, 16)))
+             .when(k % 31 == 0, F.concat(F.lit("bad request token="), F.substring(h, 1, 20), F.lit(" password=hunter"),
+                                         k.cast("string"))))
     return r.select(
         "event_id", "t_us", F.timestamp_micros("t_us").alias("ts"), level.alias("level"), msg.alias("msg"),
         service.alias("service"), "instance", trace.alias("trace_id"),
@@ -154,7 +163,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("k") % 2 == 0, "GET").otherwise("POST").alias("method"),
         F.col("route").alias("path"), "status",
         (F.col("latency_s") * 1000).alias("latency_ms"), "client_ip",
-        F.when(F.col("status") >= 500, F.lit("upstream timeout")).alias("error"),
+        error.alias("error"),
         collector.alias("collector"),
         F.when(F.col("status") >= 500, "stderr").otherwise("stdout").alias("stream"),
     )
