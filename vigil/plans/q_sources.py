@@ -138,16 +138,6 @@ def q_src_alert_events(spark, d):
     return p.select("event_id", "fingerprint", "status", "starts_us", "ends_us", "received_us", "outcome")
 
 
-@query("stream_bad_records", with_views("alerts") + """
-SELECT CASE WHEN event_id % 41 = 0 THEN 'invalid_json' ELSE 'processed' END AS outcome, count(*) AS n
-FROM alerts GROUP BY ALL""")
-def q_stream_bad_records(spark, d):
-    """Outcome split of the topic: corrupt messages are counted and routed aside (batch form;
-    the streaming form is ``vigil.streaming.jobs.bad_records``)."""
-    p = ps.parse_alert_events(event_messages(spark, d))
-    return p.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("sink_alert_events", with_views("alerts") + """
 SELECT fingerprint, status, starts_us, ends_us, received_us, 'processed' AS outcome FROM alerts""")
 def q_sink_alert_events(spark, d):

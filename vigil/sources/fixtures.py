@@ -40,7 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    return base_of(table(spark, sf_dir, "events"))
+
+
+def base_of(ev: DataFrame) -> DataFrame:
+    """Re-timed events (batch or streaming ``events`` rows)."""
     t_us = F.lit(T0_US) + F.expr(f"(unix_micros(cast(ts as timestamp)) - {T0_US}) div {TIME_COMPRESSION}")
     return ev.select(
         "event_id", "user_id", "event_type", "value",
@@ -101,7 +105,10 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = events_base(spark, sf_dir)
+    return requests_of(events_base(spark, sf_dir))
+
+
+def requests_of(b: DataFrame) -> DataFrame:
     paths = F.array(*[F.lit(p) for p in PATHS])
     path = F.replace(F.element_at(paths, (F.col("k") % 5 + 1).cast("int")), F.lit("{instance}"), F.col("instance"))
     status = (F.when((F.col("event_type") == "error") & (F.col("value") > 60), 500)
@@ -175,7 +182,11 @@ ALERT_SCHEMA_COLS = ["event_id", "fingerprint", "status", "alertname", "instance
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alert events as delivered (webhook/topic), including redeliveries."""
-    b = events_base(spark, sf_dir).filter(F.col("event_type").isin("error", "signup"))
+    return alerts_of(events_base(spark, sf_dir))
+
+
+def alerts_of(b: DataFrame) -> DataFrame:
+    b = b.filter(F.col("event_type").isin("error", "signup"))
     name = F.when((F.col("event_type") == "error") & (F.col("value") > 80), "HighCPU").otherwise("HighMemory")
     sev = F.when(F.col("k") % 4 < 3,
                  F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), (F.col("k") % 4 + 1).cast("int")))
