@@ -52,18 +52,26 @@ def histogram_quantile(B: DataFrame, phi: float, by: Sequence[str], le: str = "l
     g = g.withColumn("_cm", F.expr(
         "transform(_bk, (x, i) -> aggregate(slice(_bk, 1, i + 1), double('-Infinity'), (a, y) -> greatest(a, y.c)))"))
     g = g.withColumn("_n", F.size("_bk"))
-    g = g.withColumn("_tot", F.element_at("_cm", -1)).withColumn("_rank", F.lit(phi) * F.col("_tot"))
+    g = g.withColumn("_tot", F.expr("try_element_at(_cm, -1)"))
+    g = g.withColumn("_rank", F.lit(phi) * F.col("_tot"))
     g = g.withColumn("_b", F.expr(
-        "coalesce(element_at(filter(sequence(0, greatest(_n - 2, 0)), i -> i < _n - 1 AND _cm[i] >= _rank), 1), _n - 1)"))
-    q = F.expr("""
+        "coalesce(try_element_at(filter(sequence(0, greatest(_n - 2, 0)), "
+        "i -> i < _n - 1 AND try_element_at(_cm, i + 1) >= _rank), 1), _n - 1)"))
+    # 1-based safe reads: le(i) / cm(i) of the 0-based bucket index i
+    le_b = "try_element_at(_bk, _b + 1).le"
+    le_p = "coalesce(try_element_at(_bk, _b).le, 0D)"
+    cm_b = "try_element_at(_cm, _b + 1)"
+    cm_p = "coalesce(try_element_at(_cm, _b), 0D)"
+    q = F.expr(f"""
       CASE
+        WHEN _n < 2 THEN double('NaN')
         WHEN _tot = 0 THEN double('NaN')
-        WHEN _b = _n - 1 THEN _bk[_n - 2].le
-        WHEN _b = 0 AND _bk[0].le <= 0 THEN _bk[0].le
-        ELSE (CASE WHEN _b = 0 THEN 0D ELSE _bk[_b - 1].le END)
-             + (_bk[_b].le - CASE WHEN _b = 0 THEN 0D ELSE _bk[_b - 1].le END)
-               * ((_rank - CASE WHEN _b = 0 THEN 0D ELSE _cm[_b - 1] END)
-                  / (_cm[_b] - CASE WHEN _b = 0 THEN 0D ELSE _cm[_b - 1] END))
+        WHEN _b = _n - 1 THEN try_element_at(_bk, _n - 1).le
+        WHEN _b = 0 AND try_element_at(_bk, 1).le <= 0 THEN try_element_at(_bk, 1).le
+        ELSE (CASE WHEN _b = 0 THEN 0D ELSE {le_p} END)
+             + ({le_b} - CASE WHEN _b = 0 THEN 0D ELSE {le_p} END)
+               * ((_rank - CASE WHEN _b = 0 THEN 0D ELSE {cm_p} END)
+                  / ({cm_b} - CASE WHEN _b = 0 THEN 0D ELSE {cm_p} END))
       END""")
     g = g.withColumn("_q", q)
     return g.select(*keys, F.expr(_QUANTILE_SQL.format(phi=float(phi))).alias("value"))

@@ -353,3 +353,41 @@ def host_metric_ranges(S: DataFrame, instance: str, range_name: str = "1h", now_
     for p in parts[1:]:
         res = res.unionByName(p)
     return res
+
+
+# ---------------------------------------------------------------- volumes and display
+
+# File-system types that are never collected, except for the root mount (fixed values).
+PSEUDO_FS = ["", "autofs", "binfmt_misc", "bpf", "cgroup", "cgroup2", "configfs", "debugfs", "devpts", "devtmpfs",
+             "fusectl", "hugetlbfs", "mqueue", "nsfs", "proc", "pstore", "securityfs", "selinuxfs", "squashfs",
+             "sysfs", "tmpfs", "tracefs"]
+
+
+def volume_filter(partitions: DataFrame, mount: str = "mountpoint", fstype: str = "fstype") -> DataFrame:
+    """Keep ``/`` always; drop pseudo file systems (case-insensitive) and blank types."""
+    t = F.lower(F.coalesce(F.col(fstype), F.lit("")))
+    return partitions.filter((F.col(mount) == "/") | ~t.isin(*PSEUDO_FS))
+
+
+def _fixed(c: Column, digits: int) -> Column:
+    return F.format_string(f"%.{digits}f", c)
+
+
+def display_units(V: DataFrame, unit: str, col: str = "value", out: str = "text") -> DataFrame:
+    """Dashboard text: percent (1 decimal + %), number (1 decimal), bytes/s (B, KB, MB),
+    uptime (days and hours); NULL shows as ``--``."""
+    v = F.col(col)
+    r1 = F.round(v, 1)
+    if unit == "percent":
+        t = F.concat(_fixed(r1, 1), F.lit("%"))
+    elif unit == "bytes_per_s":
+        t = (F.when(v >= 1024 * 1024, F.concat(_fixed(v / 1024 / 1024, 2), F.lit(" MB/s")))
+             .when(v >= 1024, F.concat(_fixed(v / 1024, 1), F.lit(" KB/s")))
+             .otherwise(F.concat(_fixed(v, 0), F.lit(" B/s"))))
+    elif unit == "uptime":
+        days = F.floor(v / 86400).cast("bigint")
+        hours = F.floor(F.pmod(v, F.lit(86400.0)) / 3600).cast("bigint")
+        t = F.when(days > 0, F.format_string("%dd %dh", days, hours)).otherwise(F.format_string("%dh", hours))
+    else:
+        t = r1.cast("string")
+    return V.withColumn(out, F.when(v.isNull(), F.lit("--")).otherwise(t))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigil.plans import q_alerts, q_hosts, q_logs, q_rules, q_series, q_sources, q_streams  # noqa: F401
+from vigil.plans import q_alerts, q_hosts, q_logs, q_misc, q_rules, q_series, q_sources, q_streams  # noqa: F401
 from vigil.plans.registry import ORACLES, QUERIES  # noqa: F401
 from vigil.sources import fixtures as fx
 
