@@ -208,19 +208,24 @@ DOCKER_SCHEMA = T.StructType([T.StructField("log", T.StringType()), T.StructFiel
 _CRI_RE = r"^(\S+) (stdout|stderr) ([FP]) ?(.*)$"
 
 
-def _inner(log_text: Column) -> list[Column]:
-    """Inner application JSON -> typed log columns; non-JSON lines keep ``raw``."""
+def _parse_inner(df: DataFrame, log_text: Column) -> DataFrame:
+    """Parse the inner application JSON ONCE into ``_m`` (map of raw field text; NULL when the
+    line is not a JSON object); a separate projection so the parse is never duplicated."""
     txt = F.regexp_replace(log_text, r"\n$", "")
-    is_json = F.try_parse_json(txt).isNotNull() & F.trim(txt).startswith("{")
-    m = F.from_json(F.when(is_json, txt), INNER_SCHEMA)
-    allm = F.from_json(F.when(is_json, txt), T.MapType(T.StringType(), T.StringType()))
-    cols = [F.when(is_json, m[f]).alias(f) for f in LOG_FIELDS if f not in ("ts", "status", "latency_ms")]
+    m = F.from_json(F.when(F.trim(txt).startswith("{"), txt), T.MapType(T.StringType(), T.StringType()))
+    return df.withColumn("_txt", txt).withColumn("_m", m)
+
+
+def _inner_cols() -> list[Column]:
+    """Typed log columns from ``_m``; non-JSON lines keep ``raw``; unknown keys go to ``extras``."""
+    m = F.col("_m")
+    cols = [F.element_at(m, F.lit(f)).alias(f) for f in LOG_FIELDS if f not in ("ts", "status", "latency_ms")]
     return cols + [
-        F.when(is_json, rfc3339_to_us(m["ts"])).alias("t_us"),
-        F.when(is_json, m["status"].cast("int")).alias("status"),
-        F.when(is_json, m["latency_ms"].cast("double")).alias("latency_ms"),
-        F.map_filter(allm, lambda k, v: ~k.isin(*LOG_FIELDS)).alias("extras"),
-        F.when(~is_json, txt).alias("raw"),
+        rfc3339_to_us(F.element_at(m, F.lit("ts"))).alias("t_us"),
+        F.element_at(m, F.lit("status")).cast("int").alias("status"),
+        F.element_at(m, F.lit("latency_ms")).cast("double").alias("latency_ms"),
+        F.map_filter(m, lambda k, v: ~k.isin(*LOG_FIELDS)).alias("extras"),
+        F.when(m.isNull(), F.col("_txt")).alias("raw"),
     ]
 
 
@@ -229,9 +234,10 @@ def src_container_logs(text_df: DataFrame, line: str = "value") -> DataFrame:
     app's JSON record (outer stream/time kept); non-JSON inner lines keep ``raw`` and take
     the outer time."""
     o = text_df.select("*", F.from_json(F.col(line), DOCKER_SCHEMA).alias("_o"))
+    o = _parse_inner(o, F.col("_o.log"))
     keep = [c for c in text_df.columns if c != line]
     r = o.select(*keep, F.col("_o.stream").alias("stream"), rfc3339_to_us(F.col("_o.time")).alias("time_us"),
-                 *_inner(F.col("_o.log")))
+                 *_inner_cols())
     return r.withColumn("t_us", F.coalesce("t_us", "time_us"))
 
 
@@ -252,8 +258,9 @@ def src_cri_logs(text_df: DataFrame, line: str = "value", file: str = "file", or
         .alias("_msg"),
         F.max_by(F.struct("_time", "_stream", "_t", order), F.col(order)).alias("_last"),
         F.max("_f").alias("_complete"))
-    g = g.filter(F.col("_complete") == 1)
-    r = g.select(file, F.col(f"_last.{order}").alias(order), F.col("_last._stream").alias("stream"), F.col("_last._t").alias("time_us"), *_inner(F.col("_msg")))
+    g = _parse_inner(g.filter(F.col("_complete") == 1), F.col("_msg"))
+    r = g.select(file, F.col(f"_last.{order}").alias(order), F.col("_last._stream").alias("stream"),
+                 F.col("_last._t").alias("time_us"), *_inner_cols())
     return r.withColumn("t_us", F.coalesce("t_us", "time_us"))
 
 
