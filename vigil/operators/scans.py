@@ -24,43 +24,53 @@ def composite_key(cols: Sequence[str]) -> Column:
     return F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in cols])
 
 
+def _edge_join(d: DataFrame, summary: DataFrame, keys: list[str], col: str) -> DataFrame:
+    cond = [d[k].eqNullSafe(summary[k]) for k in keys] + [d["_bk"] == summary["_bk"]]
+    return d.join(summary, cond, "left").select(d["*"], summary[col])
+
+
 def keyed_lag(df: DataFrame, keys: Sequence[str], ts: str, tie: str, cols: Sequence[str],
               bucket_us: int = DEFAULT_BUCKET_US, prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<c>`` (and ``prev_<ts>``) = value of the previous row of the same key in
-    ``(ts, tie)`` order. ``ts`` is BIGINT micro-seconds and must be non-null."""
+    ``(ts, tie)`` order. ``ts`` is BIGINT micro-seconds and must be non-null.
+
+    One window pass over ``(key, bucket)`` gives the in-bucket lag and marks each bucket's
+    last row (``lead`` is null); those tails, lagged over the small per-key bucket list,
+    supply the first row of the next non-empty bucket."""
     keys = list(keys)
     cols = list(cols)
     carry = [ts, tie] + [c for c in cols if c not in (ts, tie)]
     d = df.withColumn("_bk", F.floor(F.col(ts) / F.lit(bucket_us)).cast("bigint"))
     w = Window.partitionBy(*keys, "_bk").orderBy(ts, tie)
-    d = d.withColumn("_inb", F.lag(F.struct(*carry)).over(w))
-    tails = (d.groupBy(*keys, "_bk")
-             .agg(F.max_by(F.struct(*carry), F.struct(F.col(ts), F.col(tie))).alias("_tail")))
+    d = (d.withColumn("_inb", F.lag(F.struct(*carry)).over(w))
+         .withColumn("_last", F.lead(F.col(ts)).over(w).isNull()))
+    tails = d.filter("_last").select(*keys, "_bk", F.struct(*carry).alias("_tail"))
     wt = Window.partitionBy(*keys).orderBy("_bk")
     tails = tails.select(*keys, "_bk", F.lag("_tail").over(wt).alias("_carry"))
-    cond = [d[k].eqNullSafe(tails[k]) for k in keys] + [d["_bk"] == tails["_bk"]]
-    j = d.join(tails, cond, "left").select(d["*"], tails["_carry"])
+    j = _edge_join(d, tails, keys, "_carry")
     prev = F.coalesce(F.col("_inb"), F.col("_carry"))
     out = j
     for c in [ts] + [c for c in cols if c != ts]:
         out = out.withColumn(prefix + c, prev[c])
-    return out.drop("_inb", "_carry", "_bk")
+    return out.drop("_inb", "_carry", "_bk", "_last")
 
 
 def keyed_running_sum(df: DataFrame, keys: Sequence[str], ts: str, tie: str, col: str, out: str,
                       bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
-    """Running (inclusive) sum of ``col`` per key in ``(ts, tie)`` order, split by time bucket."""
+    """Running (inclusive) sum of ``col`` per key in ``(ts, tie)`` order, split by time bucket:
+    local running sums per (key, bucket), plus the prefix of earlier bucket totals (taken
+    from each bucket's last row, over the small per-key bucket list)."""
     keys = list(keys)
     d = df.withColumn("_bk", F.floor(F.col(ts) / F.lit(bucket_us)).cast("bigint"))
-    w = (Window.partitionBy(*keys, "_bk").orderBy(ts, tie)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    d = d.withColumn("_loc", F.sum(col).over(w))
-    tot = d.groupBy(*keys, "_bk").agg(F.sum(col).alias("_tot"))
+    w = Window.partitionBy(*keys, "_bk").orderBy(ts, tie)
+    d = (d.withColumn("_loc", F.sum(col).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+         .withColumn("_last", F.lead(F.col(ts)).over(w).isNull()))
+    tot = d.filter("_last").select(*keys, "_bk", F.col("_loc").alias("_tot"))
     wt = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*keys, "_bk", F.coalesce(F.sum("_tot").over(wt), F.lit(0)).alias("_off"))
-    cond = [d[k].eqNullSafe(tot[k]) for k in keys] + [d["_bk"] == tot["_bk"]]
-    j = d.join(tot, cond, "left").select(d["*"], tot["_off"])
-    return j.withColumn(out, F.col("_loc") + F.coalesce(F.col("_off"), F.lit(0))).drop("_bk", "_loc", "_off")
+    j = _edge_join(d, tot, keys, "_off")
+    return (j.withColumn(out, F.col("_loc") + F.coalesce(F.col("_off"), F.lit(0)))
+            .drop("_bk", "_loc", "_off", "_last"))
 
 
 def sliding_count(df: DataFrame, keys: Sequence[str], ts: str, tie: str, window_us: int,

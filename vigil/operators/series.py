@@ -21,11 +21,6 @@ from vigil.operators.scans import keyed_lag
 SERIES_COLS = ["metric", "instance", "series"]
 
 
-def _order(df: DataFrame) -> Column:
-    tie = "event_id" if "event_id" in df.columns else "value"
-    return F.struct(F.col("t_us"), F.col(tie))
-
-
 def select_series(S: DataFrame, metric: str | None = None,
                   matchers: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
     """``metric{k op "v", ...}``; ``instance`` is a real column so it prunes at the scan."""
@@ -41,14 +36,14 @@ def select_series(S: DataFrame, metric: str | None = None,
 
 
 def instant_vector(S: DataFrame, at_us: int, lookback: str | int = "5m") -> DataFrame:
-    """Newest sample per series with ``at - lookback <= t <= at``; eval time = ``at``."""
+    """Newest sample per series with ``at - lookback <= t <= at``; eval time = ``at``.
+    A series has at most one sample per timestamp (the TSDB invariant), so ordering by
+    ``t_us`` alone is exact and the aggregation buffers stay fixed-width (hash aggregate)."""
     lb = dur_us(lookback)
-    o = _order(S)
     w = S.filter((F.col("t_us") >= at_us - lb) & (F.col("t_us") <= at_us))
-    return (w.groupBy(*SERIES_COLS)
-            .agg(F.max_by(F.struct("value", "t_us", "labels"), o).alias("_m"))
-            .select(*SERIES_COLS, F.col("_m.labels").alias("labels"), F.lit(at_us).cast("bigint").alias("eval_us"),
-                    F.col("_m.value").alias("value"), F.col("_m.t_us").alias("sample_us")))
+    return (w.groupBy(*SERIES_COLS, "labels")
+            .agg(F.max_by("value", "t_us").alias("value"), F.max("t_us").alias("sample_us"))
+            .select(*SERIES_COLS, "labels", F.lit(at_us).cast("bigint").alias("eval_us"), "value", "sample_us"))
 
 
 def _grid_check(start_us: int, end_us: int, step_us: int) -> None:
@@ -75,19 +70,18 @@ def range_vector_grid(S: DataFrame, start_us: int, end_us: int, step: str | int,
     """Instant lookup at every tick of ``[start, end]`` (a range query's matrix, long form)."""
     step_us, lb = dur_us(step), dur_us(lookback)
     _grid_check(start_us, end_us, step_us)
+    keys = [*SERIES_COLS, "labels"]
     s = S.filter((F.col("t_us") >= start_us - lb) & (F.col("t_us") <= end_us))
     s = s.withColumn("_t0", _first_tick(F.col("t_us"), start_us, step_us))
     # Combiner: only the newest sample of a series before each tick can ever win.
-    s = (s.groupBy(*SERIES_COLS, "_t0")
-         .agg(F.max_by(F.struct("value", "t_us", "labels"), _order(s)).alias("_m"), F.max("t_us").alias("_tmax"))
-         .select(*SERIES_COLS, "_t0", "_m.value", "_m.t_us", "_m.labels"))
+    s = (s.groupBy(*keys, "_t0")
+         .agg(F.max_by("value", "t_us").alias("value"), F.max("t_us").alias("t_us")))
     s = s.withColumn("_t1", _last_tick(F.col("t_us") + F.lit(lb), start_us, step_us, end_us))
     s = s.filter(F.col("_t0") <= F.col("_t1"))
     s = s.withColumn("eval_us", F.explode(F.sequence("_t0", "_t1", F.lit(step_us))))
-    return (s.groupBy(*SERIES_COLS, "eval_us")
-            .agg(F.max_by(F.struct("value", "t_us", "labels"), F.struct("t_us", "value")).alias("_m"))
-            .select(*SERIES_COLS, F.col("_m.labels").alias("labels"), "eval_us",
-                    F.col("_m.value").alias("value"), F.col("_m.t_us").alias("sample_us")))
+    return (s.groupBy(*keys, "eval_us")
+            .agg(F.max_by("value", "t_us").alias("value"), F.max("t_us").alias("sample_us"))
+            .select(*SERIES_COLS, "labels", "eval_us", "value", "sample_us"))
 
 
 def latest_point(V: DataFrame, by: Sequence[str] = ("series",), ts: str = "eval_us") -> DataFrame:
@@ -139,14 +133,13 @@ def _window_stats(S: DataFrame, start_us: int, end_us: int, step_us: int, win_us
     s = s.withColumn("_t1", _last_tick(F.col("t_us") + F.lit(win_us), start_us, step_us, end_us))
     s = s.filter(F.col("_t0") <= F.col("_t1"))
     s = s.withColumn("eval_us", F.explode(F.sequence("_t0", "_t1", F.lit(step_us))))
-    o = F.struct("t_us", tie)
     reset = (F.col("prev_value").isNotNull() & (F.col("value") < F.col("prev_value"))
              & (F.col("prev_t_us") >= F.col("eval_us") - F.lit(win_us)))
-    return (s.groupBy(*SERIES_COLS, "eval_us")
+    # one sample per (series, t_us): t_us alone orders exactly; all buffers fixed-width
+    return (s.groupBy(*SERIES_COLS, "labels", "eval_us")
             .agg(F.count(F.lit(1)).alias("n"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"),
-                 F.min_by("value", o).alias("first_v"), F.max_by("value", o).alias("last_v"),
+                 F.min_by("value", "t_us").alias("first_v"), F.max_by("value", "t_us").alias("last_v"),
                  F.sum(F.when(reset, F.col("prev_value")).otherwise(F.lit(0.0))).alias("resets"),
-                 F.first("labels").alias("labels"),
                  F.min("value").alias("min_v"), F.max("value").alias("max_v"),
                  F.sum("value").alias("sum_v")))
 
