@@ -84,8 +84,10 @@ def _http_rate(S: DataFrame, start_us: int, end_us: int, step: str, matchers=())
 
 def error_ratio(S: DataFrame, start_us: int, end_us: int, step: str = "1m", threshold: float = 0.05) -> DataFrame:
     """``sum by (instance) 5xx rate / sum by (instance) rate > threshold and on(instance) total > 0``."""
-    errs = sr.agg_by(_http_rate(S, start_us, end_us, step, [("status", "=~", "5..")]), "sum", ["instance"])
-    total = sr.agg_by(_http_rate(S, start_us, end_us, step), "sum", ["instance"])
+    # one rate pass; the 5xx series are a subset of it
+    r = _http_rate(S, start_us, end_us, step)
+    errs = sr.agg_by(sr.select_series(r, None, [("status", "=~", "5..")]), "sum", ["instance"])
+    total = sr.agg_by(r, "sum", ["instance"])
     ratio = sr.compare_filter(sr.vector_div(errs, total, ["instance"]), ">", threshold)
     return sr.and_on(ratio, sr.compare_filter(total, ">", 0), ["instance"])
 

@@ -55,6 +55,28 @@ def keyed_lag(df: DataFrame, keys: Sequence[str], ts: str, tie: str, cols: Seque
     return out.drop("_inb", "_carry", "_bk", "_last")
 
 
+def keyed_running_sums(df: DataFrame, keys: Sequence[str], ts: str, tie: str, cols: Sequence[str],
+                       bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
+    """Several running sums over the same key and order in one pass (each column replaced
+    by its inclusive running sum)."""
+    keys = list(keys)
+    cols = list(cols)
+    d = df.withColumn("_bk", F.floor(F.col(ts) / F.lit(bucket_us)).cast("bigint"))
+    w = Window.partitionBy(*keys, "_bk").orderBy(ts, tie)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for c in cols:
+        d = d.withColumn(c, F.sum(c).over(run))
+    d = d.withColumn("_last", F.lead(F.col(ts)).over(w).isNull())
+    tot = d.filter("_last").select(*keys, "_bk", *[F.col(c).alias(f"_t_{c}") for c in cols])
+    wt = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(*keys, "_bk", F.struct(*[F.coalesce(F.sum(f"_t_{c}").over(wt), F.lit(0)).alias(c)
+                                              for c in cols]).alias("_off"))
+    j = _edge_join(d, tot, keys, "_off")
+    for c in cols:
+        j = j.withColumn(c, F.col(c) + F.coalesce(F.col("_off")[c], F.lit(0)))
+    return j.drop("_bk", "_off", "_last")
+
+
 def keyed_running_sum(df: DataFrame, keys: Sequence[str], ts: str, tie: str, col: str, out: str,
                       bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
     """Running (inclusive) sum of ``col`` per key in ``(ts, tie)`` order, split by time bucket:
@@ -127,6 +149,15 @@ def _asof_next(ev: DataFrame, gap_us: int) -> DataFrame:
     return r.select(F.col("_src").alias("_id"), F.coalesce("_hit", "_after").alias("_nxt"))
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (shared folder) that computes the level once: persisted while the
+    checkpoint is written, released right after (the result reads the checkpoint files)."""
+    p = df.persist()
+    out = p.checkpoint(eager=True)
+    p.unpersist()
+    return out
+
+
 def greedy_ttl_accept(df: DataFrame, keys: Sequence[str], ts: str, id_col: str, ttl_us: int,
                       out: str = "accepted") -> DataFrame:
     """Greedy TTL de-duplication, exact and distributed.
@@ -155,12 +186,12 @@ def greedy_ttl_accept(df: DataFrame, keys: Sequence[str], ts: str, id_col: str,
     rounds = max(0, math.ceil(math.log2(longest)) - 1) + 1 if longest > 1 else 0
     jumps: list[DataFrame] = []
     if rounds:
-        j = _asof_next(ev, ttl_us).filter(F.col("_nxt").isNotNull()).checkpoint()
+        j = _materialize(_asof_next(ev, ttl_us).filter(F.col("_nxt").isNotNull()))
         jumps.append(j)
         for _ in range(rounds - 1):
             a, b = j.alias("a"), j.alias("b")
-            j = (a.join(b, F.col("a._nxt") == F.col("b._id"))
-                 .select(F.col("a._id").alias("_id"), F.col("b._nxt").alias("_nxt")).checkpoint())
+            j = _materialize(a.join(b, F.col("a._nxt") == F.col("b._id"))
+                             .select(F.col("a._id").alias("_id"), F.col("b._nxt").alias("_nxt")))
             jumps.append(j)
     acc = ev.groupBy("_k").agg(F.min_by("_id", F.struct("_t", "_id")).alias("_id")).select("_id")
     for j in reversed(jumps):

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from vigil.functions.labels import series_key
 from vigil.functions.timeutil import MIN
-from vigil.operators.scans import keyed_running_sum
+from vigil.operators.scans import keyed_running_sum, keyed_running_sums
 
 # Fixed values of the fixture definition (FIXTURES.md §B).
 T0_US = 1_704_067_200_000_000          # 2024-01-01T00:00:00Z
@@ -133,15 +133,19 @@ def http_counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def http_bucket_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``http_request_duration_seconds_bucket{instance,le}``: cumulative bucket counters, one
-    sample per request and bound (all buckets advance together, as a scrape sees them)."""
+    sample per request and bound (all buckets advance together, as a scrape sees them).
+    The running counts are computed on the requests (one ordered pass, a column per bound)
+    and only then unpivoted to bucket samples."""
     r = requests(spark, sf_dir)
-    bounds = F.array(*[F.lit(float(x)) for x in LATENCY_BOUNDS], F.lit(float("inf")))
-    r = r.select("event_id", "t_us", "instance", "latency_s", F.explode(bounds).alias("le"))
-    r = r.withColumn("_hit", (F.col("latency_s") <= F.col("le")).cast("bigint"))
-    run = keyed_running_sum(r, ["instance", "le"], "t_us", "event_id", "_hit", "_n")
+    bounds = [float(x) for x in LATENCY_BOUNDS] + [float("inf")]
+    for i, b in enumerate(bounds):
+        r = r.withColumn(f"_h{i}", (F.col("latency_s") <= F.lit(b)).cast("bigint"))
+    run = keyed_running_sums(r, ["instance"], "t_us", "event_id", [f"_h{i}" for i in range(len(bounds))])
+    pairs = F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"_h{i}").alias("n")) for i, b in enumerate(bounds)])
+    run = run.select("event_id", "t_us", "instance", F.inline(pairs))
     le_text = F.when(F.col("le") == float("inf"), F.lit("+Inf")).otherwise(F.col("le").cast("string"))
     lab = _labels(instance=F.col("instance"), job=WEB_JOB, le=le_text)
-    return _sample(run, "http_request_duration_seconds_bucket", lab, F.col("_n"))
+    return _sample(run, "http_request_duration_seconds_bucket", lab, F.col("n"))
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
