@@ -125,17 +125,75 @@ def counter_accumulate(raw: DataFrame, keys: Sequence[str], ts: str = "t_us", ti
 
 
 def _window_stats(S: DataFrame, start_us: int, end_us: int, step_us: int, win_us: int) -> DataFrame:
-    """Per (series, tick): n, first/last sample and the reset correction inside ``[tick-win, tick]``."""
+    """Per (series, tick): n, first/last sample, min/max/sum and the reset correction inside
+    ``[tick - win, tick]``.
+
+    When ``win`` is a multiple of ``step`` the samples are first reduced to one summary per
+    (series, step) — steps are ``(T_{k-1}, T_k]`` — and the summaries, not the samples, are
+    exploded onto the ``win/step`` ticks that contain them. A step's last sample lying
+    exactly on a grid point is also the closed left edge of a later window; it is carried
+    as an extra "edge" row. Resets inside a step are summed once; the reset between a
+    step's first sample and its predecessor counts only while that predecessor is still
+    inside the window. All buffers are fixed-width (hash aggregation).
+    """
     tie = "event_id" if "event_id" in S.columns else "value"
     s = S.filter((F.col("t_us") >= start_us - win_us) & (F.col("t_us") <= end_us))
     s = keyed_lag(s, ["series"], "t_us", tie, ["value"])
+    if win_us % step_us != 0:
+        return _window_stats_samples(s, start_us, end_us, step_us, win_us)
+    m = win_us // step_us
+    kmax = (end_us - start_us) // step_us
+    keys = [*SERIES_COLS, "labels"]
+    s = s.withColumn("_b", F.ceil((F.col("t_us") - F.lit(start_us)) / F.lit(step_us)).cast("bigint"))
+    prev_b = F.ceil((F.col("prev_t_us") - F.lit(start_us)) / F.lit(step_us)).cast("bigint")
+    is_reset = F.col("prev_value").isNotNull() & (F.col("value") < F.col("prev_value"))
+    b = (s.groupBy(*keys, "_b").agg(
+        F.count(F.lit(1)).alias("n"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"),
+        F.min_by("value", "t_us").alias("first_v"), F.max_by("value", "t_us").alias("last_v"),
+        F.sum(F.when(is_reset & (prev_b == F.col("_b")), F.col("prev_value")).otherwise(F.lit(0.0))).alias("inner"),
+        F.min_by("prev_t_us", "t_us").alias("bp_t"), F.min_by("prev_value", "t_us").alias("bp_v"),
+        F.min("value").alias("min_v"), F.max("value").alias("max_v"), F.sum("value").alias("sum_v")))
+    tick = lambda k: F.lit(start_us) + k * F.lit(step_us)
+    full_lo = F.greatest(F.col("_b"), F.lit(0))
+    full_hi = F.least(F.col("_b") + F.lit(m - 1), F.lit(kmax))
+    on_grid = F.col("last_us") == tick(F.col("_b"))
+    edge_k = F.col("_b") + F.lit(m)
+    spans = F.concat(
+        F.when(full_lo <= full_hi, F.transform(F.sequence(full_lo, full_hi), lambda k: F.struct(k.alias("k"), F.lit(False).alias("e"))))
+        .otherwise(F.array().cast("array<struct<k:bigint,e:boolean>>")),
+        F.when(on_grid & (edge_k >= 0) & (edge_k <= kmax), F.array(F.struct(edge_k.alias("k"), F.lit(True).alias("e"))))
+        .otherwise(F.array().cast("array<struct<k:bigint,e:boolean>>")))
+    x = b.select("*", F.inline(spans))
+    e = F.col("e")
+    x = x.select(
+        *keys, tick(F.col("k")).alias("eval_us"),
+        F.when(e, 1).otherwise(F.col("n")).alias("n"),
+        F.when(e, F.col("last_us")).otherwise(F.col("first_us")).alias("first_us"),
+        F.when(e, F.col("last_v")).otherwise(F.col("first_v")).alias("first_v"),
+        "last_us", "last_v",
+        F.when(e, 0.0).otherwise(F.col("inner")).alias("inner"),
+        F.when(~e & F.col("bp_v").isNotNull() & (F.col("first_v") < F.col("bp_v")), F.col("bp_t")).alias("rb_t"),
+        F.col("bp_v").alias("rb_v"),
+        F.when(e, F.col("last_v")).otherwise(F.col("min_v")).alias("min_v"),
+        F.when(e, F.col("last_v")).otherwise(F.col("max_v")).alias("max_v"),
+        F.when(e, F.col("last_v")).otherwise(F.col("sum_v")).alias("sum_v"))
+    boundary = F.when(F.col("rb_t").isNotNull() & (F.col("rb_t") >= F.col("eval_us") - F.lit(win_us)),
+                      F.col("rb_v")).otherwise(F.lit(0.0))
+    return (x.groupBy(*keys, "eval_us")
+            .agg(F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
+                 F.min_by("first_v", "first_us").alias("first_v"), F.max_by("last_v", "last_us").alias("last_v"),
+                 (F.sum("inner") + F.sum(boundary)).alias("resets"),
+                 F.min("min_v").alias("min_v"), F.max("max_v").alias("max_v"), F.sum("sum_v").alias("sum_v")))
+
+
+def _window_stats_samples(s: DataFrame, start_us: int, end_us: int, step_us: int, win_us: int) -> DataFrame:
+    """Sample-level form (windows that are not a multiple of the step)."""
     s = s.withColumn("_t0", _first_tick(F.col("t_us"), start_us, step_us))
     s = s.withColumn("_t1", _last_tick(F.col("t_us") + F.lit(win_us), start_us, step_us, end_us))
     s = s.filter(F.col("_t0") <= F.col("_t1"))
     s = s.withColumn("eval_us", F.explode(F.sequence("_t0", "_t1", F.lit(step_us))))
     reset = (F.col("prev_value").isNotNull() & (F.col("value") < F.col("prev_value"))
              & (F.col("prev_t_us") >= F.col("eval_us") - F.lit(win_us)))
-    # one sample per (series, t_us): t_us alone orders exactly; all buffers fixed-width
     return (s.groupBy(*SERIES_COLS, "labels", "eval_us")
             .agg(F.count(F.lit(1)).alias("n"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"),
                  F.min_by("value", "t_us").alias("first_v"), F.max_by("value", "t_us").alias("last_v"),
