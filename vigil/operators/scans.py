@@ -150,12 +150,9 @@ def _asof_next(ev: DataFrame, gap_us: int) -> DataFrame:
 
 
 def _materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (shared folder) that computes the level once: persisted while the
-    checkpoint is written, released right after (the result reads the checkpoint files)."""
-    p = df.persist()
-    out = p.checkpoint(eager=True)
-    p.unpersist()
-    return out
+    """Eager reliable checkpoint to the shared folder: one job computes and writes the level,
+    later rounds read the files (lineage cut; a lost executor re-reads, never recomputes)."""
+    return df.checkpoint(eager=True)
 
 
 def greedy_ttl_accept(df: DataFrame, keys: Sequence[str], ts: str, id_col: str, ttl_us: int,
