@@ -91,12 +91,12 @@ def pipeline_counter_samples(spark, d):
     lab = F.create_map(F.lit("job"), F.lit("alert"), F.lit("result"), F.col("result"), F.lit("status"), F.col("status"))
     from vigil.functions.labels import series_key
     return run.select(F.lit("alert_events_total").alias("metric"), lab.alias("labels"),
-                      F.lit("alert-service").alias("instance"), "t_us", F.col("_n").cast("double").alias("value"),
+                      F.lit("event-consumer").alias("instance"), "t_us", F.col("_n").cast("double").alias("value"),
                       "event_id").withColumn("series", series_key("metric", "labels"))
 
 
 @query("pipeline_rates", _rec(with_views("alerts")) + _dedupe_sql(TTL5) + f", {_GRID}," + """
-cnt AS (SELECT 'alert_events_total' AS metric, 'alert-service' AS instance,
+cnt AS (SELECT 'alert_events_total' AS metric, 'event-consumer' AS instance,
                'job=alert,result=' || CASE WHEN accepted THEN 'stored' ELSE 'deduped' END || ',status=' || status AS labels,
                received_us AS t_us, event_id,
                CAST(count(*) OVER (PARTITION BY status, accepted ORDER BY received_us, event_id
