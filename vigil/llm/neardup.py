@@ -106,7 +106,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    small_batches(pairs.sparkSession, 500)
+    small_batches(pairs.sparkSession)
     joined = pairs.join(left, "b").join(right, "a").select("a", "b", "ma", "mb")
     return materialise(joined.mapInArrow(run, "a long, b long"), "near-links")
 

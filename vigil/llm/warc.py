@@ -88,7 +88,7 @@ def read_records(stream):
 
 def write_archives(typed: DataFrame, folder: str) -> DataFrame:
     """One archive per task; returns the manifest (materialised)."""
-    small_batches(typed.sparkSession, 500)
+    small_batches(typed.sparkSession)
 
     def write(batches):
         part, (files, path) = TaskContext.get(), open_folder(folder)
