@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import neardup, packing, pii, quality
+from vigil.llm import decontaminate, neardup, packing, pii, quality
 from vigil.llm.common import materialise, table
 
 
@@ -22,6 +22,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.drop_near_duplicates(docs, words=5, percent=80)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of ``benchmark``."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data generalised or removed in ``text``."""
     return pii.sanitise(docs)
@@ -34,7 +39,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("personal_data", personal_data), ("best_fit_packing", best_fit_packing)]
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup),
+          ("benchmark_decontamination", benchmark_decontamination), ("personal_data", personal_data), ("best_fit_packing", best_fit_packing)]
 #: SQL has no fitted trees, MinHash or BPE; tests/llm hold the result against a brute-force version.
 ORACLE_SQL = None
 
