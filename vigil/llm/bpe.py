@@ -1,10 +1,12 @@
-"""Exact byte-level BPE of many texts with a cache of pieces.
+"""Exact byte-level BPE of many texts with a store of pieces.
 
 The pre-tokenizer of a byte-level BPE never joins a character with a space that follows it,
 and a single space between two other characters always opens the next pre-token. So a text
 may be cut in front of every such space and the pieces encoded alone: their ids, joined,
-are those of the whole text. Arrow cuts the texts and numbers the pieces; only pieces not
-seen before go to the tokenizer.
+are those of the whole text. Likewise a mark such as a comma after a letter opens a
+pre-token. Arrow cuts the texts, numbers the pieces and looks them up; only pieces not in
+the store go to the tokenizer, several in one string, parted by tabs: a tab between
+characters that are not white space, or before a single space, is a pre-token of its own.
 """
 
 from __future__ import annotations
@@ -20,86 +22,128 @@ import pyarrow.compute as pc
 from vigil.llm.common import slabs
 
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
-_AT_ONCE = 5000
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+#: Empty, or white space at an end: the space it was cut at stood beside other white space.
+_ODD = f"^$|^{_SPACE}|{_SPACE}$"
+#: A letter (plain or Latin with marks) and one mark at the end.
+_MARKED = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}][,.;:!?]$"
+_MARKS = ",.;:!?"
+_AT_ONCE, _JOINED = 5000, 64
+_NOTHING, _BLANK = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
 
 
 class PieceEncoder:
     """``encode(texts, end_id)`` gives the ids of all texts, each closed by ``end_id``, and their offsets.
 
     Ids equal ``Tokenizer.encode(text, add_special_tokens=False)``, with the strings of special
-    tokens taken as ordinary text. About ``cache`` pieces are kept (then all are forgotten).
+    tokens taken as ordinary text. When more than ``cache`` pieces are stored, the half that was
+    seen most often stays.
     """
 
-    def __init__(self, path: str, cache: int = 800_000):
+    def __init__(self, path: str, cache: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.cache = cache
-        self._forget()
-
-    def _forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.known = self.used = 0
-        self.starts, self.lens = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat = np.zeros(4096, np.uint32)
-        self._add(np.zeros(1, np.uint32), np.ones(1, np.int64))  # piece 0 is the end id
-
-    def _add(self, ids: np.ndarray, lens: np.ndarray) -> None:
-        n, u = self.known + len(lens), self.used + len(ids)
-        if n > len(self.lens):
-            self.starts, self.lens = (np.concatenate([a, np.zeros(max(n, len(a)), np.int64)]) for a in (self.starts, self.lens))
-        if u > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(u, len(self.flat)), np.uint32)])
-        self.lens[self.known:n] = lens
-        self.starts[self.known:n] = self.used + np.cumsum(lens) - lens
-        self.flat[self.used:u] = ids
-        self.known, self.used = n, u
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces that are not known yet."""
-        fresh = [p for p in dict.fromkeys(pieces) if p not in self.at]
-        for a in range(0, len(fresh), _AT_ONCE):
-            part = fresh[a:a + _AT_ONCE]
-            ids_of = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
-            lens = np.fromiter(map(len, ids_of), np.int64, len(part))
-            self.at.update(zip(part, range(self.known, self.known + len(part))))
-            self._add(np.fromiter(chain.from_iterable(ids_of), np.uint32, int(lens.sum())), lens)
+        (self.tab,) = self.tok.encode("\t", add_special_tokens=False).ids
+        # Piece 0 is the end id, then the marks; pieces of the store begin with a space.
+        self.keys = pa.array(["\n", *_MARKS], pa.large_string())
+        ids, self.lens = self._tokens(list(_MARKS))
+        self.flat, self.lens = np.concatenate([[np.uint32(0)], ids]), np.concatenate([[1], self.lens])
+        self.seen = np.full(len(self.lens), 1 << 60)
+
+    def _tokens(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has."""
+        ids_of = []
+        for a in range(0, len(pieces), _AT_ONCE):
+            ids_of += [e.ids for e in self.tok.encode_batch_fast(pieces[a:a + _AT_ONCE], add_special_tokens=False)]
+        lens = np.fromiter(map(len, ids_of), np.int64, len(ids_of))
+        return np.fromiter(chain.from_iterable(ids_of), np.uint32, int(lens.sum())), lens
+
+    def _joined_tokens(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_tokens``, for pieces without tabs and without white space at the end; many are one string to the tokenizer."""
+        ids, _ = self._tokens(["\t".join([*pieces[a:a + _JOINED], ""]) for a in range(0, len(pieces), _JOINED)])
+        tabs = np.flatnonzero(ids == self.tab)
+        return ids[ids != self.tab], np.diff(tabs, prepend=-1) - 1
+
+    @staticmethod
+    def _join(at: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a sequence of pieces, and where each ends."""
+        starts, n = np.cumsum(lens) - lens, lens[at]
+        ends = np.cumsum(n)
+        gather = np.repeat(starts[at] - (ends - n), n)
+        gather += np.arange(len(gather))
+        return flat[gather], ends
+
+    def _store(self, keys: pa.Array, ids: np.ndarray, lens: np.ndarray) -> None:
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.flat, self.lens = np.concatenate([self.flat, ids]), np.concatenate([self.lens, lens])
+        self.seen = np.concatenate([self.seen, np.zeros(len(lens), np.int64)])
+
+    def _find(self, pieces: pa.Array) -> np.ndarray:
+        return pc.index_in(pieces, value_set=self.keys).fill_null(-1).to_numpy().astype(np.int64)
+
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """Store different pieces, none of them stored yet; their numbers."""
+        tabs = pc.match_substring(pieces, "\t").to_numpy(zero_copy_only=False)
+        marked = pc.match_substring_regex(pieces, _MARKED).to_numpy(zero_copy_only=False) & ~tabs
+        out = np.empty(len(pieces), np.int64)
+        out[tabs] = len(self.lens) + np.arange(tabs.sum())
+        self._store(pieces.filter(pa.array(tabs)), *self._tokens(pieces.filter(pa.array(tabs)).to_pylist()))
+        # A letter and a mark at the end: the piece without the mark may be known or among the others.
+        ends = pieces.filter(pa.array(marked))
+        cores = pc.utf8_slice_codeunits(ends, 0, -1)
+        at = self._find(cores)
+        plain = pc.unique(pa.concat_arrays([pieces.filter(pa.array(~marked & ~tabs)), cores.filter(pa.array(at < 0))]))
+        first = len(self.lens)
+        self._store(plain, *self._joined_tokens(plain.to_pylist()))
+        at[at < 0] = first + pc.index_in(cores.filter(pa.array(at < 0)), value_set=plain).to_numpy()
+        out[~marked & ~tabs] = first + np.arange((~marked & ~tabs).sum())
+        out[marked] = len(self.lens) + np.arange(len(ends))
+        mark = 1 + pc.index_in(pc.utf8_slice_codeunits(ends, -1), value_set=self.keys.slice(1, len(_MARKS))).to_numpy().astype(np.int64)
+        ids, last = self._join(np.stack([at, mark], 1).ravel(), self.flat, self.lens)
+        self._store(ends, ids, np.diff(last[1::2], prepend=0))
+        return out
+
+    def _shrink(self) -> None:
+        if len(self.lens) > self.cache:
+            keep = np.sort(np.argsort(-self.seen, kind="stable")[:self.cache // 2 + 1 + len(_MARKS)])
+            self.flat, _ = self._join(keep, self.flat, self.lens)
+            self.keys, self.lens, self.seen = self.keys.take(pa.array(keep)), self.lens[keep], self.seen[keep] >> 1
+            self.seen[:1 + len(_MARKS)] = 1 << 60
 
     def _slab(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        if self.known > self.cache:
-            self._forget()
+        self._shrink()
         self.flat[0] = end_id
         cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         numbered = cut.flatten().dictionary_encode()
-        bounds, number = cut.offsets.to_numpy(), numbered.indices.to_numpy()
-        unique = numbered.dictionary.to_pylist()
-        # A space beside other white space: there only the careful cut is right.
-        odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in unique), bool, len(unique))
-        spaced = [" " + p for p in unique]
-        heads = [unique[number[a]] for a in bounds[:-1]]
-        self._learn([p for p, o in zip(spaced, odd) if not o] + [h for h in heads if h])
-        at_of = np.fromiter((self.at.get(p, 0) for p in spaced), np.int64, len(spaced))
-        at = at_of[number]
-        at[bounds[:-1]] = [self.at.get(h, 0) for h in heads]
-        is_odd = np.add.reduceat(odd[number].astype(np.int64), bounds[:-1]) > 0
-        parts, counts = [], []
-        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            if is_odd[i]:
-                pieces = _SAFE_CUT.split(texts[i])
-                self._learn(pieces)
-                part = np.fromiter((self.at[p] for p in pieces), np.int64, len(pieces))
-            else:
-                part = at[a:b]
-            parts += [part, np.zeros(1, np.int64)]
-            counts.append(len(part) + 1)
-        at = np.concatenate(parts)
-        lens = self.lens[at]
-        ends = np.cumsum(lens)
-        gather = np.repeat(self.starts[at] - (ends - lens), lens)
-        gather += np.arange(len(gather))
-        return self.flat[gather], ends[np.cumsum(counts) - 1]
+        bounds, number, unique = cut.offsets.to_numpy(), numbered.indices.to_numpy(), numbered.dictionary
+        odd = pc.match_substring_regex(unique, _ODD).to_numpy(zero_copy_only=False)
+        spaced = pc.binary_join_element_wise(_NOTHING, unique, _BLANK)
+        at_of = self._find(spaced)
+        fresh = (at_of < 0) & ~odd
+        if fresh.any():
+            at_of[fresh] = self._learn(spaced.filter(pa.array(fresh)))
+        self.seen[at_of[at_of >= 0]] += 1
+        at, odd = at_of[number], np.add.reduceat(odd[number].astype(np.int64), bounds[:-1]) > 0
+        # First pieces have no space before them, and texts with a space beside other white space
+        # are cut with care: these pieces are not stored.
+        heads = unique.take(pa.array(number[bounds[:-1]])).to_pylist()
+        own = [_SAFE_CUT.split(t) if o else [h] for t, o, h in zip(texts, odd, heads)]
+        raw = list(dict.fromkeys(chain.from_iterable(own)))
+        number_of = dict(zip(raw, range(len(self.lens), len(self.lens) + len(raw))))
+        parts, end = [], np.zeros(1, np.int64)
+        for i, pieces in enumerate(own):
+            parts += [np.fromiter((number_of[p] for p in pieces), np.int64, len(pieces)), end if odd[i] else at[bounds[i] + 1:bounds[i + 1]]]
+            if not odd[i]:
+                parts.append(end)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        ids, lens = self._tokens(raw)
+        ids, ends = self._join(np.concatenate(parts), np.concatenate([self.flat, ids]), np.concatenate([self.lens, lens]))
+        last = np.cumsum(sizes)[np.cumsum(np.where(odd, 2, 3)) - 1]
+        return ids, ends[last - 1]
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """``ids`` (uint32) of all texts and ``offsets`` (n + 1): text i has ``ids[offsets[i]:offsets[i + 1]]``."""
@@ -116,7 +160,7 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
-    """One encoder per Python worker and file; workers are reused, so the cache outlives a task."""
+    """One encoder per Python worker and file; workers are reused, so the store outlives a task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]

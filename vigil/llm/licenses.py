@@ -95,9 +95,9 @@ def build_index(templates: list[tuple[str, str]]) -> tuple[list[np.ndarray], dic
 def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
     """Longest common subsequence of template and text within ``band`` of ``shift``: words matched, first and last place in the text.
 
-    Among equal scores the tightest span is taken.
+    Among equal scores the tightest span is taken, then the one nearest to ``shift``.
     """
-    # score[k]: (matched, -first, last) for text place i + shift - band + k
+    # row[k]: (matched, first, last) for text place i + shift - band + k; a later first place is the tighter one
     width = 2 * band + 1
     row = [(0, 0, -1)] * (width + 1)
     for i, word in enumerate(template):
@@ -108,12 +108,11 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
             best = max(left, row[k + 1], key=lambda s: s[:2])
             if 0 <= j < len(text) and text[j] == word:
                 m, first, _ = row[k]
-                taken = (m + 1, first if m else -j, j)
+                taken = (m + 1, first if m else j, j)
                 best = max(best, taken, key=lambda s: s[:2])
             new[k] = left = best
         row = new
-    m, first, last = max(row, key=lambda s: s[:2])
-    return m, -first, last
+    return max(row, key=lambda s: (s[0], s[1] - s[2], -abs(s[1] - shift)))
 
 
 def scan(words: np.ndarray, templates: list[np.ndarray], index: dict[int, list[tuple[int, int]]], known: np.ndarray, min_cover: int) -> list[tuple[int, int, int, int]]:
@@ -128,7 +127,7 @@ def scan(words: np.ndarray, templates: list[np.ndarray], index: dict[int, list[t
         shifts.sort()
         cuts = [0] + [i for i in range(1, len(shifts)) if shifts[i] - shifts[i - 1] > BAND] + [len(shifts)]
         for a, z in zip(cuts, cuts[1:]):
-            for shift in dict.fromkeys(shifts[a:z:max(1, (z - a) // 4)]):
+            for shift in dict.fromkeys(shifts[a:z]):
                 m, first, last = align(templates[k], words, shift)
                 if 100 * m >= min_cover * len(templates[k]):
                     found.append((m, last - first + 1, k, first, last))

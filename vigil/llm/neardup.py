@@ -148,7 +148,7 @@ def _ranked(buckets: DataFrame, labels: DataFrame, percent: int, low: int, high:
     def compare(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
         ids, comp, n = (t.column(c).to_numpy() for c in ("id", "component", "n"))
-        odd, whole = (np.stack(t.column(c).combine_chunks().flatten().to_numpy().reshape(len(ids), -1)) for c in ("odd", "whole"))
+        odd, whole = (np.stack(t.column(c).combine_chunks().flatten().to_numpy().reshape(len(ids), -1)).view(np.uint64) for c in ("odd", "whole"))
         part, parts = t.column("part")[0].as_py(), t.column("parts")[0].as_py()
         a, b, more = [], [], False
         for i in np.flatnonzero(ids % parts == part):
