@@ -49,9 +49,9 @@ def train_dictionary(docs: DataFrame, vocab: str, end_id: int, size: int = DICT_
     """A zstandard dictionary from the serialized ids of a bounded sample; empty when there is nothing to train on."""
     import zstandard
 
-    text = text_or_empty()
-    rows = (docs.select(text.alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
-            .orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS).collect())
+    rows = docs.select("doc_id", text_or_empty().alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES).withColumn("h", F.xxhash64("doc_id", "text"))
+    last = rows.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h").alias("h")).first().h  # numbers first: only the sample's texts move
+    rows = rows.filter(F.col("h") <= F.lit(last)).orderBy("h").limit(SAMPLE_DOCS).collect() if last is not None else []
     ids, off = bpe.PieceEncoder(vocab).encode([r.text for r in rows], end_id)
     samples = [ids[a:b].astype("<u2").tobytes() for a, b in zip(off, off[1:])]
     try:
@@ -62,7 +62,7 @@ def train_dictionary(docs: DataFrame, vocab: str, end_id: int, size: int = DICT_
 
 def write_shards(docs: DataFrame, folder: str, dictionary: bytes, vocab: str, end_id: int, n: int) -> DataFrame:
     """Write shards in ascending ``doc_id`` order; returns the manifest, one row per shard (materialised)."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, "16m")
     sha = hashlib.sha256(dictionary).digest()
 
     def write(batches):
@@ -73,14 +73,14 @@ def write_shards(docs: DataFrame, folder: str, dictionary: bytes, vocab: str, en
         ids_of = bpe.encoder(vocab)
         wide = ids_of.tok.get_vocab_size() > 1 << 16
         kind = "<u4" if wide else "<u2"
-        press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        press = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         index, out, at, tokens = [], None, 0, 0
         for b in batches:
             if out is None:
                 out = files[0].open_output_stream(f"{files[1]}/{name}")
                 out.write(MAGIC[:6] + (b"L\n" if wide else b"1\n") + sha)
                 at = len(MAGIC) + len(sha)
-            ids, off = ids_of.encode(b.column("text").to_pylist(), end_id)
+            ids, off = ids_of.encode(b.column("text"), end_id)
             entry = np.zeros(len(b), INDEX)
             doc = b.column("doc_id")
             entry["doc_id"], entry["no_id"] = doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False)

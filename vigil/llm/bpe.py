@@ -73,8 +73,8 @@ class PieceEncoder:
         """Ids of a sequence of pieces, and where each ends."""
         starts, n = np.cumsum(lens) - lens, lens[at]
         ends = np.cumsum(n)
-        gather = np.repeat(starts[at] - (ends - n), n)
-        gather += np.arange(len(gather))
+        gather = np.repeat((starts[at] - (ends - n)).astype(np.int32), n)  # stores and slabs have far less than 2^31 ids
+        gather += np.arange(len(gather), dtype=np.int32)
         return flat[gather], ends
 
     def _store(self, keys: pa.Array, ids: np.ndarray, lens: np.ndarray) -> None:
@@ -114,10 +114,10 @@ class PieceEncoder:
             self.keys, self.lens, self.seen = self.keys.take(pa.array(keep)), self.lens[keep], self.seen[keep] >> 1
             self.seen[:1 + len(_MARKS)] = 1 << 60
 
-    def _slab(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def _slab(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         self._shrink()
         self.flat[0] = end_id
-        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        cut = pc.split_pattern(texts, " ")
         numbered = cut.flatten().dictionary_encode()
         bounds, number, unique = cut.offsets.to_numpy(), numbered.indices.to_numpy(), numbered.dictionary
         odd = pc.match_substring_regex(unique, _ODD).to_numpy(zero_copy_only=False)
@@ -131,7 +131,7 @@ class PieceEncoder:
         # First pieces have no space before them, and texts with a space beside other white space
         # are cut with care: these pieces are not stored.
         heads = unique.take(pa.array(number[bounds[:-1]])).to_pylist()
-        own = [_SAFE_CUT.split(t) if o else [h] for t, o, h in zip(texts, odd, heads)]
+        own = [_SAFE_CUT.split(texts[i].as_py()) if o else [h] for i, (o, h) in enumerate(zip(odd.tolist(), heads))]
         raw = list(dict.fromkeys(chain.from_iterable(own)))
         number_of = dict(zip(raw, range(len(self.lens), len(self.lens) + len(raw))))
         parts, end = [], np.zeros(1, np.int64)
@@ -145,15 +145,16 @@ class PieceEncoder:
         last = np.cumsum(sizes)[np.cumsum(np.where(odd, 2, 3)) - 1]
         return ids, ends[last - 1]
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """``ids`` (uint32) of all texts and ``offsets`` (n + 1): text i has ``ids[offsets[i]:offsets[i + 1]]``."""
+        texts = (pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()))
         ids, offsets, total = [], [np.zeros(1, np.int64)], 0
-        for a, b in slabs([len(t) for t in texts], 8_000_000):
+        for a, b in slabs(pc.binary_length(texts).to_pylist(), 16_000_000):
             got, ends = self._slab(texts[a:b], end_id)
             ids.append(got)
             offsets.append(ends + total)
             total += len(got)
-        return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), np.concatenate(offsets)
+        return (ids[0] if len(ids) == 1 else np.concatenate([np.zeros(0, np.uint32), *ids])), np.concatenate(offsets)
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

@@ -46,12 +46,12 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
 
 def token_pieces(docs: DataFrame, vocab: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """Tokenize every whole text once; one row per piece, ids as checksum only."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, "16m")
 
     def pieces(batches):
         ids_of = bpe.encoder(vocab)
         for b in batches:
-            ids, off = ids_of.encode(b.column("text").to_pylist(), end_id)
+            ids, off = ids_of.encode(b.column("text"), end_id)
             salts = b.column("salt").to_pylist()
             out = [[] for _ in _PIECES_PA]
             for i, doc in enumerate(b.column("doc_id").to_pylist()):
