@@ -47,3 +47,8 @@ def matcher(labels: Column | str, key: str, op: str, value: str) -> Column:
     if op == "!~":
         return ~v.rlike(f"^(?:{value})$")
     raise ValueError(f"unknown matcher op {op!r}")
+
+
+def trim_space(c: Column | str) -> Column:
+    """Text without white space (of any kind) at its ends."""
+    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$", "")

@@ -36,7 +36,7 @@ def _order() -> Column:
 
 def alert_validate(E: DataFrame) -> DataFrame:
     """outcome ``ok`` or ``permanent_error`` with the first failing reason."""
-    fp_blank = F.coalesce(F.trim("fingerprint"), F.lit("")) == ""
+    fp_blank = F.coalesce("fingerprint", F.lit("")) == ""
     bad_status = ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))
     reason = (F.when(fp_blank, F.lit("fingerprint is required"))
               .when(bad_status, F.concat(F.lit("unsupported status: "), F.coalesce("status", F.lit("")))))

@@ -84,12 +84,11 @@ def _http_rate(S: DataFrame, start_us: int, end_us: int, step: str, matchers=())
 
 def error_ratio(S: DataFrame, start_us: int, end_us: int, step: str = "1m", threshold: float = 0.05) -> DataFrame:
     """``sum by (instance) 5xx rate / sum by (instance) rate > threshold and on(instance) total > 0``."""
-    # one rate pass; the 5xx series are a subset of it
     r = _http_rate(S, start_us, end_us, step)
-    errs = sr.agg_by(sr.select_series(r, None, [("status", "=~", "5..")]), "sum", ["instance"])
-    total = sr.agg_by(r, "sum", ["instance"])
-    ratio = sr.compare_filter(sr.vector_div(errs, total, ["instance"]), ">", threshold)
-    return sr.and_on(ratio, sr.compare_filter(total, ">", 0), ["instance"])
+    failed = F.when(label("labels", "status").rlike("^5..$"), F.col("value"))
+    g = r.groupBy("eval_us", "instance").agg(F.sum(failed).alias("_e"), F.sum("value").alias("_t")).filter(F.col("_e").isNotNull())
+    g = g.filter(sr.compare_col(F.col("_t"), ">", 0)).select("eval_us", "instance", sr._div(F.col("_e"), F.col("_t")).alias("value"))
+    return sr.compare_filter(g, ">", threshold)
 
 
 def p95_latency(S: DataFrame, start_us: int, end_us: int, step: str = "1m", phi: float = 0.95,

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.functions.labels import trim_space
 from vigil.functions.timeutil import SEC, dur_us
 
 CPU = "cpu_usage_percent"
@@ -60,11 +61,19 @@ def host_filter_text(H: DataFrame, q: str | None) -> DataFrame:
     return H.filter(F.lower("instance").contains(q)) if q else H
 
 
+def _at_least(c: str, x: float):
+    return (F.col(c) >= x) & ~F.isnan(c)
+
+
+def _above(c: str, x: float):
+    return (F.col(c) > x) & ~F.isnan(c)
+
+
 def host_filter_risk(H: DataFrame, risk: str | None) -> DataFrame:
     if risk == "high_cpu":
-        return H.filter(F.col("cpu") >= 80)
+        return H.filter(_at_least("cpu", 80))
     if risk == "high_memory":
-        return H.filter(F.col("memory") >= 85)
+        return H.filter(_at_least("memory", 85))
     return H
 
 
@@ -121,8 +130,8 @@ def top_hosts(H: DataFrame, n: int = 12) -> DataFrame:
 
 def host_risk(H: DataFrame) -> DataFrame:
     """risk = normal / cpu / memory / both (cpu >= 80, memory >= 85)."""
-    c = F.col("cpu") >= 80
-    m = F.col("memory") >= 85
+    c = _at_least("cpu", 80)
+    m = _at_least("memory", 85)
     return H.withColumn("risk", F.when(c & m, "both").when(c, "cpu").when(m, "memory").otherwise("normal"))
 
 
@@ -132,10 +141,10 @@ def host_risk_counts(H: DataFrame) -> DataFrame:
 
 def host_band(H: DataFrame) -> DataFrame:
     """Display bands: cpu >= 80 danger, > 60 warning; memory >= 85 danger, > 70 warning."""
-    return (H.withColumn("cpu_band", F.when(F.col("cpu") >= 80, "danger").when(F.col("cpu") > 60, "warning")
+    return (H.withColumn("cpu_band", F.when(_at_least("cpu", 80), "danger").when(_above("cpu", 60), "warning")
                          .otherwise("normal"))
-            .withColumn("memory_band", F.when(F.col("memory") >= 85, "danger")
-                        .when(F.col("memory") > 70, "warning").otherwise("normal")))
+            .withColumn("memory_band", F.when(_at_least("memory", 85), "danger")
+                        .when(_above("memory", 70), "warning").otherwise("normal")))
 
 
 def group_members(groups: DataFrame, members: DataFrame, with_list: bool = True) -> DataFrame:
@@ -150,12 +159,26 @@ def group_members(groups: DataFrame, members: DataFrame, with_list: bool = True)
     return g.orderBy("id")
 
 
+NAME_MAX, MEMBER_MAX, DESCRIPTION_MAX = 128, 256, 512
+
+
 def group_normalise(rows: DataFrame) -> DataFrame:
-    """Trim names/instances, keep 1..256 characters, first occurrence of a member wins."""
-    r = rows.withColumn("instance", F.trim("instance")).withColumn("name", F.trim("name"))
-    r = r.filter((F.length("name").between(1, 256)) & (F.length("instance").between(1, 256)))
+    """Requests to save groups, one row per member ``(id, group_id, name, instance[, description])``.
+
+    Names, members and descriptions lose white space at their ends; of equal members the first
+    (by id) stays. Limits in bytes: name 1-128, member 1-256, description at most 512. One bad
+    row rejects all rows of its group; ``reason`` says why (NULL when valid)."""
+    r = rows.withColumn("instance", trim_space(F.coalesce("instance", F.lit("")))).withColumn("name", trim_space(F.coalesce("name", F.lit(""))))
+    size = F.octet_length
+    bad = (F.when(~size("name").between(1, NAME_MAX), "name must be 1-128 characters")
+           .when(~size("instance").between(1, MEMBER_MAX), "instance must be 1-256 characters"))
+    if "description" in rows.columns:
+        r = r.withColumn("description", trim_space(F.coalesce("description", F.lit(""))))
+        bad = bad.when(size("description") > DESCRIPTION_MAX, "description must be at most 512 characters")
+    reasons = r.groupBy("group_id").agg(F.min(bad).alias("reason"))
     w = Window.partitionBy("group_id", "instance").orderBy("id")
-    return r.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+    first = r.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+    return first.join(reasons, "group_id", "left").withColumn("valid", F.col("reason").isNull())
 
 
 def host_status_changes(snapshots: DataFrame, ts: str = "eval_us") -> DataFrame:

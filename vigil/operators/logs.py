@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.timeutil import dur_us
@@ -36,12 +36,13 @@ ROUTES = [
     "/ws/alerts", "/metrics", "/healthz", "/readyz",
 ]
 
-# Secret patterns and their masks, applied in order (Java regex; fixed values).
+# Secret patterns and their masks, applied in order (Java regex; fixed values). Credentials of a
+# header are masked to the end of its value.
 REDACTIONS = [
     (r"([A-Za-z][A-Za-z0-9+.\-]*://[^:/@\s]+:)[^@\s]+(@)", "$1***$2"),
-    (r"(?i)(authorization:\s*(?:bearer\s+|basic\s+)?)\S+", "$1***"),
-    (r"(?i)(cookie:\s*)\S+", "$1***"),
-    (r"(?i)\b(password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)(\s*[=:]\s*)(\"?)[^\s\"&]+", "$1$2$3***"),
+    (r"(?i)(authorization[\"']?\s*[:=]\s*[\"']?(?:(?:bearer|basic|digest|negotiate)\s+)?)[^\r\n\"'\\]+", "$1***"),
+    (r"(?i)(cookie[\"']?\s*:\s*[\"']?)[^\r\n\"'\\]+", "$1***"),
+    (r"(?i)\b(password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)(\\?[\"']?\s*[=:]\s*)(\\?[\"']?)[^\s\"'&\\,}]+", "$1$2$3***"),
 ]
 
 
@@ -59,19 +60,44 @@ def _wild(c: Column, pattern: str) -> Column:
     return F.lower(c).like(like.lower())
 
 
+# Fields with a keyword form of at most KEYWORD_MAX characters; all others match at any length.
+KEYWORD_FIELDS = ("msg", "error")
+
+
+def log_condition(q: tuple) -> Column:
+    """A boolean search tree as a column: ``("and" | "or", q, ...)``, ``("not", q)``, ``("exists", field)``,
+    ``("is", field, value, ...)`` (exact, any of the values; msg and error by their keyword form)
+    and ``("like", field, pattern, ...)`` (any of the wildcard patterns)."""
+    op, args = q[0], q[1:]
+    if op in ("and", "or"):
+        out = F.lit(op == "and")
+        for x in args:
+            out = (out & log_condition(x)) if op == "and" else (out | log_condition(x))
+        return out
+    if op == "not":
+        return ~log_condition(args[0])
+    f = args[0]
+    if op == "exists":
+        return F.col(f).isNotNull()
+    if op == "is":
+        key = F.when(F.length(f) <= KEYWORD_MAX, F.col(f)) if f in KEYWORD_FIELDS else F.col(f)
+        return F.coalesce(key.isin(*args[1:]), F.lit(False))
+    if op == "like":
+        return log_condition(("or", *(("_one", f, p) for p in args[1:])))
+    if op == "_one":
+        return F.coalesce(_wild(F.col(f), args[1]), F.lit(False))
+    raise ValueError(f"unknown search operator {op!r}")
+
+
 def log_search(L: DataFrame, fields: Mapping[str, Sequence[str]] | None = None, exists: Sequence[str] = (),
-               wildcard: Mapping[str, str] | None = None, start_us: int | None = None,
-               end_us: int | None = None) -> DataFrame:
-    """Boolean field query: OR within a field's values, AND across fields; ``_exists_``
-    fields must be non-null; ``msg:*text*`` wildcards; optional time range; newest first.
-    Field values match the keyword form exactly (values over 256 characters never match)."""
-    cond = F.lit(True)
-    for f, values in (fields or {}).items():
-        cond = cond & F.when(F.length(f) <= KEYWORD_MAX, F.col(f)).isin(*values)
-    for f in exists:
-        cond = cond & F.col(f).isNotNull()
-    for f, pat in (wildcard or {}).items():
-        cond = cond & F.coalesce(_wild(F.col(f), pat), F.lit(False))
+               wildcard: Mapping[str, str | Sequence[str]] | None = None, start_us: int | None = None,
+               end_us: int | None = None, query: tuple | None = None) -> DataFrame:
+    """Boolean field query, newest first: OR within a field's values or patterns, AND across
+    fields; ``_exists_`` fields must be non-null; optional time range. ``query`` is any tree of
+    ``log_condition`` and is ANDed with the rest."""
+    parts = [("is", f, *values) for f, values in (fields or {}).items()] + [("exists", f) for f in exists]
+    parts += [("like", f, *([p] if isinstance(p, str) else p)) for f, p in (wildcard or {}).items()]
+    cond = log_condition(("and", *parts, *([query] if query else [])))
     if start_us is not None:
         cond = cond & (F.col("t_us") >= start_us)
     if end_us is not None:
@@ -117,12 +143,6 @@ def http_access(L: DataFrame, slow_ms: float = SLOW_MS) -> DataFrame:
         F.max("latency_ms").alias("max_latency_ms")))
 
 
-def http_latency_quantiles(L: DataFrame, by: Sequence[str] = ("path",), q: Sequence[float] = (0.5, 0.95, 0.99),
-                           accuracy: int = 10_000) -> DataFrame:
-    """Approximate latency percentiles (mergeable sketch; no exact sort of a group)."""
-    return L.groupBy(*by).agg(F.percentile_approx("latency_ms", list(q), accuracy).alias("latency_ms_q"))
-
-
 def collector_failures(L: DataFrame) -> DataFrame:
     return (L.filter(F.col("collector").isNotNull() & (F.col("level") == "error"))
             .groupBy("collector").agg(F.count(F.lit(1)).alias("failures")))
@@ -133,7 +153,7 @@ def route_template(path: Column, routes: Sequence[str] = ROUTES) -> Column:
     Compiled into one CASE expression evaluated in the JVM."""
     expr = None
     for r in routes:
-        rx = "^" + re.sub(r":[A-Za-z_]+", "[^/]+", re.escape(r).replace(r"\:", ":")) + "/?$"
+        rx = "^" + re.sub(r":[A-Za-z_]+", "[^/]+", re.escape(r).replace(r"\:", ":")) + "$"
         expr = (F.when(path.rlike(rx), F.lit(r)) if expr is None else expr.when(path.rlike(rx), F.lit(r)))
     return expr.otherwise(path)
 
@@ -182,11 +202,32 @@ def trace_rate(L: DataFrame, step: str | int, start_us: int = 0) -> DataFrame:
 
 
 def trace_latency(L: DataFrame) -> DataFrame:
-    """Trace duration distribution per service set (exact percentiles of trace durations)."""
-    t = log_trace_join(L).withColumn("duration_ms", (F.col("end_us") - F.col("start_us")) / 1000.0)
-    return t.agg(F.count(F.lit(1)).alias("traces"), F.avg("duration_ms").alias("mean_ms"),
-                 F.percentile("duration_ms", 0.5).alias("p50_ms"), F.percentile("duration_ms", 0.95).alias("p95_ms"),
-                 F.max("duration_ms").alias("max_ms"))
+    """Trace duration distribution (percentiles exact, interpolated linearly between neighbours).
+
+    Durations are counted by value; the ranks of values come from running totals within
+    stretches of values plus the totals of the stretches before, so no task holds all values.
+    """
+    t = log_trace_join(L).select((F.col("end_us") - F.col("start_us")).alias("d_us"))
+    c = t.groupBy("d_us").agg(F.count(F.lit(1)).alias("c")).withColumn("_s", F.floor(F.col("d_us") / F.lit(1_000_000)))
+    run = Window.partitionBy("_s").orderBy("d_us").rowsBetween(Window.unboundedPreceding, 0)
+    s = c.groupBy("_s").agg(F.sum("c").alias("_t"))  # one row per second of duration
+    s = s.select("_s", F.coalesce(F.sum("_t").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    c = c.withColumn("_r", F.sum("c").over(run)).join(s, "_s").withColumn("hi", F.col("_b") + F.col("_r")).withColumn("lo", F.col("hi") - F.col("c"))
+    total = c.agg(F.sum("c").alias("traces"), F.sum(F.col("c") * F.col("d_us")).alias("all_us"), F.max("d_us").alias("max_us"))
+    x = c.join(total)  # one row
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("lo") <= rank) & (rank < F.col("hi")), F.col("d_us")))
+
+    def pct(p: float) -> Column:
+        place = (F.col("traces") - 1) * F.lit(p)
+        low, high = F.floor(place), F.ceil(place)
+        # Linear between the two neighbours; the fraction is the same on every row.
+        return (at(low) + (at(high) - at(low)) * F.max(place - low)) / 1000.0
+
+    n = F.max("traces")
+    return x.agg(F.coalesce(n, F.lit(0)).alias("traces"), (F.max("all_us") / n / 1000.0).alias("mean_ms"),
+                 pct(0.5).alias("p50_ms"), pct(0.95).alias("p95_ms"), (F.max("max_us") / 1000.0).alias("max_ms"))
 
 
 def trace_sample(L: DataFrame, rate: float) -> DataFrame:
@@ -213,10 +254,11 @@ def ratelimit_audit(requests: DataFrame, limit: int = RATE_LIMIT, window: str |
                     ip: str = "client_ip", route: str = "route") -> DataFrame:
     """Replay the sliding-window limiter: per (client ip, route) count requests in the
     closed window ``[t - window, t]`` including rejected ones and the request itself
-    (same-time requests count in arrival order). allowed = used <= limit;
-    remaining = max(limit - used, 0). Skipped paths are not audited."""
+    (same-time requests count in arrival order). The route is the template of the path, as in
+    the limiter. allowed = used <= limit; remaining = max(limit - used, 0). Paths that are
+    skipped are judged as they came, and not audited."""
     r = requests.filter(~F.col(route).isin(*RATE_SKIP)
                         & (F.col(route).startswith(RATE_PREFIXES[0]) | F.col(route).startswith(RATE_PREFIXES[1])))
-    r = sliding_count(r, [ip, route], "t_us", "event_id", dur_us(window), "used")
+    r = sliding_count(r.withColumn(route, route_template(F.col(route))), [ip, route], "t_us", "event_id", dur_us(window), "used")
     return (r.withColumn("allowed", F.col("used") <= limit)
             .withColumn("remaining", F.greatest(F.lit(limit) - F.col("used"), F.lit(0)).cast("bigint")))

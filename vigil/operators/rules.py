@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.labels import label_text
+from vigil.functions.labels import label_text, trim_space
 from vigil.functions.timeutil import dur_us
 from vigil.operators import series as sr
 
@@ -23,8 +23,8 @@ SUMMARY_MAX = 512
 DEFAULT_DURATION = "2m"
 DEFAULT_SEVERITY = "warning"
 EVAL_INTERVAL = "15s"
-# Broadcast the rule table only below this many rows (checked with a count).
-RULE_BROADCAST_MAX = 10_000
+# Windows (seconds) that rate rules may use; others are refused by an error at run time.
+RATE_WINDOWS_S = (60, 300)
 
 DURATION_RE = r"^(?:[0-9]*[1-9][0-9]*(?:ms|[smhdwy]))+$"
 SUBQUERY_RE = r"\[[^\]]*:[^\]]*\]"
@@ -53,16 +53,16 @@ def duration_ms(c: Column) -> Column:
 def rules_validate(rules: DataFrame) -> DataFrame:
     """Normalise (trim, defaults: duration 2m, severity warning, enabled true) and give the
     first failing reason (NULL when valid). Lengths are bytes."""
-    name = F.trim(F.coalesce("name", F.lit("")))
-    expr = F.trim(F.coalesce("expr", F.lit("")))
-    dur = F.trim(F.coalesce("duration", F.lit("")))
+    name = trim_space(F.coalesce("name", F.lit("")))
+    expr = trim_space(F.coalesce("expr", F.lit("")))
+    dur = trim_space(F.coalesce("duration", F.lit("")))
     dur = F.when(dur == "", F.lit(DEFAULT_DURATION)).otherwise(dur)
-    sev = F.trim(F.coalesce("severity", F.lit("")))
+    sev = trim_space(F.coalesce("severity", F.lit("")))
     sev = F.when(sev == "", F.lit(DEFAULT_SEVERITY)).otherwise(sev)
-    summary = F.trim(F.coalesce("summary", F.lit("")))
+    summary = trim_space(F.coalesce("summary", F.lit("")))
     r = rules.select(
         "id", name.alias("name"), expr.alias("expr"), dur.alias("duration"), sev.alias("severity"),
-        summary.alias("summary"), F.trim(F.coalesce("description", F.lit(""))).alias("description"),
+        summary.alias("summary"), trim_space(F.coalesce("description", F.lit(""))).alias("description"),
         F.coalesce("enabled", F.lit(True)).alias("enabled"))
     lower = F.lower("expr")
     forbidden = F.lit(False)
@@ -80,49 +80,43 @@ def rules_validate(rules: DataFrame) -> DataFrame:
     return r.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
 
 
-def _maybe_broadcast(rules: DataFrame) -> DataFrame:
-    """Broadcast the rule table only after checking its size."""
-    return F.broadcast(rules) if rules.count() <= RULE_BROADCAST_MAX else rules
-
-
 def _matches(labels: Column, matchers: Column) -> Column:
     return F.forall(F.map_entries(matchers), lambda e: F.coalesce(F.element_at(labels, e["key"]), F.lit("")) == e["value"])
 
 
 def _cmp(value: Column, op: Column, thr: Column) -> Column:
-    return (F.when(op == ">", value > thr).when(op == ">=", value >= thr).when(op == "<", value < thr)
-            .when(op == "<=", value <= thr).when(op == "==", value == thr).when(op == "!=", value != thr)
-            .otherwise(F.lit(False)))
+    out = F.when(F.isnan(value) | F.isnan(thr), op == "!=")
+    for name in (">", ">=", "<", "<=", "==", "!="):
+        out = out.when(op == name, sr.compare_col(value, name, thr))
+    return out.otherwise(F.lit(False))
 
 
 def rule_eval(S: DataFrame, rules: DataFrame, start_us: int, end_us: int, tick: str | int = EVAL_INTERVAL,
-              lookback: str | int = "5m") -> DataFrame:
+              lookback: str | int = "5m", windows: tuple[int, ...] = RATE_WINDOWS_S) -> DataFrame:
     """Evaluate every enabled rule at every tick of ``[start, end]``.
 
-    One grid lookup over the union of the rules' metrics (single scan), then a
-    size-checked broadcast join of the rule table on ``metric``, label matchers as a
-    higher-order ``forall``, optional ``rate`` (per distinct window) and aggregation
-    ``by`` labels, and the comparison. -> rule_id, rule, series, labels, eval_us, value, is_true.
+    One grid lookup over the union of the rules' metrics, then a join of the rule table on
+    ``metric`` (Spark picks its kind by size), label matchers as a higher-order ``forall``,
+    optional ``rate`` over one of ``windows`` and aggregation ``by`` labels, which stay real
+    labels, and the comparison. -> rule_id, rule, series, labels, eval_us, value, is_true.
     """
-    r = rules_enabled(rules).select(
+    r = rules.filter(F.coalesce(F.col("enabled"), F.lit(True))).select(
         F.col("id").alias("rule_id"), F.col("name").alias("rule"), F.col("metric").alias("_rm"),
         F.coalesce("matchers", F.create_map().cast("map<string,string>")).alias("_mt"),
         F.coalesce("fn", F.lit("none")).alias("_fn"), F.coalesce("window_s", F.lit(300)).alias("_win"),
         F.coalesce("agg", F.lit("none")).alias("_agg"),
         F.coalesce("by", F.array().cast("array<string>")).alias("_by"), F.col("cmp").alias("_cmp"),
         F.col("threshold").alias("_thr"))
-    r = _maybe_broadcast(r)
+    bad_window = F.raise_error(F.lit("rule_eval: a rate window that is not among the windows of the call"))
+    r = r.withColumn("_win", F.when((F.col("_fn") != "rate") | F.col("_win").isin(*windows), F.col("_win")).otherwise(bad_window.cast("bigint")))
     metrics = r.select("_rm").distinct()
-    sel = S.join(F.broadcast(metrics), S["metric"] == metrics["_rm"], "left_semi")
+    sel = S.join(metrics, S["metric"] == metrics["_rm"], "left_semi")
     parts = [sr.range_vector_grid(sel, start_us, end_us, tick, lookback)
              .join(r.filter(F.col("_fn") == "none"), F.col("metric") == F.col("_rm"))]
-    # rate rules: one rate pass per distinct window (a handful of config values)
-    windows = [row["_win"] for row in r.filter(F.col("_fn") == "rate").select("_win").distinct().collect()]
     for w in windows:
         rr = r.filter((F.col("_fn") == "rate") & (F.col("_win") == w))
         m = rr.select("_rm").distinct()
-        rs = sr.rate(sel.join(F.broadcast(m), sel["metric"] == m["_rm"], "left_semi"), start_us, end_us, tick,
-                     int(w) * 1_000_000)
+        rs = sr.rate(S.join(m, S["metric"] == m["_rm"], "left_semi"), start_us, end_us, tick, int(w) * 1_000_000)
         parts.append(rs.join(rr, F.col("metric") == F.col("_rm")))
     v = parts[0]
     for p in parts[1:]:
@@ -130,12 +124,13 @@ def rule_eval(S: DataFrame, rules: DataFrame, start_us: int, end_us: int, tick:
     v = v.filter(_matches(F.col("labels"), F.col("_mt")))
     # aggregation "by" labels (agg = none keeps the series)
     gkey = F.transform("_by", lambda k: F.concat(k, F.lit("="), F.coalesce(F.element_at("labels", k), F.lit(""))))
-    grouped = (v.filter(F.col("_agg") != "none")
+    values = F.transform(F.array_distinct("_by"), lambda k: F.coalesce(F.element_at("labels", k), F.lit("")))
+    grouped = (v.filter(F.col("_agg") != "none").withColumn("_gv", values)
                .withColumn("_g", F.array_join(gkey, ","))
-               .groupBy("rule_id", "rule", "_agg", "_cmp", "_thr", "_g", "eval_us")
-               .agg(F.sum("value").alias("_s"), F.avg("value").alias("_a"), F.max("value").alias("_x"),
-                    F.min("value").alias("_n"), F.count(F.lit(1)).cast("double").alias("_c"),
-                    F.map_from_entries(F.collect_set(F.struct(F.lit("group"), F.col("_g")))).alias("labels"))
+               .groupBy("rule_id", "rule", "_agg", "_cmp", "_thr", "_g", "_by", "_gv", "eval_us")
+               .agg(F.sum("value").alias("_s"), F.avg("value").alias("_a"), sr._AGG["max"]("value").alias("_x"),
+                    sr._AGG["min"]("value").alias("_n"), F.count(F.lit(1)).cast("double").alias("_c"))
+               .withColumn("labels", F.map_filter(F.map_from_arrays(F.array_distinct("_by"), "_gv"), lambda k, x: x != ""))
                .withColumn("value", F.when(F.col("_agg") == "sum", F.col("_s")).when(F.col("_agg") == "avg", F.col("_a"))
                            .when(F.col("_agg") == "max", F.col("_x")).when(F.col("_agg") == "min", F.col("_n"))
                            .otherwise(F.col("_c")))
@@ -152,7 +147,7 @@ def rule_for(evals: DataFrame, rules: DataFrame, tick: str | int = EVAL_INTERVAL
     else ``pending``. Gaps-and-islands on the tick index; a (rule, series) holds at most
     one row per tick, so its window is bounded by the grid, not by the data."""
     step = dur_us(tick)
-    fr = _maybe_broadcast(rules.select(F.col("id").alias("rule_id"), F.col("for_ms"), F.col("severity")))
+    fr = rules.select(F.col("id").alias("rule_id"), F.col("for_ms"), F.col("severity"))
     t = evals.filter("is_true").join(fr, "rule_id")
     w = Window.partitionBy("rule_id", "series").orderBy("eval_us")
     t = t.withColumn("_island", F.floor(F.col("eval_us") / F.lit(step)) - F.row_number().over(w))
@@ -170,7 +165,7 @@ def alerts_series(states: DataFrame) -> DataFrame:
 
 def alerts_counts(alerts: DataFrame) -> DataFrame:
     """Dashboard counts of firing ALERTS per tick: total, by severity, by (alertname, severity),
-    by instance — one aggregation with grouping sets."""
+    by instance; one aggregate over the counts for each view."""
     f = alerts.filter(F.col("alertstate") == "firing").withColumn(
         "instance", F.coalesce(F.element_at("labels", F.lit("instance")), F.lit("")))
     g = (f.groupBy("eval_us", "alertname", "severity", "instance")
@@ -209,7 +204,7 @@ def rule_transitions(states: DataFrame, rules: DataFrame, end_us: int, tick: str
                  F.max("eval_us").alias("last_us"),
                  F.max_by(F.struct("value", "labels"), "eval_us").alias("_v"))
             .filter(F.col("fired_us").isNotNull()))
-    rl = _maybe_broadcast(rules.select(F.col("id").alias("rule_id"), "severity", "summary", "description"))
+    rl = rules.select(F.col("id").alias("rule_id"), "severity", "summary", "description")
     runs = runs.join(rl, "rule_id")
     labels = F.map_concat(F.map_filter("_v.labels", lambda k, v: ~k.isin("alertname", "severity")),
                           F.create_map(F.lit("alertname"), F.col("rule"), F.lit("severity"), F.col("severity")))

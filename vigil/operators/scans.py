@@ -175,14 +175,15 @@ def greedy_ttl_accept(df: DataFrame, keys: Sequence[str], ts: str, id_col: str,
     keys = list(keys)
     checkpoint_dir(df.sparkSession)
     ev = df.select(composite_key(keys).alias("_k"), F.col(ts).alias("_t"), F.col(id_col).alias("_id"))
-    bound = (ev.groupBy("_k")
-             .agg(F.least(F.count(F.lit(1)),
-                          F.floor((F.max("_t") - F.min("_t")) / F.lit(ttl_us)) + 1).alias("_l"))
-             .agg(F.max("_l").alias("m")).first())
+    span = ev.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), (F.max("_t") - F.min("_t")).alias("_s"),
+                                F.min_by("_id", F.struct("_t", "_id")).alias("_first"))
+    long = span.filter(F.col("_s") > ttl_us)
+    bound = long.agg(F.max(F.least("_n", F.floor(F.col("_s") / F.lit(ttl_us)) + 1)).alias("m")).first()
     longest = int(bound["m"] or 0) if bound else 0
     rounds = max(0, math.ceil(math.log2(longest)) - 1) + 1 if longest > 1 else 0
     jumps: list[DataFrame] = []
     if rounds:
+        ev = ev.join(long.select("_k"), "_k", "left_semi")
         j = _materialize(_asof_next(ev, ttl_us).filter(F.col("_nxt").isNotNull()))
         jumps.append(j)
         for _ in range(rounds - 1):
@@ -190,9 +191,9 @@ def greedy_ttl_accept(df: DataFrame, keys: Sequence[str], ts: str, id_col: str,
             j = _materialize(a.join(b, F.col("a._nxt") == F.col("b._id"))
                              .select(F.col("a._id").alias("_id"), F.col("b._nxt").alias("_nxt")))
             jumps.append(j)
-    acc = ev.groupBy("_k").agg(F.min_by("_id", F.struct("_t", "_id")).alias("_id")).select("_id")
+    acc = span.select(F.col("_first").alias("_id"))
     for j in reversed(jumps):
         acc = acc.unionByName(acc.join(j, "_id").select(F.col("_nxt").alias("_id")))
-    acc = acc.select(F.col("_id").alias("_acc_id"), F.lit(True).alias("_acc"))
+    acc = acc.distinct().select(F.col("_id").alias("_acc_id"), F.lit(True).alias("_acc"))
     res = df.join(acc, df[id_col] == acc["_acc_id"], "left")
     return res.withColumn(out, F.coalesce(F.col("_acc"), F.lit(False))).drop("_acc_id", "_acc")

@@ -105,7 +105,7 @@ def disk_by_mount(V: DataFrame, instance: str, mountpoint: str) -> DataFrame:
 def disk_max(V: DataFrame) -> DataFrame:
     """``max by (instance)`` of the disk usage vector."""
     return (V.filter(F.col("metric") == "disk_usage_percent")
-            .groupBy("instance", "eval_us").agg(F.max("value").alias("value")))
+            .groupBy("instance", "eval_us").agg(_AGG["max"]("value").alias("value")))
 
 
 # ---------------------------------------------------------------- counters and rate
@@ -124,7 +124,7 @@ def counter_accumulate(raw: DataFrame, keys: Sequence[str], ts: str = "t_us", ti
     return d.select(*keys, ts, tie, value, "total", "was_reset")
 
 
-def _window_stats(S: DataFrame, start_us: int, end_us: int, step_us: int, win_us: int) -> DataFrame:
+def _window_stats(S: DataFrame, start_us: int, end_us: int, step_us: int, win_us: int, resets: bool = True) -> DataFrame:
     """Per (series, tick): n, first/last sample, min/max/sum and the reset correction inside
     ``[tick - win, tick]``.
 
@@ -134,11 +134,15 @@ def _window_stats(S: DataFrame, start_us: int, end_us: int, step_us: int, win_us
     exactly on a grid point is also the closed left edge of a later window; it is carried
     as an extra "edge" row. Resets inside a step are summed once; the reset between a
     step's first sample and its predecessor counts only while that predecessor is still
-    inside the window. All buffers are fixed-width (hash aggregation).
+    inside the window. All buffers are fixed-width (hash aggregation). Without ``resets`` the
+    ordered pass for the previous sample is left out.
     """
     tie = "event_id" if "event_id" in S.columns else "value"
     s = S.filter((F.col("t_us") >= start_us - win_us) & (F.col("t_us") <= end_us))
-    s = keyed_lag(s, ["series"], "t_us", tie, ["value"])
+    if resets:
+        s = keyed_lag(s, ["series"], "t_us", tie, ["value"])
+    else:
+        s = s.withColumn("prev_t_us", F.lit(None).cast("bigint")).withColumn("prev_value", F.lit(None).cast("double"))
     if win_us % step_us != 0:
         return _window_stats_samples(s, start_us, end_us, step_us, win_us)
     m = win_us // step_us
@@ -240,7 +244,7 @@ def over_time(S: DataFrame, fn: str, start_us: int, end_us: int, step: str | int
     """``avg/min/max/sum/count_over_time(v[window])`` on the grid."""
     step_us, win_us = dur_us(step), dur_us(window)
     _grid_check(start_us, end_us, step_us)
-    st = _window_stats(S, start_us, end_us, step_us, win_us)
+    st = _window_stats(S, start_us, end_us, step_us, win_us, resets=False)
     val = {"avg": F.col("sum_v") / F.col("n"), "min": F.col("min_v"), "max": F.col("max_v"),
            "sum": F.col("sum_v"), "count": F.col("n").cast("double")}[fn]
     return st.select(*SERIES_COLS, "labels", "eval_us", val.alias("value"))
@@ -248,7 +252,15 @@ def over_time(S: DataFrame, fn: str, start_us: int, end_us: int, step: str | int
 
 # ---------------------------------------------------------------- vector algebra
 
-_AGG = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min,
+def _unless_nan(fn):
+    """``fn`` over the numbers; NaN only when there are none."""
+    def agg(c):
+        col = F.col(c) if isinstance(c, str) else c
+        return F.coalesce(fn(F.when(~F.isnan(col), col)), F.max(col))
+    return agg
+
+
+_AGG = {"sum": F.sum, "avg": F.avg, "max": _unless_nan(F.max), "min": _unless_nan(F.min),
         "count": lambda c: F.count(c).cast("double")}
 
 
@@ -273,7 +285,10 @@ _CMP = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a
 
 
 def compare_col(value: Column, op: str, x: Column | float) -> Column:
-    return _CMP[op](value, x if isinstance(x, Column) else F.lit(x))
+    """IEEE comparison: with a NaN on either side only ``!=`` holds (Spark sorts NaN above all numbers)."""
+    x = x if isinstance(x, Column) else F.lit(float(x))
+    nan = F.isnan(value) | F.isnan(x)
+    return F.when(nan, F.lit(op == "!=")).otherwise(_CMP[op](value, x))
 
 
 def compare_filter(V: DataFrame, op: str, x: float) -> DataFrame:
@@ -288,17 +303,24 @@ def scalar_arith(V: DataFrame, expr: str) -> DataFrame:
 
 
 def _div(a: Column, b: Column) -> Column:
-    """Float division with IEEE results (x/0 = +-Inf, 0/0 = NaN) under ANSI mode."""
-    return (F.when(b != 0, a / b)
+    """Float division with IEEE results (x/0 = +-Inf, 0/0 = NaN, NaN on either side = NaN) under ANSI mode."""
+    return (F.when(F.isnan(a) | F.isnan(b), F.lit(float("nan"))).when(b != 0, a / b)
             .when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf")))
             .otherwise(F.lit(float("nan"))))
 
 
 def vector_div(A: DataFrame, B: DataFrame, on: Sequence[str]) -> DataFrame:
-    """One-to-one ``A / B`` matched on ``eval_us`` + ``on``; unmatched sides vanish."""
+    """One-to-one ``A / B`` matched on ``eval_us`` + ``on``; unmatched sides vanish. A match
+    group with several series on a side is an error that ends the query, as the pairing
+    would be arbitrary."""
     keys = ["eval_us", *on]
-    a = A.select(*keys, F.col("value").alias("_a"))
-    b = B.select(*keys, F.col("value").alias("_b"))
+
+    def one(V: DataFrame, out: str) -> DataFrame:
+        g = V.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("value").alias(out))
+        bad = F.raise_error(F.lit("vector_div: several series of one side share a match group"))
+        return g.select(*keys, F.when(F.col("_n") == 1, F.col(out)).otherwise(bad.cast("double")).alias(out))
+
+    a, b = one(A, "_a"), one(B, "_b")
     return a.join(b, keys).select(*keys, _div(F.col("_a"), F.col("_b")).alias("value"))
 
 
@@ -319,12 +341,12 @@ def or_(A: DataFrame, B: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def topk(V: DataFrame, k: int, by: Sequence[str] = (), salt: int = 64) -> DataFrame:
-    """``topk(k, v)`` per tick (and ``by`` groups); ties broken by series text.
+    """``topk(k, v)`` per tick (and ``by`` groups); NaN ranks last, ties are broken by series text.
 
     Two phases so a tick with millions of series is never ranked in one task: top-k
     inside ``salt`` hash slices of each tick, then top-k over the at most ``k * salt``
     survivors. Exact, because the overall top-k lies inside the union of slice top-k's."""
-    order = [F.col("value").desc(), F.col("series")]
+    order = [F.isnan("value"), F.col("value").desc(), F.col("series")]
     s = V.withColumn("_salt", F.pmod(F.xxhash64("series"), F.lit(salt)))
     pre = (s.withColumn("_r", F.row_number().over(Window.partitionBy("eval_us", *by, "_salt").orderBy(*order)))
            .filter(F.col("_r") <= k))
@@ -393,8 +415,8 @@ def metric_catalogue(S: DataFrame, name: str, start_us: int, end_us: int, step:
 
 def host_metric_ranges(S: DataFrame, instance: str, range_name: str = "1h", now_us: int | None = None,
                        mountpoint: str | None = None) -> DataFrame:
-    """The host detail page: eight named series over one of the fixed ranges, one plan
-    (a union over a single filtered scan of the host's samples)."""
+    """The host detail page: eight named series over one of the fixed ranges, one plan (a
+    union of one branch per series over the host's samples)."""
     if not range_name:
         range_name = "1h"
     if range_name not in METRIC_RANGES:
@@ -433,10 +455,11 @@ def _fixed(c: Column, digits: int) -> Column:
 
 
 def display_units(V: DataFrame, unit: str, col: str = "value", out: str = "text") -> DataFrame:
-    """Dashboard text: percent (1 decimal + %), number (1 decimal), bytes/s (B, KB, MB),
+    """Dashboard text: percent (1 decimal + %), number (at most 1 decimal), bytes/s (B, KB, MB),
     uptime (days and hours); NULL shows as ``--``."""
     v = F.col(col)
     r1 = F.round(v, 1)
+    whole = r1 == F.floor(r1)
     if unit == "percent":
         t = F.concat(_fixed(r1, 1), F.lit("%"))
     elif unit == "bytes_per_s":
@@ -448,5 +471,5 @@ def display_units(V: DataFrame, unit: str, col: str = "value", out: str = "text"
         hours = F.floor(F.pmod(v, F.lit(86400.0)) / 3600).cast("bigint")
         t = F.when(days > 0, F.format_string("%dd %dh", days, hours)).otherwise(F.format_string("%dh", hours))
     else:
-        t = r1.cast("string")
+        t = F.when(whole, F.floor(r1).cast("bigint").cast("string")).otherwise(r1.cast("string"))
     return V.withColumn(out, F.when(v.isNull(), F.lit("--")).otherwise(t))

@@ -66,7 +66,8 @@ SELECT 'http_requests_total' AS metric,
        CAST(count(*) OVER (PARTITION BY instance, route, status ORDER BY t_us, event_id
                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS value,
        event_id
-FROM requests""")
+FROM (SELECT * REPLACE (CASE WHEN regexp_full_match(route, '/api/v1/hosts/[^/]+/metrics') THEN '/api/v1/hosts/:instance/metrics'
+                        ELSE route END AS route) FROM requests)""")
 
 _view("http_buckets", ["requests"], """
 SELECT 'http_request_duration_seconds_bucket' AS metric,
@@ -119,7 +120,7 @@ FROM alerts0""")
 _view("alerts", ["alerts1"], """
 SELECT * FROM alerts1
 UNION ALL
-SELECT event_id + 1000000, fingerprint, status, alertname, instance, severity, starts_us, ends_us,
+SELECT -1 - event_id, fingerprint, status, alertname, instance, severity, starts_us, ends_us,
        received_us + 400000000
 FROM alerts1 WHERE event_id % 4 = 0""")
 

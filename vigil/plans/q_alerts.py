@@ -44,6 +44,15 @@ def _accepted(spark, d, ttl="5m"):
     return al.alert_dedupe_ttl(_alerts(spark, d), ttl).filter("accepted").drop("accepted")
 
 
+def _web(spark, d):
+    """What the event list and the history see: accepted by the 24 h de-duplication."""
+    return _accepted(spark, d, "24h")
+
+
+def _web_sql(*extra: str) -> str:
+    return _rec(with_views("alerts", *extra)) + _dedupe_sql(TTL24) + ", acc AS (SELECT * FROM ded WHERE accepted)"
+
+
 def _acc_sql(*extra: str) -> str:
     return _rec(with_views("alerts", *extra)) + _dedupe_sql(TTL5) + ", acc AS (SELECT * FROM ded WHERE accepted)"
 
@@ -57,6 +66,7 @@ active AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint
                                                                 event_id DESC) AS r FROM acc)
            WHERE r = 1 AND status = 'firing')"""
 _ACC = _acc_sql()
+_WEB = _web_sql()
 _ACTIVE = _active_sql()
 _ACTIVE_COLS = ["fingerprint", "status", "alertname", "instance", "severity", "starts_us", "received_us", "event_id"]
 _ACTIVE_SQL = "SELECT " + ", ".join(_ACTIVE_COLS) + " FROM active"
@@ -66,10 +76,10 @@ _ACTIVE_SQL = "SELECT " + ", ".join(_ACTIVE_COLS) + " FROM active"
 bad AS (SELECT event_id, CASE WHEN event_id % 89 = 0 THEN '' ELSE fingerprint END AS fingerprint,
                CASE WHEN event_id % 97 = 0 THEN 'pending' ELSE status END AS status FROM alerts)
 SELECT event_id,
-       CASE WHEN coalesce(trim(fingerprint), '') = '' THEN 'fingerprint is required'
+       CASE WHEN coalesce(fingerprint, '') = '' THEN 'fingerprint is required'
             WHEN status NOT IN ('firing', 'resolved') OR status IS NULL THEN 'unsupported status: ' || coalesce(status, '')
        END AS reason,
-       CASE WHEN coalesce(trim(fingerprint), '') = '' OR status NOT IN ('firing', 'resolved') OR status IS NULL
+       CASE WHEN coalesce(fingerprint, '') = '' OR status NOT IN ('firing', 'resolved') OR status IS NULL
             THEN 'permanent_error' ELSE 'ok' END AS outcome
 FROM bad""")
 def q_alert_validate(spark, d):
@@ -114,17 +124,17 @@ def q_alert_active_list(spark, d):
 _EV_COLS = ["event_id", "fingerprint", "status", "severity", "received_us"]
 
 
-@query("alert_recent", _ACC + """
+@query("alert_recent", _WEB + """
 SELECT event_id, fingerprint, status, severity, received_us FROM (
   SELECT * FROM acc ORDER BY received_us DESC, event_id DESC LIMIT 50) WHERE status = 'firing'""")
 def q_alert_recent(spark, d):
-    return al.alert_recent(_accepted(spark, d), 50, status="firing").select(*_EV_COLS)
+    return al.alert_recent(_web(spark, d), 50, status="firing").select(*_EV_COLS)
 
 
-@query("alert_ring", _ACC + """
+@query("alert_ring", _WEB + """
 SELECT event_id, fingerprint, status, severity, received_us FROM acc ORDER BY received_us DESC, event_id DESC LIMIT 200""")
 def q_alert_ring(spark, d):
-    return al.alert_ring(_accepted(spark, d)).select(*_EV_COLS)
+    return al.alert_ring(_web(spark, d)).select(*_EV_COLS)
 
 
 @query("alert_stats", _ACC + """
@@ -147,18 +157,18 @@ _LJSON = ("'{\"alertname\":\"' || alertname || '\",\"instance\":\"' || instance
           "|| coalesce(',\"severity\":\"' || severity || '\"', '') || '}'")
 
 
-@query("alert_history_build", _ACC + f"""
+@query("alert_history_build", _WEB + f"""
 SELECT event_id, fingerprint, trim(alertname) AS alert_name, trim(instance) AS instance,
        coalesce(nullif(trim(coalesce(severity, '')), ''), 'warning') AS severity, status,
        alertname || ' on ' || instance AS summary, {_LJSON} AS labels_json, starts_us AS fired_us,
        CASE WHEN status = 'resolved' THEN ends_us END AS resolved_us, received_us
 FROM acc""")
 def q_alert_history_build(spark, d):
-    return al.alert_history_build(_accepted(spark, d))
+    return al.alert_history_build(_web(spark, d))
 
 
 def _hist_sql(*extra: str) -> str:
-    return _acc_sql(*extra) + _HIST_CTE
+    return _web_sql(*extra) + _HIST_CTE
 
 
 _HIST_CTE = f""",
@@ -180,7 +190,7 @@ _HIST = _hist_sql()
 
 @query("alert_history_upsert", _HIST + "\nSELECT * FROM history")
 def q_alert_history_upsert(spark, d):
-    return al.alert_history_upsert(_accepted(spark, d)).select(*al.HISTORY_COLS)
+    return al.alert_history_upsert(_web(spark, d)).select(*al.HISTORY_COLS)
 
 
 @query("alert_history_upsert_all", _HIST.replace("FROM acc),", "FROM alerts),", 1) + "\nSELECT * FROM history")
@@ -194,7 +204,7 @@ SELECT h.id, h.fingerprint, h.alert_name, h.instance, h.severity, h.status, h.su
        h.resolved_us, h.created_us FROM history h""")
 def q_alert_history_incremental(spark, d):
     """Two-step upsert: the first 30 minutes, then the rest merged into it = one-shot result."""
-    acc = _accepted(spark, d)
+    acc = _web(spark, d)
     cut = 1_704_069_000_000_000
     first = al.alert_history_upsert(acc.filter(F.col("received_us") < cut))
     return al.alert_history_upsert(acc.filter(F.col("received_us") >= cut), existing=first).select(*al.HISTORY_COLS)
@@ -205,7 +215,7 @@ f AS (SELECT * FROM history WHERE severity = 'warning'
         AND instance IN (SELECT instance FROM host_group_members WHERE group_id = 1))
 SELECT *, (SELECT count(*) FROM f) AS total FROM f ORDER BY fired_us DESC, id DESC LIMIT 20 OFFSET 20""")
 def q_alert_history_page(spark, d):
-    h = al.alert_history_upsert(_accepted(spark, d)).select(*al.HISTORY_COLS)
+    h = al.alert_history_upsert(_web(spark, d)).select(*al.HISTORY_COLS)
     return al.alert_history_page(h, fx.host_group_members(spark, d), severity="warning", group_id=1, page=2,
                                  page_size=20)
 
@@ -228,7 +238,7 @@ SELECT alert_name, count(*) AS n, round(avg((resolved_us - fired_us) / 1e6), 6)
        round(max((resolved_us - fired_us) / 1e6), 6) AS max_s
 FROM history WHERE resolved_us IS NOT NULL GROUP BY ALL""")
 def q_alert_duration(spark, d):
-    r = al.alert_duration(al.alert_history_upsert(_accepted(spark, d)))
+    r = al.alert_duration(al.alert_history_upsert(_web(spark, d)))
     return r.select("alert_name", "n", R6("mean_s").alias("mean_s"), R6("median_s").alias("median_s"),
                     R6("max_s").alias("max_s"))
 

@@ -206,14 +206,19 @@ def _raw_members(spark, d):
 
 @query("group_normalise", with_views("host_groups", "host_group_members") + """,
 m AS (SELECT h.*, g.name FROM host_group_members h JOIN host_groups g ON g.id = h.group_id),
-raw AS (SELECT id, group_id, name, CASE WHEN id % 2 = 1 THEN '  ' || instance || ' ' ELSE instance END AS instance FROM m
-        UNION ALL SELECT id + 100, group_id, name, instance FROM m),
-t AS (SELECT id, group_id, trim(name) AS name, trim(instance) AS instance FROM raw
-      WHERE length(trim(name)) BETWEEN 1 AND 256 AND length(trim(instance)) BETWEEN 1 AND 256)
-SELECT id, group_id, name, instance FROM (
-  SELECT *, row_number() OVER (PARTITION BY group_id, instance ORDER BY id) AS r FROM t) WHERE r = 1""")
+raw AS (SELECT id, group_id, CASE WHEN group_id = 3 THEN repeat('n', 129) ELSE name END AS name,
+               CASE WHEN id % 2 = 1 THEN chr(9) || '  ' || instance || ' ' || chr(10) ELSE instance END AS instance FROM m
+        UNION ALL SELECT id + 100, group_id, CASE WHEN group_id = 3 THEN repeat('n', 129) ELSE name END, instance FROM m),
+bad AS (SELECT group_id, max(CASE WHEN group_id = 3 THEN 'name must be 1-128 characters' END) AS reason FROM raw GROUP BY ALL),
+t AS (SELECT id, group_id, name, regexp_replace(instance, '^\\s+|\\s+$', '', 'g') AS instance FROM raw)
+SELECT id, group_id, name, instance, reason FROM (
+  SELECT *, row_number() OVER (PARTITION BY group_id, instance ORDER BY id) AS r FROM t) JOIN bad USING (group_id) WHERE r = 1""")
 def q_group_normalise(spark, d):
-    return ho.group_normalise(_raw_members(spark, d)).select("id", "group_id", "name", "instance")
+    raw = _raw_members(spark, d)
+    raw = raw.withColumn("name", F.when(F.col("group_id") == 3, F.repeat(F.lit("n"), 129)).otherwise(F.col("name")))
+    raw = raw.withColumn("instance", F.when((F.col("id") % 2 == 1) & (F.col("id") < 100), F.concat(F.lit("\t"), "instance", F.lit("\n")))
+                         .otherwise(F.col("instance")))
+    return ho.group_normalise(raw).select("id", "group_id", "name", "instance", "reason")
 
 
 @query("host_status_changes", with_views("samples") + f", {_GRID}, "

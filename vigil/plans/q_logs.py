@@ -16,14 +16,26 @@ def _logs(spark, d):
     return fx.logs(spark, d)
 
 
-@query("log_search", with_views("logs") + """
-SELECT event_id, t_us, service, level, msg FROM logs
-WHERE service IN ('web', 'alert') AND level IN ('error', 'warn') AND trace_id IS NOT NULL
-  AND lower(msg) LIKE '%kafka%' ORDER BY t_us DESC""")
+# Boolean searches: (name, tree, SQL condition).
+SEARCHES = [
+    ("services", ("and", ("is", "service", "web", "alert"), ("is", "level", "error", "warn"), ("exists", "trace_id"), ("like", "msg", "*kafka*")),
+     "service IN ('web', 'alert') AND level IN ('error', 'warn') AND trace_id IS NOT NULL AND lower(msg) LIKE '%kafka%'"),
+    ("pipeline", ("or", ("is", "service", "probe"), ("like", "msg", "*kafka*", "*alert*")),
+     "service = 'probe' OR lower(msg) LIKE '%kafka%' OR lower(msg) LIKE '%alert%'"),
+    ("failures", ("and", ("exists", "error"), ("not", ("like", "error", "*timeout*", "*cookie*"))),
+     "error IS NOT NULL AND NOT (lower(error) LIKE '%timeout%' OR lower(error) LIKE '%cookie%')"),
+    ("collectors", ("and", ("exists", "collector"), ("is", "level", "error")), "collector IS NOT NULL AND level = 'error'"),
+]
+
+
+@query("log_search", with_views("logs") + "\n" + "\nUNION ALL ".join(
+    f"SELECT '{name}' AS search, event_id, t_us, service, level, msg FROM logs WHERE {sql}" for name, _, sql in SEARCHES))
 def q_log_search(spark, d):
-    s = lg.log_search(_logs(spark, d), {"service": ["web", "alert"], "level": ["error", "warn"]},
-                      exists=["trace_id"], wildcard={"msg": "*kafka*"})
-    return s.select("event_id", "t_us", "service", "level", "msg")
+    out = None
+    for name, tree, _ in SEARCHES:
+        s = lg.log_search(_logs(spark, d), query=tree).select(F.lit(name).alias("search"), "event_id", "t_us", "service", "level", "msg")
+        out = s if out is None else out.unionByName(s)
+    return out
 
 
 @query("log_volume", with_views("logs") + f""",
@@ -64,7 +76,7 @@ def q_collector_failures(spark, d):
 
 
 @query("route_template", with_views("logs") + """
-SELECT CASE WHEN regexp_full_match(path, '/api/v1/hosts/[^/]+/metrics/?') THEN '/api/v1/hosts/:instance/metrics'
+SELECT CASE WHEN regexp_full_match(path, '/api/v1/hosts/[^/]+/metrics') THEN '/api/v1/hosts/:instance/metrics'
             ELSE path END AS route, count(*) AS n FROM logs GROUP BY ALL""")
 def q_route_template(spark, d):
     return lg.with_route_template(_logs(spark, d)).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
@@ -72,9 +84,9 @@ def q_route_template(spark, d):
 
 _RED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({c},
   '([A-Za-z][A-Za-z0-9+.\-]*://[^:/@\s]+:)[^@\s]+(@)', '\1***\2', 'g'),
-  '(?i)(authorization:\s*(?:bearer\s+|basic\s+)?)\S+', '\1***', 'g'),
-  '(?i)(cookie:\s*)\S+', '\1***', 'g'),
-  '(?i)\b(password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)(\s*[=:]\s*)("?)[^\s"&]+', '\1\2\3***', 'g')"""
+  '(?i)(authorization: (?:bearer )?).+', '\1***', 'g'),
+  '(?i)(cookie: ).+', '\1***', 'g'),
+  '(?i)\b(password|token)(=)[^\s]+', '\1\2***', 'g')"""
 
 
 @query("log_redact", with_views("logs") + f"""
@@ -132,7 +144,8 @@ def q_metric_log_correlate(spark, d):
 
 
 @query("ratelimit_audit", with_views("requests") + """,
-r AS (SELECT * FROM requests WHERE route NOT IN ('/metrics', '/healthz', '/readyz')
+r AS (SELECT * REPLACE (CASE WHEN regexp_full_match(route, '/api/v1/hosts/[^/]+/metrics') THEN '/api/v1/hosts/:instance/metrics'
+                             ELSE route END AS route) FROM requests WHERE route NOT IN ('/metrics', '/healthz', '/readyz')
         AND (starts_with(route, '/api/') OR starts_with(route, '/ws/'))),
 c AS (SELECT event_id,
              count(*) OVER (PARTITION BY client_ip, route ORDER BY t_us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)

@@ -11,20 +11,20 @@ from vigil.operators import series as sr
 from vigil.operators.scans import keyed_running_sum
 from vigil.plans.fixture_sql import with_views
 from vigil.plans.q_alerts import TTL5, _dedupe_sql, _rec
-from vigil.plans.q_series import _GRID, END, R6, T0, _rate_sql
+from vigil.plans.q_series import _GRID, _LOOKUP, END, R6, T0, _rate_sql
 from vigil.plans.registry import query
 from vigil.sources import fixtures as fx
 
 
+# What each extra channel URL of the fixture must give (hand-made; the page URLs are checked by the SQL).
+_EXTRA_REASONS = ["url host is restricted", "url host is restricted", "url host is restricted", "url user info is not allowed",
+                  "url scheme must be http or https", *["url host is restricted"] * 6, None, None, None, "invalid url", None]
+
+
 @query("channels_screen", """
-WITH ch AS (
-  SELECT page_id AS id, url FROM pages
-  UNION ALL SELECT * FROM (VALUES (-1, 'http://localhost:9000/hook'), (-2, 'http://10.0.0.1/hook'),
-    (-3, 'http://169.254.1.1/latest'), (-4, 'https://user:pw@hooks.example.com/x'),
-    (-5, 'ftp://files.example.com/drop')) t(id, url)),
-p AS (SELECT id, trim(url) AS u,
+WITH p AS (SELECT page_id AS id, trim(url) AS u,
              lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
-             regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS auth FROM ch),
+             regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS auth FROM pages),
 h AS (SELECT *, regexp_replace(lower(regexp_replace(regexp_replace(auth, '^.*@', ''), ':[0-9]*$', '')), '\\.$', '')
                AS host FROM p),
 o AS (SELECT *, regexp_full_match(host, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}') AS v4,
@@ -38,7 +38,8 @@ SELECT id, CASE WHEN strlen(u) = 0 OR strlen(u) > 512 THEN 'url must be 1-512 ch
                      OR (v4 AND (o1 IN (127, 10) OR (o1 = 172 AND o2 BETWEEN 16 AND 31) OR (o1 = 192 AND o2 = 168)
                                  OR (o1 = 169 AND o2 = 254) OR o1 BETWEEN 224 AND 239 OR host = '0.0.0.0'))
                      THEN 'url host is restricted' END AS reason
-FROM o""")
+FROM o UNION ALL SELECT * FROM (VALUES """ + ", ".join(
+    f"({-(i + 1)}, {'NULL' if r is None else repr(r)})" for i, r in enumerate(_EXTRA_REASONS)) + ")")
 def q_channels_screen(spark, d):
     return channels_screen(fx.channels(spark, d)).select("id", "reason")
 
@@ -69,7 +70,22 @@ def q_volume_filter(spark, d):
     return v.groupBy("mountpoint", "fstype").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("display_units")
+_UNITS_SQL = f""", {_GRID}, sel AS (SELECT * FROM samples WHERE metric = 'cpu_usage_percent'),
+lk AS ({_LOOKUP.format(src='sel')}),
+cpu AS (SELECT series, arg_max(value, eval_us) AS v FROM lk GROUP BY series),
+net0 AS (SELECT * FROM samples WHERE metric = 'network_recv_bytes_total'), {_rate_sql('net0').strip()},
+net AS (SELECT series, arg_max(value, eval_us) AS v FROM rated GROUP BY series)
+SELECT series, 'percent' AS unit, printf('%.1f%%', round(v, 1)) AS text FROM cpu
+UNION ALL SELECT series, 'bytes_per_s', CASE WHEN v >= 1048576 THEN printf('%.2f MB/s', v / 1048576)
+    WHEN v >= 1024 THEN printf('%.1f KB/s', v / 1024) ELSE printf('%.0f B/s', v) END FROM net
+UNION ALL SELECT series, 'uptime', CASE WHEN v * 4000 >= 86400
+    THEN printf('%dd %dh', CAST(floor(v * 4000 / 86400) AS BIGINT), CAST(floor(v * 4000 % 86400 / 3600) AS BIGINT))
+    ELSE printf('%dh', CAST(floor(v * 4000 / 3600) AS BIGINT)) END FROM cpu
+UNION ALL SELECT series, 'number', CASE WHEN round(v, 1) = floor(round(v, 1)) THEN CAST(CAST(round(v, 1) AS BIGINT) AS VARCHAR)
+    ELSE printf('%.1f', round(v, 1)) END FROM cpu"""
+
+
+@query("display_units", with_views("samples") + _UNITS_SQL)
 def q_display_units(spark, d):
     """Host detail texts for the latest cpu, network rate and an uptime derived from it."""
     s = fx.samples(spark, d)
@@ -79,7 +95,8 @@ def q_display_units(spark, d):
     b = sr.display_units(net, "bytes_per_s").select("series", F.lit("bytes_per_s").alias("unit"), "text")
     c = sr.display_units(cpu.withColumn("value", F.col("value") * 4000), "uptime").select(
         "series", F.lit("uptime").alias("unit"), "text")
-    return a.unionByName(b).unionByName(c)
+    n = sr.display_units(cpu, "number").select("series", F.lit("number").alias("unit"), "text")
+    return a.unionByName(b).unionByName(c).unionByName(n)
 
 
 def pipeline_counter_samples(spark, d):

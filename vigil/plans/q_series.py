@@ -56,9 +56,8 @@ SELECT series, round(arg_max(value, (t_us, event_id)), 6) AS value, max(t_us) AS
 FROM samples WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY series""")
 def q_latest_point(spark, d):
     s = fx.samples(spark, d)
-    v = (s.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("series")
-         .agg(F.max_by("value", F.struct("t_us", "event_id")).alias("value"), F.max("t_us").alias("t_us")))
-    return v.select("series", R6("value").alias("value"), "t_us")
+    v = sr.latest_point(s.withColumn("eval_us", F.col("t_us")))
+    return v.select("series", R6("value").alias("value"), F.col("eval_us").alias("t_us"))
 
 
 @query("label_values", with_views("samples") + """
@@ -132,15 +131,16 @@ def q_increase(spark, d):
 
 
 @query("over_time", with_views("samples") + f", {_GRID}" + f"""
-SELECT s.series, t.eval_us, round(avg(s.value), 6) AS avg_v, round(max(s.value), 6) AS max_v,
-       CAST(count(*) AS DOUBLE) AS count_v
+SELECT s.series, t.eval_us, round(avg(s.value), 6) AS avg_v, round(max(s.value), 6) AS max_v, round(min(s.value), 6) AS min_v,
+       round(sum(s.value), 6) AS sum_v, CAST(count(*) AS DOUBLE) AS count_v
 FROM ticks t JOIN samples s ON s.t_us BETWEEN t.eval_us - {LB} AND t.eval_us
 WHERE s.metric = 'cpu_usage_percent' GROUP BY s.series, t.eval_us""")
 def q_over_time(spark, d):
-    s = sr.select_series(fx.samples(spark, d), "cpu_usage_percent")
-    st = sr._window_stats(s, T0, END, STEP, LB)
-    return st.select("series", "eval_us", F.round(F.col("sum_v") / F.col("n"), 6).alias("avg_v"),
-                     R6("max_v").alias("max_v"), F.col("n").cast("double").alias("count_v"))
+    s, out = sr.select_series(fx.samples(spark, d), "cpu_usage_percent"), None
+    for fn in ("avg", "max", "min", "sum", "count"):
+        v = sr.over_time(s, fn, T0, END, STEP, "5m").select("series", "eval_us", R6("value").alias(f"{fn}_v"))
+        out = v if out is None else out.join(v, ["series", "eval_us"])
+    return out
 
 
 @query("counter_accumulate", with_views("raw_counters") + """,
@@ -155,19 +155,27 @@ def q_counter_accumulate(spark, d):
     return sr.counter_accumulate(fx.raw_counters(spark, d), ["instance", "iface"])
 
 
-@query("agg_by", with_views("samples") + f", {_GRID}, sel AS (SELECT * FROM samples WHERE metric = "
+# Every 13th sample is not a number where a query is about NaN.
+_NAN_SQL = "SELECT * REPLACE (CASE WHEN event_id % 13 = 0 THEN 'NaN'::DOUBLE ELSE value END AS value) FROM samples"
+
+
+def _nan(S):
+    return S.withColumn("value", F.when(F.col("event_id") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+
+
+@query("agg_by", with_views("samples") + f", {_GRID}, sel AS ({_NAN_SQL} WHERE metric = "
        f"'disk_usage_percent'), lk AS ({_LOOKUP.format(src='sel')})" + """
 SELECT instance, eval_us, round(sum(value), 6) AS sum_v, round(avg(value), 6) AS avg_v,
-       round(max(value), 6) AS max_v, CAST(count(*) AS DOUBLE) AS count_v
+       round(coalesce(max(value) FILTER (WHERE NOT isnan(value)), 'NaN'::DOUBLE), 6) AS max_v,
+       round(coalesce(min(value) FILTER (WHERE NOT isnan(value)), 'NaN'::DOUBLE), 6) AS min_v, CAST(count(*) AS DOUBLE) AS count_v
 FROM lk GROUP BY instance, eval_us""")
 def q_agg_by(spark, d):
-    g = sr.range_vector_grid(sr.select_series(fx.samples(spark, d), "disk_usage_percent"), T0, END, "1m")
+    g = sr.range_vector_grid(sr.select_series(_nan(fx.samples(spark, d)), "disk_usage_percent"), T0, END, "1m")
     out = None
-    for fn in ("sum", "avg", "max", "count"):
-        a = sr.agg_by(g, fn, ["instance"]).withColumnRenamed("value", f"{fn}_v")
+    for fn in ("sum", "avg", "max", "min", "count"):
+        a = sr.agg_by(g, fn, ["instance"]).select("instance", "eval_us", R6("value").alias(f"{fn}_v"))
         out = a if out is None else out.join(a, ["instance", "eval_us"])
-    return out.select("instance", "eval_us", R6("sum_v").alias("sum_v"), R6("avg_v").alias("avg_v"),
-                      R6("max_v").alias("max_v"), "count_v")
+    return out
 
 
 @query("agg_all", with_views("samples") + f", {_GRID}, sel AS (SELECT * FROM samples WHERE metric = 'up'), "
@@ -175,14 +183,15 @@ def q_agg_by(spark, d):
 SELECT eval_us, round(sum(value), 6) AS value, CAST(count(*) AS DOUBLE) AS n FROM lk GROUP BY eval_us""")
 def q_agg_all(spark, d):
     g = sr.range_vector_grid(sr.select_series(fx.samples(spark, d), "up"), T0, END, "1m")
-    return g.groupBy("eval_us").agg(F.round(F.sum("value"), 6).alias("value"), F.count(F.lit(1)).cast("double").alias("n"))
+    n = sr.agg_all(g, "count").withColumnRenamed("value", "n")
+    return sr.agg_all(g, "sum").join(n, "eval_us").select("eval_us", R6("value").alias("value"), "n")
 
 
-@query("compare_filter", with_views("samples") + f", {_GRID}, sel AS (SELECT * FROM samples WHERE metric = "
+@query("compare_filter", with_views("samples") + f", {_GRID}, sel AS ({_NAN_SQL} WHERE metric = "
        f"'cpu_usage_percent'), lk AS ({_LOOKUP.format(src='sel')})" + """
-SELECT series, eval_us, round(value, 6) AS value FROM lk WHERE value > 80""")
+SELECT series, eval_us, round(value, 6) AS value FROM lk WHERE value > 80 AND NOT isnan(value)""")
 def q_compare_filter(spark, d):
-    g = sr.range_vector_grid(sr.select_series(fx.samples(spark, d), "cpu_usage_percent"), T0, END, "1m")
+    g = sr.range_vector_grid(sr.select_series(_nan(fx.samples(spark, d)), "cpu_usage_percent"), T0, END, "1m")
     return sr.compare_filter(g, ">", 80).select("series", "eval_us", R6("value").alias("value"))
 
 
@@ -196,15 +205,15 @@ def q_scalar_arith(spark, d):
 
 
 @query("vector_div", with_views("samples") + f", {_GRID}, "
-       f"c AS (SELECT * FROM samples WHERE metric = 'cpu_usage_percent'), "
-       f"m AS (SELECT * FROM samples WHERE metric = 'memory_usage_percent'), "
+       f"c AS ({_NAN_SQL} WHERE metric = 'cpu_usage_percent'), "
+       f"m AS ({_NAN_SQL} WHERE metric = 'memory_usage_percent'), "
        f"lc AS ({_LOOKUP.format(src='c')}), lm AS ({_LOOKUP.format(src='m')})" + """
 SELECT lc.instance, lc.eval_us,
-       round(CASE WHEN lm.value <> 0 THEN lc.value / lm.value WHEN lc.value > 0 THEN 'Infinity'::DOUBLE
+       round(CASE WHEN isnan(lc.value) OR isnan(lm.value) THEN 'NaN'::DOUBLE WHEN lm.value <> 0 THEN lc.value / lm.value WHEN lc.value > 0 THEN 'Infinity'::DOUBLE
                   WHEN lc.value < 0 THEN '-Infinity'::DOUBLE ELSE 'NaN'::DOUBLE END, 6) AS value
 FROM lc JOIN lm ON lc.instance = lm.instance AND lc.eval_us = lm.eval_us""")
 def q_vector_div(spark, d):
-    s = fx.samples(spark, d)
+    s = _nan(fx.samples(spark, d))
     c = sr.range_vector_grid(sr.select_series(s, "cpu_usage_percent"), T0, END, "1m")
     m = sr.range_vector_grid(sr.select_series(s, "memory_usage_percent"), T0, END, "1m")
     return sr.vector_div(c, m, ["instance"]).select("instance", "eval_us", R6("value").alias("value"))
@@ -244,12 +253,12 @@ def q_set_ops(spark, d):
     return u.unionByName(o).select("op", "instance", "eval_us", R6("value").alias("value"))
 
 
-@query("topk", with_views("samples") + f", {_GRID}, sel AS (SELECT * FROM samples WHERE metric = "
+@query("topk", with_views("samples") + f", {_GRID}, sel AS ({_NAN_SQL} WHERE metric = "
        f"'cpu_usage_percent'), lk AS ({_LOOKUP.format(src='sel')})" + """
 SELECT series, eval_us, round(value, 6) AS value FROM (
-  SELECT *, row_number() OVER (PARTITION BY eval_us ORDER BY value DESC, series) AS r FROM lk) WHERE r <= 3""")
+  SELECT *, row_number() OVER (PARTITION BY eval_us ORDER BY isnan(value), value DESC, series) AS r FROM lk) WHERE r <= 3""")
 def q_topk(spark, d):
-    g = sr.range_vector_grid(sr.select_series(fx.samples(spark, d), "cpu_usage_percent"), T0, END, "1m")
+    g = sr.range_vector_grid(sr.select_series(_nan(fx.samples(spark, d)), "cpu_usage_percent"), T0, END, "1m")
     return sr.topk(g, 3).select("series", "eval_us", R6("value").alias("value"))
 
 

@@ -29,13 +29,16 @@ def _scratch(spark, name: str) -> str:
 # ------------------------------------------------------------------ query API responses
 
 def query_responses(spark, d):
-    """One matrix response per cpu series over the 1m grid; hosts ending in 7 get an error."""
+    """One matrix response per cpu series over the 1m grid; hosts ending in 7 get an error, and
+    those ending in 3 a value that is no number in every fifth minute."""
     g = sr.range_vector_grid(sr.select_series(fx.samples(spark, d), "cpu_usage_percent"), T0, END, "1m")
     pts = g.groupBy("series", "instance").agg(
         F.first("labels").alias("labels"),
         F.array_sort(F.collect_list(F.struct("eval_us", "value"))).alias("_p"))
-    values = F.transform("_p", lambda p: F.array((p["eval_us"].cast("decimal(20,0)") / 1_000_000).cast("string"),
-                                                 p["value"].cast("string")))
+    odd = F.col("instance").endswith("3")
+    values = F.transform("_p", lambda p: F.array(
+        (p["eval_us"].cast("decimal(20,0)") / 1_000_000).cast("string"),
+        F.when(odd & (F.floor(p["eval_us"] / 60_000_000) % 5 == 0), F.lit("bad")).otherwise(p["value"].cast("string"))))
     metric = F.map_concat(F.create_map(F.lit("__name__"), F.lit("cpu_usage_percent")), F.col("labels"))
     ok = F.to_json(F.struct(F.lit("success").alias("status"), F.struct(
         F.lit("matrix").alias("resultType"),
@@ -46,8 +49,9 @@ def query_responses(spark, d):
 
 @query("src_query_response", with_views("samples") + f", {_GRID}, sel AS (SELECT * FROM samples WHERE metric = "
        f"'cpu_usage_percent'), lk AS ({_LOOKUP.format(src='sel')})" + """
-SELECT 'cpu_usage_percent' AS metric, instance, eval_us AS t_us, round(value, 6) AS value, NULL AS error FROM lk
-WHERE NOT ends_with(instance, '7')
+SELECT 'cpu_usage_percent' AS metric, instance, CASE WHEN NOT odd THEN eval_us END AS t_us, CASE WHEN NOT odd THEN round(value, 6) END AS value,
+       CASE WHEN odd THEN 'invalid point' END AS error
+FROM (SELECT *, ends_with(instance, '3') AND eval_us // 60000000 % 5 = 0 AS odd FROM lk) WHERE NOT ends_with(instance, '7')
 UNION ALL
 SELECT NULL, NULL, NULL::BIGINT, NULL::DOUBLE, 'query failed: query timed out'
 FROM (SELECT DISTINCT instance FROM lk WHERE ends_with(instance, '7'))""")
@@ -63,16 +67,23 @@ def exposition_lines(spark, d):
     own = F.map_filter("labels", lambda k, v: ~k.isin("instance", "job"))
     lab = F.array_join(F.transform(F.array_sort(F.map_entries(own)),
                                    lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"'))), ",")
-    line = F.concat(F.col("metric"), F.when(F.size(own) > 0, F.concat(F.lit("{"), lab, F.lit("}"))).otherwise(F.lit("")),
+    lab = F.when(F.col("event_id") % 71 == 0, F.concat_ws(",", F.lit('job="own"'), F.nullif(lab, F.lit("")))).otherwise(lab)
+    line = F.concat(F.col("metric"), F.when(lab != "", F.concat(F.lit("{"), lab, F.lit("}"))).otherwise(F.lit("")),
                     F.lit(" "), F.col("value").cast("string"))
     samples = s.select(line.alias("value"), "t_us", "instance", F.lit("probe").alias("job"))
+    bad = s.select(F.explode(F.array(
+        F.when(F.col("event_id") % 61 == 0, F.concat(F.col("metric"), F.lit(" not-a-number"))),
+        F.when(F.col("event_id") % 67 == 0, F.concat(F.col("metric"), F.lit('{a="1",a="2"} 5'))))).alias("value"),
+        "t_us", "instance", F.lit("probe").alias("job")).filter("value is not null")
+    samples = samples.unionByName(bad)
     comments = s.select(F.concat(F.lit("# TYPE "), F.col("metric"), F.lit(" gauge")).alias("value"), "t_us",
                         "instance", F.lit("probe").alias("job")).dropDuplicates(["value", "instance"])
     return samples.unionByName(comments)
 
 
 @query("src_exposition", with_views("samples") + """
-SELECT series, t_us, round(value, 6) AS value FROM samples WHERE metric <> 'network_recv_bytes_total'""")
+SELECT CASE WHEN event_id % 71 = 0 THEN replace(series, '{', '{exported_job=own,') ELSE series END AS series, t_us,
+       round(value, 6) AS value FROM samples WHERE metric <> 'network_recv_bytes_total'""")
 def q_src_exposition(spark, d):
     e = ps.src_exposition(exposition_lines(spark, d))
     return e.select("series", "t_us", R6("value").alias("value"))
@@ -86,7 +97,7 @@ def webhook_bodies(spark, d):
          .withColumn("fingerprint", F.when((F.col("event_id") % 59 == 0) & (F.col("event_id") % 53 != 0), F.lit(""))
                      .otherwise(F.col("fingerprint"))))
     rec = F.struct(F.col("status"), F.col("labels"), F.col("annotations"),
-                   ps.us_to_rfc3339(F.col("starts_us")).alias("startsAt"),
+                   F.when(F.col("event_id") % 61 == 0, F.lit("12:00")).otherwise(ps.us_to_rfc3339(F.col("starts_us"))).alias("startsAt"),
                    ps.us_to_rfc3339(F.col("ends_us")).alias("endsAt"), F.lit("").alias("generatorURL"),
                    F.col("fingerprint"))
     g = a.groupBy("alertname", "instance", (F.col("received_us") / 60_000_000).cast("bigint").alias("_m")).agg(
@@ -101,7 +112,7 @@ a AS (SELECT *, CASE WHEN event_id % 53 = 0 THEN 'pending' ELSE status END AS st
              CASE WHEN event_id % 59 = 0 AND event_id % 53 <> 0 THEN '' ELSE fingerprint END AS fp,
              received_us // 60000000 AS m FROM alerts),
 env AS (SELECT alertname, instance, m, min(received_us) AS rcv,
-               bool_or(fp <> '' AND st NOT IN ('firing', 'resolved')) AS bad FROM a GROUP BY ALL)
+               bool_or((fp <> '' AND st NOT IN ('firing', 'resolved')) OR event_id % 61 = 0) AS bad FROM a GROUP BY ALL)
 SELECT a.fp AS fingerprint, a.st AS status, a.alertname, a.starts_us, a.ends_us, env.rcv AS received_us
 FROM a JOIN env USING (alertname, instance, m) WHERE NOT env.bad AND a.fp <> ''""")
 def q_src_webhook(spark, d):
@@ -113,23 +124,29 @@ def q_src_webhook(spark, d):
 # ------------------------------------------------------------------ alert-event topic
 
 def event_messages(spark, d):
-    a = _alerts(spark, d)
-    kv = a.select("event_id", F.col("fingerprint").alias("key"),
-                  F.to_json(F.struct(F.lit("alert").alias("type"), "fingerprint", "status", "labels", "annotations",
-                                     ps.us_to_rfc3339(F.col("starts_us")).alias("startsAt"),
-                                     ps.us_to_rfc3339(F.col("ends_us")).alias("endsAt"),
-                                     F.lit("").alias("generatorURL"),
-                                     ps.us_to_rfc3339(F.col("received_us")).alias("receivedAt"))).alias("value"))
-    return kv.withColumn("value", F.when(F.col("event_id") % 41 == 0, F.substring("value", 1, 25))
+    """Alert events as JSON messages; some are cut short, have a time that is none, labels of another
+    type, no fingerprint (the message key is one) or a bad status."""
+    a, e = _alerts(spark, d), F.col("event_id")
+    msg = F.struct(F.lit("alert").alias("type"), F.when(e % 59 != 0, F.col("fingerprint")).alias("fingerprint"),
+                   F.when(e % 61 == 0, F.lit("pending")).otherwise(F.col("status")).alias("status"), "labels", "annotations",
+                   F.when(e % 43 == 0, F.lit("not-a-time")).otherwise(ps.us_to_rfc3339(F.col("starts_us"))).alias("startsAt"),
+                   ps.us_to_rfc3339(F.col("ends_us")).alias("endsAt"), F.lit("").alias("generatorURL"),
+                   F.when(e % 67 == 0, F.lit("12:00")).otherwise(ps.us_to_rfc3339(F.col("received_us"))).alias("receivedAt"))
+    kv = a.select("event_id", F.col("fingerprint").alias("key"), F.to_json(msg).alias("value"))
+    wrong_type = F.regexp_replace("value", r'"labels":\{[^}]*\}', '"labels":"x"')
+    return kv.withColumn("value", F.when(e % 41 == 0, F.substring("value", 1, 25)).when(e % 47 == 0, wrong_type)
                          .otherwise(F.col("value")))
 
 
-_EVENTS_SQL = with_views("alerts") + """
-SELECT event_id, fingerprint, CASE WHEN event_id % 41 = 0 THEN NULL ELSE status END AS status,
-       CASE WHEN event_id % 41 = 0 THEN NULL ELSE starts_us END AS starts_us,
-       CASE WHEN event_id % 41 = 0 THEN NULL ELSE ends_us END AS ends_us,
-       CASE WHEN event_id % 41 = 0 THEN NULL ELSE received_us END AS received_us,
-       CASE WHEN event_id % 41 = 0 THEN 'invalid_json' ELSE 'processed' END AS outcome FROM alerts"""
+_OUTCOME_CTE = """,
+m AS (SELECT *, event_id % 41 = 0 OR event_id % 43 = 0 OR event_id % 47 = 0 OR event_id % 67 = 0 AS broken,
+             event_id % 59 = 0 AS no_fp, event_id % 61 = 0 AS no_st FROM alerts),
+o AS (SELECT *, CASE WHEN broken THEN 'invalid_json' WHEN no_fp OR no_st THEN 'permanent_error' ELSE 'processed' END AS outcome FROM m)"""
+_EVENTS_SQL = with_views("alerts") + _OUTCOME_CTE + """
+SELECT event_id, CASE WHEN NOT broken AND NOT no_fp THEN fingerprint END AS fingerprint,
+       CASE WHEN NOT broken THEN CASE WHEN no_st THEN 'pending' ELSE status END END AS status,
+       CASE WHEN NOT broken THEN starts_us END AS starts_us, CASE WHEN NOT broken THEN ends_us END AS ends_us,
+       CASE WHEN NOT broken THEN received_us END AS received_us, outcome FROM o"""
 
 
 @query("src_alert_events", _EVENTS_SQL)
@@ -152,16 +169,20 @@ def q_sink_alert_events(spark, d):
 
 def _inner_json(L):
     extra = F.when(F.col("k") % 5 == 0, F.col("path"))
+    odd = F.col("event_id") % 47 == 0  # a time that is none, and text for numbers
+
+    def or_text(c, text):
+        return F.when(odd, F.lit(text)).otherwise(c.cast("string"))
+
     return F.to_json(F.struct(
-        ps.us_to_rfc3339(F.col("t_us")).alias("ts"), "level", "msg", "service", "instance", "trace_id", "span_id",
-        "request_id", "method", "path", "status", "latency_ms", "client_ip", "error", "collector",
+        or_text(ps.us_to_rfc3339(F.col("t_us")), "12:00").alias("ts"), "level", "msg", "service", "instance", "trace_id", "span_id",
+        "request_id", "method", "path", or_text(F.col("status"), "abc").alias("status"),
+        or_text(F.col("latency_ms"), "fast").alias("latency_ms"), "client_ip", "error", "collector",
         extra.alias("http.route")))
 
 
 def _logs_k(spark, d):
-    lg = fx.logs(spark, d)
-    k = fx.requests(spark, d).select("event_id", "k")
-    return lg.join(k, "event_id")
+    return fx.logs_of(fx.requests(spark, d), "k")
 
 
 def docker_lines(spark, d):
@@ -179,8 +200,8 @@ def docker_lines(spark, d):
 _DOCKER_SQL = with_views("logs") + """
 SELECT event_id, t_us, CASE WHEN event_id % 43 = 0 THEN NULL ELSE level END AS level,
        CASE WHEN event_id % 43 = 0 THEN NULL ELSE msg END AS msg,
-       CASE WHEN event_id % 43 = 0 THEN NULL ELSE status END AS status,
-       CASE WHEN event_id % 43 = 0 THEN NULL ELSE round(latency_ms, 6) END AS latency_ms,
+       CASE WHEN event_id % 43 = 0 OR event_id % 47 = 0 THEN NULL ELSE status END AS status,
+       CASE WHEN event_id % 43 = 0 OR event_id % 47 = 0 THEN NULL ELSE round(latency_ms, 6) END AS latency_ms,
        CASE WHEN event_id % 43 = 0 THEN 'plain text ' || CAST(event_id AS VARCHAR) END AS raw, stream
 FROM logs"""
 
@@ -234,9 +255,9 @@ def cri_lines(spark, d):
 
 
 @query("src_cri_logs", with_views("logs") + """
-SELECT t_us, level, msg, status, service FROM logs""")
+SELECT t_us, level, msg, CASE WHEN event_id % 47 <> 0 THEN status END AS status, service FROM logs""")
 def q_src_cri_logs(spark, d):
-    r = ps.src_cri_logs(cri_lines(spark, d))
+    r = ps.src_cri_logs(cri_lines(spark, d), lines=500)
     return r.select("t_us", "level", "msg", "status", "service")
 
 
@@ -250,12 +271,12 @@ def q_log_daily_partition(spark, d):
 # ------------------------------------------------------------------ sinks and retention
 
 @query("sink_samples", with_views("samples") + """
-SELECT strftime(make_timestamp(t_us), '%Y-%m-%d') AS day, metric, count(*) AS n FROM samples GROUP BY ALL""")
+SELECT strftime(make_timestamp(t_us), '%Y-%m-%d') AS day, metric, series, t_us, round(value, 6) AS value FROM samples""")
 def q_sink_samples(spark, d):
     path = _scratch(spark, "samples")
     sk.sink_samples(fx.samples(spark, d), path)
     back = spark.read.parquet(path).withColumn("day", F.col("day").cast("string"))
-    return back.groupBy("day", "metric").agg(F.count(F.lit(1)).alias("n"))
+    return back.select("day", "metric", "series", "t_us", R6("value").alias("value"))
 
 
 @query("retention", with_views("samples") + f"""

@@ -15,7 +15,7 @@ from vigil.plans.q_alerts import _ACTIVE, _ACTIVE_COLS, _ACTIVE_SQL, _ACC, TTL5,
 from vigil.plans.q_hosts import _HSQL, _hcols, _snapshot_sql
 from vigil.plans.q_rules import _EVAL, _states
 from vigil.plans.q_series import END
-from vigil.plans.q_sources import event_messages
+from vigil.plans.q_sources import _OUTCOME_CTE, event_messages
 from vigil.plans.registry import query
 from vigil.sources import fixtures as fx
 from vigil.sources import parsers as ps
@@ -110,9 +110,8 @@ def q_stream_exactly_once_sink(spark, d):
     return spark.read.parquet(sink).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_bad_records", with_views("alerts") + """
-SELECT CASE WHEN event_id % 41 = 0 THEN 'invalid_json' ELSE 'processed' END AS outcome, count(*) AS n
-FROM alerts GROUP BY ALL""")
+@query("stream_bad_records", with_views("alerts") + _OUTCOME_CTE + """
+SELECT outcome, count(*) AS n FROM o GROUP BY ALL""")
 def q_stream_bad_records(spark, d):
     """Corrupt messages are counted and routed to a quarantine table, never blocking."""
     msgs = event_messages(spark, d).withColumn("_o", F.col("event_id"))

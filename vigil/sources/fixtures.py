@@ -122,9 +122,11 @@ def requests_of(b: DataFrame) -> DataFrame:
 
 
 def http_counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``http_requests_total{instance,path,status}``: a running count per label set, one
-    sample per request (the value a scrape right after it would read)."""
-    r = requests(spark, sf_dir).withColumn("_one", F.lit(1).cast("bigint"))
+    """``http_requests_total{instance,path,status}``, path being the route template: a running
+    count per label set, one sample per request (the value a scrape right after it would read)."""
+    from vigil.operators.logs import route_template
+
+    r = requests(spark, sf_dir).withColumn("_one", F.lit(1).cast("bigint")).withColumn("route", route_template(F.col("route")))
     run = keyed_running_sum(r, ["instance", "route", "status"], "t_us", "event_id", "_one", "_n")
     lab = _labels(instance=F.col("instance"), job=WEB_JOB, path=F.col("route"),
                   status=F.col("status").cast("string"))
@@ -149,7 +151,11 @@ def http_bucket_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = requests(spark, sf_dir)
+    return logs_of(requests(spark, sf_dir))
+
+
+def logs_of(r: DataFrame, *keep: str) -> DataFrame:
+    """Log rows of requests; ``keep`` names request columns to carry along."""
     level = F.when(F.col("status") >= 500, "error").when(F.col("status") >= 400, "warn").otherwise("info")
     service = F.element_at(F.array(*[F.lit(s) for s in SERVICES]), (F.col("k") % 3 + 1).cast("int"))
     msg = (F.when(F.col("status") >= 500, F.lit("kafka publish failed"))
@@ -176,7 +182,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("latency_s") * 1000).alias("latency_ms"), "client_ip",
         error.alias("error"),
         collector.alias("collector"),
-        F.when(F.col("status") >= 500, "stderr").otherwise("stdout").alias("stream"),
+        F.when(F.col("status") >= 500, "stderr").otherwise("stdout").alias("stream"), *keep,
     )
 
 
@@ -209,7 +215,7 @@ def alerts_of(b: DataFrame) -> DataFrame:
         F.when(status == "resolved", F.col("t_us")).cast("bigint").alias("ends_us"),
         F.lit(None).cast("string").alias("generator_url"), F.col("t_us").alias("received_us"))
     again = (a.filter(F.col("event_id") % 4 == 0)
-             .withColumn("event_id", F.col("event_id") + 1_000_000)
+             .withColumn("event_id", -1 - F.col("event_id"))  # below zero: no delivered id is repeated
              .withColumn("received_us", F.col("received_us") + 400 * 1_000_000))
     return a.unionByName(again)
 
@@ -269,6 +275,9 @@ def rules(spark: SparkSession) -> DataFrame:
 EXTRA_CHANNEL_URLS = [
     "http://localhost:9000/hook", "http://10.0.0.1/hook", "http://169.254.1.1/latest",
     "https://user:pw@hooks.example.com/x", "ftp://files.example.com/drop",
+    "http://[::1]/x", "http://[0:0:0:0:0:0:0:1]:8080/x", "http://[::ffff:127.0.0.1]/x", "http://[::ffff:a00:1]/x",
+    "http://[fe80::1]/x", "http://[fd00:1::2]/x", "http://[2001:db8::1]/x", "http://010.0.0.1/x", "http://8.8.8.8/x",
+    "http://bad host/x", "\thttp://hooks.example.com/ok\n",
 ]
 
 

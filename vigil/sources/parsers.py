@@ -30,13 +30,13 @@ RESPONSE_SCHEMA = T.StructType([
 
 
 def unix_text_to_us(c: Column) -> Column:
-    """Fractional unix seconds (text) -> BIGINT micro-seconds, exact via decimal."""
-    return (c.cast("decimal(24,6)") * F.lit(1_000_000)).cast("bigint")
+    """Fractional unix seconds (text) -> BIGINT micro-seconds, exact via decimal; NULL for other text."""
+    return (c.try_cast("decimal(24,6)") * F.lit(1_000_000)).try_cast("bigint")
 
 
 def src_query_response(text_df: DataFrame, col: str = "body") -> DataFrame:
     """Vector/matrix JSON responses -> samples. ``error`` is set (and the point fields
-    NULL) when the status is not ``success`` or a point is not a ``[ts, "v"]`` pair.
+    NULL) when the status is not ``success`` or a point is not a ``[ts, "v"]`` pair of numbers.
     ``instance`` falls back to the ``job`` label."""
     r = text_df.select("*", F.from_json(F.col(col), RESPONSE_SCHEMA).alias("_r"))
     bad_status = F.coalesce(F.col("_r.status"), F.lit("")) != "success"
@@ -48,7 +48,8 @@ def src_query_response(text_df: DataFrame, col: str = "body") -> DataFrame:
     pts = res.select(
         "*", F.explode_outer(F.when(F.col("_s.values").isNotNull(), F.col("_s.values"))
                              .otherwise(F.array(F.col("_s.value")))).alias("_p"))
-    pair_ok = F.size("_p") == 2
+    t_us, value = unix_text_to_us(F.col("_p")[0]), F.col("_p")[1].try_cast("double")
+    pair_ok = F.when(F.size("_p") == 2, t_us.isNotNull() & value.isNotNull()).otherwise(False)
     labels = F.col("_s.metric")
     inst = F.coalesce(F.nullif(F.element_at(labels, F.lit("instance")), F.lit("")),
                       F.element_at(labels, F.lit("job")))
@@ -57,9 +58,9 @@ def src_query_response(text_df: DataFrame, col: str = "body") -> DataFrame:
         F.element_at(labels, F.lit("__name__")).alias("metric"),
         F.map_filter(labels, lambda k, v: k != "__name__").alias("labels"),
         inst.alias("instance"),
-        F.when(pair_ok, unix_text_to_us(F.col("_p")[0])).alias("t_us"),
-        F.when(pair_ok, F.col("_p")[1].cast("double")).alias("value"),
-        F.coalesce(F.col("_err"), F.when(F.col("_s").isNotNull() & ~F.coalesce(pair_ok, F.lit(False)),
+        F.when(pair_ok, t_us).alias("t_us"),
+        F.when(pair_ok, value).alias("value"),
+        F.coalesce(F.col("_err"), F.when(F.col("_s").isNotNull() & ~pair_ok,
                                          F.lit("invalid point"))).alias("error"))
 
 
@@ -71,24 +72,27 @@ _LABEL_RE = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
 
 def src_exposition(text_df: DataFrame, line: str = "value", ts: str = "t_us", instance: str = "instance",
                    job: str | Column = "job") -> DataFrame:
-    """Scraped text exposition -> samples. Comment (``#``) and blank lines are skipped; the
-    scrape target adds ``instance`` and ``job``; a sample's own timestamp (ms) wins over
-    the scrape time."""
+    """Scraped text exposition -> samples. Comment (``#``) and blank lines are skipped, and so
+    are lines without a number or with a label given twice. The scrape target's
+    ``instance`` and ``job`` win; a line's own label of that name is kept as
+    ``exported_<name>``. A sample's own timestamp (ms) wins over the scrape time."""
     t = text_df.filter(~F.trim(F.col(line)).startswith("#") & (F.trim(F.col(line)) != ""))
     name = F.regexp_extract(line, _LINE_RE, 1)
     body = F.regexp_extract(line, _LINE_RE, 2)
-    keys = F.regexp_extract_all(body, F.lit(_LABEL_RE), 1)
+    own = F.regexp_extract_all(body, F.lit(_LABEL_RE), 1)
+    keys = F.transform(own, lambda k: F.when(k.isin("instance", "job"), F.concat(F.lit("exported_"), k)).otherwise(k))
     vals = F.transform(F.regexp_extract_all(body, F.lit(_LABEL_RE), 2),
                        lambda v: F.regexp_replace(F.regexp_replace(v, r'\\"', '"'), r"\\\\", r"\\"))
-    own_ts = F.regexp_extract(line, _LINE_RE, 4)
+    own_ts = F.regexp_extract(line, _LINE_RE, 4).try_cast("bigint")
+    value = F.regexp_extract(line, _LINE_RE, 3).try_cast("double")
+    t = t.filter((F.size(F.array_distinct(keys)) == F.size(keys)) & value.isNotNull())
     jobc = job if isinstance(job, Column) else F.col(job)
     out = t.select(
         name.alias("metric"),
         F.map_concat(F.map_from_arrays(keys, vals),
                      F.create_map(F.lit("instance"), F.col(instance), F.lit("job"), jobc)).alias("labels"),
         F.col(instance).alias("instance"),
-        F.when(own_ts != "", own_ts.cast("bigint") * 1000).otherwise(F.col(ts)).alias("t_us"),
-        F.regexp_extract(line, _LINE_RE, 3).cast("double").alias("value"))
+        F.coalesce(own_ts * 1000, F.col(ts)).alias("t_us"), value.alias("value"))
     return out.filter(F.col("metric") != "").withColumn("series", series_key("metric", "labels"))
 
 
@@ -116,10 +120,17 @@ EVENT_SCHEMA = T.StructType([T.StructField("type", T.StringType())] + ALERT_STRU
 ZERO_TIME = "0001-01-01T00:00:00Z"
 
 
+RFC3339_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$"
+
+
 def rfc3339_to_us(c: Column) -> Column:
-    """RFC3339(Nano) text -> micro-seconds; the zero time and blanks are NULL."""
-    return F.when(c.isNull() | (c == "") | c.startswith("0001-01-01"), F.lit(None).cast("bigint")).otherwise(
-        F.unix_micros(c.cast("timestamp")))
+    """RFC3339(Nano) text -> micro-seconds; the zero time, blanks and any other text are NULL."""
+    return F.when(c.rlike(RFC3339_RE) & ~c.startswith("0001-01-01"), F.unix_micros(c.try_cast("timestamp")))
+
+
+def bad_time(c: Column) -> Column:
+    """Text that is there but is not an RFC3339 time (the zero time is one)."""
+    return F.coalesce((c != "") & ~c.startswith("0001-01-01") & rfc3339_to_us(c).isNull(), F.lit(False))
 
 
 def us_to_rfc3339(c: Column) -> Column:
@@ -137,13 +148,13 @@ def _alert_cols(a: str) -> list[Column]:
 
 def src_webhook(text_df: DataFrame, body: str = "body", received: str = "received_us") -> DataFrame:
     """Webhook envelopes -> alert records. Blank-fingerprint alerts are skipped; any other
-    alert with an unsupported status rejects the WHOLE envelope (checked with a
-    higher-order ``exists`` before exploding)."""
+    alert with an unsupported status, or any alert with a time that is none, rejects the
+    WHOLE envelope (checked with a higher-order ``exists`` before exploding)."""
     e = text_df.select("*", F.from_json(F.col(body), ENVELOPE_SCHEMA).alias("_e"))
 
     def bad(a):
-        return (F.coalesce(a["fingerprint"], F.lit("")) != "") & ~F.coalesce(a["status"].isin("firing", "resolved"),
-                                                                              F.lit(False))
+        status_ok = F.coalesce(a["status"].isin("firing", "resolved"), F.lit(False))
+        return ((F.coalesce(a["fingerprint"], F.lit("")) != "") & ~status_ok) | bad_time(a["startsAt"]) | bad_time(a["endsAt"])
 
     ok = e.filter(F.col("_e").isNotNull() & ~F.exists(F.coalesce("_e.alerts", F.array()), bad))
     x = ok.select(F.col(received).alias("received_us"), F.posexplode("_e.alerts").alias("pos", "_a"))
@@ -151,25 +162,51 @@ def src_webhook(text_df: DataFrame, body: str = "body", received: str = "receive
             .select(*_alert_cols("_a"), "received_us", "pos"))
 
 
-def parse_alert_events(kv: DataFrame, value: str = "value", key: str | None = "key") -> DataFrame:
-    """Alert-event messages -> alert columns + ``outcome``: ``invalid_json`` for values that
-    are not JSON objects, ``permanent_error`` for a missing fingerprint or bad status,
-    ``processed`` otherwise. ``type`` defaults to ``alert``."""
-    valid_json = F.try_parse_json(F.col(value)).isNotNull() & F.trim(F.col(value)).startswith("{")
-    p = kv.select("*", F.from_json(F.col(value), EVENT_SCHEMA).alias("_m"), valid_json.alias("_json"))
-    fp = F.coalesce(F.col("_m.fingerprint"), F.col(key) if key else F.lit(None))
-    outcome = (F.when(~F.col("_json"), "invalid_json")
-               .when((F.coalesce(F.trim(fp), F.lit("")) == "")
+_TEXT_FIELDS = ["type", "status", "startsAt", "endsAt", "generatorURL", "fingerprint", "receivedAt"]
+_MAP_FIELDS = ["labels", "annotations"]
+
+
+def _well_typed(v: Column) -> Column:
+    """Whether a JSON variant decodes as an alert event: text fields are text, maps hold text only."""
+    ok = F.lit(True)
+    for f in _TEXT_FIELDS:
+        kind = F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
+        ok = ok & F.coalesce(kind.isin("STRING", "VOID"), F.lit(True))
+    for f in _MAP_FIELDS:
+        kind = F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
+        values = F.map_values(F.try_variant_get(v, f"$.{f}", "map<string,variant>"))
+        text = F.forall(values, lambda x: F.coalesce(F.schema_of_variant(x).isin("STRING", "VOID"), F.lit(True)))
+        ok = ok & F.coalesce((kind == "VOID") | (kind.startswith("OBJECT") & text), F.lit(True))
+    return ok
+
+
+def parse_alert_events(kv: DataFrame, value: str = "value") -> DataFrame:
+    """Alert-event messages -> alert columns + ``outcome``: ``invalid_json`` for values that do
+    not decode as an event (no JSON object, a field of another type, a time that is none),
+    ``permanent_error`` for a missing fingerprint or bad status, ``processed`` otherwise.
+    The message key is not looked at. ``type`` defaults to ``alert``."""
+    p = kv.withColumn("_v", F.try_parse_json(F.col(value)))
+    is_object = F.coalesce(F.col("_v").isNotNull() & F.regexp_like(F.col(value), F.lit(r"^\s*\{")), F.lit(False))
+    p = p.withColumn("_json", F.when(is_object, _well_typed(F.col("_v"))).otherwise(F.lit(False)))
+    p = p.withColumn("_m", F.from_json(F.when(F.col("_json"), F.col(value)), EVENT_SCHEMA))
+    times = bad_time(F.col("_m.startsAt")) | bad_time(F.col("_m.endsAt")) | bad_time(F.col("_m.receivedAt"))
+    decoded = F.col("_json") & ~times
+    outcome = (F.when(~decoded, "invalid_json")
+               .when((F.coalesce(F.col("_m.fingerprint"), F.lit("")) == "")
                      | ~F.coalesce(F.col("_m.status").isin("firing", "resolved"), F.lit(False)), "permanent_error")
                .otherwise("processed"))
     keep = [c for c in kv.columns if c not in (value,)]
+
+    def m(c: Column) -> Column:
+        return F.when(decoded, c)
+
     return p.select(
-        *keep, F.coalesce(F.col("_m.type"), F.lit("alert")).alias("type"), fp.alias("fingerprint"),
-        F.col("_m.status").alias("status"), F.col("_m.labels").alias("labels"),
-        F.col("_m.annotations").alias("annotations"), rfc3339_to_us(F.col("_m.startsAt")).alias("starts_us"),
-        rfc3339_to_us(F.col("_m.endsAt")).alias("ends_us"),
-        F.nullif(F.col("_m.generatorURL"), F.lit("")).alias("generator_url"),
-        rfc3339_to_us(F.col("_m.receivedAt")).alias("received_us"), outcome.alias("outcome"))
+        *keep, F.coalesce(F.col("_m.type"), F.lit("alert")).alias("type"), m(F.col("_m.fingerprint")).alias("fingerprint"),
+        m(F.col("_m.status")).alias("status"), m(F.col("_m.labels")).alias("labels"),
+        m(F.col("_m.annotations")).alias("annotations"), m(rfc3339_to_us(F.col("_m.startsAt"))).alias("starts_us"),
+        m(rfc3339_to_us(F.col("_m.endsAt"))).alias("ends_us"),
+        m(F.nullif(F.col("_m.generatorURL"), F.lit(""))).alias("generator_url"),
+        m(rfc3339_to_us(F.col("_m.receivedAt"))).alias("received_us"), outcome.alias("outcome"))
 
 
 def kafka_available(spark: SparkSession) -> bool:
@@ -222,8 +259,8 @@ def _inner_cols() -> list[Column]:
     cols = [F.element_at(m, F.lit(f)).alias(f) for f in LOG_FIELDS if f not in ("ts", "status", "latency_ms")]
     return cols + [
         rfc3339_to_us(F.element_at(m, F.lit("ts"))).alias("t_us"),
-        F.element_at(m, F.lit("status")).cast("int").alias("status"),
-        F.element_at(m, F.lit("latency_ms")).cast("double").alias("latency_ms"),
+        F.element_at(m, F.lit("status")).try_cast("int").alias("status"),
+        F.element_at(m, F.lit("latency_ms")).try_cast("double").alias("latency_ms"),
         F.map_filter(m, lambda k, v: ~k.isin(*LOG_FIELDS)).alias("extras"),
         F.when(m.isNull(), F.col("_txt")).alias("raw"),
     ]
@@ -241,16 +278,22 @@ def src_container_logs(text_df: DataFrame, line: str = "value") -> DataFrame:
     return r.withColumn("t_us", F.coalesce("t_us", "time_us"))
 
 
-def src_cri_logs(text_df: DataFrame, line: str = "value", file: str = "file", order: str = "line_no") -> DataFrame:
+#: Lines of one file that are assembled in one task.
+CRI_LINES = 1_000_000
+
+
+def src_cri_logs(text_df: DataFrame, line: str = "value", file: str = "file", order: str = "line_no",
+                 lines: int = CRI_LINES) -> DataFrame:
     """CRI lines ``time stream tag log``: partial (``P``) pieces are joined with the next
     full (``F``) line of the same file, then parsed like docker lines. The piece-to-line
-    assignment is a running count of ``F`` tags per file (skew-safe keyed scan)."""
+    assignment is a running count of ``F`` tags per file (keyed scan in stretches of
+    ``lines`` lines)."""
     from vigil.operators.scans import keyed_running_sum
     t = text_df.select("*", *[F.regexp_extract(line, _CRI_RE, i).alias(n)
                               for i, n in ((1, "_time"), (2, "_stream"), (3, "_tag"), (4, "_log"))])
     t = t.filter(F.col("_tag") != "")
     t = t.withColumn("_t", rfc3339_to_us(F.col("_time"))).withColumn("_f", (F.col("_tag") == "F").cast("bigint"))
-    t = keyed_running_sum(t, [file], order, order, "_f", "_nf")
+    t = keyed_running_sum(t, [file], order, order, "_f", "_nf", bucket_us=lines)
     # a piece belongs to the F line that closes it: pieces before the k-th F have _nf = k-1
     t = t.withColumn("_grp", F.when(F.col("_tag") == "F", F.col("_nf") - 1).otherwise(F.col("_nf")))
     g = t.groupBy(file, "_grp").agg(
