@@ -1,13 +1,14 @@
 """Registered queries: Structured Streaming twins (§2.11).
 
-Each query stages its input in arrival order as several files, replays it with
-``maxFilesPerTrigger=1`` and ``availableNow`` (so state crosses micro-batches), writes
-through a checkpointed sink and returns the sink's content. Oracles are the batch
+Each query receives its input in time slices (``Replay``): after every slice it runs to the
+end of its input, stops, and starts again from its checkpoint with the next one. It writes
+through a checkpointed sink and returns the sink's content or its state. Oracles are the batch
 semantics computed by DuckDB.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from vigil.plans.fixture_sql import with_views
@@ -22,18 +23,21 @@ from vigil.sources import parsers as ps
 from vigil.streaming import jobs as sj
 
 
-def _replay(spark, df, ts: str, name: str, parts: int = 4):
-    sj.enable_state_store(spark)
-    root = sj.scratch(spark, name)
-    staged = sj.stage_in_order(df, ts, f"{root}/in", parts)
-    schema = spark.read.parquet(staged).schema
-    return root, sj.file_stream(spark, staged, schema, max_files=1)
+def _alert_run(spark, d, ttl="5m", then=None):
+    """De-duplicate the alert events slice by slice; ``then(root)`` gives a job to run after each slice."""
+    r = sj.Replay(spark, fx.alerts(spark, d), "received_us", "alerts")
+    out = sj.dedupe_stream(r.stream, ttl)
+    after = None
 
+    def run():
+        nonlocal after
+        sj.run_available_now(out, f"{r.root}/out", f"{r.root}/ck")
+        if then is not None:
+            after = after or then(r.root, sj.file_stream(spark, f"{r.root}/out", sj.SEEN_OUT, None))
+            after()
 
-def _alert_run(spark, d, ttl="5m"):
-    root, s = _replay(spark, fx.alerts(spark, d), "received_us", "alerts")
-    sj.run_available_now(sj.alert_state_stream(s, ttl), f"{root}/out", f"{root}/ck")
-    return root, spark.read.parquet(f"{root}/out")
+    r.each(run)
+    return r.root, spark.read.parquet(f"{r.root}/out")
 
 
 @query("stream_dedupe", _rec(with_views("alerts")) + _dedupe_sql(TTL5) + """
@@ -43,39 +47,54 @@ def q_stream_dedupe(spark, d):
     return out.select("event_id", "accepted")
 
 
+def _active_job(root, seen):
+    edges = sj.active_stream(seen)
+    return lambda: sj.run_available_now(edges, f"{root}/edges", f"{root}/ck-active")
+
+
 @query("stream_active", _ACTIVE + "\n" + _ACTIVE_SQL)
 def q_stream_active(spark, d):
-    _, out = _alert_run(spark, d)
-    return sj.active_from_edges(out).select(*_ACTIVE_COLS)
+    root, _ = _alert_run(spark, d, then=_active_job)
+    return sj.active_state(spark, f"{root}/ck-active").select(*_ACTIVE_COLS)
+
+
+@query("stream_active_edges", _ACC + """,
+p AS (SELECT *, lag(status) OVER (PARTITION BY fingerprint ORDER BY received_us, event_id) AS before FROM acc)
+SELECT fingerprint, event_id, CASE WHEN status = 'firing' AND before = 'firing' THEN 'updated' WHEN status = 'firing' THEN 'added'
+                                   WHEN before = 'firing' THEN 'removed' END AS edge FROM p""")
+def q_stream_active_edges(spark, d):
+    root, _ = _alert_run(spark, d, then=_active_job)
+    return spark.read.parquet(f"{root}/edges").select("fingerprint", "event_id", "edge")
 
 
 @query("stream_stats", _ACC + """
 SELECT coalesce(nullif(trim(alertname), ''), fingerprint) AS key, count(*) AS n FROM acc WHERE status = 'firing'
 GROUP BY ALL""")
 def q_stream_stats(spark, d):
-    root, _ = _alert_run(spark, d)
-    edges = sj.file_stream(spark, f"{root}/out", sj.ALERT_OUT, max_files=1)
-    stats_path = f"{root}/stats"
+    def job(root, seen):
+        def write(batch, batch_id):  # complete mode: each batch is the whole (small) table
+            batch.write.mode("overwrite").parquet(f"{root}/stats")
 
-    def write(batch, batch_id):  # complete mode: each batch is the whole (small) table
-        batch.write.mode("overwrite").parquet(stats_path)
+        stats = sj.stats_stream(seen)
+        return lambda: sj.run_foreach_batch(stats, write, f"{root}/ck-stats", mode="complete")
 
-    sj.run_foreach_batch(sj.stats_stream(edges), write, f"{root}/ck-stats", mode="complete")
-    return spark.read.parquet(stats_path)
+    root, _ = _alert_run(spark, d, then=job)
+    return spark.read.parquet(f"{root}/stats")
 
 
 @query("stream_tumbling", with_views("logs") + """
 SELECT t_us // 300000000 * 300000000 AS bucket_us, level, count(*) AS n FROM logs GROUP BY ALL""")
 def q_stream_tumbling(spark, d):
-    root, s = _replay(spark, fx.logs(spark, d).drop("ts"), "t_us", "logs")
-    sink = f"{root}/out"
-    sj.run_foreach_batch(sj.tumbling_stream(s), sj.idempotent_batches(sink), f"{root}/ck", mode="update")
+    r = sj.Replay(spark, fx.logs(spark, d).drop("ts"), "t_us", "logs")
+    sink, counts = f"{r.root}/out", sj.tumbling_stream(r.stream)
+    r.each(lambda: sj.run_foreach_batch(counts, sj.idempotent_batches(sink), f"{r.root}/ck", mode="update"))
     rows = spark.read.parquet(sink)
     return (rows.groupBy("bucket_us", "level").agg(F.max_by("n", "batch_id").alias("n")))
 
 
 @query("stream_sliding_limit", with_views("requests") + """,
-r AS (SELECT * FROM requests WHERE route NOT IN ('/metrics', '/healthz', '/readyz')
+r AS (SELECT * REPLACE (CASE WHEN regexp_full_match(route, '/api/v1/hosts/[^/]+/metrics') THEN '/api/v1/hosts/:instance/metrics'
+                             ELSE route END AS route) FROM requests WHERE route NOT IN ('/metrics', '/healthz', '/readyz')
         AND (starts_with(route, '/api/') OR starts_with(route, '/ws/'))),
 c AS (SELECT event_id,
              count(*) OVER (PARTITION BY client_ip, route ORDER BY t_us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)
@@ -83,9 +102,10 @@ c AS (SELECT event_id,
                               ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS used FROM r)
 SELECT event_id, used, used <= 3 AS allowed, CAST(greatest(3 - used, 0) AS BIGINT) AS remaining FROM c""")
 def q_stream_sliding_limit(spark, d):
-    root, s = _replay(spark, fx.requests(spark, d), "t_us", "requests")
-    sj.run_available_now(sj.sliding_limit_stream(s, limit=3), f"{root}/out", f"{root}/ck")
-    return spark.read.parquet(f"{root}/out").select("event_id", "used", "allowed", "remaining")
+    r = sj.Replay(spark, fx.requests(spark, d), "t_us", "requests")
+    used = sj.sliding_limit_stream(r.stream, limit=3)
+    r.each(lambda: sj.run_available_now(used, f"{r.root}/out", f"{r.root}/ck"))
+    return spark.read.parquet(f"{r.root}/out").select("event_id", "used", "allowed", "remaining")
 
 
 @query("stream_rule_for", _EVAL + """
@@ -94,20 +114,29 @@ def q_stream_rule_for(spark, d):
     ev, _, rules = _states(spark, d)
     ev = ev.join(rules.select(F.col("id").alias("rule_id"), "for_ms"), "rule_id").select(
         "rule_id", "series", "eval_us", "is_true", "for_ms")
-    root, s = _replay(spark, ev, "eval_us", "evals")
-    sj.run_available_now(sj.rule_for_stream(s, "15s"), f"{root}/out", f"{root}/ck")
-    return spark.read.parquet(f"{root}/out")
+    r = sj.Replay(spark, ev, "eval_us", "evals")
+    states = sj.rule_for_stream(r.stream, "15s")
+    r.each(lambda: sj.run_available_now(states, f"{r.root}/out", f"{r.root}/ck"))
+    return spark.read.parquet(f"{r.root}/out")
 
 
 @query("stream_exactly_once_sink", with_views("alerts") + """
-SELECT status, count(*) AS n FROM alerts GROUP BY ALL""")
+SELECT event_id, fingerprint, status, starts_us, ends_us, received_us FROM alerts""")
 def q_stream_exactly_once_sink(spark, d):
-    """Every batch is written twice for batch 0 (a simulated retry); output is unchanged."""
-    root, s = _replay(spark, fx.alerts(spark, d), "received_us", "alerts-once")
-    sink = f"{root}/out"
-    sj.run_foreach_batch(s.select("event_id", "status"), sj.idempotent_batches(sink, retry_first=True),
-                         f"{root}/ck", mode="append")
-    return spark.read.parquet(sink).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """The sink fails after writing its second batch; the query starts again from its checkpoint,
+    replays the batch and every row is there once."""
+    r = sj.Replay(spark, fx.alerts(spark, d), "received_us", "alerts-once")
+    sink, rows = f"{r.root}/out", r.stream.select("event_id", "fingerprint", "status", "starts_us", "ends_us", "received_us")
+    write = sj.idempotent_batches(sink, fail_once=1)
+
+    def run():
+        try:
+            sj.run_foreach_batch(rows, write, f"{r.root}/ck", mode="append")
+        except StreamingQueryException:
+            sj.run_foreach_batch(rows, write, f"{r.root}/ck", mode="append")
+
+    r.each(run)
+    return spark.read.parquet(sink).drop("batch_id")
 
 
 @query("stream_bad_records", with_views("alerts") + _OUTCOME_CTE + """
@@ -115,10 +144,10 @@ SELECT outcome, count(*) AS n FROM o GROUP BY ALL""")
 def q_stream_bad_records(spark, d):
     """Corrupt messages are counted and routed to a quarantine table, never blocking."""
     msgs = event_messages(spark, d).withColumn("_o", F.col("event_id"))
-    root, s = _replay(spark, msgs, "_o", "topic")
-    good, bad = f"{root}/good", f"{root}/bad"
-    parsed = ps.parse_alert_events(s.drop("_o"))
-    sj.run_foreach_batch(parsed, lambda b, i: sj.split_bad_records(b, good, bad, i), f"{root}/ck", mode="append")
+    r = sj.Replay(spark, msgs, "_o", "topic")
+    good, bad = f"{r.root}/good", f"{r.root}/bad"
+    parsed = ps.parse_alert_events(r.stream.drop("_o"))
+    r.each(lambda: sj.run_foreach_batch(parsed, lambda b, i: sj.split_bad_records(b, good, bad, i), f"{r.root}/ck", mode="append"))
     g = spark.read.parquet(good).select("outcome")
     b = spark.read.parquet(bad).select("outcome")
     return g.unionByName(b).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
@@ -126,12 +155,13 @@ def q_stream_bad_records(spark, d):
 
 @query("stream_snapshot", _snapshot_sql() + "\n" + _HSQL)
 def q_stream_snapshot(spark, d):
-    root, s = _replay(spark, fx.samples(spark, d).drop("series"), "t_us", "samples")
-    latest = f"{root}/latest"
+    r = sj.Replay(spark, fx.samples(spark, d).drop("series"), "t_us", "samples")
+    latest = f"{r.root}/latest"
 
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(latest)
 
-    sj.run_foreach_batch(sj.latest_per_series_stream(s), write, f"{root}/ck", mode="complete")
+    newest = sj.latest_per_series_stream(r.stream)
+    r.each(lambda: sj.run_foreach_batch(newest, write, f"{r.root}/ck", mode="complete"))
     snap = sj.snapshot_from_latest(spark.read.parquet(latest), END)
     return snap.select(*_hcols())

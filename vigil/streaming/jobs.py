@@ -1,11 +1,11 @@
 """Structured Streaming twins of the batch operators.
 
-Keyed state lives in ``transformWithStateInPandas`` processors (RocksDB state store).
-Each processor prunes its own state when its key sees new data (dedupe entries older
-than the TTL, timestamps outside the window), so per-key state stays O(1) or O(window);
-processing-time TTL is not used because it keeps ``availableNow`` replays from ending. Sinks are
-checkpointed file sinks or idempotent ``foreachBatch`` writers keyed by batch id, so a
-restarted query (or a lost executor) never duplicates output.
+Keyed state lives in ``transformWithStateInPandas`` processors (RocksDB state store). State is
+one value per key, or the times inside one window, and an event-time timer clears it once the
+watermark shows that it can no longer matter, so keys that fall silent cost nothing. Keys are as
+fine as the rule allows (de-duplication: fingerprint, status and times), so a hot fingerprint
+spreads. Sinks are checkpointed file sinks or idempotent ``foreachBatch`` writers keyed by batch
+id, so a restarted query (or a lost executor) never duplicates output.
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from vigil.functions.labels import trim_space
 from vigil.functions.timeutil import dur_us
 from vigil.session import checkpoint_dir
 
@@ -35,16 +37,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stage_in_order(df: DataFrame, ts: str, path: str, parts: int = 4) -> str:
-    """Write ``df`` as ``parts`` files in ``ts`` order, one append per time range, so a file
-    stream with ``maxFilesPerTrigger=1`` replays it as several ordered micro-batches."""
-    b = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
-    lo, hi = int(b["lo"]), int(b["hi"]) + 1
-    width = max(1, -(-(hi - lo) // parts))
-    for i in range(parts):
-        part = df.filter((F.col(ts) >= lo + i * width) & (F.col(ts) < lo + (i + 1) * width))
-        part.coalesce(1).sortWithinPartitions(ts).write.mode("append").parquet(path)
-    return path
+class Replay:
+    """A table as a growing file stream: its rows arrive in ``parts`` slices of ``ts``.
+
+    One pass writes the rows by slice, all tasks at once; ``each`` then appends slice after slice
+    to the folder of ``stream`` and runs the query to its end, so the query is stopped and
+    started again from its checkpoint between slices.
+    """
+
+    def __init__(self, spark: SparkSession, df: DataFrame, ts: str, name: str, parts: int = 4):
+        enable_state_store(spark)
+        self.spark, self.parts, self.root = spark, parts, scratch(spark, name)
+        b = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
+        lo, hi = int(b["lo"] or 0), int(b["hi"] or 0) + 1
+        at = F.least(F.floor((F.col(ts) - F.lit(lo)) * F.lit(parts) / F.lit(hi - lo)), F.lit(parts - 1)).cast("int")
+        df.withColumn("_slice", at).write.partitionBy("_slice").parquet(f"{self.root}/staged")
+        self.schema = df.schema
+        spark.createDataFrame([], self.schema).write.parquet(f"{self.root}/in")
+        self.stream = file_stream(spark, f"{self.root}/in", self.schema, None)
+
+    def each(self, run: Callable[[], None]) -> None:
+        staged = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("_slice", T.IntegerType())])).parquet(f"{self.root}/staged")
+        for i in range(self.parts):
+            staged.filter(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(f"{self.root}/in")
+            run()
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = 1,
@@ -67,15 +83,17 @@ def run_available_now(df: DataFrame, path: str, checkpoint: str, mode: str = "ap
     w.start().awaitTermination()
 
 
-def idempotent_batches(path: str, retry_first: bool = False) -> Callable[[DataFrame, int], None]:
+def idempotent_batches(path: str, fail_once: int | None = None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer: each micro-batch overwrites ``path/batch_id=<id>``, so a replay
-    of a batch after a failure replaces its output instead of adding to it.
-    ``retry_first`` re-runs batch 0 once (a simulated retry, used by the tests)."""
+    of a batch after a failure replaces its output instead of adding to it. With
+    ``fail_once`` the query fails after writing that batch, the first time."""
+    failures = {fail_once}
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        times = 2 if (retry_first and batch_id == 0) else 1
-        for _ in range(times):
-            batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if batch_id in failures:
+            failures.discard(batch_id)
+            raise RuntimeError("the sink fails after its write, once")
 
     return write
 
@@ -87,89 +105,139 @@ def run_foreach_batch(df: DataFrame, fn, checkpoint: str, mode: str = "update")
 
 # ---------------------------------------------------------------- alert events: dedupe + active set
 
-ALERT_OUT = T.StructType([
-    T.StructField("fingerprint", T.StringType()), T.StructField("event_id", T.LongType()),
-    T.StructField("status", T.StringType()), T.StructField("alertname", T.StringType()),
-    T.StructField("instance", T.StringType()), T.StructField("severity", T.StringType()),
-    T.StructField("starts_us", T.LongType()), T.StructField("received_us", T.LongType()),
-    T.StructField("accepted", T.BooleanType()), T.StructField("edge", T.StringType()),
-])
+WATERMARK = "10 minutes"
 
 
-class AlertStateProcessor(StatefulProcessor):
-    """Per fingerprint: TTL de-duplication by (status, starts, ends) and the active record.
+def _timed(df: DataFrame, t_us: str, delay: str = WATERMARK) -> DataFrame:
+    """``df`` with an event-time column and a watermark."""
+    return df.withColumn("ts", F.timestamp_micros(t_us)).withWatermark("ts", delay)
 
-    A repeat within ``ttl`` of the accepted event is dropped and does not extend the window;
-    accepted firing events upsert the active record (edge ``added``/``updated``), accepted
-    resolved events remove it (edge ``removed``). State: one map entry per dedupe key and
-    one value; map entries are dropped once their window has closed.
-    """
+
+def _sorted(rows, *cols: str) -> list[np.ndarray]:
+    """The named number columns of a key's rows of one micro-batch, ordered by them."""
+    kept = [np.stack([c[x].to_numpy(np.int64) for x in cols]) for c in rows]
+    both = np.concatenate(kept, 1)
+    return list(both[:, np.lexsort(both[::-1])])
+
+
+class _Clearing(StatefulProcessor):
+    """A processor whose state is dropped by an event-time timer."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+
+    def expire_at(self, t_us: int) -> None:
+        for old in self.handle.listTimers():
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(t_us // 1000 + 1)
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.forget()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+ALERT_COLS = ["fingerprint", "event_id", "status", "alertname", "instance", "severity", "starts_us", "ends_us", "received_us"]
+SEEN_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("accepted", T.BooleanType()),
+                         *(T.StructField(c, T.LongType() if c.endswith("_us") else T.StringType()) for c in ALERT_COLS if c != "event_id")])
+
+
+class DedupeProcessor(_Clearing):
+    """Per (fingerprint, status, starts, ends): a repeat within ``ttl`` of the accepted event is
+    dropped and does not extend the window. State: the time of the accepted event."""
 
     def __init__(self, ttl_us: int):
         self.ttl_us = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "dk string", "last_us long")
-        self.active = handle.getValueState("active", "event_id long, starts_us long")
+        super().init(handle)
+        self.last = handle.getValueState("last", "last_us long")
+
+    def forget(self) -> None:
+        self.last.clear()
+
+    def handleInputRows(self, key, rows, timerValues):
+        chunks = list(rows)
+        last = self.last.get()[0] if self.last.exists() else None
+        times, ids = _sorted(chunks, "received_us", "event_id")
+        known = chunks[0]["status"].iloc[0] in ("firing", "resolved")
+        accepted = set()
+        for t, i in zip(times.tolist(), ids.tolist()):
+            if known and (last is None or t - last > self.ttl_us):
+                last = t
+                accepted.add(i)
+        if last is not None:
+            self.last.update((last,))
+            self.expire_at(last + self.ttl_us)
+        for c in chunks:
+            yield c[["event_id"]].assign(accepted=c["event_id"].isin(accepted), **{x: c[x] for x in ALERT_COLS if x != "event_id"})
+
+
+def dedupe_stream(E: DataFrame, ttl: str | int = "5m") -> DataFrame:
+    """Streaming de-duplication: all events with ``accepted``."""
+    keys = ["fingerprint", "status", "starts_us", "ends_us"]
+    e = E.select(*ALERT_COLS).withColumn("_ends", F.coalesce("ends_us", F.lit(-1)))
+    return _timed(e, "received_us").groupBy(*keys[:3], "_ends").transformWithStateInPandas(
+        DedupeProcessor(dur_us(ttl)), SEEN_OUT, "Append", "EventTime")
+
+
+EDGE_OUT = T.StructType([T.StructField("fingerprint", T.StringType()), T.StructField("event_id", T.LongType()), T.StructField("edge", T.StringType())])
+ACTIVE_STATE = "event_id long, status string, alertname string, instance string, severity string, starts_us long, received_us long"
+
+
+class ActiveProcessor(StatefulProcessor):
+    """Per fingerprint: the active record. An accepted firing event sets it (edge ``added`` or
+    ``updated``), a resolved one removes it (edge ``removed``)."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.active = handle.getValueState("active", ACTIVE_STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["received_us", "event_id"])
-        acc, edges = [], []
-        has_active = self.active.exists()
-        for r in pdf.itertuples(index=False):
-            dk = f"{r.status}|{r.starts_us}|{'' if pd.isna(r.ends_us) else int(r.ends_us)}"
-            t = int(r.received_us)
-            ok = r.status in ("firing", "resolved")
-            accepted = False
-            if ok:
-                last = self.seen.getValue((dk,))[0] if self.seen.containsKey((dk,)) else None
-                accepted = last is None or t - last > self.ttl_us
-                if accepted:
-                    self.seen.updateValue((dk,), (t,))
+        # What decides is the last event; edges need each event's status only.
+        events, newest = [], None
+        for c in rows:
+            events += zip(c["received_us"].astype("int64"), c["event_id"].astype("int64"), c["status"])
+            for r in c.itertuples(index=False):
+                if newest is None or (r.received_us, r.event_id) > (newest.received_us, newest.event_id):
+                    newest = r
+        on, out = self.active.exists(), []
+        for _, event_id, status in sorted(events):
             edge = None
-            if accepted and r.status == "firing":
-                edge = "updated" if has_active else "added"
-                self.active.update((int(r.event_id), int(r.starts_us)))
-                has_active = True
-            elif accepted and r.status == "resolved" and has_active:
-                edge = "removed"
-                self.active.clear()
-                has_active = False
-            acc.append(accepted)
-            edges.append(edge)
-        # entries whose window closed before the newest event can never match again
-        newest = int(pdf["received_us"].max())
-        for (dk,), (last,) in list(self.seen.iterator()):
-            if newest - last > self.ttl_us:
-                self.seen.removeKey((dk,))
-        yield pd.DataFrame({
-            "fingerprint": pdf["fingerprint"], "event_id": pdf["event_id"].astype("int64"),
-            "status": pdf["status"], "alertname": pdf["alertname"], "instance": pdf["instance"],
-            "severity": pdf["severity"], "starts_us": pdf["starts_us"].astype("int64"),
-            "received_us": pdf["received_us"].astype("int64"), "accepted": acc, "edge": edges})
+            if status == "firing":
+                edge, on = ("updated" if on else "added"), True
+            elif on:
+                edge, on = "removed", False
+            out.append((key[0], int(event_id), edge))
+        if newest.status == "firing":
+            self.active.update((int(newest.event_id), newest.status, newest.alertname, newest.instance, newest.severity, int(newest.starts_us),
+                                int(newest.received_us)))
+        elif self.active.exists():
+            self.active.clear()
+        yield pd.DataFrame(out, columns=["fingerprint", "event_id", "edge"])
 
     def close(self) -> None:
         pass
 
 
-def alert_state_stream(E: DataFrame, ttl: str | int = "5m") -> DataFrame:
-    """Streaming dedupe + active-set edges keyed by fingerprint."""
-    cols = ["fingerprint", "event_id", "status", "alertname", "instance", "severity", "starts_us", "ends_us",
-            "received_us"]
-    return E.select(*cols).groupBy("fingerprint").transformWithStateInPandas(
-        AlertStateProcessor(dur_us(ttl)), ALERT_OUT, "Append", "None")
+def active_stream(accepted: DataFrame) -> DataFrame:
+    """Edges of the active set; the set itself is the state (see ``active_state``)."""
+    return accepted.filter("accepted").groupBy("fingerprint").transformWithStateInPandas(ActiveProcessor(), EDGE_OUT, "Append", "None")
 
 
-def active_from_edges(out: DataFrame) -> DataFrame:
-    """Fold the edge log into the current active set (last accepted event per fingerprint)."""
-    a = out.filter("accepted")
-    last = a.groupBy("fingerprint").agg(F.max_by(F.struct("*"), F.struct("received_us", "event_id")).alias("_e"))
-    return last.select("_e.*").filter(F.col("status") == "firing")
+def active_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The running active set, read from the state of ``active_stream``."""
+    st = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "active").load()
+    return st.select("key.fingerprint", "value.*")
 
 
 def stats_stream(accepted: DataFrame) -> DataFrame:
     """Running firing counts by alertname (fingerprint when blank): streaming aggregate."""
-    key = F.coalesce(F.nullif(F.trim("alertname"), F.lit("")), F.col("fingerprint"))
+    key = F.coalesce(F.nullif(trim_space("alertname"), F.lit("")), F.col("fingerprint"))
     return (accepted.filter(F.col("accepted") & (F.col("status") == "firing"))
             .groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")))
 
@@ -179,7 +247,7 @@ def stats_stream(accepted: DataFrame) -> DataFrame:
 LIMIT_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("used", T.LongType())])
 
 
-class SlidingCountProcessor(StatefulProcessor):
+class SlidingCountProcessor(_Clearing):
     """Per (ip, route): timestamps of the last ``window`` (closed at both ends); each request
     counts everything still inside, itself included, rejected ones too."""
 
@@ -187,44 +255,34 @@ class SlidingCountProcessor(StatefulProcessor):
         self.window_us = window_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.recent = handle.getListState("recent", "t_us long")
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["t_us", "event_id"])
-        kept = [int(x[0]) for x in self.recent.get()] if self.recent.exists() else []
-        used = []
-        for t in pdf["t_us"].astype("int64"):
-            kept.append(int(t))
-            lo = int(t) - self.window_us
-            kept = [x for x in kept if x >= lo]
-            used.append(len(kept))
-        if kept:
-            self.recent.put([(x,) for x in kept])
-        else:
-            self.recent.clear()
-        yield pd.DataFrame({"event_id": pdf["event_id"].astype("int64"), "used": used})
+    def forget(self) -> None:
+        self.recent.clear()
 
-    def close(self) -> None:
-        pass
+    def handleInputRows(self, key, rows, timerValues):
+        times, ids = _sorted(rows, "t_us", "event_id")
+        old = np.array([x[0] for x in self.recent.get()] if self.recent.exists() else [], np.int64)
+        both = np.concatenate([old, times])  # what is kept is older than the new rows
+        at = np.arange(len(old), len(both))
+        used = at - np.searchsorted(both, times - self.window_us, side="left") + 1
+        self.recent.put([(int(x),) for x in both[both >= both[-1] - self.window_us]])
+        self.expire_at(int(both[-1]) + self.window_us)
+        yield pd.DataFrame({"event_id": ids, "used": used})
 
 
 def sliding_limit_stream(R: DataFrame, limit: int = 120, window: str | int = "60s") -> DataFrame:
-    from vigil.operators.logs import RATE_PREFIXES, RATE_SKIP
+    from vigil.operators.logs import RATE_PREFIXES, RATE_SKIP, route_template
     r = R.filter(~F.col("route").isin(*RATE_SKIP)
                  & (F.col("route").startswith(RATE_PREFIXES[0]) | F.col("route").startswith(RATE_PREFIXES[1])))
-    out = r.select("client_ip", "route", "t_us", "event_id").groupBy("client_ip", "route").transformWithStateInPandas(
-        SlidingCountProcessor(dur_us(window)), LIMIT_OUT, "Append", "None")
+    r = r.select("client_ip", route_template(F.col("route")).alias("route"), "t_us", "event_id")
+    out = _timed(r, "t_us").groupBy("client_ip", "route").transformWithStateInPandas(
+        SlidingCountProcessor(dur_us(window)), LIMIT_OUT, "Append", "EventTime")
     return (out.withColumn("allowed", F.col("used") <= limit)
             .withColumn("remaining", F.greatest(F.lit(limit) - F.col("used"), F.lit(0)).cast("bigint")))
 
 
-def coarse_limit_stream(R: DataFrame, window: str = "60 seconds", slide: str = "10 seconds") -> DataFrame:
-    """Approximate limiter view: request counts per (ip, route) on a sliding event-time window."""
-    ts = F.timestamp_micros("t_us")
-    return (R.withColumn("ts", ts).withWatermark("ts", "2 minutes")
-            .groupBy(F.window("ts", window, slide), "client_ip", "route").agg(F.count(F.lit(1)).alias("n")))
-
-
 # ---------------------------------------------------------------- rule "for" state machine
 
 FOR_OUT = T.StructType([
@@ -234,48 +292,47 @@ FOR_OUT = T.StructType([
 ])
 
 
-class RuleForProcessor(StatefulProcessor):
+class RuleForProcessor(_Clearing):
     """Per (rule, series): run start and last true tick; a missing or false tick ends a run."""
 
     def __init__(self, tick_us: int):
         self.tick_us = tick_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.run = handle.getValueState("run", "since long, last long")
 
+    def forget(self) -> None:
+        self.run.clear()
+
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values("eval_us")
         since, last = (self.run.get() if self.run.exists() else (None, None))
         out = []
-        for r in pdf.itertuples(index=False):
-            t = int(r.eval_us)
-            if not r.is_true:
+        for t, true, for_ms in zip(*(x.tolist() for x in _sorted(rows, "eval_us", "is_true", "for_ms"))):
+            if not true:
                 since, last = None, None
                 continue
             if last is None or t - last != self.tick_us:
                 since = t
             last = t
-            state = "firing" if t - since >= int(r.for_ms) * 1000 else "pending"
-            out.append((int(r.rule_id), r.series, t, since, state))
+            out.append((int(key[0]), key[1], t, since, "firing" if t - since >= for_ms * 1000 else "pending"))
         if since is None:
             self.run.clear()
         else:
             self.run.update((since, last))
+            self.expire_at(last + self.tick_us)
         yield pd.DataFrame(out, columns=["rule_id", "series", "eval_us", "active_since", "state"])
 
-    def close(self) -> None:
-        pass
-
 
 def rule_for_stream(evals: DataFrame, tick: str | int = "15s") -> DataFrame:
     """Streaming ``for``: evals (rule_id, series, eval_us, is_true, for_ms) in tick order."""
-    return evals.groupBy("rule_id", "series").transformWithStateInPandas(
-        RuleForProcessor(dur_us(tick)), FOR_OUT, "Append", "None")
+    return _timed(evals, "eval_us").groupBy("rule_id", "series").transformWithStateInPandas(
+        RuleForProcessor(dur_us(tick)), FOR_OUT, "Append", "EventTime")
 
 
 # ---------------------------------------------------------------- tumbling counts, snapshots, bad records
 
-def tumbling_stream(L: DataFrame, window: str = "5 minutes", watermark: str = "10 minutes",
+def tumbling_stream(L: DataFrame, window: str = "5 minutes", watermark: str = WATERMARK,
                     by: tuple[str, ...] = ("level",)) -> DataFrame:
     """Event/log counts per interval with a watermark bounding the window state."""
     ts = F.timestamp_micros("t_us")
