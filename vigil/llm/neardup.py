@@ -6,9 +6,9 @@
 2. Classes that share a band key form a bucket. In each bucket all are paired with the smallest
    id (a star); pairs whose sketches allow the similarity are confirmed on full sets.
 3. Components of the confirmed links. In buckets that hold more than one component, members
-   are compared across components by sketch, inside the task; each member's allowed partners
-   are ranked by sketch distance and confirmed in rounds (ranks 0, 1-7, 8-63, ...). A partner
-   that meanwhile is in the same component needs no test; rounds go on until none is left.
+   are compared across components by sketch, inside the task. First each member's nearest
+   allowed partner in every other component is confirmed, then, over the components found by
+   then, all allowed pairs that still lie across.
 
 So links inside a class or a component are never spelled out as pairs, and no bucket is cut.
 The screen of whole sets has no false negatives (see ``minhash.set_sketch``); that of the
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import minhash
-from vigil.llm.common import bitmap, materialise, small_batches, table, text_or_empty
+from vigil.llm.common import bitmap, materialise, partitions, small_batches, table, text_or_empty
 
 PART = 20_000
 FILTER_BITS = 1 << 23
@@ -114,30 +114,46 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``(id, component)`` of all ids in the links ``(a, b)``: the smallest id reachable.
 
-    Alternates large and small stars: each id with its neighbours points to the smallest of
-    them. Neighbours are never gathered; a hot id is a skewed join. A few rounds suffice, as
-    each at least halves the paths.
+    Alternates large and small stars (each id with its neighbours points to the smallest of
+    them) until all links are stars around smallest ids. Neighbours are never gathered; a hot id
+    is a skewed join. A few rounds suffice, as each at least halves the paths.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     edges = materialise(edges, "cc")
-    while True:
+    # Done when no id has two smaller neighbours and no smaller neighbour has one itself.
+    while not (edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").isEmpty()
+               and edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        after = materialise(small.select("e.u", "e.v").filter("u > v").distinct(), "cc")
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
-            break
-        edges = after
-    return after.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        after.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+        edges = materialise(small.select("e.u", "e.v").filter("u > v").distinct(), "cc")
+    return edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("component")),
+                                          F.struct(F.col("v").alias("id"), F.col("v").alias("component")))).alias("e")).select("e.*").distinct()
+
+
+def _allowed_pairs(i: np.ndarray, j: np.ndarray, n: np.ndarray, whole: np.ndarray, odd: np.ndarray, percent: int, flips: int) -> tuple[np.ndarray, ...]:
+    """The pairs of rows that sizes and sketches allow, and their flipped bits."""
+    room = (100 - percent) * (n[i] + n[j])
+    ok = np.abs(n[i] - n[j]) * (100 + percent) <= room
+    i, j, room = i[ok], j[ok], room[ok]
+    z = np.bitwise_count(whole[i] ^ whole[j]).sum(1, dtype=np.int64)
+    ok = z * (100 + percent) <= room
+    i, j, z = i[ok], j[ok], z[ok]
+    ok = np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64) <= flips
+    return i[ok], j[ok], z[ok]
+
+
+#: Members of a bucket up to which all its pairs are compared side by side with those of other buckets.
+_SMALL = 48
 
 
-def _ranked(buckets: DataFrame, labels: DataFrame, percent: int, low: int, high: int) -> DataFrame:
-    """Pairs ``(a, b)`` across components, in buckets with several, whose rank for one of them is in ``[low, high)``.
+def _across(buckets: DataFrame, labels: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs ``(a, b)`` across components that sketches allow, in buckets that hold several components.
 
-    A row with ``a`` null says that pairs of higher rank are left.
+    ``nearest``: for each member and each other component only the nearest member of that
+    component, by sketch; else all. Compared inside the task, by blocks.
     """
     named = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     spread = named.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("m")).filter("c1 < c2")
@@ -145,30 +161,64 @@ def _ranked(buckets: DataFrame, labels: DataFrame, percent: int, low: int, high:
     open_ = named.join(spread.select("bucket", parts.alias("parts")), "bucket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     flips = minhash.most_flips(percent / 100)
 
-    def compare(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id")
-        ids, comp, n = (t.column(c).to_numpy() for c in ("id", "component", "n"))
-        odd, whole = (np.stack(t.column(c).combine_chunks().flatten().to_numpy().reshape(len(ids), -1)).view(np.uint64) for c in ("odd", "whole"))
-        part, parts = t.column("part")[0].as_py(), t.column("parts")[0].as_py()
-        a, b, more = [], [], False
-        for i in np.flatnonzero(ids % parts == part):
-            j = np.flatnonzero(np.abs(n - n[i]) * (100 + percent) <= (100 - percent) * (n + n[i]))
-            z = np.bitwise_count(whole[j] ^ whole[i]).sum(1)
-            ok = z * (100 + percent) <= (100 - percent) * (n[j] + n[i])
-            j, z = j[ok], z[ok]
-            ok = (np.bitwise_count(odd[j] ^ odd[i]).sum(1) <= flips) & (j != i)
-            j = j[ok][np.lexsort((ids[j[ok]], z[ok]))]
-            across = comp[j] != comp[i]
-            more |= bool(across[high:].any())
-            j = j[low:high][across[low:high]]
-            a += np.minimum(ids[i], ids[j]).tolist()
-            b += np.maximum(ids[i], ids[j]).tolist()
-        if more:
-            a.append(None)
-            b.append(0)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return open_.groupBy("bucket", "part").applyInArrow(compare, "a long, b long").distinct()
+    def compare(t: pa.Table, out: list[np.ndarray]) -> None:
+        """All buckets of ``t``, whole ones, sorted by bucket and part."""
+        ids, comp, n, part, parts, bucket = (t.column(c).to_numpy() for c in ("id", "component", "n", "part", "parts", "bucket"))
+        odd, whole = (t.column(c).combine_chunks().flatten().to_numpy().reshape(len(ids), -1).view(np.uint64) for c in ("odd", "whole"))
+        first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])]))
+        size = np.diff(np.append(first, len(ids)))
+        found = []
+        # Small buckets: all pairs at distance d in the order, for all buckets at once.
+        end = np.repeat(first + size, size)
+        row = np.flatnonzero(np.repeat(size, size) <= _SMALL)
+        for d in range(1, _SMALL):
+            row = row[row + d < end[row]]
+            if not len(row):
+                break
+            i = row[comp[row] != comp[row + d]]
+            found.append(_allowed_pairs(i, i + d, n, whole, odd, percent, flips))
+        # Larger ones: each member against the rest.
+        for a, m in zip(first[size > _SMALL], size[size > _SMALL]):
+            rest = np.arange(a, a + m)
+            for i in rest[ids[rest] % parts[a] == part[a]]:
+                j = rest[(comp[rest] != comp[i]) & ((ids[rest] > ids[i]) | (parts[a] > 1))]
+                found.append(_allowed_pairs(np.full(len(j), i), j, n, whole, odd, percent, flips))
+        i, j, z = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        if nearest:
+            u, v, z = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([z, z])
+            order = np.lexsort((ids[v], z, comp[v], u))
+            u, v = u[order], v[order]
+            new = np.concatenate([[True], (u[1:] != u[:-1]) | (comp[v][1:] != comp[v][:-1])])[:len(u)]
+            i, j = u[new], v[new]
+        out.append(np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1), axis=0))
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(pa.Table.from_batches([b]))
+            size += len(b)
+            if size >= 20_000:
+                t, out = pa.concat_tables(held), []
+                bucket, part = t.column("bucket").to_numpy(), t.column("part").to_numpy()
+                cut = int(np.flatnonzero((bucket != bucket[-1]) | (part != part[-1]))[-1]) + 1 if bucket[0] != bucket[-1] or part[0] != part[-1] else 0
+                if cut:  # the last bucket may go on
+                    compare(t.slice(0, cut), out)
+                    yield from _pair_batches(out)
+                held = [t.slice(cut)]
+                size = len(t) - cut
+        if size:
+            out = []
+            compare(pa.concat_tables(held), out)
+            yield from _pair_batches(out)
+
+    dealt = open_.repartition(partitions(buckets.sparkSession), "bucket", "part").sortWithinPartitions("bucket", "part")
+    return dealt.select("bucket", "part", "parts", "id", "component", "n", "odd", "whole").mapInArrow(run, "a long, b long").distinct()
+
+
+def _pair_batches(out: list[np.ndarray]):
+    for pairs in out:
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -192,17 +242,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         _allowed(F.col("n"), F.col("na"), _flips("whole", "wa"), _flips("odd", "oa"), percent)).select("a", F.col("id").alias("b")).distinct()
     links = confirm(pairs, sets, percent)
     labels = materialise(components(links), "near-labels")
-    low, high = 0, 1
-    while True:
-        found = materialise(_ranked(buckets, labels, percent, low, high), "near-ranked")
-        more = not found.filter("a is null").isEmpty()
-        pairs = found.filter("a is not null")
-        if not pairs.isEmpty():
-            links = links.unionByName(confirm(pairs, sets, percent))
-            labels = materialise(components(links), "near-labels")
-        if not more:
+    for nearest in (True, False):
+        pairs = materialise(_across(buckets, labels, percent, nearest), "near-across")
+        if pairs.isEmpty():
             break
-        low, high = high, high * 8
+        more = confirm(pairs, sets, percent)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = materialise(components(links), "near-labels")
     named = classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("class_component"))
     whole = signed.select("doc_id", "set_key", "n").join(named, "set_key", "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class_component")).otherwise(F.col("doc_id"))

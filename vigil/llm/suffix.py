@@ -4,7 +4,7 @@ A sort of all suffixes of a corpus moves every byte many times, so the suffixes
 dealt out so that only those that can be equal meet:
 
 1. Documents are kept as compressed chunks (a stored table). In every chunk the 50-byte
-   strings are grouped by their smallest 16-byte hash; a run of neighbours with the same one is
+   strings are grouped by the smallest hash of their 24-byte strings; a run of neighbours with the same one is
    one string of the text, ``run + 49`` bytes long. Equal 50-byte strings have equal smallest hashes.
 2. The hashes, a few bytes each, are dealt by value; those of one document only are marked, and
    strings with a marked hash go no further (they cannot repeat).
@@ -38,7 +38,7 @@ from vigil.llm import grams
 from vigil.llm.common import materialise, out_batch, partitions, small_batches, table, text_or_empty
 from vigil.llm.words import mix
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 CHUNK_BYTES, SEGMENT, RUN = 4 << 20, 1 << 18, 1024
 _BASE = 0xA24BAED4963EE407 | 1
 _UP = np.cumprod(np.full(SEGMENT * 4 + LENGTH, _BASE, np.uint64))
