@@ -82,13 +82,13 @@ def _http_rate(S: DataFrame, start_us: int, end_us: int, step: str, matchers=())
     return sr.rate(s, start_us, end_us, step, "5m")
 
 
-def error_ratio(S: DataFrame, start_us: int, end_us: int, step: str = "1m", threshold: float = 0.05) -> DataFrame:
+def error_ratio(S: DataFrame, start_us: int, end_us: int, step: str = "1m", threshold: float | None = 0.05) -> DataFrame:
     """``sum by (instance) 5xx rate / sum by (instance) rate > threshold and on(instance) total > 0``."""
     r = _http_rate(S, start_us, end_us, step)
     failed = F.when(label("labels", "status").rlike("^5..$"), F.col("value"))
     g = r.groupBy("eval_us", "instance").agg(F.sum(failed).alias("_e"), F.sum("value").alias("_t")).filter(F.col("_e").isNotNull())
     g = g.filter(sr.compare_col(F.col("_t"), ">", 0)).select("eval_us", "instance", sr._div(F.col("_e"), F.col("_t")).alias("value"))
-    return sr.compare_filter(g, ">", threshold)
+    return g if threshold is None else sr.compare_filter(g, ">", threshold)
 
 
 def p95_latency(S: DataFrame, start_us: int, end_us: int, step: str = "1m", phi: float = 0.95,

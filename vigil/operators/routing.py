@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.labels import fingerprint as fp_col
-from vigil.functions.labels import label_text
 from vigil.functions.timeutil import dur_us
 from vigil.operators.scans import keyed_lag
 
@@ -90,15 +89,16 @@ def alert_resolve_timeout(E: DataFrame, now_us: int, timeout: str | int = RESOLV
         (F.col("received_us") + F.lit(to)).alias("ends_us"), (F.col("received_us") + F.lit(to)).alias("received_us"))
 
 
-NOTIFY_SCHEMA = "alertname string, instance string, flush_us bigint, n_alerts bigint, n_firing bigint, reason string"
+NOTIFY_COLS = ["flush_us", "n_alerts", "n_firing", "reason"]
+NOTIFY_TYPES = "flush_us bigint, n_alerts bigint, n_firing bigint, reason string"
 
 
 def _ceil_grid(x: int, origin: int, step: int) -> int:
     return origin + max(0, -(-(x - origin) // step)) * step
 
 
-def _notify_group(wait_us: int, interval_us: int, repeat_us: int, now_us: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _notify_group(by: list[str], wait_us: int, interval_us: int, repeat_us: int, now_us: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["received_us", "event_id"])
         t = pdf["received_us"].to_numpy()
         fps, sts = pdf["fingerprint"].to_numpy(), pdf["status"].to_numpy()
@@ -113,11 +113,11 @@ def _notify_group(wait_us: int, interval_us: int, repeat_us: int, now_us: int):
                     i += 1
                 firing = sum(1 for v in state.values() if v == "firing")
                 if changed:
-                    out.append((key[0], key[1], tick, len(state), firing, "initial" if last_sent is None else "change"))
+                    out.append((*key, tick, len(state), firing, "initial" if last_sent is None else "change"))
                     last_sent, changed = tick, False
                     state = {k: v for k, v in state.items() if v == "firing"}
                 elif last_sent is not None and firing and tick - last_sent >= repeat_us:
-                    out.append((key[0], key[1], tick, len(state), firing, "repeat"))
+                    out.append((*key, tick, len(state), firing, "repeat"))
                     last_sent = tick
                 if not state:
                     break
@@ -127,7 +127,7 @@ def _notify_group(wait_us: int, interval_us: int, repeat_us: int, now_us: int):
                 tick = max(min(cand), tick + interval_us)
             else:
                 break  # horizon reached
-        return pd.DataFrame(out, columns=["alertname", "instance", "flush_us", "n_alerts", "n_firing", "reason"])
+        return pd.DataFrame(out, columns=[*by, *NOTIFY_COLS])
 
     return run
 
@@ -147,9 +147,5 @@ def alert_notify(E: DataFrame, now_us: int, wait: str = GROUP_WAIT, interval: st
     e = keyed_lag(e, ["fingerprint"], "received_us", "event_id", ["status"])
     e = e.filter(F.col("prev_status").isNull() | (F.col("prev_status") != F.col("status")))
     e = e.select(*by, "fingerprint", "status", "received_us", "event_id")
-    fn = _notify_group(dur_us(wait), dur_us(interval), dur_us(repeat), now_us)
-    return e.groupBy(*by).applyInPandas(fn, NOTIFY_SCHEMA)
-
-
-def label_set_text(df: DataFrame, labels: str = "labels", out: str = "labels_text") -> DataFrame:
-    return df.withColumn(out, label_text(labels))
+    fn = _notify_group(by, dur_us(wait), dur_us(interval), dur_us(repeat), now_us)
+    return e.groupBy(*by).applyInPandas(fn, ", ".join(f"`{c}` string" for c in by) + ", " + NOTIFY_TYPES)

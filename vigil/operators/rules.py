@@ -92,13 +92,15 @@ def _cmp(value: Column, op: Column, thr: Column) -> Column:
 
 
 def rule_eval(S: DataFrame, rules: DataFrame, start_us: int, end_us: int, tick: str | int = EVAL_INTERVAL,
-              lookback: str | int = "5m", windows: tuple[int, ...] = RATE_WINDOWS_S) -> DataFrame:
+              lookback: str | int = "5m", windows: tuple[int, ...] = RATE_WINDOWS_S,
+              vectors: DataFrame | None = None) -> DataFrame:
     """Evaluate every enabled rule at every tick of ``[start, end]``.
 
     One grid lookup over the union of the rules' metrics, then a join of the rule table on
     ``metric`` (Spark picks its kind by size), label matchers as a higher-order ``forall``,
     optional ``rate`` over one of ``windows`` and aggregation ``by`` labels, which stay real
-    labels, and the comparison. -> rule_id, rule, series, labels, eval_us, value, is_true.
+    labels, and the comparison. ``vectors`` are derived vectors already on the grid (``metric,
+    series, labels, eval_us, value``, such as error ratios); rules name them as their metric. -> rule_id, rule, series, labels, eval_us, value, is_true.
     """
     r = rules.filter(F.coalesce(F.col("enabled"), F.lit(True))).select(
         F.col("id").alias("rule_id"), F.col("name").alias("rule"), F.col("metric").alias("_rm"),
@@ -113,6 +115,9 @@ def rule_eval(S: DataFrame, rules: DataFrame, start_us: int, end_us: int, tick:
     sel = S.join(metrics, S["metric"] == metrics["_rm"], "left_semi")
     parts = [sr.range_vector_grid(sel, start_us, end_us, tick, lookback)
              .join(r.filter(F.col("_fn") == "none"), F.col("metric") == F.col("_rm"))]
+    if vectors is not None:
+        derived = vectors.select("metric", F.element_at("labels", F.lit("instance")).alias("instance"), "series", "labels", "eval_us", "value")
+        parts.append(derived.join(r.filter(F.col("_fn") == "none"), F.col("metric") == F.col("_rm")))
     for w in windows:
         rr = r.filter((F.col("_fn") == "rate") & (F.col("_win") == w))
         m = rr.select("_rm").distinct()

@@ -15,8 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Width of the time buckets used to split one key's rows across tasks.
-DEFAULT_BUCKET_US = 3_600_000_000  # 1 h
+# Width of the time buckets used to split one key's rows across tasks, in the unit of the order
+# column. Pass a width that suits it for other units (line numbers) or very dense keys.
+DEFAULT_BUCKET_US = 600_000_000  # 10 min
 
 
 def composite_key(cols: Sequence[str]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from vigil.operators import rules as ru
@@ -147,3 +149,35 @@ def q_rule_transitions(spark, d):
     t = ru.rule_transitions(st, rules, END, "15s")
     return t.select("fingerprint", "status", "starts_us", "ends_us",
                     F.element_at("annotations", F.lit("summary")).alias("summary"))
+
+
+def _service_sql() -> str:
+    """Error ratio and latency vectors on the minute grid, as ``ev``; runs and states as for the host rules."""
+    from vigil.plans.q_hosts import _http_rate_sql, _quantile_sql
+
+    views = _http_rate_sql().split(" ticks AS", 1)
+    rates = with_views("http_counter", "http_buckets") + ", ticks AS" + views[1]
+    quantile = _quantile_sql(0.95).rsplit("SELECT instance, eval_us, round", 1)[0].rstrip()
+    for name in ("lagged", "st", "ex", "ex2", "rated"):  # the second rate family gets names of its own
+        quantile = re.sub(rf"\b{name}\b", f"{name}_b", quantile)
+    return rates + """,
+er AS (SELECT instance, eval_us, sum(value) FILTER (WHERE regexp_extract(labels, 'status=([^,]*)', 1) LIKE '5__') AS e, sum(value) AS t
+       FROM rated GROUP BY ALL)""" + quantile + """,
+v AS (SELECT 6 AS rule_id, 'http_error_ratio{instance=' || instance || '}' AS series, eval_us, e / t AS value, 0.05 AS threshold,
+             120000 AS for_ms FROM er WHERE e IS NOT NULL AND t > 0
+      UNION ALL SELECT 7, 'http_p95_latency{instance=' || instance || '}', eval_us, value, 1.0, 300000 FROM q),
+t1 AS (SELECT * FROM v WHERE value > threshold AND NOT isnan(value)),
+isl AS (SELECT *, eval_us // 60000000 - row_number() OVER (PARTITION BY rule_id, series ORDER BY eval_us) AS i FROM t1),
+sts AS (SELECT *, min(eval_us) OVER (PARTITION BY rule_id, series, i) AS active_since FROM isl)
+SELECT rule_id, series, eval_us, active_since, round(value, 6) AS value,
+       CASE WHEN eval_us - active_since >= for_ms * 1000 THEN 'firing' ELSE 'pending' END AS state FROM sts"""
+
+
+@query("rule_service", _service_sql())
+def q_rule_service(spark, d):
+    """The two service rules: states over the derived error-ratio and latency vectors, minute ticks."""
+    rules = fx.rules(spark, service=True).filter("id >= 6")
+    samples = fx.gauges(spark, d).filter("metric in ('http_error_ratio', 'http_p95_latency')")
+    ev = ru.rule_eval(samples, rules, T0, END, "1m", vectors=fx.service_vectors(spark, d, T0, END, "1m"))
+    st = ru.rule_for(ev, rules, "1m")
+    return st.select(F.col("rule_id").cast("int"), "series", "eval_us", "active_since", F.round("value", 6).alias("value"), "state")

@@ -267,8 +267,28 @@ HOST_RULES = [
 ]
 
 
-def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(HOST_RULES, RULE_SCHEMA)
+# The shipped service rules: their metrics are the derived vectors of ``service_vectors`` (fixed values).
+SERVICE_RULES = [
+    (6, "HighErrorRate", "http_error_ratio", {}, "none", 0, "none", [], ">", 0.05, 120_000, "warning",
+     "High error rate on {{ $labels.instance }}", "HTTP 5xx error rate is above 5%.", True, "http_error_ratio > 0.05", "2m"),
+    (7, "HighLatency", "http_p95_latency", {}, "none", 0, "none", [], ">", 1.0, 300_000, "warning",
+     "High latency on {{ $labels.instance }}", "HTTP P95 latency is above 1s.", True, "http_p95_latency > 1", "5m"),
+]
+
+
+def rules(spark: SparkSession, service: bool = False) -> DataFrame:
+    return spark.createDataFrame(HOST_RULES + (SERVICE_RULES if service else []), RULE_SCHEMA)
+
+
+def service_vectors(spark: SparkSession, sf_dir: str, start_us: int, end_us: int, step: str) -> DataFrame:
+    """Error ratio (where there is traffic) and 95th percentile latency by instance, on the grid."""
+    from vigil.operators import histogram as hist
+
+    ratio = hist.error_ratio(http_counter_samples(spark, sf_dir), start_us, end_us, step, threshold=None)
+    p95 = hist.p95_latency(http_bucket_samples(spark, sf_dir), start_us, end_us, step, threshold=None)
+    both = ratio.select(F.lit("http_error_ratio").alias("metric"), "instance", "eval_us", "value").unionByName(
+        p95.select(F.lit("http_p95_latency").alias("metric"), "instance", "eval_us", "value"))
+    return both.withColumn("labels", F.create_map(F.lit("instance"), F.col("instance"))).withColumn("series", series_key("metric", "labels"))
 
 
 # Channel rows added to the page URLs so every screen reason occurs (fixed values).
