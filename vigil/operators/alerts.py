@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.timeutil import dur_us
-from vigil.operators.scans import greedy_ttl_accept
+from vigil.operators.scans import greedy_ttl_accept, exact_percentiles
 
 STATUSES = ("firing", "resolved")
 RECENT_DEFAULT = 8
@@ -242,15 +242,7 @@ def alert_outcomes(E: DataFrame, ttl: str | int = SERVICE_DEDUPE_TTL) -> DataFra
 
 
 def alert_duration(history: DataFrame) -> DataFrame:
-    """Seconds from fired to resolved per alert name: count, mean, median, max."""
-    d = history.filter(F.col("resolved_us").isNotNull()).withColumn(
-        "_s", (F.col("resolved_us") - F.col("fired_us")) / 1e6)
-    return d.groupBy("alert_name").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("_s").alias("mean_s"),
-        F.percentile("_s", 0.5).alias("median_s"), F.max("_s").alias("max_s"))
-
-
-def with_alert_columns(E: DataFrame, keys: Sequence[str] = ("alertname", "instance", "severity")) -> DataFrame:
-    for k in keys:
-        E = E.withColumn(k, _lab(k))
-    return E
+    """Seconds from fired to resolved per alert name: count, mean, median (exact), max."""
+    d = history.filter(F.col("resolved_us").isNotNull()).select("alert_name", (F.col("resolved_us") - F.col("fired_us")).alias("_us"))
+    r = exact_percentiles(d, ["alert_name"], "_us", {"median": 0.5}, width=60_000_000)
+    return r.select("alert_name", "n", *((F.col(c) / 1e6).alias(f"{c}_s") for c in ("mean", "median", "max")))

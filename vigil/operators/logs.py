@@ -10,11 +10,11 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.timeutil import dur_us
-from vigil.operators.scans import sliding_count
+from vigil.operators.scans import exact_percentiles, sliding_count
 
 KEYWORD_MAX = 256
 SLOW_MS = 1000.0
@@ -202,32 +202,10 @@ def trace_rate(L: DataFrame, step: str | int, start_us: int = 0) -> DataFrame:
 
 
 def trace_latency(L: DataFrame) -> DataFrame:
-    """Trace duration distribution (percentiles exact, interpolated linearly between neighbours).
-
-    Durations are counted by value; the ranks of values come from running totals within
-    stretches of values plus the totals of the stretches before, so no task holds all values.
-    """
+    """Trace duration distribution (exact percentiles of the durations)."""
     t = log_trace_join(L).select((F.col("end_us") - F.col("start_us")).alias("d_us"))
-    c = t.groupBy("d_us").agg(F.count(F.lit(1)).alias("c")).withColumn("_s", F.floor(F.col("d_us") / F.lit(1_000_000)))
-    run = Window.partitionBy("_s").orderBy("d_us").rowsBetween(Window.unboundedPreceding, 0)
-    s = c.groupBy("_s").agg(F.sum("c").alias("_t"))  # one row per second of duration
-    s = s.select("_s", F.coalesce(F.sum("_t").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    c = c.withColumn("_r", F.sum("c").over(run)).join(s, "_s").withColumn("hi", F.col("_b") + F.col("_r")).withColumn("lo", F.col("hi") - F.col("c"))
-    total = c.agg(F.sum("c").alias("traces"), F.sum(F.col("c") * F.col("d_us")).alias("all_us"), F.max("d_us").alias("max_us"))
-    x = c.join(total)  # one row
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("lo") <= rank) & (rank < F.col("hi")), F.col("d_us")))
-
-    def pct(p: float) -> Column:
-        place = (F.col("traces") - 1) * F.lit(p)
-        low, high = F.floor(place), F.ceil(place)
-        # Linear between the two neighbours; the fraction is the same on every row.
-        return (at(low) + (at(high) - at(low)) * F.max(place - low)) / 1000.0
-
-    n = F.max("traces")
-    return x.agg(F.coalesce(n, F.lit(0)).alias("traces"), (F.max("all_us") / n / 1000.0).alias("mean_ms"),
-                 pct(0.5).alias("p50_ms"), pct(0.95).alias("p95_ms"), (F.max("max_us") / 1000.0).alias("max_ms"))
+    r = exact_percentiles(t, [], "d_us", {"p50": 0.5, "p95": 0.95})
+    return r.select(F.col("n").alias("traces"), *((F.col(c) / 1000.0).alias(f"{c}_ms") for c in ("mean", "p50", "p95", "max")))
 
 
 def trace_sample(L: DataFrame, rate: float) -> DataFrame:

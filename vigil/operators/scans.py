@@ -198,3 +198,33 @@ def greedy_ttl_accept(df: DataFrame, keys: Sequence[str], ts: str, id_col: str,
     acc = acc.distinct().select(F.col("_id").alias("_acc_id"), F.lit(True).alias("_acc"))
     res = df.join(acc, df[id_col] == acc["_acc_id"], "left")
     return res.withColumn(out, F.coalesce(F.col("_acc"), F.lit(False))).drop("_acc_id", "_acc")
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: dict[str, float], width: int = 1_000_000) -> DataFrame:
+    """Per group: ``n``, ``mean``, ``max`` and the exact percentiles ``ps`` (name -> p) of a BIGINT
+    column, interpolated linearly between neighbours.
+
+    Values are counted first; ranks are running totals inside stretches of ``width`` plus the
+    totals of the stretches before, so no task holds all values of a group.
+    """
+    keys = list(keys)
+    d = df if keys else df.withColumn("_all", F.lit(0))
+    by = keys or ["_all"]
+    c = d.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_s", F.floor(F.col("_v") / F.lit(width)))
+    s = c.groupBy(*by, "_s").agg(F.sum("_c").alias("_t"))
+    order = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.select(*by, "_s", F.coalesce(F.sum("_t").over(order), F.lit(0)).alias("_b"), F.sum("_t").over(Window.partitionBy(*by)).alias("_n"))
+    run = Window.partitionBy(*by, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    x = c.withColumn("_r", F.sum("_c").over(run)).join(s, [*by, "_s"]).withColumn("_hi", F.col("_b") + F.col("_r"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_hi") - F.col("_c") <= rank) & (rank < F.col("_hi")), F.col("_v")))
+
+    out = []
+    for name, p in ps.items():
+        place = (F.col("_n") - 1) * F.lit(p)
+        low, high = F.floor(place), F.ceil(place)
+        out.append((at(low) + (at(high) - at(low)) * F.max(place - low)).alias(name))
+    n = F.sum("_c")
+    g = x.groupBy(*by).agg(n.alias("n"), (F.sum(F.col("_c") * F.col("_v")) / n).alias("mean"), F.max("_v").alias("max"), *out)
+    return g if keys else g.drop("_all")

@@ -106,6 +106,19 @@ def q_log_trace_join(spark, d):
     return t.select("trace_id", "spans", F.array_join("services", ",").alias("services"), "start_us", "end_us")
 
 
+@query("log_span_join", with_views("logs") + """,
+spans AS (SELECT trace_id, span_id AS span, max(t_us) - min(t_us) AS took_us FROM logs WHERE span_id IS NOT NULL AND event_id % 3 <> 0
+          GROUP BY ALL)
+SELECT l.trace_id, count(DISTINCT l.span_id) AS spans, min(l.t_us) AS start_us, max(l.t_us) AS end_us
+FROM logs l JOIN spans s ON l.trace_id = s.trace_id GROUP BY ALL""")
+def q_log_span_join(spark, d):
+    """Logs joined to a span table by trace id: only traces with stored spans come back."""
+    L = _logs(spark, d)
+    spans = (L.filter(F.col("span_id").isNotNull() & (F.col("event_id") % 3 != 0)).groupBy("trace_id", F.col("span_id").alias("span"))
+             .agg((F.max("t_us") - F.min("t_us")).alias("took_us")))
+    return lg.log_trace_join(L, spans).select("trace_id", "spans", "start_us", "end_us")
+
+
 @query("trace_rate", with_views("logs") + f"""
 SELECT {T0} + (t_us - {T0}) // 300000000 * 300000000 AS bucket_us, count(DISTINCT trace_id) AS traces
 FROM logs WHERE trace_id IS NOT NULL GROUP BY ALL""")

@@ -262,12 +262,55 @@ def q_topk(spark, d):
     return sr.topk(g, 3).select("series", "eval_us", R6("value").alias("value"))
 
 
-@query("metric_catalogue", with_views("samples") + f", {_GRID}, sel AS (SELECT * FROM samples WHERE metric = "
-       f"'network_recv_bytes_total' AND instance = 'host-7'), {_rate_sql('sel')}" + """
-SELECT series, eval_us, round(value, 6) AS value FROM rated""")
+# Metrics of the catalogue that the fixture lacks are derived from the ones it has: name -> (source, factor).
+DERIVED = {"memory_total_bytes": ("memory_usage_percent", 1000.0), "memory_available_bytes": ("memory_usage_percent", 10.0),
+           "load1": ("cpu_usage_percent", 0.5), "load5": ("cpu_usage_percent", 0.25), "load15": ("cpu_usage_percent", 0.125),
+           "process_count": ("cpu_usage_percent", 2.0), "uptime_seconds": ("cpu_usage_percent", 4000.0),
+           "network_sent_bytes_total": ("network_recv_bytes_total", 1.0)}
+_WIDE_SQL = "wide AS (SELECT * FROM samples" + "".join(
+    f" UNION ALL SELECT * REPLACE ('{m}' AS metric, '{m}{{' || labels || '}}' AS series, value * {f} AS value) FROM samples WHERE metric = '{src}'"
+    for m, (src, f) in DERIVED.items()) + """
+ UNION ALL SELECT * REPLACE ('ALERTS' AS metric, 'ALERTS{alertstate=' || CASE WHEN event_id % 2 = 0 THEN 'firing' ELSE 'pending' END || ',' || labels || '}' AS series)
+   FROM samples WHERE metric = 'up')"""
+
+
+def wide_samples(spark, d):
+    """The fixture's samples and the derived metrics, so that the whole catalogue has rows."""
+    from vigil.functions.labels import series_key
+
+    s = out = fx.samples(spark, d)
+    for m, (src, f) in DERIVED.items():
+        t = s.filter(F.col("metric") == src).withColumn("metric", F.lit(m)).withColumn("value", F.col("value") * f)
+        out = out.unionByName(t.withColumn("series", series_key("metric", "labels")))
+    state = F.create_map(F.lit("alertstate"), F.when(F.col("event_id") % 2 == 0, "firing").otherwise("pending"))
+    a = s.filter("metric = 'up'").withColumn("metric", F.lit("ALERTS")).withColumn("labels", F.map_concat("labels", state))
+    return out.unionByName(a.withColumn("series", series_key("metric", "labels")))
+
+
+def _catalogue_sql() -> str:
+    """One row set per name: plain names by lookup, disk by maximum, rates by the rate rule."""
+    gauges = {n: m for n, (m, kind) in sr.CATALOGUE.items() if kind == "gauge"}
+    named = ", ".join(f"('{n}', '{m}')" for n, m in gauges.items())
+    rates = ", ".join(f"('{n}', '{m}')" for n, (m, kind) in sr.CATALOGUE.items() if kind == "rate")
+    return with_views("samples") + f", {_GRID}, {_WIDE_SQL}, lk AS ({_LOOKUP.format(src='wide')}), g(name, metric) AS (VALUES {named}), " \
+        f"rt(name, metric) AS (VALUES {rates}), sel AS (SELECT * FROM wide WHERE metric IN (SELECT metric FROM rt) AND instance = 'host-7'), " \
+        + _rate_sql("sel").strip() + """
+SELECT name, series, eval_us, round(value, 6) AS value FROM lk JOIN g USING (metric) WHERE instance = 'host-7'
+UNION ALL SELECT 'disk_usage', 'disk_usage_percent{instance=' || instance || '}', eval_us, round(max(value), 6) FROM lk
+  WHERE metric = 'disk_usage_percent' AND instance = 'host-7' GROUP BY instance, eval_us
+UNION ALL SELECT name, series, eval_us, round(value, 6) FROM rated JOIN rt ON starts_with(rated.series, rt.metric || '{')
+UNION ALL SELECT 'host_list', series, eval_us, round(value, 6) FROM lk WHERE metric = 'up' AND contains(labels, 'job=probe')
+UNION ALL SELECT 'active_alerts', series, eval_us, round(value, 6) FROM lk WHERE metric = 'ALERTS' AND contains(series, 'alertstate=firing')"""
+
+
+@query("metric_catalogue", _catalogue_sql())
 def q_metric_catalogue(spark, d):
-    v = sr.metric_catalogue(fx.samples(spark, d), "network_recv", T0, END, "1m", instance="host-7")
-    return v.select("series", "eval_us", R6("value").alias("value"))
+    s, out = wide_samples(spark, d), None
+    for name in sr.CATALOGUE:
+        v = sr.metric_catalogue(s, name, T0, END, "1m", instance="host-7" if name in sr.NEEDS_INSTANCE else None)
+        v = v.select(F.lit(name).alias("name"), "series", "eval_us", R6("value").alias("value"))
+        out = v if out is None else out.unionByName(v)
+    return out
 
 
 _HMR_START = END - 3_600_000_000
@@ -275,18 +318,22 @@ _HMR_START = END - 3_600_000_000
 
 @query("host_metric_ranges", with_views("samples")
        + f", ticks AS (SELECT unnest(range({_HMR_START}, {END} + 1, {STEP})) AS eval_us), "
-       "host AS (SELECT * FROM samples WHERE instance = 'host-7'), "
+       f"{_WIDE_SQL}, host AS (SELECT * FROM wide WHERE instance = 'host-7'), "
        "c AS (SELECT * FROM host WHERE metric = 'cpu_usage_percent'), "
        "m AS (SELECT * FROM host WHERE metric = 'memory_usage_percent'), "
        "dk AS (SELECT * FROM host WHERE metric = 'disk_usage_percent'), "
-       "n AS (SELECT * FROM host WHERE metric = 'network_recv_bytes_total'), "
+       "n AS (SELECT * FROM host WHERE metric IN ('network_recv_bytes_total', 'network_sent_bytes_total')), "
+       "o AS (SELECT * FROM host WHERE metric IN ('load1', 'process_count', 'uptime_seconds')), "
        f"lc AS ({_LOOKUP.format(src='c')}), lm AS ({_LOOKUP.format(src='m')}), ld AS ({_LOOKUP.format(src='dk')}), "
+       f"lo AS ({_LOOKUP.format(src='o')}), "
        + _rate_sql("n") + """
 SELECT 'cpu' AS name, series, eval_us, round(value, 6) AS value FROM lc
 UNION ALL SELECT 'memory', series, eval_us, round(value, 6) FROM lm
 UNION ALL SELECT 'disk', 'disk_usage_percent{instance=' || instance || '}', eval_us, round(max(value), 6)
           FROM ld GROUP BY instance, eval_us
-UNION ALL SELECT 'network_recv', series, eval_us, round(value, 6) FROM rated""")
+UNION ALL SELECT CASE metric WHEN 'uptime_seconds' THEN 'uptime' ELSE metric END, series, eval_us, round(value, 6) FROM lo
+UNION ALL SELECT CASE WHEN starts_with(series, 'network_recv') THEN 'network_recv' ELSE 'network_sent' END, series, eval_us, round(value, 6)
+          FROM rated""")
 def q_host_metric_ranges(spark, d):
-    v = sr.host_metric_ranges(fx.samples(spark, d), "host-7", "1h", now_us=END)
+    v = sr.host_metric_ranges(wide_samples(spark, d), "host-7", "1h", now_us=END)
     return v.select("name", "series", "eval_us", R6("value").alias("value"))
