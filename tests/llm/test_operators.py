@@ -96,12 +96,13 @@ def test_decontaminate(spark, odd, none):
     items = spark.createDataFrame([(1, P1), (2, long), (3, "tiny item words"), (4, None), (5, ""), (None, P2), (6, long)], "item_id long, text string")
     rows = spark.createDataFrame([(1, f"before {P1} after"), (2, f"a b c {changed} d"), (3, "say tiny item words now"), (4, "tiny item word"), (5, P1[:40]),
                                   (6, None), (7, long[:70]), (8, " ".join(f"w{i}" for i in range(32)) + " the end"), (9, P1.upper().replace(" ", ", ")),
-                                  (None, P2), (11, "x " * 3000 + long)], "doc_id long, text string")
+                                  (None, P2), (11, "x " * 3000 + long), (12, "begin " + " ".join(f"w{i}" for i in range(20, 33)) + " end"),
+                                  (13, "begin " + " ".join(f"w{i}" for i in range(20, 32)) + " end")], "doc_id long, text string")
     got = {(r.doc_id, r.item_id): (r.item_words, r.covered, r.equal) for r in decontaminate.contaminated(rows, items).collect()}
-    assert set(got) == {(1, 1), (2, 2), (2, 6), (3, 3), (8, 2), (8, 6), (9, 1), (None, None), (11, 2), (11, 6)}
+    assert set(got) == {(1, 1), (2, 2), (2, 6), (3, 3), (8, 2), (8, 6), (9, 1), (None, None), (11, 2), (11, 6), (12, 2), (12, 6), (7, 2), (7, 6)}
     assert got[1, 1] == (24, 24, 24) and got[8, 2] == (60, 32, 32) and got[2, 2][2] == 50
     kept = decontaminate.drop_contaminated(rows, items)
-    assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 7]
+    assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 13]
     assert decontaminate.drop_contaminated(odd, items).schema == odd.schema
     empty = items.limit(0)
     assert decontaminate.drop_contaminated(odd, empty).count() == len(ODD)

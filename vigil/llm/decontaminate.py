@@ -6,7 +6,8 @@ benchmark items are joined with those of the documents; each hit proposes an ali
 (document, item, shift). The words of both are then compared along the shift, and the best
 stretch, one point for an equal word and minus one for a different one, counts. A document
 is contaminated by an item if its stretches cover at least ``MIN_COVER`` percent of the
-item's words, ``MIN_WORDS`` equal ones at least (or the whole of a shorter item).
+item's words, ``MIN_WORDS`` equal ones at least (or the whole of a shorter item), or if one
+stretch alone has ``LONG_RUN`` equal words.
 
 Words: white-space separated, lower case, letters and digits only. Items with fewer words than the
 widest mask also get a mask of exactly their length.
@@ -33,7 +34,7 @@ from vigil.llm.common import bitmap, materialise, out_batch, slabs, small_batche
 from vigil.llm.words import alnum, gram_hashes, mix, word_hashes
 
 MASKS = ["1110111", "11011011", "1101010111"]
-MIN_WORDS, MIN_COVER = 8, 50
+MIN_WORDS, MIN_COVER, LONG_RUN = 8, 50, 13
 FILTER_BITS = 1 << 24
 #: Copies of the benchmark's hashes, so that a common passage is joined in as many parts.
 SALTS = 16
@@ -190,7 +191,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WOR
     named = both.join(items, "item").withColumn("item_words", n)
     whole = (F.col("item_words") < min_words) & (F.col("equal") >= F.col("item_words"))
     large = (F.col("equal") >= min_words) & (100 * F.col("covered") >= min_cover * F.col("item_words"))
-    return named.filter(whole | large).select("doc_id", "text_hash", "item_id", "item_words", "covered", "equal", "first_word", "last_word")
+    return named.filter(whole | large | (F.col("equal") >= LONG_RUN)).select("doc_id", "text_hash", "item_id", "item_words", "covered", "equal", "first_word", "last_word")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
