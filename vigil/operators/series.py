@@ -132,31 +132,35 @@ def _window_stats(S: DataFrame, start_us: int, end_us: int, step_us: int, win_us
     (series, step) — steps are ``(T_{k-1}, T_k]`` — and the summaries, not the samples, are
     exploded onto the ``win/step`` ticks that contain them. A step's last sample lying
     exactly on a grid point is also the closed left edge of a later window; it is carried
-    as an extra "edge" row. Resets inside a step are summed once; the reset between a
-    step's first sample and its predecessor counts only while that predecessor is still
-    inside the window. All buffers are fixed-width (hash aggregation). Without ``resets`` the
+    as an extra "edge" row. Resets inside a step are summed once, by an ordered pass inside
+    (series, step); the reset between a step's first sample and its predecessor, which comes
+    from the summaries, counts only while that predecessor is still inside the window. All buffers are fixed-width (hash aggregation). Without ``resets`` the
     ordered pass for the previous sample is left out.
     """
     tie = "event_id" if "event_id" in S.columns else "value"
     s = S.filter((F.col("t_us") >= start_us - win_us) & (F.col("t_us") <= end_us))
-    if resets:
-        s = keyed_lag(s, ["series"], "t_us", tie, ["value"])
-    else:
-        s = s.withColumn("prev_t_us", F.lit(None).cast("bigint")).withColumn("prev_value", F.lit(None).cast("double"))
     if win_us % step_us != 0:
+        if resets:
+            s = keyed_lag(s, ["series"], "t_us", tie, ["value"])
+        else:
+            s = s.withColumn("prev_t_us", F.lit(None).cast("bigint")).withColumn("prev_value", F.lit(None).cast("double"))
         return _window_stats_samples(s, start_us, end_us, step_us, win_us)
     m = win_us // step_us
     kmax = (end_us - start_us) // step_us
     keys = [*SERIES_COLS, "labels"]
     s = s.withColumn("_b", F.ceil((F.col("t_us") - F.lit(start_us)) / F.lit(step_us)).cast("bigint"))
-    prev_b = F.ceil((F.col("prev_t_us") - F.lit(start_us)) / F.lit(step_us)).cast("bigint")
-    is_reset = F.col("prev_value").isNotNull() & (F.col("value") < F.col("prev_value"))
+    inner = F.lit(0.0)
+    if resets:
+        s = s.withColumn("_prev", F.lag("value").over(Window.partitionBy("series", "_b").orderBy("t_us", tie)))
+        inner = F.sum(F.when(F.col("value") < F.col("_prev"), F.col("_prev")).otherwise(F.lit(0.0)))
     b = (s.groupBy(*keys, "_b").agg(
         F.count(F.lit(1)).alias("n"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"),
-        F.min_by("value", "t_us").alias("first_v"), F.max_by("value", "t_us").alias("last_v"),
-        F.sum(F.when(is_reset & (prev_b == F.col("_b")), F.col("prev_value")).otherwise(F.lit(0.0))).alias("inner"),
-        F.min_by("prev_t_us", "t_us").alias("bp_t"), F.min_by("prev_value", "t_us").alias("bp_v"),
+        F.min_by("value", "t_us").alias("first_v"), F.max_by("value", "t_us").alias("last_v"), inner.alias("inner"),
         F.min("value").alias("min_v"), F.max("value").alias("max_v"), F.sum("value").alias("sum_v")))
+    # The sample before a step's first one is the last of the step before that has any.
+    steps = Window.partitionBy("series").orderBy("_b")
+    for out, c in (("bp_t", "last_us"), ("bp_v", "last_v")):
+        b = b.withColumn(out, F.lag(c).over(steps) if resets else F.lit(None).cast("double"))
     tick = lambda k: F.lit(start_us) + k * F.lit(step_us)
     full_lo = F.greatest(F.col("_b"), F.lit(0))
     full_hi = F.least(F.col("_b") + F.lit(m - 1), F.lit(kmax))
