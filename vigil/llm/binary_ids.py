@@ -62,7 +62,7 @@ def train_dictionary(docs: DataFrame, vocab: str, end_id: int, size: int = DICT_
 
 def write_shards(docs: DataFrame, folder: str, dictionary: bytes, vocab: str, end_id: int, n: int) -> DataFrame:
     """Write shards in ascending ``doc_id`` order; returns the manifest, one row per shard (materialised)."""
-    small_batches(docs.sparkSession, "16m")
+    small_batches(docs.sparkSession, "6m")
     sha = hashlib.sha256(dictionary).digest()
 
     def write(batches):

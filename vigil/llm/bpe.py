@@ -40,7 +40,7 @@ class PieceEncoder:
     seen most often stays.
     """
 
-    def __init__(self, path: str, cache: int = 1_000_000):
+    def __init__(self, path: str, cache: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -149,8 +149,9 @@ class PieceEncoder:
         """``ids`` (uint32) of all texts and ``offsets`` (n + 1): text i has ``ids[offsets[i]:offsets[i + 1]]``."""
         texts = (pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()))
         ids, offsets, total = [], [np.zeros(1, np.int64)], 0
-        for a, b in slabs(pc.binary_length(texts).to_pylist(), 16_000_000):
+        for a, b in slabs(pc.binary_length(texts).to_pylist(), 6_000_000):
             got, ends = self._slab(texts[a:b], end_id)
+            pa.default_memory_pool().release_unused()  # else Arrow keeps what the slab has used
             ids.append(got)
             offsets.append(ends + total)
             total += len(got)

@@ -46,7 +46,7 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
 
 def token_pieces(docs: DataFrame, vocab: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """Tokenize every whole text once; one row per piece, ids as checksum only."""
-    small_batches(docs.sparkSession, "16m")
+    small_batches(docs.sparkSession, "6m")
 
     def pieces(batches):
         ids_of = bpe.encoder(vocab)

@@ -4,7 +4,7 @@ A sort of all suffixes of a corpus moves every byte many times, so the suffixes
 dealt out so that only those that can be equal meet:
 
 1. Documents are kept as compressed chunks (a stored table). In every chunk the 50-byte
-   strings are grouped by the smallest hash of their 24-byte strings; a run of neighbours with the same one is
+   strings are grouped by the smallest hash of their 20-byte strings; a run of neighbours with the same one is
    one string of the text, ``run + 49`` bytes long. Equal 50-byte strings have equal smallest hashes.
 2. The hashes, a few bytes each, are dealt by value; those of one document only are marked, and
    strings with a marked hash go no further (they cannot repeat).
@@ -38,7 +38,7 @@ from vigil.llm import grams
 from vigil.llm.common import materialise, out_batch, partitions, small_batches, table, text_or_empty
 from vigil.llm.words import mix
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 20
 CHUNK_BYTES, SEGMENT, RUN = 4 << 20, 1 << 18, 1024
 _BASE = 0xA24BAED4963EE407 | 1
 _UP = np.cumprod(np.full(SEGMENT * 4 + LENGTH, _BASE, np.uint64))
@@ -188,13 +188,27 @@ def repeated_hashes(chunks: DataFrame, n: int) -> DataFrame:
 
 # --- strings and their suffixes -----------------------------------------------------------
 
-STRINGS = "least long, sid long, string binary, low long, high long, chunk long"
+PACKED = "bucket int, chunk long, strings binary"
+#: What is kept of a string beside its bytes: their number, and the smallest and largest document that hold it.
+HEAD = np.dtype([("size", "<u2"), ("low", "<i8"), ("high", "<i8")])
+
+
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of several stretches, one after another."""
+    ends = np.cumsum(size)
+    at = np.repeat(start - (ends - size), size)
+    at += np.arange(len(at))
+    return data[at]
 
 
 def repeatable_strings(screened: DataFrame, n: int) -> DataFrame:
-    """``STRINGS``: the different strings of each chunk that may repeat, with its smallest and largest document that hold them."""
+    """``PACKED``: the different strings of each chunk that may repeat, by bucket of their smallest hash, compressed."""
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("strings", pa.binary())])
 
     def run(batches):
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
         for b in batches:
             for row in b.to_pylist():
                 c = Chunk(row)
@@ -207,96 +221,144 @@ def repeatable_strings(screened: DataFrame, n: int) -> DataFrame:
                 keep = np.flatnonzero(marked[number]) if len(number) else np.zeros(0, np.int64)
                 if not len(keep):
                     continue
-                keep = keep[np.argsort(sid[keep], kind="stable")]
-                ids = c.ids[doc[keep]]
+                keep = keep[np.lexsort((sid[keep], bucket[number[keep]]))]
                 first = np.flatnonzero(np.concatenate([[True], sid[keep][1:] != sid[keep][:-1]]))
-                low, high = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
+                ids = c.ids[doc[keep]]
+                head = np.zeros(len(first), HEAD)
+                head["low"], head["high"] = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
                 keep = keep[first]
-                length = size[keep] + LENGTH - 1
-                ends = np.cumsum(length)
-                gather = np.arange(ends[-1]) + np.repeat(start[keep] - (ends - length), length)
-                strings = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(c.data[gather])])
-                yield pa.RecordBatch.from_arrays([pa.array(least[keep].view(np.int64)), pa.array(sid[keep].view(np.int64)), strings, pa.array(low), pa.array(high),
-                                                  pa.array(np.full(len(keep), row["chunk"]))], names=["least", "sid", "string", "low", "high", "chunk"])
+                head["size"] = size[keep] + LENGTH - 1
+                of = bucket[number[keep]]
+                cuts = np.searchsorted(of, np.arange(n + 1))
+                full = np.flatnonzero(np.diff(cuts))
+                packed = []
+                for a, z in zip(cuts[full], cuts[full + 1]):
+                    planes = head[a:z].view(np.uint8).reshape(z - a, -1).T.tobytes()
+                    text = _gather(c.data, start[keep[a:z]], head["size"][a:z].astype(np.int64)).tobytes()
+                    packed.append(press.compress(np.int64(z - a).tobytes() + planes + text))
+                yield out_batch(schema, [full, np.full(len(full), row["chunk"]), packed])
 
-    return screened.mapInArrow(run, STRINGS)
+    return screened.mapInArrow(run, PACKED)
 
 
-def _spans_of(least: np.ndarray, low: np.ndarray, strings: list[bytes]) -> list[list[tuple[int, int, int]]]:
-    """For each string, ``(at, n, smallest document)`` of its runs of 50-byte strings; strings are different, sorted by ``least``."""
-    size = np.array([len(s) for s in strings], np.int64)
-    out = [[(0, int(k) - LENGTH + 1, int(d))] for k, d in zip(size, low)]
-    alone = np.ones(len(least), bool)
+def _unpack(packed: bytes) -> tuple[np.ndarray, ...]:
+    """Heads, bytes, smallest hashes and string ids of a packed bucket; the hashes are computed from the bytes."""
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    n = int(raw[:8].view(np.int64)[0])
+    head = np.ascontiguousarray(raw[8:8 + n * HEAD.itemsize].reshape(HEAD.itemsize, n).T).view(HEAD).ravel()
+    data, size = raw[8 + n * HEAD.itemsize:], head["size"].astype(np.int64)
+    ends = np.cumsum(size)
+    least, sid = np.empty(n, np.uint64), np.empty(n, np.uint64)
+    a = 0
+    while a < n:  # as many strings as the tables of powers reach
+        z = max(a + 1, int(np.searchsorted(ends, ends[a] - size[a] + len(_UP) - LENGTH, side="right")))
+        begin = ends[a] - size[a]
+        g = grams.gram_hashes(data[begin:ends[z - 1]], GRAM)
+        first = ends[a:z] - size[a:z] - begin
+        last = first + size[a:z] - GRAM + 1  # of the grams of a string
+        bounds = np.stack([first, np.minimum(last, len(g) - 1)], 1).ravel()
+        low = np.minimum.reduceat(g, bounds)[::2]
+        low[-1] = g[first[-1]:].min()
+        least[a:z] = low
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(g * _DOWN[:len(g)])])
+        sid[a:z] = mix((total[last] - total[first]) * _UP[first] + (size[a:z] - LENGTH + 1).astype(np.uint64))
+        a = z
+    return head, data, least, sid
+
+
+def _spans(least: np.ndarray, low: np.ndarray, size: np.ndarray, start: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``string, at, n, smallest document`` of the runs of 50-byte strings in different strings, sorted by ``least``."""
     same = least[1:] == least[:-1]
+    alone = np.ones(len(least), bool)
     alone[1:] &= ~same
     alone[:-1] &= ~same
-    many = np.flatnonzero(~alone)
-    if not len(many):
-        return out
-    data = np.frombuffer(b"".join(strings[i] for i in many), np.uint8)
-    ends = np.cumsum(size[many])
-    order = grams.suffix_order(data.astype(np.int64) + 1)
-    owner = np.repeat(np.arange(len(many)), size[many])
-    order = order[order + LENGTH <= ends[owner[order]]]
-    group = np.concatenate([[0], np.cumsum(~grams.same_as_next(data, order, LENGTH))])
-    best = np.full(group[-1] + 1, np.iinfo(np.int64).max)
-    np.minimum.at(best, group, low[many][owner[order]])
-    at = np.full(len(data), -1, np.int64)
-    at[order] = np.arange(len(order))
-    places = np.flatnonzero(at >= 0)
-    value, own = best[group[at[places]]], owner[places]
-    first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (value[1:] != value[:-1])]))
-    n = np.diff(np.append(first, len(places)))
-    for i in many:
-        out[i] = []
-    offset = places - (ends - size[many])[own]
-    for f, k in zip(first, n):
-        out[many[own[f]]].append((int(offset[f]), int(k), int(value[f])))
-    return out
+    one, many = np.flatnonzero(alone), np.flatnonzero(~alone)
+    out = [(one, np.zeros(len(one), np.int64), size[one] - LENGTH + 1, low[one])]
+    if len(many):
+        text, length = _gather(data, start[many], size[many]), size[many]
+        ends = np.cumsum(length)
+        order = grams.suffix_order(text.astype(np.int64) + 1)
+        owner = np.repeat(np.arange(len(many)), length)
+        order = order[order + LENGTH <= ends[owner[order]]]
+        group = np.concatenate([[0], np.cumsum(~grams.same_as_next(text, order, LENGTH))])
+        best = np.full(group[-1] + 1, np.iinfo(np.int64).max)
+        np.minimum.at(best, group, low[many][owner[order]])
+        at = np.full(len(text), -1, np.int64)
+        at[order] = group
+        places = np.flatnonzero(at >= 0)
+        value, own = best[at[places]], owner[places]
+        first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (value[1:] != value[:-1])]))
+        offset = places - (ends - length)[own]
+        out.append((many[own[first]], offset[first], np.diff(np.append(first, len(places))), value[first]))
+    cols = [np.concatenate(c) for c in zip(*out)]
+    order = np.argsort(cols[0], kind="stable")
+    return tuple(c[order] for c in cols)
+
+
+#: Bytes of strings whose suffixes are sorted together.
+SLAB = 1 << 20
 
 
 def removable(strings: DataFrame, n: int) -> DataFrame:
     """``(chunk, hits)``: for each chunk, its strings' spans that a smaller document holds."""
     schema = pa.schema([("chunk", pa.int64()), ("hits", pa.binary())])
 
-    def flush(found: dict[int, list[tuple]]):
-        if found:
-            yield out_batch(schema, [list(found), [np.array(v, HIT).tobytes() for v in found.values()]])
-            found.clear()
-
-    def slab(rows: pa.Table, found: dict[int, list[tuple]]) -> None:
-        least, sid = (rows.column(c).to_numpy() for c in ("least", "sid"))
-        low, high, chunk = (rows.column(c).to_numpy() for c in ("low", "high", "chunk"))
-        new = np.concatenate([[True], (least[1:] != least[:-1]) | (sid[1:] != sid[:-1])])
-        first, number = np.flatnonzero(new), np.cumsum(new) - 1
-        spans = _spans_of(least[first], np.minimum.reduceat(low, first), rows.column("string").take(pa.array(first)).to_pylist())
-        for s, h, c, k in zip(sid.view(np.uint64).tolist(), high.tolist(), chunk.tolist(), number):
-            hits = [(s, d, at, m) for at, m, d in spans[k] if d < h]
-            if hits:
-                found.setdefault(c, []).extend(hits)
+    def bucket_hits(rows: list[tuple[int, bytes]]):
+        parts = [(chunk, *_unpack(packed)) for chunk, packed in rows]
+        chunk = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
+        head, data, least, sid = (np.concatenate([p[k] for p in parts]) for k in range(1, 5))
+        size = head["size"].astype(np.int64)
+        start = np.cumsum(size) - size
+        order = np.lexsort((sid, least))
+        new = np.concatenate([[True], (least[order][1:] != least[order][:-1]) | (sid[order][1:] != sid[order][:-1])])
+        first = np.flatnonzero(new)
+        number = np.cumsum(new) - 1  # of the different string, for each row in order
+        low = np.minimum.reduceat(head["low"][order], first)
+        lead = order[first]
+        # Slabs of whole hashes.
+        bounds = np.flatnonzero(np.concatenate([[True], least[lead][1:] != least[lead][:-1]]))
+        filled = np.cumsum(size[lead])
+        cuts, a = [0], 0
+        for z in np.append(bounds[1:], len(lead)):
+            if filled[z - 1] - (filled[a - 1] if a else 0) >= SLAB:
+                cuts.append(int(z))
+                a = int(z)
+        if cuts[-1] != len(lead):
+            cuts.append(len(lead))
+        spans = []
+        for a, z in zip(cuts, cuts[1:]):
+            own, at, m, value = _spans(least[lead[a:z]], low[a:z], size[lead[a:z]], start[lead[a:z]], data)
+            spans.append((own + a, at, m, value))
+        own, at, m, value = (np.concatenate(c) for c in zip(*spans))
+        count = np.bincount(own, minlength=len(lead))
+        each = count[number]
+        row = np.repeat(order, each)
+        span = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each) + np.repeat((np.cumsum(count) - count)[number], each)
+        keep = value[span] < head["high"][row]
+        row, span = row[keep], span[keep]
+        hits = np.zeros(len(row), HIT)
+        hits["sid"], hits["least"], hits["at"], hits["n"] = sid[row], value[span], at[span], m[span]
+        by = np.argsort(chunk[row], kind="stable")
+        hits, of = hits[by], chunk[row][by]
+        ends = np.flatnonzero(np.concatenate([of[1:] != of[:-1], [True]])) + 1 if len(of) else np.zeros(0, np.int64)
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)[:len(ends)]
+        return out_batch(schema, [of[begins], [hits[a:z].tobytes() for a, z in zip(begins, ends)]])
 
     def run(batches):
-        held, size, found = [], 0, {}
+        now, rows = None, []
         for b in batches:
-            t = pa.Table.from_batches([b])
-            size += t.column("string").nbytes
-            held.append(t)
-            if size > 1 << 20:
-                t = pa.concat_tables(held)
-                least = t.column("least").to_numpy()
-                cut = int(np.searchsorted(least, least[-1]))  # the last hash may go on
-                if cut:
-                    slab(t.slice(0, cut), found)
-                    t = t.slice(cut)
-                held, size = [t], 0 if cut else size
-                if sum(map(len, found.values())) > 200_000:
-                    yield from flush(found)
-        if held and (t := pa.concat_tables(held)).num_rows:
-            slab(t, found)
-        yield from flush(found)
-
-    small_batches(strings.sparkSession, "1m")
-    dealt = strings.repartition(n, "least").sortWithinPartitions("least", "sid")
+            for bucket, chunk, packed in zip(*(b.column(c).to_pylist() for c in ("bucket", "chunk", "strings"))):
+                if bucket != now and rows:
+                    yield bucket_hits(rows)
+                    rows = []
+                now = bucket
+                rows.append((chunk, packed))
+        if rows:
+            yield bucket_hits(rows)
+
+    dealt = strings.repartition(n, "bucket").sortWithinPartitions("bucket", "chunk")
     return dealt.mapInArrow(run, "chunk long, hits binary").groupBy("chunk").agg(F.collect_list("hits").alias("hits"))
 
 
