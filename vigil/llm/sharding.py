@@ -36,11 +36,11 @@ def base_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
 
 def grow_map(slot_map: DataFrame, slots: int = SLOTS) -> DataFrame:
     """The next version with one more shard: each shard hands over the slots above its new share, no others move."""
-    n = slot_map.agg((F.max("shard") + 1).alias("n"), (F.max("version") + 1).alias("v"))
+    whole = Window.partitionBy(F.lit(0))  # over the slot map, of fixed size
     rank = F.row_number().over(Window.partitionBy("shard").orderBy("vslot"))
-    ranked = slot_map.withColumn("rank", rank).crossJoin(F.broadcast(n))  # n is one row
+    ranked = slot_map.withColumn("rank", rank).withColumn("n", F.max("shard").over(whole) + 1)
     share = F.floor(F.lit(slots) / (F.col("n") + 1)) + (F.col("shard") < F.pmod(F.lit(slots), F.col("n") + 1)).cast("int")
-    return ranked.select(F.col("v").alias("version"), "vslot",
+    return ranked.select((F.col("version") + 1).alias("version"), "vslot",
                          F.when(F.col("rank") <= share, F.col("shard")).otherwise(F.col("n")).cast("int").alias("shard"))
 
 
