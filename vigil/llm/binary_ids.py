@@ -62,7 +62,7 @@ def train_dictionary(docs: DataFrame, vocab: str, end_id: int, size: int = DICT_
 
 def write_shards(docs: DataFrame, folder: str, dictionary: bytes, vocab: str, end_id: int, n: int) -> DataFrame:
     """Write shards in ascending ``doc_id`` order; returns the manifest, one row per shard (materialised)."""
-    small_batches(docs.sparkSession, "6m")
+    small_batches(docs.sparkSession, "14m")
     sha = hashlib.sha256(dictionary).digest()
 
     def write(batches):
@@ -70,7 +70,7 @@ def write_shards(docs: DataFrame, folder: str, dictionary: bytes, vocab: str, en
 
         part, files = TaskContext.get(), open_folder(folder)
         name = f"shard-{part.partitionId():06d}-{part.taskAttemptId()}.ids"
-        ids_of = bpe.encoder(vocab)
+        ids_of = bpe.encoder(vocab, cache=900_000)
         wide = ids_of.tok.get_vocab_size() > 1 << 16
         kind = "<u4" if wide else "<u2"
         press = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
@@ -80,7 +80,7 @@ def write_shards(docs: DataFrame, folder: str, dictionary: bytes, vocab: str, en
                 out = files[0].open_output_stream(f"{files[1]}/{name}")
                 out.write(MAGIC[:6] + (b"L\n" if wide else b"1\n") + sha)
                 at = len(MAGIC) + len(sha)
-            ids, off = ids_of.encode(b.column("text"), end_id)
+            ids, off = ids_of.encode(b.column("text"), end_id, slab=14_000_000)
             entry = np.zeros(len(b), INDEX)
             doc = b.column("doc_id")
             entry["doc_id"], entry["no_id"] = doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False)

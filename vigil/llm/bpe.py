@@ -145,11 +145,14 @@ class PieceEncoder:
         last = np.cumsum(sizes)[np.cumsum(np.where(odd, 2, 3)) - 1]
         return ids, ends[last - 1]
 
-    def encode(self, texts: pa.Array | list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """``ids`` (uint32) of all texts and ``offsets`` (n + 1): text i has ``ids[offsets[i]:offsets[i + 1]]``."""
+    def encode(self, texts: pa.Array | list[str], end_id: int, slab: int = 6_000_000) -> tuple[np.ndarray, np.ndarray]:
+        """``ids`` (uint32) of all texts and ``offsets`` (n + 1): text i has ``ids[offsets[i]:offsets[i + 1]]``.
+
+        ``slab``: bytes of text handled at once; larger ones look fewer pieces up and take more memory.
+        """
         texts = (pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()))
         ids, offsets, total = [], [np.zeros(1, np.int64)], 0
-        for a, b in slabs(pc.binary_length(texts).to_pylist(), 6_000_000):
+        for a, b in slabs(pc.binary_length(texts).to_pylist(), slab):
             got, ends = self._slab(texts[a:b], end_id)
             pa.default_memory_pool().release_unused()  # else Arrow keeps what the slab has used
             ids.append(got)
@@ -161,8 +164,9 @@ class PieceEncoder:
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, cache: int = 500_000) -> PieceEncoder:
     """One encoder per Python worker and file; workers are reused, so the store outlives a task."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
+        _ENCODERS[path] = PieceEncoder(path, cache)
+    _ENCODERS[path].cache = cache
     return _ENCODERS[path]

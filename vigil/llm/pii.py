@@ -8,7 +8,8 @@ are the protected entities. A term (a word of three letters or more) reveals ent
 which is 1 when the term occurs only with the entity. Counts are numbers of documents: the
 entity and the term co-occur where the term stands within ``REACH`` words of the entity. Terms
 seen in at least ``CONTEXTS`` different contexts of the entity (copies of one passage are
-one context) and with a disclosure of at least ``THRESHOLD`` are marked wherever they occur.
+one context), each further one of which brings ``FRESH`` new words on average (those of near
+copies bring fewer), and with a disclosure of at least ``THRESHOLD`` are marked wherever they occur.
 Those with disclosure 1 are removed from the text, the others generalised to ``[TERM]``; base
 spans become ``[EMAIL]`` and so on.
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from vigil.llm.common import bitmap, materialise, out_batch, small_batches, table, text_or_empty
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-REACH, CONTEXTS, THRESHOLD = 8, 3, 0.9
+REACH, CONTEXTS, FRESH, THRESHOLD = 8, 3, 2.0, 0.9
 #: Bits of the bitmap of terms; its size does not depend on the data.
 FILTER_BITS = 1 << 23
 # The base patterns of the contract, written so that no start is tried twice.
@@ -105,7 +106,8 @@ def _contexts(text: str, spans: list[tuple[int, int, int]]):
 
 
 def entity_contexts(docs: DataFrame) -> DataFrame:
-    """``(entity, term, contexts, docs)``: different contexts, and documents, in which they stand together."""
+    """``(entity, term, contexts, docs, fresh)`` of pairs with several contexts: different contexts, and documents,
+    in which they stand together, and the words that each further context brings, on average (stored)."""
     small_batches(docs.sparkSession)
     schema = pa.schema([("entity", pa.string()), ("term", pa.string()), ("context", pa.string()), ("n", pa.int64())])
 
@@ -124,9 +126,14 @@ def entity_contexts(docs: DataFrame) -> DataFrame:
             yield out_batch(schema, [*([k[i] for k in seen] for i in range(3)), list(seen.values())])
 
     rows = docs.select(text_or_empty().alias("text")).mapInArrow(run, "entity string, term string, context string, n long")
-    rows = rows.withColumn("context", F.xxhash64("context"))
-    once = rows.groupBy("entity", "term", "context").agg(F.sum("n").alias("n"))
-    return once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("docs"))
+    once = materialise(rows.groupBy("entity", "term", "context").agg(F.sum("n").alias("n")), "pii-contexts")
+    size = F.size(F.split("context", " "))
+    pairs = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("docs"), F.max(size).alias("size"))
+    pairs = pairs.filter(F.col("contexts") >= 2)
+    words = once.join(pairs.select("entity", "term"), ["entity", "term"]).select("entity", "term", F.explode(F.split("context", " ")).alias("word"))
+    words = words.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("words"))
+    fresh = (F.col("words") - F.col("size")) / (F.col("contexts") - 1)
+    return materialise(pairs.join(words, ["entity", "term"]).select("entity", "term", "contexts", "docs", fresh.alias("fresh")), "pii-pairs")
 
 
 def entity_documents(docs: DataFrame) -> DataFrame:
@@ -187,7 +194,7 @@ def term_documents(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 def disclosing_terms(docs: DataFrame, contexts: int = CONTEXTS, threshold: float = THRESHOLD) -> DataFrame:
     """``(term, disclosure)`` of the terms above the threshold: the highest over all entities (stored)."""
     n = docs.count()
-    joint = materialise(entity_contexts(docs).filter(F.col("contexts") >= contexts), "pii-joint")
+    joint = entity_contexts(docs).filter((F.col("contexts") >= contexts) & (F.col("fresh") >= FRESH))
     counts = term_documents(docs, term_bitmap(joint.select("term").distinct()))
     scored = joint.join(counts, "term").join(entity_documents(docs), "entity").filter(F.col("entity_docs") < n)
     ic = -F.log2(F.col("entity_docs") / F.lit(n))
