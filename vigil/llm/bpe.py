@@ -7,6 +7,9 @@ are those of the whole text. Likewise a mark such as a comma after a letter open
 pre-token. Arrow cuts the texts, numbers the pieces and looks them up; only pieces not in
 the store go to the tokenizer, several in one string, parted by tabs: a tab between
 characters that are not white space, or before a single space, is a pre-token of its own.
+
+The library looks for added tokens (such as ``<|endoftext|>``) before all this, so a text that
+holds the content of one is not cut: it goes to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -35,9 +38,9 @@ _NOTHING, _BLANK = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_str
 class PieceEncoder:
     """``encode(texts, end_id)`` gives the ids of all texts, each closed by ``end_id``, and their offsets.
 
-    Ids equal ``Tokenizer.encode(text, add_special_tokens=False)``, with the strings of special
-    tokens taken as ordinary text. When more than ``cache`` pieces are stored, the half that was
-    seen most often stays.
+    Ids equal ``Tokenizer.encode(text, add_special_tokens=False)`` of the library with the file as it
+    is; a text that holds the content of an added token gets that token's id. When more than
+    ``cache`` pieces are stored, the half that was seen most often stays.
     """
 
     def __init__(self, path: str, cache: int = 500_000):
@@ -45,7 +48,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
         self.cache = cache
         (self.tab,) = self.tok.encode("\t", add_special_tokens=False).ids
         # Piece 0 is the end id, then the marks; pieces of the store begin with a space.
@@ -114,6 +117,13 @@ class PieceEncoder:
             self.keys, self.lens, self.seen = self.keys.take(pa.array(keep)), self.lens[keep], self.seen[keep] >> 1
             self.seen[:1 + len(_MARKS)] = 1 << 60
 
+    def _holds_added(self, texts: pa.Array) -> np.ndarray:
+        """Which texts hold the content of an added token."""
+        out = np.zeros(len(texts), bool)
+        for content in self.added:
+            out |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        return out
+
     def _slab(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         self._shrink()
         self.flat[0] = end_id
@@ -121,17 +131,21 @@ class PieceEncoder:
         numbered = cut.flatten().dictionary_encode()
         bounds, number, unique = cut.offsets.to_numpy(), numbered.indices.to_numpy(), numbered.dictionary
         odd = pc.match_substring_regex(unique, _ODD).to_numpy(zero_copy_only=False)
+        uncut = self._holds_added(texts)
+        if uncut.any():
+            odd |= self._holds_added(unique)  # not to be stored
         spaced = pc.binary_join_element_wise(_NOTHING, unique, _BLANK)
         at_of = self._find(spaced)
         fresh = (at_of < 0) & ~odd
         if fresh.any():
             at_of[fresh] = self._learn(spaced.filter(pa.array(fresh)))
         self.seen[at_of[at_of >= 0]] += 1
-        at, odd = at_of[number], np.add.reduceat(odd[number].astype(np.int64), bounds[:-1]) > 0
-        # First pieces have no space before them, and texts with a space beside other white space
-        # are cut with care: these pieces are not stored.
+        at, odd = at_of[number], (np.add.reduceat(odd[number].astype(np.int64), bounds[:-1]) > 0) | uncut
+        # First pieces have no space before them, texts with a space beside other white space
+        # are cut with care, and those with an added token not at all: these pieces are not stored.
         heads = unique.take(pa.array(number[bounds[:-1]])).to_pylist()
-        own = [_SAFE_CUT.split(texts[i].as_py()) if o else [h] for i, (o, h) in enumerate(zip(odd.tolist(), heads))]
+        own = [([texts[i].as_py()] if u else _SAFE_CUT.split(texts[i].as_py())) if o else [h]
+               for i, (o, u, h) in enumerate(zip(odd.tolist(), uncut.tolist(), heads))]
         raw = list(dict.fromkeys(chain.from_iterable(own)))
         number_of = dict(zip(raw, range(len(self.lens), len(self.lens) + len(raw))))
         parts, end = [], np.zeros(1, np.int64)
