@@ -8,6 +8,10 @@ winnowed by the same rule. Hits of a template with similar shifts propose a stre
 document, and a banded alignment (words equal or not, gaps within ``BAND``) of template and
 stretch gives the words matched, the coverage of the template and the span in the text.
 
+Coverage alone does not name a license: most words of a short notice are those of any such
+sentence, and versions differ by a word. So each template has marks, the phrases that tell its
+license and version; a match counts only if its span holds all of them, word after word.
+
 A stretch of text is reported for the template that matches most of its words; templates
 whose match lies within that span are left out (a full notice contains its short form).
 Words: white-space separated, lower case, letters and digits only. Spans are code points, end
@@ -35,35 +39,70 @@ from vigil.llm.words import alnum, gram_hashes, word_hashes
 GRAM, WINDOW, BAND = 3, 2, 8
 MIN_COVER = 60
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-# Well-known license notices.
+# Well-known license notices; the parts of whole texts come first.
+_MIT_GRANT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+              "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+              "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+              "subject to the following conditions:")
+_BSD_OPENING = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+                "conditions are met:")
+_BSD_TWO = (" 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+            "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+            "in the documentation and/or other materials provided with the distribution.")
+_BSD_NAMES = ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+              "from this software without specific prior written permission.")
+_BSD_END = (" THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+            "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+            "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+            "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+            "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+            "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_ISC_GRANT = ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+              "the above copyright notice and this permission notice appear in all copies.")
+# Name, text, and the marks, parted by semicolons.
 TEMPLATES = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
-            "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
-            "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
-            "subject to the following conditions:"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("MIT", "Released under the MIT License.", "mit license"),
+    ("MIT", _MIT_GRANT, "deal in the software; following conditions"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache license version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
-                   "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+                   "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache license version 2.0"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "gnu general public license version 3"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-                "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+                "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+     "gnu general public license; version 3"),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-                "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+                "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+     "gnu general public license; version 2"),
     ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
-                 "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-                     "conditions are met:"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
-            "the above copyright notice and this permission notice appear in all copies."),
+                 "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+     "gnu lesser general public license; version 3"),
+    ("BSD-2-Clause OR BSD-3-Clause", _BSD_OPENING, "source and binary forms; following conditions"),  # both begin so
+    ("ISC", _ISC_GRANT, "distribute this software for any purpose; provided that the above copyright notice"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
-                "this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+                "this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "mozilla public license v. 2.0"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0.", "cc by 4.0"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "cc by-nc 4.0"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", "cc by-sa 4.0"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "creative commons attribution 4.0"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+     "waived all copyright"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.", "free and unencumbered software"),
+    # Whole texts.
+    ("MIT", _MIT_GRANT + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+            "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+            "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+            "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+            "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", "deal in the software; following conditions; substantial portions"),
+    ("BSD-2-Clause", _BSD_OPENING + _BSD_TWO + _BSD_END, "source and binary forms; redistributions in binary form"),
+    ("BSD-3-Clause", f"{_BSD_OPENING}{_BSD_TWO} 3. {_BSD_NAMES}{_BSD_END}", "source and binary forms; redistributions in binary form; endorse or promote products"),
+    ("BSD-4-Clause", f"{_BSD_OPENING}{_BSD_TWO} 3. All advertising materials mentioning features or use of this software must display the following "
+                     f"acknowledgement: This product includes software developed by the organization. 4. {_BSD_NAMES}{_BSD_END}",
+     "source and binary forms; redistributions in binary form; advertising materials; endorse or promote products"),
+    ("ISC", _ISC_GRANT + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+            "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL "
+            "DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER "
+            "TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+     "distribute this software for any purpose; provided that the above copyright notice; author disclaims"),
 ]
 ROWS = "doc_id long, license string, template int, matched long, template_words long, coverage_percent long, start long, end long, similarity double"
 
@@ -81,9 +120,34 @@ def winnow(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def build_index(templates: list[tuple[str, str]]) -> tuple[list[np.ndarray], dict[int, list[tuple[int, int]]]]:
+def marks_of(templates: list[tuple[str, ...]]) -> list[list[np.ndarray]]:
+    """Word hashes of the marks of each template; one without marks has none to meet."""
+    out = []
+    for t in templates:
+        h, bounds, _ = word_hashes([m for x in t[2:] for m in x.split(";")], alnum)
+        out.append([h[a:z] for a, z in zip(bounds, bounds[1:])])
+    return out
+
+
+def holds(words: np.ndarray, marks: list[np.ndarray]) -> bool:
+    """Whether all marks stand in the words, one after another and each without gaps."""
+    at = 0
+    for mark in marks:
+        n = len(words) - len(mark) + 1
+        if n <= at:
+            return False
+        here = np.ones(n - at, bool)
+        for k, word in enumerate(mark):
+            here &= words[at + k:n + k] == word
+        if not here.any():
+            return False
+        at += int(here.argmax()) + len(mark)
+    return True
+
+
+def build_index(templates: list[tuple[str, ...]]) -> tuple[list[np.ndarray], dict[int, list[tuple[int, int]]]]:
     """Words of the templates, and the inverted index fingerprint -> (template, place)."""
-    h, bounds, _ = word_hashes([t for _, t in templates], alnum)
+    h, bounds, _ = word_hashes([t[1] for t in templates], alnum)
     words = [h[a:z] for a, z in zip(bounds, bounds[1:])]
     index = defaultdict(list)
     for k, w in enumerate(words):
@@ -115,7 +179,8 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
     return max(row, key=lambda s: (s[0], s[1] - s[2], -abs(s[1] - shift)))
 
 
-def scan(words: np.ndarray, templates: list[np.ndarray], index: dict[int, list[tuple[int, int]]], known: np.ndarray, min_cover: int) -> list[tuple[int, int, int, int]]:
+def scan(words: np.ndarray, templates: list[np.ndarray], index: dict[int, list[tuple[int, int]]], known: np.ndarray, min_cover: int,
+         marks: list[list[np.ndarray]]) -> list[tuple[int, int, int, int]]:
     """``(template, matched, first word, last word)`` of the reported matches in one sequence of words."""
     at, f = winnow(words)
     near = defaultdict(list)
@@ -127,9 +192,12 @@ def scan(words: np.ndarray, templates: list[np.ndarray], index: dict[int, list[t
         shifts.sort()
         cuts = [0] + [i for i in range(1, len(shifts)) if shifts[i] - shifts[i - 1] > BAND] + [len(shifts)]
         for a, z in zip(cuts, cuts[1:]):
+            # The stretch that any of these alignments can reach; without the marks none counts.
+            if not holds(words[max(shifts[a] - BAND, 0):max(shifts[z - 1] + BAND + len(templates[k]), 0)], marks[k]):
+                continue
             for shift in dict.fromkeys(shifts[a:z]):
                 m, first, last = align(templates[k], words, shift)
-                if 100 * m >= min_cover * len(templates[k]):
+                if 100 * m >= min_cover * len(templates[k]) and holds(words[first:last + 1], marks[k]):
                     found.append((m, last - first + 1, k, first, last))
     kept = []
     for m, _, k, first, last in sorted(found, key=lambda x: (-x[0], x[1], -x[0] / len(templates[x[2]]), x[3], x[2])):
@@ -138,10 +206,11 @@ def scan(words: np.ndarray, templates: list[np.ndarray], index: dict[int, list[t
     return sorted(kept, key=lambda x: x[2])
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, min_cover: int = MIN_COVER) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, ...]] = TEMPLATES, min_cover: int = MIN_COVER) -> DataFrame:
     """``ROWS``: one row per match; ``coverage_percent`` of the template's words, ``similarity`` matched words over the words of the span."""
     small_batches(docs.sparkSession)
     words, index = build_index(templates)
+    marks = marks_of(templates)
     known = np.array(sorted(index), np.uint64)
     types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
     schema = pa.schema([(c.split()[0], t) for c, t in zip(ROWS.split(", "), types)])
@@ -155,7 +224,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                 doc = np.repeat(np.arange(e - s), np.diff(bounds))
                 for i in np.unique(doc[np.flatnonzero(np.isin(gram_hashes(h, list(range(GRAM))), known))]):
                     own = slice(bounds[i], bounds[i + 1])
-                    found = scan(h[own], words, index, known, min_cover)
+                    found = scan(h[own], words, index, known, min_cover, marks)
                     if found:
                         spans = [m.span() for m in _WORD.finditer(texts[s + i])]
                         at = place[own]
