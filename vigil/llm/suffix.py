@@ -16,7 +16,10 @@ dealt out so that only those that can be equal meet:
 4. Chunks meet the spans found for their strings; bytes are removed where that document is
    smaller than their own.
 
-A passage in a third of all documents is one string per chunk when it is dealt out. A collision
+A passage in a third of all documents is one string per chunk when it is dealt out. A passage
+shorter than 50 bytes in many surroundings is in many different strings with one smallest hash:
+where these have more than ``HOT_BYTES`` bytes in all, step 2 names the hash, and its 50-byte
+strings are dealt one by one, each by its own hash, so no task holds all of them. A collision
 of the short hashes in step 2 only sends more strings to step 3, which compares bytes.
 
 Nulls: a null text is empty; a null id is neither smaller nor larger than any, so nothing is
@@ -43,6 +46,8 @@ CHUNK_BYTES, SEGMENT, RUN = 4 << 20, 1 << 18, 1024
 _BASE = 0xA24BAED4963EE407 | 1
 _UP = np.cumprod(np.full(SEGMENT * 4 + LENGTH, _BASE, np.uint64))
 _DOWN = np.cumprod(np.full(SEGMENT * 4 + LENGTH, pow(_BASE, -1, 1 << 64), np.uint64))
+#: Bytes of the different strings of one smallest hash from which it is dealt by whole 50-byte strings, and the least such limit for each chunk.
+HOT_BYTES, HOT_CHUNK = 1 << 20, 256
 HIT = np.dtype([("sid", "<u8"), ("least", "<i8"), ("at", "<u2"), ("n", "<u2")])
 
 
@@ -97,8 +102,11 @@ class Chunk:
                 yield s, min(s + 2 * SEGMENT + LENGTH - 1, int(self.ends[z - 1])), a, z
             a = z
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """``start, length, document, smallest hash, string id`` of the runs of 50-byte strings, in documents with ids."""
+    def runs(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``start, length, document, smallest hash, string id`` of the runs of 50-byte strings, in documents with ids.
+
+        Under a hash in ``hot`` each 50-byte string is a run of its own.
+        """
         out = [[], [], [], [], []]
         for s, e, a, z in self._segments():
             g = grams.gram_hashes(self.data[s:e], GRAM)
@@ -117,6 +125,10 @@ class Chunk:
                 k = -(-size // RUN)
                 at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
                 first, size = np.repeat(first, k) + at * RUN, np.minimum(np.repeat(size, k) - at * RUN, RUN)
+            if len(hot):
+                k = np.where(np.isin(least[first], hot), size, 1)
+                at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                first, size = np.repeat(first, k) + at, np.repeat(size - k + 1, k)
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(g * _DOWN[:len(g)])])
             sid = mix((total[first + size + LENGTH - GRAM] - total[first]) * _UP[first] + size.astype(np.uint64))
             for o, v in zip(out, (first + s, size, doc[first], least[first], sid)):
@@ -125,6 +137,29 @@ class Chunk:
         return tuple(np.concatenate(o) if o else np.zeros(0, k) for o, k in zip(out, kinds))
 
 
+def _keys(least: np.ndarray, sid: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """What strings are dealt and grouped by: their smallest hash, or, under a hot one, all of the string."""
+    return np.where(np.isin(least, hot), sid ^ mix(least), least) if len(hot) else least
+
+
+_NONE = np.zeros(0, np.uint64)
+_HEAVY = np.dtype([("least", "<u8"), ("bytes", "<i8")])
+
+
+def _heavy(number: np.ndarray, least: np.ndarray, sid: np.ndarray, size: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest hashes whose different strings have ``limit`` bytes or more in a chunk: their numbers, ascending, and ``_HEAVY``."""
+    large = np.bincount(number, size) >= limit if len(number) else np.zeros(0, bool)
+    at = np.flatnonzero(large[number])
+    at = at[np.lexsort((sid[at], number[at]))]
+    at = at[np.concatenate([[True], (sid[at][1:] != sid[at][:-1]) | (number[at][1:] != number[at][:-1])])[:len(at)]]
+    first = np.flatnonzero(np.concatenate([[True], number[at][1:] != number[at][:-1]])[:len(at)])
+    out = np.zeros(len(first), _HEAVY)
+    if len(first):
+        out["least"], out["bytes"] = least[at[first]], np.add.reduceat(size[at], first)
+    keep = out["bytes"] >= limit
+    return number[at[first]][keep], out[keep]
+
+
 def _values(least: np.ndarray, doc_ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The different smallest hashes of a chunk by (bucket, short hash): run -> number, several documents, bucket, short hash."""
     value, number = np.unique(mix(least), return_inverse=True)
@@ -155,19 +190,29 @@ def _unpress(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
 
 
-def repeated_hashes(chunks: DataFrame, n: int) -> DataFrame:
-    """``(chunk, masks)``: for each bucket of a chunk, which of its hashes occur in another chunk (stored)."""
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("shorts", pa.binary())])
+def repeated_hashes(chunks: DataFrame, n: int, hot_bytes: int = HOT_BYTES) -> tuple[DataFrame, np.ndarray]:
+    """``(chunk, masks)``: for each bucket of a chunk, which of its hashes occur in another chunk (stored); and the hot hashes.
+
+    Every hash whose different strings, counted once a chunk, have ``hot_bytes`` or more is hot; the
+    chunks name it where it has half its share, so half of the bytes are counted at least. The driver
+    gets 8 bytes for each hot hash, of which there is at most one in ``hot_bytes / 2`` bytes of strings.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("shorts", pa.binary()), ("heavy", pa.binary())])
+    many = max(chunks.count(), 1)
+    hot_bytes = max(hot_bytes, HOT_CHUNK * many) if hot_bytes > 1 else hot_bytes
+    share = max(hot_bytes // (2 * many), 1)
 
     def emit(batches):
         for b in batches:
             for row in b.to_pylist():
                 c = Chunk(row)
-                _, _, doc, least, _ = c.runs()
-                _, _, bucket, short = _values(least, c.ids[doc], n)
+                _, size, doc, least, sid = c.runs(_NONE)
+                number, _, bucket, short = _values(least, c.ids[doc], n)
+                at, heavy = _heavy(number, least, sid, size + LENGTH - 1, share)
                 cuts = np.searchsorted(bucket, np.arange(n + 1))
                 full = np.flatnonzero(np.diff(cuts))
-                yield out_batch(schema, [full, np.full(len(full), row["chunk"]), [_press(short[cuts[k]:cuts[k + 1]]) for k in full]])
+                yield out_batch(schema, [full, np.full(len(full), row["chunk"]), [_press(short[cuts[k]:cuts[k + 1]]) for k in full],
+                                         [heavy[slice(*np.searchsorted(at, cuts[k:k + 2]))].tobytes() for k in full]])
 
     def meet(t: pa.Table) -> pa.Table:
         lists = [_unpress(x) for x in t.column("shorts").to_pylist()]
@@ -179,11 +224,16 @@ def repeated_hashes(chunks: DataFrame, n: int) -> DataFrame:
         twice[order[:-1]] |= same
         cuts = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
         masks = [np.packbits(twice[a:z]).tobytes() for a, z in zip(cuts, cuts[1:])]
-        return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "n": pa.array(np.diff(cuts), pa.int32()), "mask": pa.array(masks, pa.binary())})
+        heavy = np.frombuffer(b"".join(t.column("heavy").to_pylist()), _HEAVY)
+        least, of = np.unique(heavy["least"], return_inverse=True)
+        hot = least[np.bincount(of, heavy["bytes"], len(least)) >= hot_bytes / 2].tobytes()
+        return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "n": pa.array(np.diff(cuts), pa.int32()), "mask": pa.array(masks, pa.binary()),
+                         "hot": pa.array([hot] + [b""] * (len(lists) - 1), pa.binary())})
 
-    dealt = chunks.mapInArrow(emit, "bucket int, chunk long, shorts binary")
-    met = dealt.groupBy("bucket").applyInArrow(meet, "chunk long, bucket int, n int, mask binary")
-    return materialise(met, "suffix-masks").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "mask"))).alias("masks"))
+    dealt = chunks.mapInArrow(emit, "bucket int, chunk long, shorts binary, heavy binary")
+    met = materialise(dealt.groupBy("bucket").applyInArrow(meet, "chunk long, bucket int, n int, mask binary, hot binary"), "suffix-masks")
+    hot = np.frombuffer(b"".join(bytes(r.hot) for r in met.select("hot").filter(F.octet_length("hot") > 0).collect()), np.uint64)
+    return met.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "mask"))).alias("masks")), np.sort(hot)
 
 
 # --- strings and their suffixes -----------------------------------------------------------
@@ -201,8 +251,8 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[at]
 
 
-def repeatable_strings(screened: DataFrame, n: int) -> DataFrame:
-    """``PACKED``: the different strings of each chunk that may repeat, by bucket of their smallest hash, compressed."""
+def repeatable_strings(screened: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
+    """``PACKED``: the different strings of each chunk that may repeat, by bucket of their key, compressed."""
     schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("strings", pa.binary())])
 
     def run(batches):
@@ -212,8 +262,9 @@ def repeatable_strings(screened: DataFrame, n: int) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 c = Chunk(row)
-                start, size, doc, least, sid = c.runs()
+                start, size, doc, least, sid = c.runs(hot)
                 number, several, bucket, _ = _values(least, c.ids[doc], n)
+                bucket = (mix(_keys(least, sid, hot)) % np.uint64(n)).astype(np.int32) if len(hot) else bucket[number]
                 marked = several
                 if row["masks"] is not None:
                     bits = [np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=m["n"]).astype(bool) for m in row["masks"]]
@@ -221,14 +272,14 @@ def repeatable_strings(screened: DataFrame, n: int) -> DataFrame:
                 keep = np.flatnonzero(marked[number]) if len(number) else np.zeros(0, np.int64)
                 if not len(keep):
                     continue
-                keep = keep[np.lexsort((sid[keep], bucket[number[keep]]))]
+                keep = keep[np.lexsort((sid[keep], bucket[keep]))]
                 first = np.flatnonzero(np.concatenate([[True], sid[keep][1:] != sid[keep][:-1]]))
                 ids = c.ids[doc[keep]]
                 head = np.zeros(len(first), HEAD)
                 head["low"], head["high"] = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
                 keep = keep[first]
                 head["size"] = size[keep] + LENGTH - 1
-                of = bucket[number[keep]]
+                of = bucket[keep]
                 cuts = np.searchsorted(of, np.arange(n + 1))
                 full = np.flatnonzero(np.diff(cuts))
                 packed = []
@@ -241,8 +292,8 @@ def repeatable_strings(screened: DataFrame, n: int) -> DataFrame:
     return screened.mapInArrow(run, PACKED)
 
 
-def _unpack(packed: bytes) -> tuple[np.ndarray, ...]:
-    """Heads, bytes, smallest hashes and string ids of a packed bucket; the hashes are computed from the bytes."""
+def _unpack(packed: bytes, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Heads, bytes, keys and string ids of a packed bucket; the hashes are computed from the bytes."""
     import zstandard
 
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
@@ -265,7 +316,7 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, ...]:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(g * _DOWN[:len(g)])])
         sid[a:z] = mix((total[last] - total[first]) * _UP[first] + (size[a:z] - LENGTH + 1).astype(np.uint64))
         a = z
-    return head, data, least, sid
+    return head, data, _keys(least, sid, hot), sid
 
 
 def _spans(least: np.ndarray, low: np.ndarray, size: np.ndarray, start: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -301,12 +352,12 @@ def _spans(least: np.ndarray, low: np.ndarray, size: np.ndarray, start: np.ndarr
 SLAB = 1 << 20
 
 
-def removable(strings: DataFrame, n: int) -> DataFrame:
+def removable(strings: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
     """``(chunk, hits)``: for each chunk, its strings' spans that a smaller document holds."""
     schema = pa.schema([("chunk", pa.int64()), ("hits", pa.binary())])
 
     def bucket_hits(rows: list[tuple[int, bytes]]):
-        parts = [(chunk, *_unpack(packed)) for chunk, packed in rows]
+        parts = [(chunk, *_unpack(packed, hot)) for chunk, packed in rows]
         chunk = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
         head, data, least, sid = (np.concatenate([p[k] for p in parts]) for k in range(1, 5))
         size = head["size"].astype(np.int64)
@@ -362,10 +413,10 @@ def removable(strings: DataFrame, n: int) -> DataFrame:
     return dealt.mapInArrow(run, "chunk long, hits binary").groupBy("chunk").agg(F.collect_list("hits").alias("hits"))
 
 
-def removed_bytes(c: Chunk, hits: np.ndarray) -> np.ndarray:
+def removed_bytes(c: Chunk, hits: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Which bytes of a chunk go."""
     cover = np.zeros(len(c.data) + 1, np.int32)
-    start, _, doc, _, sid = c.runs()
+    start, _, doc, _, sid = c.runs(hot)
     hits = hits[np.argsort(hits["sid"], kind="stable")]
     a, z = np.searchsorted(hits["sid"], sid), np.searchsorted(hits["sid"], sid, side="right")
     run = np.repeat(np.arange(len(sid)), z - a)
@@ -380,21 +431,21 @@ def removed_bytes(c: Chunk, hits: np.ndarray) -> np.ndarray:
 ROWS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def dedup_substrings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chunks with the spans to remove: ``(chunk, ids, known, sizes, bytes, hits)``, and the chunk table."""
+def dedup_substrings(docs: DataFrame, hot_bytes: int = HOT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Chunks with the spans to remove: ``(chunk, ids, known, sizes, bytes, hits, hot)``, and the chunk table."""
     chunks = chunk_table(docs)
     n = partitions(docs.sparkSession)
-    masks = repeated_hashes(chunks, n)
+    masks, hot = repeated_hashes(chunks, n, hot_bytes)
     screened = chunks.join(masks.hint("shuffle_hash"), "chunk", "left")
-    hits = removable(repeatable_strings(screened, n), n)
-    return chunks.join(hits.hint("shuffle_hash"), "chunk", "left"), chunks
+    hits = removable(repeatable_strings(screened, n, hot), n, hot)
+    return chunks.join(hits.hint("shuffle_hash"), "chunk", "left").withColumn("hot", F.lit(bytearray(hot.tobytes()))), chunks
 
 
 def _results(batches):
     for b in batches:
         for row in b.to_pylist():
             c = Chunk(row)
-            gone = removed_bytes(c, np.concatenate([np.frombuffer(h, HIT) for h in row["hits"]])) if row["hits"] else np.zeros(len(c.data), bool)
+            gone = removed_bytes(c, np.concatenate([np.frombuffer(h, HIT) for h in row["hits"]]), np.frombuffer(row["hot"], np.uint64)) if row["hits"] else np.zeros(len(c.data), bool)
             yield c, gone
 
 
