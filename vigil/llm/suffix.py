@@ -13,6 +13,8 @@ dealt out so that only those that can be equal meet:
    places 1 and 2 mod 3 sorted and named, recursion on names, merge of the rest; see
    ``grams.suffix_order``) and compares the first 50 bytes of neighbours. Each class of equal
    strings gets the smallest document that holds it.
+   A string that is the only one of its hash is not sorted: its copies
+   are those of equal hash and string id (two 64-bit hashes), bytes are not compared there.
 4. Chunks meet the spans found for their strings; bytes are removed where that document is
    smaller than their own.
 
@@ -20,7 +22,7 @@ A passage in a third of all documents is one string per chunk when it is dealt o
 shorter than 50 bytes in many surroundings is in many different strings with one smallest hash:
 where these have more than ``HOT_BYTES`` bytes in all, step 2 names the hash, and its 50-byte
 strings are dealt one by one, each by its own hash, so no task holds all of them. A collision
-of the short hashes in step 2 only sends more strings to step 3, which compares bytes.
+of the short hashes in step 2 only sends more strings to step 3.
 
 Nulls: a null text is empty; a null id is neither smaller nor larger than any, so nothing is
 removed there or because of it. Rows that repeat an id do not affect each other. Texts under 50
