@@ -36,6 +36,8 @@ from vigil.llm.common import materialise, partitions, small_batches, table
 MIN_DOCS, TOP, SCALE, PRIOR = 30, 50, 1_000_000_000, 5
 #: Groups of a language compared at once in a task: its sums take ``TILE`` squared numbers.
 TILE = 256
+#: Parts into which the terms of two tiles are dealt; each gives one partial sum a pair.
+SALTS = 16
 #: Terms in a matrix at once.
 _TERMS = 1024
 #: A-Z lowered, other ASCII that is no letter made a space; bytes of other characters stay.
@@ -92,7 +94,7 @@ def _pair_sums(kept: DataFrame, groups: DataFrame) -> DataFrame:
 
     ``groups`` has the number ``at`` of each group in its language; ``g`` and ``h`` are such numbers.
     """
-    spark, salts = kept.sparkSession, partitions(kept.sparkSession)
+    spark, salts = kept.sparkSession, SALTS
     tiles = groups.groupBy("lang").agg((F.max("at") / TILE).cast("int").alias("last"))
     numbered = groups.join(tiles, "lang").filter("kept > 0").withColumn("tile", (F.col("at") / TILE).cast("int"))
     numbered = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
@@ -179,7 +181,7 @@ def _pair_sums(kept: DataFrame, groups: DataFrame) -> DataFrame:
             yield now[1].rows()
 
     small_batches(spark)
-    dealt = base.unionByName(held).repartition(salts, *key).sortWithinPartitions(*key, "term")
+    dealt = base.unionByName(held).repartition(partitions(spark), *key).sortWithinPartitions(*key, "term")
     return dealt.mapInArrow(run, "lang string, g int, h int, more long").groupBy("lang", "g", "h").agg(F.sum("more").alias("more"))
 
 
