@@ -1,11 +1,9 @@
-"""Alert routing rules: fingerprints, grouping, inhibition, resolve timeout, notification
-batches."""
+"""Alert routing rules: fingerprints, grouping, inhibition, resolve timeout (notification flushes: ``notify``)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +12,6 @@ from vigil.functions.timeutil import dur_us
 from vigil.operators.scans import keyed_lag
 
 GROUP_BY = ("alertname", "instance")
-GROUP_WAIT = "10s"
-GROUP_INTERVAL = "30s"
-REPEAT_INTERVAL = "4h"
 RESOLVE_TIMEOUT = "5m"
 
 
@@ -87,65 +82,3 @@ def alert_resolve_timeout(E: DataFrame, now_us: int, timeout: str | int = RESOLV
     return r.filter(stale).select(
         "fingerprint", "event_id", F.lit("resolved").alias("status"), "labels", "annotations", "starts_us",
         (F.col("received_us") + F.lit(to)).alias("ends_us"), (F.col("received_us") + F.lit(to)).alias("received_us"))
-
-
-NOTIFY_COLS = ["flush_us", "n_alerts", "n_firing", "reason"]
-NOTIFY_TYPES = "flush_us bigint, n_alerts bigint, n_firing bigint, reason string"
-
-
-def _ceil_grid(x: int, origin: int, step: int) -> int:
-    return origin + max(0, -(-(x - origin) // step)) * step
-
-
-def _notify_group(by: list[str], wait_us: int, interval_us: int, repeat_us: int, now_us: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["received_us", "event_id"])
-        t = pdf["received_us"].to_numpy()
-        fps, sts = pdf["fingerprint"].to_numpy(), pdf["status"].to_numpy()
-        out, i, n = [], 0, len(pdf)
-        while i < n:  # one group lifetime per iteration
-            first = int(t[i]) + wait_us
-            tick, state, changed, last_sent = first, {}, False, None
-            while tick <= now_us:
-                while i < n and t[i] <= tick:
-                    changed |= state.get(fps[i]) != sts[i]
-                    state[fps[i]] = sts[i]
-                    i += 1
-                firing = sum(1 for v in state.values() if v == "firing")
-                if changed:
-                    out.append((*key, tick, len(state), firing, "initial" if last_sent is None else "change"))
-                    last_sent, changed = tick, False
-                    state = {k: v for k, v in state.items() if v == "firing"}
-                elif last_sent is not None and firing and tick - last_sent >= repeat_us:
-                    out.append((*key, tick, len(state), firing, "repeat"))
-                    last_sent = tick
-                if not state:
-                    break
-                cand = [_ceil_grid(last_sent + repeat_us, first, interval_us)]
-                if i < n:
-                    cand.append(_ceil_grid(int(t[i]), first, interval_us))
-                tick = max(min(cand), tick + interval_us)
-            else:
-                break  # horizon reached
-        return pd.DataFrame(out, columns=[*by, *NOTIFY_COLS])
-
-    return run
-
-
-def alert_notify(E: DataFrame, now_us: int, wait: str = GROUP_WAIT, interval: str = GROUP_INTERVAL,
-                 repeat: str = REPEAT_INTERVAL, by: Sequence[str] = GROUP_BY) -> DataFrame:
-    """Notification flushes per group until ``now``: first after ``wait``, then on the
-    ``interval`` grid when the group changed, else every ``repeat`` while it still fires;
-    resolved members leave the group after being sent, an empty group ends.
-
-    The flush schedule is a sequential timer walk, so it runs per group with
-    ``applyInPandas``; each group is first reduced to its status *changes* (a keyed
-    scan), which bounds the per-group input by the number of transitions.
-    """
-    by = list(by)
-    e = E.select(*_group_cols(by), "fingerprint", "status", "received_us", "event_id")
-    e = keyed_lag(e, ["fingerprint"], "received_us", "event_id", ["status"])
-    e = e.filter(F.col("prev_status").isNull() | (F.col("prev_status") != F.col("status")))
-    e = e.select(*by, "fingerprint", "status", "received_us", "event_id")
-    fn = _notify_group(by, dur_us(wait), dur_us(interval), dur_us(repeat), now_us)
-    return e.groupBy(*by).applyInPandas(fn, ", ".join(f"`{c}` string" for c in by) + ", " + NOTIFY_TYPES)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vigil.operators import alerts as al
 from vigil.operators import hosts as ho
+from vigil.operators import notify as nt
 from vigil.operators import routing as rt
 from vigil.plans.fixture_sql import with_views
 from vigil.plans.q_hosts import _snapshot_ctes
@@ -291,9 +292,50 @@ def q_alert_resolve_timeout(spark, d):
     return r.select("fingerprint", "event_id", "ends_us")
 
 
-@query("alert_notify")
+def _notify_sql(views: str, now_us: int, wait: int, every: int, repeat: int) -> str:
+    """The lives of every group by recursion (start of the life -> start of the next), then flushes and repeats."""
+    again = -(-repeat // every) * every
+    return _rec(views) + f""",
+p AS (SELECT *, lag(status) OVER (PARTITION BY fingerprint ORDER BY received_us, event_id) AS before FROM alerts),
+e AS (SELECT alertname, instance, fingerprint, status, received_us, event_id,
+             sum(CASE WHEN status = 'firing' THEN 1 WHEN before = 'firing' THEN -1 ELSE 0 END)
+               OVER (PARTITION BY alertname, instance ORDER BY received_us, event_id ROWS UNBOUNDED PRECEDING) AS firing
+      FROM p WHERE before IS DISTINCT FROM status),
+m AS (SELECT alertname, instance, received_us AS a, arg_max(firing, event_id) AS firing,
+             lead(received_us) OVER (PARTITION BY alertname, instance ORDER BY received_us) AS b
+      FROM e GROUP BY alertname, instance, received_us),
+quiet AS (SELECT alertname, instance, a, b FROM m WHERE firing = 0 AND b IS NOT NULL),
+lives(alertname, instance, start) AS (
+  SELECT alertname, instance, min(received_us) FROM e GROUP BY alertname, instance
+  UNION ALL
+  SELECT l.alertname, l.instance, min(q.b) FROM lives l JOIN quiet q ON q.alertname = l.alertname AND q.instance = l.instance AND q.b > l.start + {wait}
+   WHERE l.start + {wait} + (greatest(q.a - l.start - {wait}, 0) + {every - 1}) // {every} * {every} < q.b
+  GROUP BY l.alertname, l.instance),
+t AS (SELECT e.*, l.start + {wait} AS origin,
+             l.start + {wait} + (greatest(e.received_us - l.start - {wait}, 0) + {every - 1}) // {every} * {every} AS flush_us
+      FROM e ASOF JOIN lives l ON e.alertname = l.alertname AND e.instance = l.instance AND e.received_us >= l.start),
+members AS (SELECT alertname, instance, origin, flush_us, fingerprint, arg_max(status, (received_us, event_id)) AS status,
+                   max((received_us, event_id)) AS last_at, arg_max(firing, (received_us, event_id)) AS firing
+            FROM t WHERE flush_us <= {now_us} GROUP BY ALL),
+sent AS (SELECT alertname, instance, origin, flush_us, arg_max(firing, last_at) AS n_firing, count(*) FILTER (WHERE status = 'resolved') AS gone
+         FROM members GROUP BY ALL),
+s AS (SELECT *, lead(flush_us) OVER (PARTITION BY alertname, instance, origin ORDER BY flush_us) AS nx FROM sent)
+SELECT alertname, instance, flush_us, CAST(n_firing + gone AS BIGINT) AS n_alerts, CAST(n_firing AS BIGINT) AS n_firing,
+       CASE WHEN flush_us = origin THEN 'initial' ELSE 'change' END AS reason FROM s
+UNION ALL
+SELECT alertname, instance, unnest(range(flush_us + {again}, coalesce(nx, {now_us + 1}), {again})), CAST(n_firing AS BIGINT), CAST(n_firing AS BIGINT), 'repeat'
+FROM s WHERE n_firing > 0"""
+
+
+@query("alert_notify", _notify_sql(with_views("alerts"), END + 400_000_000, 10_000_000, 30_000_000, 14_400_000_000))
 def q_alert_notify(spark, d):
-    return rt.alert_notify(_alerts(spark, d), END + 400_000_000)
+    return nt.alert_notify(_alerts(spark, d), END + 400_000_000)
+
+
+@query("alert_notify_short", _notify_sql(with_views("alerts"), END + 400_000_000, 45_000_000, 20_000_000, 130_000_000))
+def q_alert_notify_short(spark, d):
+    """A wait longer than the interval, and a repeat that is no multiple of it: repeats occur inside the data's 72 minutes."""
+    return nt.alert_notify(_alerts(spark, d), END + 400_000_000, "45s", "20s", "130s", bucket_us=240_000_000)
 
 
 @query("overview", _active_sql("samples") + _snapshot_ctes() + f"""
