@@ -11,15 +11,17 @@ from __future__ import annotations
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from vigil.functions.labels import label_text
 from vigil.plans.fixture_sql import with_views
 from vigil.plans.q_alerts import _ACTIVE, _ACTIVE_COLS, _ACTIVE_SQL, _ACC, TTL5, _dedupe_sql, _rec
 from vigil.plans.q_hosts import _HSQL, _hcols, _snapshot_sql
-from vigil.plans.q_rules import _EVAL, _states
-from vigil.plans.q_series import END
+from vigil.plans.q_rules import _EVAL, TICK
+from vigil.plans.q_series import END, T0
 from vigil.plans.q_sources import _OUTCOME_CTE, event_messages
 from vigil.plans.registry import query
 from vigil.sources import fixtures as fx
 from vigil.sources import parsers as ps
+from vigil.streaming import evaluation as ev
 from vigil.streaming import jobs as sj
 
 
@@ -108,16 +110,63 @@ def q_stream_sliding_limit(spark, d):
     return spark.read.parquet(f"{r.root}/out").select("event_id", "used", "allowed", "remaining")
 
 
+MINUTE = 60_000_000
+
+
+def _rule_rows(spark, d):
+    """Samples slice by slice -> lookups at 15 s ticks -> ``for`` states and edges; heartbeats close the last ticks."""
+    rules = fx.rules(spark)
+    names = [r[2] for r in fx.HOST_RULES]
+    s = fx.samples(spark, d).filter(F.col("metric").isin(*names)).select("metric", "instance", "series", "labels", "t_us", "value")
+    r = sj.Replay(spark, s, "t_us", "rule-samples")
+    ticks, states = ev.tick_stream(r.stream, T0, "15s"), None
+
+    def run():
+        nonlocal states
+        sj.run_available_now(ticks, f"{r.root}/ticks", f"{r.root}/ck-ticks")
+        states = states if states is not None else ev.rule_state_stream(sj.file_stream(spark, f"{r.root}/ticks", ev.TICK_OUT, None), rules, END, "15s")
+        sj.run_available_now(states, f"{r.root}/states", f"{r.root}/ck-states")
+
+    r.each(run)
+    # The first beat lets all ticks of the data pass, the second the ticks of the first.
+    r.beat(run, *({"metric": "heartbeat", "series": "heartbeat{}", "t_us": END + m * MINUTE, "value": 1.0} for m in (15, 60)))
+    return spark.read.schema(ev.STATE_OUT).parquet(f"{r.root}/states")
+
+
 @query("stream_rule_for", _EVAL + """
 SELECT rule_id, series, eval_us, active_since, state FROM st""")
 def q_stream_rule_for(spark, d):
-    ev, _, rules = _states(spark, d)
-    ev = ev.join(rules.select(F.col("id").alias("rule_id"), "for_ms"), "rule_id").select(
-        "rule_id", "series", "eval_us", "is_true", "for_ms")
-    r = sj.Replay(spark, ev, "eval_us", "evals")
-    states = sj.rule_for_stream(r.stream, "15s")
-    r.each(lambda: sj.run_available_now(states, f"{r.root}/out", f"{r.root}/ck"))
-    return spark.read.parquet(f"{r.root}/out")
+    return _rule_rows(spark, d).filter("state != 'resolved'").select("rule_id", "series", "eval_us", "active_since", "state")
+
+
+@query("stream_rule_edges", _EVAL + f""",
+runs AS (SELECT rule_id, series, active_since, min(eval_us) FILTER (WHERE state = 'firing') AS fired_us, max(eval_us) AS last_us
+         FROM st GROUP BY ALL HAVING fired_us IS NOT NULL)
+SELECT rule_id, series, active_since, 'firing' AS edge, fired_us AS eval_us FROM runs
+UNION ALL SELECT rule_id, series, active_since, 'resolved', last_us + {TICK} FROM runs WHERE last_us + {TICK} <= {END}""")
+def q_stream_rule_edges(spark, d):
+    """Firing and resolved edges, the resolved ones emitted by timers where nothing follows."""
+    return _rule_rows(spark, d).filter(F.col("edge").isNotNull() & (F.col("eval_us") <= END)).select("rule_id", "series", "active_since", "edge", "eval_us")
+
+
+_NOW = END + 400_000_000
+
+
+@query("stream_resolve_timeout", with_views("alerts") + f""",
+n AS (SELECT *, lead(received_us) OVER (PARTITION BY fingerprint ORDER BY received_us, event_id) AS nx FROM alerts)
+SELECT fingerprint, event_id, 'resolved' AS status, starts_us, received_us + {TTL5} AS ends_us, 'alertname=' || alertname || ',instance=' || instance
+       || coalesce(',severity=' || severity, '') AS labels
+FROM n WHERE status = 'firing' AND coalesce(nx, {_NOW}) - received_us > {TTL5}""")
+def q_stream_resolve_timeout(spark, d):
+    """Alerts that fell silent, resolved by timers; one heartbeat stands for the time that passes after the last event."""
+    a = fx.alerts(spark, d).select("fingerprint", "event_id", "status", "labels", "annotations", "starts_us", "received_us")
+    r = sj.Replay(spark, a, "received_us", "silent")
+    out = ev.resolve_timeout_stream(r.stream, "5m")
+    run = lambda: sj.run_available_now(out, f"{r.root}/out", f"{r.root}/ck")
+    r.each(run)
+    r.beat(run, {"fingerprint": "heartbeat", "event_id": 0, "status": "resolved", "received_us": _NOW + 10 * MINUTE})
+    rows = spark.read.schema(out.schema).parquet(f"{r.root}/out").filter(F.col("ends_us") < _NOW)
+    return rows.select("fingerprint", "event_id", "status", "starts_us", "ends_us", label_text("labels").alias("labels"))
 
 
 @query("stream_exactly_once_sink", with_views("alerts") + """

@@ -62,6 +62,13 @@ class Replay:
             staged.filter(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(f"{self.root}/in")
             run()
 
+    def beat(self, run: Callable[[], None], *rows: dict) -> None:
+        """One more slice a row: heartbeats, whose other columns are null."""
+        for row in rows:
+            values = [tuple(row.get(f.name) for f in self.schema.fields)]
+            self.spark.createDataFrame(values, T.StructType([T.StructField(f.name, f.dataType) for f in self.schema.fields])).write.mode("append").parquet(f"{self.root}/in")
+            run()
+
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = 1,
                 glob: str | None = None) -> DataFrame:
@@ -283,53 +290,6 @@ def sliding_limit_stream(R: DataFrame, limit: int = 120, window: str | int = "60
             .withColumn("remaining", F.greatest(F.lit(limit) - F.col("used"), F.lit(0)).cast("bigint")))
 
 
-# ---------------------------------------------------------------- rule "for" state machine
-
-FOR_OUT = T.StructType([
-    T.StructField("rule_id", T.LongType()), T.StructField("series", T.StringType()),
-    T.StructField("eval_us", T.LongType()), T.StructField("active_since", T.LongType()),
-    T.StructField("state", T.StringType()),
-])
-
-
-class RuleForProcessor(_Clearing):
-    """Per (rule, series): run start and last true tick; a missing or false tick ends a run."""
-
-    def __init__(self, tick_us: int):
-        self.tick_us = tick_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.run = handle.getValueState("run", "since long, last long")
-
-    def forget(self) -> None:
-        self.run.clear()
-
-    def handleInputRows(self, key, rows, timerValues):
-        since, last = (self.run.get() if self.run.exists() else (None, None))
-        out = []
-        for t, true, for_ms in zip(*(x.tolist() for x in _sorted(rows, "eval_us", "is_true", "for_ms"))):
-            if not true:
-                since, last = None, None
-                continue
-            if last is None or t - last != self.tick_us:
-                since = t
-            last = t
-            out.append((int(key[0]), key[1], t, since, "firing" if t - since >= for_ms * 1000 else "pending"))
-        if since is None:
-            self.run.clear()
-        else:
-            self.run.update((since, last))
-            self.expire_at(last + self.tick_us)
-        yield pd.DataFrame(out, columns=["rule_id", "series", "eval_us", "active_since", "state"])
-
-
-def rule_for_stream(evals: DataFrame, tick: str | int = "15s") -> DataFrame:
-    """Streaming ``for``: evals (rule_id, series, eval_us, is_true, for_ms) in tick order."""
-    return _timed(evals, "eval_us").groupBy("rule_id", "series").transformWithStateInPandas(
-        RuleForProcessor(dur_us(tick)), FOR_OUT, "Append", "EventTime")
-
-
 # ---------------------------------------------------------------- tumbling counts, snapshots, bad records
 
 def tumbling_stream(L: DataFrame, window: str = "5 minutes", watermark: str = WATERMARK,
