@@ -8,13 +8,17 @@ ends_us (NULL = zero time), generator_url, received_us`` (plus optional promoted
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from vigil.functions.labels import trim_space
 from vigil.functions.timeutil import dur_us
-from vigil.operators.scans import greedy_ttl_accept, exact_percentiles
+from vigil.operators.scans import exact_percentiles, greedy_ttl_accept
+from vigil.session import checkpoint_dir
 
 STATUSES = ("firing", "resolved")
 RECENT_DEFAULT = 8
@@ -102,7 +106,7 @@ def alert_ring(E: DataFrame, n: int = RING_SIZE) -> DataFrame:
 
 
 def stats_key() -> Column:
-    return F.coalesce(F.nullif(F.trim(_lab("alertname")), F.lit("")), F.col("fingerprint"))
+    return F.coalesce(F.nullif(trim_space(_lab("alertname")), F.lit("")), F.col("fingerprint"))
 
 
 def alert_stats(E: DataFrame, ttl: str | int = SERVICE_DEDUPE_TTL) -> DataFrame:
@@ -115,8 +119,8 @@ def alert_stats(E: DataFrame, ttl: str | int = SERVICE_DEDUPE_TTL) -> DataFrame:
 
 def aggregate_key() -> Column:
     """``alertname:instance``, else ``alertname``, else the fingerprint."""
-    name = F.trim(F.coalesce(_lab("alertname"), F.lit("")))
-    inst = F.trim(F.coalesce(_lab("instance"), F.lit("")))
+    name = trim_space(F.coalesce(_lab("alertname"), F.lit("")))
+    inst = trim_space(F.coalesce(_lab("instance"), F.lit("")))
     return (F.when((name != "") & (inst != ""), F.concat(name, F.lit(":"), inst))
             .when(name != "", name).otherwise(F.col("fingerprint")))
 
@@ -133,14 +137,14 @@ def labels_json(labels: Column | str) -> Column:
 
 def alert_history_build(E: DataFrame) -> DataFrame:
     """Event -> history row (trimmed fields, severity default ``warning``)."""
-    sev = F.trim(F.coalesce(_lab("severity"), F.lit("")))
+    sev = trim_space(F.coalesce(_lab("severity"), F.lit("")))
     return E.select(
         "event_id", "fingerprint",
-        F.trim(F.coalesce(_lab("alertname"), F.lit(""))).alias("alert_name"),
-        F.trim(F.coalesce(_lab("instance"), F.lit(""))).alias("instance"),
+        trim_space(F.coalesce(_lab("alertname"), F.lit(""))).alias("alert_name"),
+        trim_space(F.coalesce(_lab("instance"), F.lit(""))).alias("instance"),
         F.when(sev == "", "warning").otherwise(sev).alias("severity"),
         "status",
-        F.trim(F.coalesce(F.element_at("annotations", F.lit("summary")), F.lit(""))).alias("summary"),
+        trim_space(F.coalesce(F.element_at("annotations", F.lit("summary")), F.lit(""))).alias("summary"),
         labels_json("labels").alias("labels_json"),
         F.col("starts_us").alias("fired_us"),
         F.when(F.col("status") == "resolved", F.col("ends_us")).alias("resolved_us"),
@@ -224,6 +228,65 @@ def alert_history_page(history: DataFrame, members: DataFrame | None = None, *,
     return pg.withColumn("total", total)
 
 
+def alert_history_upsert_days(E: DataFrame, path: str) -> list[str]:
+    """Fold events into a stored history that is partitioned by the day of ``fired_us``; the days that were rewritten.
+
+    Only the days that the events name are read, merged and replaced (dynamic partition
+    overwrite); files of other days are left alone. The merged days are stored in the shared
+    folder before they replace the old ones, and folding the same events again changes nothing, so
+    an upsert that failed half-way is simply run again.
+    """
+    spark = E.sparkSession
+
+
+    def day(c: str) -> Column:
+        return F.coalesce(F.date_format(F.timestamp_micros(c), "yyyy-MM-dd"), F.lit("none"))
+
+    days = sorted(r.day for r in E.select(day("starts_us").alias("day")).distinct().collect())  # a number of days, not of rows
+    if not days:
+        return []
+    try:
+        known = spark.read.parquet(path)
+    except AnalysisException as e:  # no table yet
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        known = None
+    existing = None if known is None else known.filter(F.col("day").cast("string").isin(*days))
+    merged = alert_history_upsert(E, existing).withColumn("day", day("fired_us"))
+    staged = f"{checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
+    merged.write.parquet(staged)
+    spark.read.schema(merged.schema).parquet(staged).repartition("day").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    return days
+
+
+def alert_history_index(history: DataFrame, path: str, parts: int = 64) -> None:
+    """Store a (filtered) history in page order, newest fired first, as ``parts`` ranges, with the rank at which each begins."""
+    spark = history.sparkSession
+    order = [F.col("fired_us").desc(), F.col("id").desc()]
+    ranged = history.select(*HISTORY_COLS).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    ranged.write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
+    rows = spark.read.schema(ranged.schema).parquet(f"{path}/rows")
+    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts.withColumn("before", before).coalesce(1).write.mode("overwrite").parquet(f"{path}/index")  # a row per range
+
+
+def alert_history_page_at(spark: SparkSession, path: str, page: int = 1, page_size: int = PAGE_DEFAULT) -> DataFrame:
+    """A page of a stored index, with ``total``: only the one or two ranges that hold it are read, however deep it is."""
+    page = page if isinstance(page, int) and page > 0 else 1
+    page_size = min(page_size if isinstance(page_size, int) and page_size > 0 else PAGE_DEFAULT, PAGE_MAX)
+    low, high = (page - 1) * page_size, page * page_size
+    index = spark.read.parquet(f"{path}/index").collect()  # as many rows as the index has ranges
+    hold = [r for r in index if r.before < high and r.before + r.n > low]
+    schema = T.StructType([*(T.StructField(c, T.LongType() if c == "id" or c.endswith("_us") else T.StringType()) for c in HISTORY_COLS), T.StructField("part", T.IntegerType())])
+    rows = spark.read.schema(schema).parquet(f"{path}/rows").filter(F.col("part").isin([r.part for r in hold]))
+    begins = F.coalesce(*(F.when(F.col("part") == r.part, F.lit(r.before)) for r in hold), F.lit(0))
+    rank = begins + F.row_number().over(Window.partitionBy("part").orderBy(F.col("fired_us").desc(), F.col("id").desc()))
+    total = sum(r.n for r in index)
+    return rows.withColumn("_rank", rank).filter((F.col("_rank") > low) & (F.col("_rank") <= high)).drop("_rank", "part").withColumn("total", F.lit(total).cast("bigint"))
+
+
 def alert_severity_counts(active: DataFrame) -> DataFrame:
     """Dashboard counts by severity; a missing severity counts as ``info``."""
     return (active.groupBy(F.coalesce(_lab("severity"), F.lit("info")).alias("severity"))

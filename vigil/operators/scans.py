@@ -97,29 +97,34 @@ def keyed_running_sum(df: DataFrame, keys: Sequence[str], ts: str, tie: str, col
 
 
 def sliding_count(df: DataFrame, keys: Sequence[str], ts: str, tie: str, window_us: int,
-                  out: str = "used") -> DataFrame:
+                  out: str = "used", block_us: int | None = None) -> DataFrame:
     """Count, for every row, the rows of the same key with ``ts' in [ts - window, ts]`` that
     come at or before it in ``(ts, tie)`` order (a closed sliding window, sequential ties).
+    ``(ts, tie)`` must be unique within a key.
 
-    Each row is also copied as a *ghost* into the next bucket of width ``window``; a
-    bucket then holds everything any of its rows can see, so a RANGE frame inside
-    ``(key, bucket)`` is exact and no key is ever gathered into a single task.
+    The count is a difference of two ranks: that of the row, and that of its window's start. A
+    rank is the number of rows in the blocks before (a running sum over block totals) plus the
+    place in its own block. So the rows of one key and window are dealt by blocks of
+    ``block_us`` (a sixteenth of the window if none is given), however many they are.
     """
     keys = list(keys)
-    d = df.withColumn("_bk", F.floor(F.col(ts) / F.lit(window_us)).cast("bigint"))
-    payload = d.withColumn("_ghost", F.lit(False))
-    ghosts = (d.select(*keys, ts, tie, "_bk")
-              .withColumn("_bk", F.col("_bk") + 1).withColumn("_ghost", F.lit(True)))
-    both = payload.unionByName(ghosts, allowMissingColumns=True)
-    w = (Window.partitionBy(*keys, "_bk").orderBy(F.col(ts))
-         .rangeBetween(-window_us, 0))
-    peers = Window.partitionBy(*keys, "_bk", ts).orderBy(tie)
-    both = (both.withColumn("_rng", F.count(F.lit(1)).over(w))
-            # rows with the same ts but a later tie are not yet seen (sequential processing)
-            .withColumn("_later", F.count(F.lit(1)).over(peers.rowsBetween(1, Window.unboundedFollowing))))
-    return (both.filter(~F.col("_ghost"))
-            .withColumn(out, (F.col("_rng") - F.col("_later")).cast("bigint"))
-            .drop("_bk", "_ghost", "_rng", "_later"))
+    block = block_us or max(1, window_us // 16)
+    at = df.select(*keys, F.col(ts).alias("_t"), F.col(tie).alias("_i"))
+    # A window start goes before the rows of its time: it counts those before the window.
+    marks = at.withColumn("_row", F.lit(1)).withColumn("_at", F.col("_t")).unionByName(
+        at.withColumn("_row", F.lit(0)).withColumn("_at", F.col("_t") - F.lit(window_us)))
+    marks = marks.withColumn("_b", F.floor(F.col("_at") / F.lit(block)).cast("bigint"))
+    order = Window.partitionBy(*keys, "_b").orderBy("_at", "_row", "_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = marks.withColumn("_place", F.sum("_row").over(order)).drop("_at")
+    totals = marks.groupBy(*keys, "_b").agg(F.sum("_row").alias("_n"))
+    totals = keyed_running_sum(totals.withColumn("_tie", F.lit(0)), keys, "_b", "_tie", "_n", "_through", bucket_us=4096)
+    totals = totals.select(*(F.col(k).alias(f"_u_{k}") for k in keys), F.col("_b").alias("_tb"), (F.col("_through") - F.col("_n")).alias("_before"))
+    same = [F.col(k).eqNullSafe(F.col(f"_u_{k}")) for k in keys] + [F.col("_b") == F.col("_tb")]
+    ranked = marks.join(totals, same).select(*keys, "_t", "_i", "_row", (F.col("_place") + F.col("_before")).alias("_rank"))
+    used = ranked.groupBy(*keys, "_t", "_i").agg(F.sum(F.when(F.col("_row") == 1, F.col("_rank")).otherwise(-F.col("_rank"))).cast("bigint").alias(out))
+    used = used.select(*(F.col(k).alias(f"_u_{k}") for k in keys), "_t", "_i", out)
+    same = [df[k].eqNullSafe(used[f"_u_{k}"]) for k in keys] + [df[ts] == used["_t"], df[tie] == used["_i"]]
+    return df.join(used, same).select(df["*"], out)
 
 
 def _asof_next(ev: DataFrame, gap_us: int) -> DataFrame:

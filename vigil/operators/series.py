@@ -156,7 +156,7 @@ def _window_stats(S: DataFrame, start_us: int, end_us: int, step_us: int, win_us
     b = (s.groupBy(*keys, "_b").agg(
         F.count(F.lit(1)).alias("n"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"),
         F.min_by("value", "t_us").alias("first_v"), F.max_by("value", "t_us").alias("last_v"), inner.alias("inner"),
-        F.min("value").alias("min_v"), F.max("value").alias("max_v"), F.sum("value").alias("sum_v")))
+        F.min("value").alias("min_v"), _AGG["max"]("value").alias("max_v"), F.sum("value").alias("sum_v")))
     # The sample before a step's first one is the last of the step before that has any.
     steps = Window.partitionBy("series").orderBy("_b")
     for out, c in (("bp_t", "last_us"), ("bp_v", "last_v")):
@@ -191,7 +191,7 @@ def _window_stats(S: DataFrame, start_us: int, end_us: int, step_us: int, win_us
             .agg(F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
                  F.min_by("first_v", "first_us").alias("first_v"), F.max_by("last_v", "last_us").alias("last_v"),
                  (F.sum("inner") + F.sum(boundary)).alias("resets"),
-                 F.min("min_v").alias("min_v"), F.max("max_v").alias("max_v"), F.sum("sum_v").alias("sum_v")))
+                 F.min("min_v").alias("min_v"), _AGG["max"]("max_v").alias("max_v"), F.sum("sum_v").alias("sum_v")))
 
 
 def _window_stats_samples(s: DataFrame, start_us: int, end_us: int, step_us: int, win_us: int) -> DataFrame:
@@ -206,7 +206,7 @@ def _window_stats_samples(s: DataFrame, start_us: int, end_us: int, step_us: int
             .agg(F.count(F.lit(1)).alias("n"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"),
                  F.min_by("value", "t_us").alias("first_v"), F.max_by("value", "t_us").alias("last_v"),
                  F.sum(F.when(reset, F.col("prev_value")).otherwise(F.lit(0.0))).alias("resets"),
-                 F.min("value").alias("min_v"), F.max("value").alias("max_v"),
+                 F.min("value").alias("min_v"), _AGG["max"]("value").alias("max_v"),
                  F.sum("value").alias("sum_v")))
 
 
@@ -410,7 +410,7 @@ def metric_catalogue(S: DataFrame, name: str, start_us: int, end_us: int, step:
         return rate(sel, start_us, end_us, step)
     g = range_vector_grid(sel, start_us, end_us, step)
     if kind == "disk" and not mountpoint:
-        return (g.groupBy("instance", "eval_us").agg(F.max("value").alias("value"))
+        return (g.groupBy("instance", "eval_us").agg(_AGG["max"]("value").alias("value"))
                 .select(F.lit(metric).alias("metric"), "instance",
                         F.concat(F.lit(metric + "{instance="), F.col("instance"), F.lit("}")).alias("series"),
                         F.create_map(F.lit("instance"), F.col("instance")).alias("labels"), "eval_us", "value"))

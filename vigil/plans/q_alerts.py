@@ -10,12 +10,13 @@ from vigil.operators import notify as nt
 from vigil.operators import routing as rt
 from vigil.plans.fixture_sql import with_views
 from vigil.plans.q_hosts import _snapshot_ctes
-from vigil.plans.q_series import END, R6
+from vigil.plans.q_series import END, R6, T0
 from vigil.plans.registry import query
 from vigil.sources import fixtures as fx
 
 TTL5 = 300_000_000
 TTL24 = 86_400_000_000
+MINUTE = 60_000_000
 
 
 def _rec(views: str) -> str:
@@ -221,6 +222,28 @@ def q_alert_history_page(spark, d):
                                  page_size=20)
 
 
+@query("alert_history_days", _HIST.replace("FROM acc),", "FROM alerts),", 1) + "\nSELECT * FROM history")
+def q_alert_history_days(spark, d):
+    """The history as a table by day of firing, folded in three steps over days: only touched days are rewritten."""
+    from vigil.streaming.jobs import scratch
+
+    e, path = _alerts(spark, d), scratch(spark, "history-days")
+    for low, high in ((0, 20), (20, 45), (45, 10_000)):
+        al.alert_history_upsert_days(e.filter((F.col("received_us") >= T0 + low * MINUTE) & (F.col("received_us") < T0 + high * MINUTE)), path)
+    return spark.read.parquet(path).select(*al.HISTORY_COLS)
+
+
+@query("alert_history_deep_page", _HIST.replace("FROM acc),", "FROM alerts),", 1) + """
+SELECT *, (SELECT count(*) FROM history) AS total FROM history ORDER BY fired_us DESC, id DESC LIMIT 25 OFFSET 375""")
+def q_alert_history_deep_page(spark, d):
+    """Page 16 of a stored page index; one or two of its ranges are read."""
+    from vigil.streaming.jobs import scratch
+
+    path = scratch(spark, "history-index")
+    al.alert_history_index(al.alert_history_upsert(_alerts(spark, d)), path, parts=8)
+    return al.alert_history_page_at(spark, path, page=16, page_size=25)
+
+
 @query("alert_severity_counts", _ACTIVE + """
 SELECT coalesce(severity, 'info') AS severity, count(*) AS n FROM active GROUP BY ALL""")
 def q_alert_severity_counts(spark, d):
@@ -283,6 +306,29 @@ def q_alert_inhibit(spark, d):
     return rt.alert_inhibit(a).select("fingerprint", "alertname", "instance", "severity")
 
 
+def _intervals_sql(now_us: int) -> str:
+    return f""",
+p AS (SELECT *, lag(status) OVER w AS before, lag(coalesce(severity, '~')) OVER w AS before_sev FROM alerts WHERE received_us < {now_us}
+      WINDOW w AS (PARTITION BY fingerprint ORDER BY received_us, event_id)),
+c AS (SELECT *, coalesce(lead(received_us) OVER (PARTITION BY fingerprint ORDER BY received_us, event_id), {now_us}) AS nx
+      FROM p WHERE before IS NULL OR before <> status OR before_sev <> coalesce(severity, '~')),
+iv AS (SELECT fingerprint, event_id, alertname, instance, severity, received_us AS s, nx AS e FROM c WHERE status = 'firing' AND received_us < nx),
+src AS (SELECT alertname, instance, s, e FROM iv WHERE severity = 'critical'),
+cuts AS (SELECT fingerprint, event_id, alertname, instance, s AS cut_us, e FROM iv WHERE severity = 'warning'
+         UNION SELECT t.fingerprint, t.event_id, t.alertname, t.instance, unnest([x.s, x.e]), t.e
+               FROM iv t JOIN src x ON x.alertname = t.alertname AND x.instance = t.instance AND x.s < t.e AND x.e > t.s WHERE t.severity = 'warning'),
+seg AS (SELECT k.*, lead(k.cut_us, 1, k.e) OVER (PARTITION BY k.event_id ORDER BY k.cut_us) AS until
+        FROM cuts k JOIN iv t USING (event_id) WHERE k.cut_us >= t.s AND k.cut_us < k.e)
+SELECT fingerprint, event_id, s AS start_us, e AS end_us FROM iv WHERE severity IS DISTINCT FROM 'warning'
+UNION ALL SELECT fingerprint, event_id, cut_us, until FROM seg
+WHERE NOT EXISTS (SELECT 1 FROM src x WHERE x.alertname = seg.alertname AND x.instance = seg.instance AND x.s <= seg.cut_us AND x.e >= seg.until)"""
+
+
+@query("alert_inhibit_intervals", with_views("alerts") + _intervals_sql(END + 400_000_000))
+def q_alert_inhibit_intervals(spark, d):
+    return rt.alert_inhibit_intervals(_alerts(spark, d), END + 400_000_000, bucket_us=300_000_000)
+
+
 @query("alert_resolve_timeout", with_views("alerts") + f""",
 n AS (SELECT *, lead(received_us) OVER (PARTITION BY fingerprint ORDER BY received_us, event_id) AS nx FROM alerts)
 SELECT fingerprint, event_id, received_us + {TTL5} AS ends_us FROM n

@@ -69,6 +69,16 @@ def q_http_access(spark, d):
                     R6("max_latency_ms").alias("max_latency_ms"))
 
 
+@query("http_latency", with_views("logs") + """,
+u AS (SELECT path, status, CAST(round(latency_ms * 1000) AS BIGINT) AS us FROM logs WHERE status IS NOT NULL)
+SELECT path, status, count(*) AS n, round(avg(us) / 1000, 6) AS mean_ms, round(quantile_cont(us, 0.5) / 1000, 6) AS p50_ms,
+       round(quantile_cont(us, 0.95) / 1000, 6) AS p95_ms, round(quantile_cont(us, 0.99) / 1000, 6) AS p99_ms, round(max(us) / 1000, 6) AS max_ms
+FROM u GROUP BY ALL""")
+def q_http_latency(spark, d):
+    r = lg.http_latency(_logs(spark, d))
+    return r.select("path", "status", "n", *(R6(c).alias(c) for c in ("mean_ms", "p50_ms", "p95_ms", "p99_ms", "max_ms")))
+
+
 @query("collector_failures", with_views("logs") + """
 SELECT collector, count(*) AS failures FROM logs WHERE collector IS NOT NULL AND level = 'error' GROUP BY ALL""")
 def q_collector_failures(spark, d):

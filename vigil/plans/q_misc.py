@@ -124,3 +124,17 @@ FROM rated GROUP BY ALL""")
 def q_pipeline_rates(spark, d):
     r = hist.pipeline_rates(pipeline_counter_samples(spark, d), "alert_events_total", ["result"], T0, END, "1m")
     return r.select("result", "eval_us", R6("value").alias("value"))
+
+
+@query("pipeline_status_rates", _rec(with_views("alerts")) + _dedupe_sql(TTL5) + f", {_GRID}," + """
+cnt AS (SELECT 'alert_events_total' AS metric, 'event-consumer' AS instance,
+               'job=alert,result=' || CASE WHEN accepted THEN 'stored' ELSE 'deduped' END || ',status=' || status AS labels,
+               received_us AS t_us, event_id,
+               CAST(count(*) OVER (PARTITION BY status, accepted ORDER BY received_us, event_id
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS value FROM ded),
+cs AS (SELECT *, metric || '{' || labels || '}' AS series FROM cnt),""" + _rate_sql("cs")[1:] + """
+SELECT regexp_extract(labels, 'status=([^,]*)', 1) AS status, regexp_extract(labels, 'result=([^,]*)', 1) AS result, eval_us, round(sum(value), 6) AS value
+FROM rated GROUP BY ALL""")
+def q_pipeline_status_rates(spark, d):
+    r = hist.pipeline_rates(pipeline_counter_samples(spark, d), "alert_events_total", ["status", "result"], T0, END, "1m")
+    return r.select("status", "result", "eval_us", R6("value").alias("value"))

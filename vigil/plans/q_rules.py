@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vigil.operators import rules as ru
 from vigil.plans.fixture_sql import with_views
-from vigil.plans.q_series import _LOOKUP, END, T0
+from vigil.plans.q_series import _LOOKUP, END, T0, _rate_sql
 from vigil.plans.registry import query
 from vigil.sources import fixtures as fx
 
@@ -97,7 +97,7 @@ st AS (SELECT *, min(eval_us) OVER (PARTITION BY rule_id, series, isl) AS active
 
 def _states(spark, d):
     rules = fx.rules(spark)
-    ev = ru.rule_eval(fx.samples(spark, d), rules, T0, END, "15s")
+    ev = ru.rule_eval(fx.samples(spark, d), rules, T0, END, "15s", windows=())
     return ev, ru.rule_for(ev, rules, "15s"), rules
 
 
@@ -178,6 +178,31 @@ def q_rule_service(spark, d):
     """The two service rules: states over the derived error-ratio and latency vectors, minute ticks."""
     rules = fx.rules(spark, service=True).filter("id >= 6")
     samples = fx.gauges(spark, d).filter("metric in ('http_error_ratio', 'http_p95_latency')")
-    ev = ru.rule_eval(samples, rules, T0, END, "1m", vectors=fx.service_vectors(spark, d, T0, END, "1m"))
+    ev = ru.rule_eval(samples, rules, T0, END, "1m", windows=(), vectors=fx.service_vectors(spark, d, T0, END, "1m"))
     st = ru.rule_for(ev, rules, "1m")
     return st.select(F.col("rule_id").cast("int"), "series", "eval_us", "active_since", F.round("value", 6).alias("value"), "state")
+
+
+# A rule of our own on a rate: receiving bytes by host, over five minutes.
+RATE_RULE = (8, "HighReceive", "network_recv_bytes_total", {"job": "probe"}, "rate", 300, "sum", ["instance"], ">", 400.0, 60_000, "info",
+             "High traffic to {{ $labels.instance }}", "{{ $value }} bytes a second are received.", True, "sum by (instance) (rate(network_recv_bytes_total[5m])) > 400", "1m")
+
+
+def _rate_rule_sql() -> str:
+    views = with_views("samples") + f", ticks AS (SELECT unnest(range({T0}, {END} + 1, {TICK})) AS eval_us), sel AS (SELECT * FROM samples WHERE metric = 'network_recv_bytes_total'), "
+    return views + _rate_sql("sel").strip() + """,
+ev AS (SELECT instance, eval_us, sum(value) AS value FROM rated GROUP BY ALL),
+t AS (SELECT *, eval_us // """ + str(TICK) + """ - row_number() OVER (PARTITION BY instance ORDER BY eval_us) AS isl FROM ev WHERE value > 400),
+runs AS (SELECT instance, eval_us, min(eval_us) OVER (PARTITION BY instance, isl) AS active_since FROM t)
+SELECT 8 AS rule_id, '{instance=' || instance || '}' AS series, eval_us, round(value, 4) AS value, value > 400 AS is_true, active_since,
+       CASE WHEN eval_us - active_since >= 60000000 THEN 'firing' WHEN active_since IS NOT NULL THEN 'pending' END AS state
+FROM ev LEFT JOIN runs USING (instance, eval_us)"""
+
+
+@query("rule_rate", _rate_rule_sql())
+def q_rule_rate(spark, d):
+    """A rate rule, summed by a label that stays one: evaluation and states."""
+    rules = spark.createDataFrame([RATE_RULE], fx.RULE_SCHEMA)
+    ev = ru.rule_eval(fx.samples(spark, d), rules, T0, END, "15s", windows=(300,))
+    st = ru.rule_for(ev, rules, "15s").select("series", "eval_us", "active_since", "state")
+    return ev.join(st, ["series", "eval_us"], "left").select(F.col("rule_id").cast("int"), "series", "eval_us", F.round("value", 4).alias("value"), "is_true", "active_since", "state")

@@ -155,6 +155,40 @@ def q_counter_accumulate(spark, d):
     return sr.counter_accumulate(fx.raw_counters(spark, d), ["instance", "iface"])
 
 
+_NUMBER = "coalesce({0}(s.value) FILTER (WHERE NOT isnan(s.value)), 'NaN'::DOUBLE)"
+
+
+@query("over_time_nan", with_views("samples") + f", {_GRID}" + f""",
+n AS (SELECT * REPLACE (CASE WHEN event_id % 13 = 0 OR instance = 'host-3' AND t_us < {T0 + 1_200_000_000} THEN 'NaN'::DOUBLE ELSE value END AS value) FROM samples)
+SELECT s.series, t.eval_us, round({_NUMBER.format('max')}, 6) AS max_v, round({_NUMBER.format('min')}, 6) AS min_v, round(avg(s.value), 6) AS avg_v,
+       CAST(count(*) AS DOUBLE) AS count_v
+FROM ticks t JOIN n s ON s.t_us BETWEEN t.eval_us - {LB} AND t.eval_us
+WHERE s.metric = 'cpu_usage_percent' GROUP BY s.series, t.eval_us""")
+def q_over_time_nan(spark, d):
+    """Windows with some and with only NaN samples: extremes are those of the numbers."""
+    s, out = sr.select_series(fx.samples(spark, d), "cpu_usage_percent"), None
+    bad = (F.col("event_id") % 13 == 0) | ((F.col("instance") == "host-3") & (F.col("t_us") < T0 + 1_200_000_000))
+    s = s.withColumn("value", F.when(bad, F.lit(float("nan"))).otherwise(F.col("value")))
+    for fn in ("max", "min", "avg", "count"):
+        v = sr.over_time(s, fn, T0, END, STEP, "5m").select("series", "eval_us", R6("value").alias(f"{fn}_v"))
+        out = v if out is None else out.join(v, ["series", "eval_us"])
+    return out
+
+
+@query("disk_without_mount_nan", with_views("samples") + f", {_GRID}" + f""",
+sel AS (SELECT * REPLACE (CASE WHEN contains(labels, 'mountpoint=/data') THEN 'NaN'::DOUBLE ELSE value END AS value) FROM samples
+        WHERE metric = 'disk_usage_percent' AND instance = 'host-7'), lk AS ({_LOOKUP.format(src='sel')})
+SELECT series0 AS series, eval_us, round(coalesce(max(value) FILTER (WHERE NOT isnan(value)), 'NaN'::DOUBLE), 6) AS value
+FROM (SELECT 'disk_usage_percent{{instance=' || instance || '}}' AS series0, * FROM lk) GROUP BY series0, eval_us""")
+def q_disk_without_mount_nan(spark, d):
+    """One mount reports NaN: the host's disk use is that of the others."""
+    s = fx.samples(spark, d)
+    bad = (F.col("metric") == "disk_usage_percent") & (F.element_at("labels", F.lit("mountpoint")) == "/data")
+    s = s.withColumn("value", F.when(bad, F.lit(float("nan"))).otherwise(F.col("value")))
+    v = sr.metric_catalogue(s, "disk_usage", T0, END, "1m", instance="host-7")
+    return v.select("series", "eval_us", R6("value").alias("value"))
+
+
 # Every 13th sample is not a number where a query is about NaN.
 _NAN_SQL = "SELECT * REPLACE (CASE WHEN event_id % 13 = 0 THEN 'NaN'::DOUBLE ELSE value END AS value) FROM samples"
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.labels import label_text
 from vigil.plans.fixture_sql import with_views
-from vigil.plans.q_alerts import _ACTIVE, _ACTIVE_COLS, _ACTIVE_SQL, _ACC, TTL5, _dedupe_sql, _rec
+from vigil.plans.q_alerts import _ACTIVE, _ACTIVE_COLS, _ACTIVE_SQL, _ACC, _WEB, TTL5, _dedupe_sql, _rec
 from vigil.plans.q_hosts import _HSQL, _hcols, _snapshot_sql
 from vigil.plans.q_rules import _EVAL, TICK
 from vigil.plans.q_series import END, T0
@@ -23,6 +23,7 @@ from vigil.sources import fixtures as fx
 from vigil.sources import parsers as ps
 from vigil.streaming import evaluation as ev
 from vigil.streaming import jobs as sj
+from vigil.streaming.tables import VersionedTable
 
 
 def _alert_run(spark, d, ttl="5m", then=None):
@@ -60,6 +61,52 @@ def q_stream_active(spark, d):
     return sj.active_state(spark, f"{root}/ck-active").select(*_ACTIVE_COLS)
 
 
+#: The slice of ``Replay`` in which an event arrives.
+_SLICE = """,
+bounds AS (SELECT min(received_us) AS lo, max(received_us) + 1 AS hi FROM alerts),
+slices AS (SELECT unnest([0, 1, 2, 3]) AS slice),
+placed AS (SELECT acc.*, least((received_us - lo) * 4 // (hi - lo), 3) AS at_slice FROM acc, bounds)"""
+
+
+def _tables_by_slice(spark, d, ttl, table, maintain):
+    """The table as it is after each slice."""
+    kept, after = [], {}
+
+    def job(root, seen):
+        after["table"] = table(spark, f"{root}/table")
+
+        def run():
+            sj.run_foreach_batch(seen, maintain(after["table"]), f"{root}/ck-table", mode="append")
+            kept.append(after["table"].before(None))
+
+        return run
+
+    _alert_run(spark, d, ttl, then=job)
+    out = None
+    for i, version in enumerate(kept):
+        rows = after["table"].read(version).withColumn("slice", F.lit(i))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("stream_active_table", _ACC + _SLICE + """,
+newest AS (SELECT slice, placed.*, row_number() OVER (PARTITION BY slice, fingerprint ORDER BY received_us DESC, event_id DESC) AS r
+           FROM slices JOIN placed ON at_slice <= slice)
+SELECT slice, """ + ", ".join(_ACTIVE_COLS) + """ FROM newest WHERE r = 1 AND status = 'firing'""")
+def q_stream_active_table(spark, d):
+    """The active set as a table that readers can query, after each slice of the stream."""
+    return _tables_by_slice(spark, d, "5m", sj.active_table, sj.maintain_active).filter("status = 'firing'").select("slice", *_ACTIVE_COLS)
+
+
+@query("stream_ring", _WEB + _SLICE + """,
+newest AS (SELECT slice, placed.*, row_number() OVER (PARTITION BY slice ORDER BY received_us DESC, event_id DESC) AS r
+           FROM slices JOIN placed ON at_slice <= slice)
+SELECT slice, event_id, fingerprint, status, severity, received_us FROM newest WHERE r <= 200""")
+def q_stream_ring(spark, d):
+    """The list of the newest 200 events after each slice."""
+    return _tables_by_slice(spark, d, "24h", sj.ring_table, sj.maintain_ring).select("slice", "event_id", "fingerprint", "status", "severity", "received_us")
+
+
 @query("stream_active_edges", _ACC + """,
 p AS (SELECT *, lag(status) OVER (PARTITION BY fingerprint ORDER BY received_us, event_id) AS before FROM acc)
 SELECT fingerprint, event_id, CASE WHEN status = 'firing' AND before = 'firing' THEN 'updated' WHEN status = 'firing' THEN 'added'
@@ -204,13 +251,14 @@ def q_stream_bad_records(spark, d):
 
 @query("stream_snapshot", _snapshot_sql() + "\n" + _HSQL)
 def q_stream_snapshot(spark, d):
+    """The newest values per series at a processing-time trigger, as versions that a reader sees whole."""
     r = sj.Replay(spark, fx.samples(spark, d).drop("series"), "t_us", "samples")
-    latest = f"{r.root}/latest"
+    newest = sj.latest_per_series_stream(r.stream)
+    latest = VersionedTable(spark, f"{r.root}/latest", newest.schema)
 
     def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(latest)
+        latest.replace(batch, batch_id)
+        latest.vacuum(keep=2)
 
-    newest = sj.latest_per_series_stream(r.stream)
-    r.each(lambda: sj.run_foreach_batch(newest, write, f"{r.root}/ck", mode="complete"))
-    snap = sj.snapshot_from_latest(spark.read.parquet(latest), END)
-    return snap.select(*_hcols())
+    r.each(lambda: sj.run_periodic(newest, write, f"{r.root}/ck", every="1 second"))
+    return sj.snapshot_from_latest(latest.read(), END).select(*_hcols())

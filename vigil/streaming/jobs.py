@@ -23,6 +23,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from vigil.functions.labels import trim_space
 from vigil.functions.timeutil import dur_us
 from vigil.session import checkpoint_dir
+from vigil.streaming.tables import KeyedTable, VersionedTable, newest_rows
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -105,6 +106,15 @@ def idempotent_batches(path: str, fail_once: int | None = None) -> Callable[[Dat
     return write
 
 
+def run_periodic(df: DataFrame, fn, checkpoint: str, every: str = "5 seconds", mode: str = "complete") -> None:
+    """``foreachBatch`` at a processing-time trigger, stopped once the input so far is worked off."""
+    q = df.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).outputMode(mode).trigger(processingTime=every).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+
+
 def run_foreach_batch(df: DataFrame, fn, checkpoint: str, mode: str = "update") -> None:
     (df.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).outputMode(mode)
      .trigger(availableNow=True).start().awaitTermination())
@@ -236,6 +246,31 @@ def active_stream(accepted: DataFrame) -> DataFrame:
     return accepted.filter("accepted").groupBy("fingerprint").transformWithStateInPandas(ActiveProcessor(), EDGE_OUT, "Append", "None")
 
 
+ACTIVE_COLS = ["fingerprint", "status", "alertname", "instance", "severity", "starts_us", "received_us", "event_id"]
+_LONGS = ("event_id", "starts_us", "received_us")
+ACTIVE_TABLE = T.StructType([T.StructField(c, T.LongType() if c in _LONGS else T.StringType()) for c in ACTIVE_COLS])
+RING_TABLE = T.StructType([T.StructField(c, T.LongType() if c in _LONGS else T.StringType()) for c in ("event_id", "fingerprint", "status", "severity", "received_us")])
+
+
+def active_table(spark: SparkSession, root: str) -> KeyedTable:
+    """The newest accepted event per fingerprint; those that fire are the active set (the rest say that an older event is over)."""
+    return KeyedTable(spark, root, ACTIVE_TABLE, ["fingerprint"], ["received_us", "event_id"])
+
+
+def ring_table(spark: SparkSession, root: str) -> VersionedTable:
+    return VersionedTable(spark, root, RING_TABLE)
+
+
+def maintain_active(table: KeyedTable) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body: accepted events into the active table."""
+    return lambda batch, batch_id: table.upsert(batch.filter("accepted"), batch_id)
+
+
+def maintain_ring(table: VersionedTable, n: int = 200) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body: the newest ``n`` accepted events."""
+    return lambda batch, batch_id: newest_rows(table, batch.filter("accepted"), batch_id, n, "received_us", "event_id")
+
+
 def active_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The running active set, read from the state of ``active_stream``."""
     st = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "active").load()
