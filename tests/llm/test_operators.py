@@ -166,7 +166,6 @@ def test_bpe_forgets(plain):
 
 def plain_ids(rows, end):
     tok = Tokenizer.from_file(VOCAB)
-    tok.encode_special_tokens = True
     return [(d, [*tok.encode(t or "", add_special_tokens=False).ids, end]) for d, t in rows]
 
 

@@ -88,17 +88,16 @@ class PieceEncoder:
     def _find(self, pieces: pa.Array) -> np.ndarray:
         return pc.index_in(pieces, value_set=self.keys).fill_null(-1).to_numpy().astype(np.int64)
 
-    def _learn(self, pieces: pa.Array) -> np.ndarray:
-        """Store different pieces, none of them stored yet; their numbers."""
+    def _learn(self, pieces: pa.Array, marked: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Store different pieces, none of them stored yet; their numbers. ``at``: numbers of the ``marked`` ones without their marks, -1 if not stored."""
         tabs = pc.match_substring(pieces, "\t").to_numpy(zero_copy_only=False)
-        marked = pc.match_substring_regex(pieces, _MARKED).to_numpy(zero_copy_only=False) & ~tabs
+        marked, at = marked & ~tabs, at[~tabs[marked]]
         out = np.empty(len(pieces), np.int64)
         out[tabs] = len(self.lens) + np.arange(tabs.sum())
         self._store(pieces.filter(pa.array(tabs)), *self._tokens(pieces.filter(pa.array(tabs)).to_pylist()))
         # A letter and a mark at the end: the piece without the mark may be known or among the others.
         ends = pieces.filter(pa.array(marked))
         cores = pc.utf8_slice_codeunits(ends, 0, -1)
-        at = self._find(cores)
         plain = pc.unique(pa.concat_arrays([pieces.filter(pa.array(~marked & ~tabs)), cores.filter(pa.array(at < 0))]))
         first = len(self.lens)
         self._store(plain, *self._joined_tokens(plain.to_pylist()))
@@ -135,10 +134,13 @@ class PieceEncoder:
         if uncut.any():
             odd |= self._holds_added(unique)  # not to be stored
         spaced = pc.binary_join_element_wise(_NOTHING, unique, _BLANK)
-        at_of = self._find(spaced)
+        # One look into the store, which costs a pass over it: for the pieces, and for those with a mark at the end without it.
+        marked = pc.match_substring_regex(spaced, _MARKED).to_numpy(zero_copy_only=False)
+        found = self._find(pa.concat_arrays([spaced, pc.utf8_slice_codeunits(spaced.filter(pa.array(marked)), 0, -1)]))
+        at_of, core_of = found[:len(spaced)], found[len(spaced):]
         fresh = (at_of < 0) & ~odd
         if fresh.any():
-            at_of[fresh] = self._learn(spaced.filter(pa.array(fresh)))
+            at_of[fresh] = self._learn(spaced.filter(pa.array(fresh)), marked[fresh], core_of[fresh[marked]])
         self.seen[at_of[at_of >= 0]] += 1
         at, odd = at_of[number], (np.add.reduceat(odd[number].astype(np.int64), bounds[:-1]) > 0) | uncut
         # First pieces have no space before them, texts with a space beside other white space
