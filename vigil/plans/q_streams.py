@@ -17,10 +17,12 @@ from vigil.plans.q_alerts import _ACTIVE, _ACTIVE_COLS, _ACTIVE_SQL, _ACC, _WEB,
 from vigil.plans.q_hosts import _HSQL, _hcols, _snapshot_sql
 from vigil.plans.q_rules import _EVAL, TICK
 from vigil.plans.q_series import END, T0
-from vigil.plans.q_sources import _OUTCOME_CTE, event_messages
+from vigil.plans.q_sources import _OUTCOME_CTE, cri_lines, event_messages
 from vigil.plans.registry import query
 from vigil.sources import fixtures as fx
 from vigil.sources import parsers as ps
+from vigil.sources import sinks as sk
+from vigil.sources import topic as tp
 from vigil.streaming import evaluation as ev
 from vigil.streaming import jobs as sj
 from vigil.streaming.tables import VersionedTable
@@ -249,6 +251,59 @@ def q_stream_bad_records(spark, d):
     return g.unionByName(b).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("stream_topic", with_views("alerts") + _OUTCOME_CTE + """
+SELECT CASE WHEN NOT broken AND NOT no_fp THEN fingerprint END AS fingerprint, CASE WHEN NOT broken THEN CASE WHEN no_st THEN 'pending' ELSE status END END AS status,
+       CASE WHEN NOT broken THEN starts_us END AS starts_us, CASE WHEN NOT broken THEN received_us END AS received_us, outcome FROM o""")
+def q_stream_topic(spark, d):
+    """A partitioned topic read by offsets from the earliest on, while it grows; the sink fails once between its write and the commit."""
+    msgs = event_messages(spark, d).withColumn("third", F.pmod("event_id", F.lit(3)))
+    root = sj.scratch(spark, "topic")
+    write, stream = sj.idempotent_batches(f"{root}/out", fail_once=1), None
+    for k in range(3):
+        tp.append_messages(msgs.filter(F.col("third") == k), f"{root}/messages", partitions=3)
+        if stream is None:
+            stream = ps.src_alert_events(spark, f"{root}/messages", streaming=True).select("fingerprint", "status", "starts_us", "received_us", "outcome")
+        for attempt in (1, 2):
+            try:
+                sj.run_foreach_batch(stream, write, f"{root}/ck", mode="append")
+                break
+            except StreamingQueryException:
+                if attempt == 2:
+                    raise
+    return spark.read.parquet(f"{root}/out").drop("batch_id")
+
+
+@query("stream_cri_logs", with_views("logs") + """
+SELECT t_us, level, msg, CASE WHEN event_id % 47 <> 0 THEN status END AS status, service FROM logs""")
+def q_stream_cri_logs(spark, d):
+    """Container lines slice by slice, in the order of their numbers; times of a file may go back by the data's 72 minutes."""
+    r = sj.Replay(spark, cri_lines(spark, d), "line_no", "cri")
+    parsed = ps.src_cri_logs(r.stream, delay="2 hours").select("t_us", "level", "msg", "status", "service")
+    r.each(lambda: sj.run_available_now(parsed, f"{r.root}/out", f"{r.root}/ck"))
+    return spark.read.schema(parsed.schema).parquet(f"{r.root}/out")
+
+
+@query("stream_samples_copy", with_views("samples") + """
+SELECT strftime(make_timestamp(t_us), '%Y-%m-%d') AS day, metric, series, t_us, round(value, 6) AS value FROM samples""")
+def q_stream_samples_copy(spark, d):
+    """The long-term copy of samples, written by the stream form of the sink."""
+    r = sj.Replay(spark, fx.samples(spark, d), "t_us", "samples-copy")
+    r.each(lambda: sk.sink_samples(r.stream, f"{r.root}/out", f"{r.root}/ck").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(f"{r.root}/out").select(F.col("day").cast("string").alias("day"), "metric", "series", "t_us", F.round("value", 6).alias("value"))
+
+
+@query("stream_events_published", with_views("alerts") + """
+SELECT fingerprint, status, starts_us, ends_us, received_us, 'processed' AS outcome FROM alerts""")
+def q_stream_events_published(spark, d):
+    """Alert events published from a stream as message files, and read back as a stream."""
+    r = sj.Replay(spark, fx.alerts(spark, d), "received_us", "published")
+    topic = f"{r.root}/topic"
+    r.each(lambda: sk.sink_alert_events(r.stream, topic, checkpoint=f"{r.root}/ck").trigger(availableNow=True).start().awaitTermination())
+    back = ps.src_alert_events(spark, topic, streaming=True).select("fingerprint", "status", "starts_us", "ends_us", "received_us", "outcome")
+    sj.run_available_now(back, f"{r.root}/back", f"{r.root}/ck-back")
+    return spark.read.schema(back.schema).parquet(f"{r.root}/back")
+
+
 @query("stream_snapshot", _snapshot_sql() + "\n" + _HSQL)
 def q_stream_snapshot(spark, d):
     """The newest values per series at a processing-time trigger, as versions that a reader sees whole."""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.sources import topic as topics
 from vigil.functions.labels import series_key
 
 # ---------------------------------------------------------------- query API responses
@@ -220,7 +221,8 @@ def kafka_available(spark: SparkSession) -> bool:
 def src_alert_events(spark: SparkSession, path: str | None = None, kafka: dict | None = None,
                      streaming: bool = False, topic: str = "alert-events") -> DataFrame:
     """The alert-event topic: Kafka when the connector is on the class path and options are
-    given (``startingOffsets=earliest``), else JSON-lines files (one message per line)."""
+    given (``startingOffsets=earliest``), else files: a partitioned topic folder (see ``topic``,
+    read by offsets) if ``path`` holds one, JSON lines (one message a line) if not."""
     if kafka and kafka_available(spark):
         rd = spark.readStream if streaming else spark.read
         opts = {"subscribe": topic, "startingOffsets": "earliest", **kafka}
@@ -230,6 +232,8 @@ def src_alert_events(spark: SparkSession, path: str | None = None, kafka: dict |
     else:
         if path is None:
             raise ValueError("need a path (or kafka options with the connector present)")
+        if topics.segments(path):
+            return parse_alert_events(topics.read_topic(spark, path, streaming))
         rd = spark.readStream.schema("value string") if streaming else spark.read
         kv = rd.text(path).withColumn("key", F.lit(None).cast("string"))
     return parse_alert_events(kv)
@@ -283,15 +287,24 @@ CRI_LINES = 1_000_000
 
 
 def src_cri_logs(text_df: DataFrame, line: str = "value", file: str = "file", order: str = "line_no",
-                 lines: int = CRI_LINES) -> DataFrame:
+                 lines: int = CRI_LINES, delay: str = "10 minutes") -> DataFrame:
     """CRI lines ``time stream tag log``: partial (``P``) pieces are joined with the next
     full (``F``) line of the same file, then parsed like docker lines. The piece-to-line
     assignment is a running count of ``F`` tags per file (keyed scan in stretches of
-    ``lines`` lines)."""
+    ``lines`` lines). On a stream the open pieces of a file are state, and ``delay`` is the
+    watermark's; pieces that nothing closes are dropped, as in the batch form."""
     from vigil.operators.scans import keyed_running_sum
     t = text_df.select("*", *[F.regexp_extract(line, _CRI_RE, i).alias(n)
                               for i, n in ((1, "_time"), (2, "_stream"), (3, "_tag"), (4, "_log"))])
     t = t.filter(F.col("_tag") != "")
+    if text_df.isStreaming:
+        from vigil.streaming.lines import assembled_lines
+
+        pieces = t.select(F.col(file).alias("file"), F.col(order).alias("line_no"), F.col("_tag").alias("tag"), F.col("_stream").alias("stream"),
+                          rfc3339_to_us(F.col("_time")).alias("time_us"), F.col("_log").alias("log"))
+        g = _parse_inner(assembled_lines(pieces, delay=delay).filter("closed"), F.col("text"))
+        r = g.select(F.col("file").alias(file), F.col("line_no").alias(order), "stream", "time_us", *_inner_cols())
+        return r.withColumn("t_us", F.coalesce("t_us", "time_us"))
     t = t.withColumn("_t", rfc3339_to_us(F.col("_time"))).withColumn("_f", (F.col("_tag") == "F").cast("bigint"))
     t = keyed_running_sum(t, [file], order, order, "_f", "_nf", bucket_us=lines)
     # a piece belongs to the F line that closes it: pieces before the k-th F have _nf = k-1
