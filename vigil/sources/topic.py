@@ -60,6 +60,8 @@ class _Reading:
         self.path = options["path"]
 
     def read(self, r: Range):
+        if r is None:  # Spark reads nothing so if there are no partitions
+            return
         files, _ = _open(self.path)
         for first, following, path in segments(self.path).get(r.partition, []):
             if following <= r.first or first >= r.until:
