@@ -35,6 +35,22 @@ def q_select_series(spark, d):
     return s.select("series", "t_us", R6("value").alias("value"))
 
 
+@query("select_series_stored", with_views("samples") + """
+SELECT series, t_us, round(value, 6) AS value FROM samples
+WHERE metric = 'disk_usage_percent' AND regexp_full_match(regexp_extract(labels, 'mountpoint=([^,]*)', 1), '/d.*')
+  AND instance <> 'host-3'""")
+def q_select_series_stored(spark, d):
+    """The same selection over samples stored by series id, appended in two parts."""
+    from vigil.sources import series_store as st
+    from vigil.streaming.jobs import scratch
+
+    s, path = fx.samples(spark, d), scratch(spark, "series-store")
+    for half in (0, 1):
+        st.append_series_store(s.filter(F.pmod("event_id", F.lit(2)) == half), path, shards=8)
+    found = st.select_stored(spark, path, "disk_usage_percent", [("mountpoint", "=~", "/d.*"), ("instance", "!=", "host-3")])
+    return found.select("series", "t_us", R6("value").alias("value"))
+
+
 @query("instant_vector", with_views("samples") + f"""
 SELECT series, CAST({END} AS BIGINT) AS eval_us, round(arg_max(value, (t_us, event_id)), 6) AS value,
        max(t_us) AS sample_us
