@@ -204,3 +204,40 @@ def test_grammar_is_shared_and_exact():
                 # The rank is the order of the strings themselves.
                 strings = sorted(plain.audit(s, p, x) for x in range(4) if c1[p, x] < conversations._NEVER)
                 assert strings.index(plain.audit(s, p, q)) == r1[p, q]
+
+
+# Clashing names and stretches of the earlier filters
+
+
+def test_filters_pass_any_columns_through(spark):
+    from vigil.llm import decontaminate, neardup, pii
+
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen mail a.b@c.de"
+    schema = "doc_id long, text string, pii_key long, pii_doc long, pii_spans string, pii_hash long, pii_marks int, near_id long, bad_id long, bad_hash long, sim_id long"
+    docs = spark.createDataFrame([(i, t, *range(9)) for i, t in ((1, text), (2, text), (3, "other words entirely here"), (None, None))], schema)
+    bench = spark.createDataFrame([(1, "other words entirely here")], "item_id long, text string")
+    assert {r.doc_id: r.text for r in pii.sanitise(docs).collect()}[1].endswith("mail [EMAIL]")
+    assert {r.doc_id for r in neardup.drop_near_duplicates(docs).collect()} == {1, 3, None}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {1, 2, None}
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} >= {1, 3}
+    for out in (pii.sanitise(docs), neardup.drop_near_duplicates(docs), decontaminate.drop_contaminated(docs, bench), simhash.drop_near_duplicates(docs)):
+        assert out.schema == docs.schema and {tuple(r)[2:] for r in out.collect()} == {tuple(docs.first())[2:]}
+
+
+def test_passages_in_several_stretches(spark):
+    from vigil.llm import decontaminate
+
+    words = [f"w{i}" for i in range(40)]
+    x = [f"x{i}" for i in range(80)]
+    docs = {
+        1: x[:9] + words[:10] + x[9:30] + words[30:40] + x[30:40],  # two halves, 20 of 40
+        2: sum((words[i:i + 7] + [x[i]] for i in range(0, 21, 7)), []),  # an insertion after every 7
+        3: x[:9] + words[:9] + x[9:30],  # 9 of 40
+        4: words[:7] + x[:3] + words[7:12] + x[3:9],  # 12 of 40
+    }
+    items = {1: words, 2: words[:21]}
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.covered, r.equal) for r in decontaminate.contaminated(frame, bench).collect()}
+    assert got[1, 1] == (20, 20) and got[2, 2] == (21, 21) and got[2, 1] == (21, 21)
+    assert (3, 1) not in got and (4, 1) not in got

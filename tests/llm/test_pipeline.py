@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     q = queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in QUERIES} and set(QUERIES) | {"pipeline"} <= set(q)
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in QUERIES} and set(QUERIES) | {"pipeline"} <= set(q)
     assert set(oracle_sql()) <= set(q)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "benchmark_decontamination", "personal_data", "best_fit_packing"]
 

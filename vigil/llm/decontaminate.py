@@ -3,11 +3,11 @@
 A mask such as ``1110111`` looks at some word positions of a window and ignores the others, so a
 window still hits after words at the ignored positions were substituted. Hashes of the masked windows of the
 benchmark items are joined with those of the documents; each hit proposes an alignment
-(document, item, shift). The words of both are then compared along the shift, and the best
-stretch, one point for an equal word and minus one for a different one, counts. A document
-is contaminated by an item if its stretches cover at least ``MIN_COVER`` percent of the
-item's words, ``MIN_WORDS`` equal ones at least (or the whole of a shorter item), or if one
-stretch alone has ``LONG_RUN`` equal words.
+(document, item, shift). The words of both are then compared along the shift, one point for an equal word
+and minus one for a different one; the best stretch counts, then the best ones beside it, as
+long as they have as many equal words as the smallest mask looks at. A document is contaminated by an item if
+all its stretches together cover at least ``MIN_COVER`` percent of the item's words, ``MIN_WORDS`` different ones of
+them equal (or the whole of a shorter item), or if one stretch alone has ``LONG_RUN`` equal words.
 
 Words: white-space separated, lower case, letters and digits only. Items with fewer words than the
 widest mask also get a mask of exactly their length.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import bitmap, materialise, out_batch, slabs, small_batches, table, text_or_empty
+from vigil.llm.common import bitmap, materialise, out_batch, slabs, small_batches, table, text_or_empty, unused
 from vigil.llm.words import alnum, gram_hashes, mix, word_hashes
 
 MASKS = ["1110111", "11011011", "1101010111"]
@@ -142,15 +142,31 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return int(np.argmax(total[:end + 1] == low[end])), end
 
 
+#: Equal words that a stretch beside the best one needs: those that the smallest mask looks at.
+SEED_WORDS = min(m.count("1") for m in MASKS)
+
+
+def stretches(equal: np.ndarray) -> list[tuple[int, int]]:
+    """The best stretch, and left and right of it the best ones with at least ``SEED_WORDS`` equal words, and so on."""
+    out, todo = [], [(0, len(equal))]
+    while todo:
+        a, z = todo.pop()
+        x, y = best_stretch(equal[a:z])
+        if y > x and (not out or int(equal[a + x:a + y].sum()) >= SEED_WORDS):
+            out.append((a + x, a + y))
+            todo += [(s, e) for s, e in ((a, a + x), (a + y, z)) if e - s >= SEED_WORDS]
+    return out
+
+
 def alignments(segs: DataFrame, items: DataFrame, masks: list[str]) -> DataFrame:
-    """``(doc_id, text_hash, item, starts, ends, first, last)``: compared stretches, in item words, and where they are in the document."""
+    """``(seg, item, start, end, place, same)``: compared stretches, in item words, their place in the segment, and the numbers of the equal item words."""
     hits = segs.select("doc_id", "text_hash", "first", "seg", F.inline(F.arrays_zip("hashes", "places")))
     hits = hits.withColumn("salt", F.pmod("seg", F.lit(SALTS)).cast("int"))
     bench = benchmark_hashes(items, masks).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     shifts = hits.join(bench, (F.col("hashes") == F.col("hash")) & (hits["salt"] == bench["salt"])).select(
         "seg", "item", (F.col("places") - F.col("at")).alias("shift")).distinct()
     shifts = shifts.groupBy("seg", "item").agg(F.collect_list("shift").alias("shifts"))  # shifts of one stretch against one item
-    schema = pa.schema([("seg", pa.int64()), ("item", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("place", pa.int32()), ("equal", pa.int32())])
+    schema = pa.schema([("seg", pa.int64()), ("item", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("place", pa.int32()), ("same", pa.list_(pa.int32()))])
 
     def run(batches):
         for b in batches:
@@ -161,14 +177,13 @@ def alignments(segs: DataFrame, items: DataFrame, masks: list[str]) -> DataFrame
                 for s in shift.as_py():
                     a, z = max(0, -s), min(len(v), len(w) - s)
                     equal = v[a:z] == w[a + s:z + s]
-                    x, y = best_stretch(equal)
-                    if y > x:
-                        for col, value in zip(out, (seg.as_py(), item.as_py(), a + x, a + y, a + x + s, int(equal[x:y].sum()))):
+                    for x, y in stretches(equal):
+                        for col, value in zip(out, (seg.as_py(), item.as_py(), a + x, a + y, a + x + s, a + x + np.flatnonzero(equal[x:y]))):
                             col.append(value)
             yield out_batch(schema, out)
 
     paired = shifts.join(segs.select("seg", "words"), "seg").join(items.select("item", F.col("words").alias("item_words")), "item")
-    return paired.mapInArrow(run, "seg long, item long, start int, end int, place int, equal int")
+    return paired.mapInArrow(run, "seg long, item long, start int, end int, place int, same array<int>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_cover: int = MIN_COVER) -> DataFrame:
@@ -180,24 +195,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WOR
     bits = bitmap(benchmark_hashes(items, masks).select(two), FILTER_BITS)
     segs = materialise(segments(docs, bits, masks, max([r.n for r in sizes], default=0)).withColumn("seg", F.monotonically_increasing_id()), "bench-segments")
     found = alignments(segs, items, masks).join(segs.select("seg", "doc_id", "text_hash", "first"), "seg")
-    words = F.explode(F.sequence("start", F.col("end") - 1)).alias("word")
-    cover = found.select("doc_id", "text_hash", "item", words).distinct().groupBy("doc_id", "text_hash", "item").agg(F.count(F.lit(1)).alias("covered"))
+    word = F.explode(F.sequence("start", F.col("end") - 1)).alias("word")
+    cover = found.select("doc_id", "text_hash", "item", "same", word).groupBy("doc_id", "text_hash", "item", "word").agg(
+        F.max(F.array_contains("same", F.col("word")).cast("int")).alias("same"))
+    cover = cover.groupBy("doc_id", "text_hash", "item").agg(F.count(F.lit(1)).alias("covered"), F.sum("same").alias("equal"))
     best = found.groupBy("doc_id", "text_hash", "item").agg(
-        F.max("equal").alias("equal"), F.min(F.col("first") + F.col("place")).alias("first_word"),
+        F.max(F.size("same")).alias("longest"), F.min(F.col("first") + F.col("place")).alias("first_word"),
         F.max(F.col("first") + F.col("place") + F.col("end") - F.col("start") - 1).alias("last_word"))
     both = best.withColumnRenamed("item", "i").join(cover, (F.col("i") == F.col("item")) & best["doc_id"].eqNullSafe(cover["doc_id"]) & (best["text_hash"] == cover["text_hash"])).select(
-        best["doc_id"], best["text_hash"], "item", "covered", "equal", "first_word", "last_word")
+        best["doc_id"], best["text_hash"], "item", "covered", "equal", "longest", "first_word", "last_word")
     n = F.size("words")
     named = both.join(items, "item").withColumn("item_words", n)
     whole = (F.col("item_words") < min_words) & (F.col("equal") >= F.col("item_words"))
     large = (F.col("equal") >= min_words) & (100 * F.col("covered") >= min_cover * F.col("item_words"))
-    return named.filter(whole | large | (F.col("equal") >= LONG_RUN)).select("doc_id", "text_hash", "item_id", "item_words", "covered", "equal", "first_word", "last_word")
+    return named.filter(whole | large | (F.col("longest") >= LONG_RUN)).select("doc_id", "text_hash", "item_id", "item_words", "covered", "equal", "first_word", "last_word")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a contaminated alignment; all columns as they were."""
-    bad = materialise(contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "bench-bad")
-    same = docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(text_or_empty()) == F.col("bad_hash"))
+    bad_id, bad_hash = unused(docs, "bad_id", "bad_hash")
+    bad = materialise(contaminated(docs, benchmark).select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct(), "bench-bad")
+    same = F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64(text_or_empty()) == F.col(bad_hash))
     return docs.join(bad, same, "left_anti")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import minhash
-from vigil.llm.common import bitmap, materialise, partitions, small_batches, table, text_or_empty
+from vigil.llm.common import bitmap, materialise, partitions, small_batches, table, text_or_empty, unused
 
 PART = 20_000
 FILTER_BITS = 1 << 23
@@ -259,8 +259,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the one with the smallest id; all columns as they were."""
-    gone = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("near_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("near_id"), "left_anti")
+    (near_id,) = unused(docs, "near_id")
+    gone = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias(near_id)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(near_id), "left_anti")
 
 
 def op8_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import bitmap, materialise, out_batch, small_batches, table, text_or_empty
+from vigil.llm.common import bitmap, materialise, out_batch, small_batches, table, text_or_empty, unused
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 REACH, CONTEXTS, FRESH, THRESHOLD = 8, 3, 2.0, 0.9
@@ -207,8 +207,12 @@ _FOUND = "start int, kind int, end int"
 
 
 def find_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(row, doc_id, text_hash, n_chars, base, spans)``: sorted arrays of ``(start, kind, end)`` for every document."""
-    bits = term_bitmap(terms)
+    """``(row, doc_id, text_hash, base, spans, gone)``: sorted arrays of ``(start, kind, end)`` for every document.
+
+    ``gone``: where the spans start whose term has disclosure 1 (if ``terms`` has ``disclosure``).
+    """
+    bits = term_bitmap(terms.select("term"))
+    only = F.col("disclosure") >= 1 - 1e-9 if "disclosure" in terms.columns else F.lit(False)
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
     hit = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("base", span), ("hits", hit)])
@@ -232,11 +236,13 @@ def find_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     found = rows.mapInArrow(run, f"doc_id long, text_hash long, base array<struct<{_colon(_FOUND)}>>, hits array<struct<term: string, start: int, end: int>>")
     found = materialise(found.withColumn("row", F.monotonically_increasing_id()), "pii-spans")  # stored, so row numbers stay
-    named = found.filter(F.size("hits") > 0).select("row", F.inline("hits")).join(terms.select("term"), "term")
-    named = named.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")).alias("terms"))  # a document's own
+    named = found.filter(F.size("hits") > 0).select("row", F.inline("hits")).join(terms.select("term", only.alias("only")), "term")
+    named = named.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")).alias("terms"),
+                                     F.collect_list(F.when(F.col("only"), F.col("start"))).alias("gone"))  # a document's own
     return found.join(named, "row", "left").select(
         "row", "doc_id", "text_hash", "base",
-        F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "terms"))).alias("spans"))
+        F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "terms"))).alias("spans"),
+        F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
 
 
 def _colon(ddl: str) -> str:
@@ -254,35 +260,30 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     Where spans overlap the first one's label stands for all of them.
     """
-    terms = disclosing_terms(docs)
-    found = find_spans(docs, terms.select("term")).filter(F.size("spans") > 0)
-    found = found.groupBy(F.col("doc_id").alias("pii_doc"), F.col("text_hash").alias("pii_hash")).agg(F.first("spans").alias("pii_spans"))
-    # ``text`` of disclosure 1 is removed: those terms are looked up by name in the text itself.
-    gone = terms.filter("disclosure >= 1 - 1e-9").select("term")
-    keyed = docs.withColumn("pii_key", F.xxhash64(text_or_empty()))
-    joined = keyed.join(found.hint("shuffle_hash"), (F.col("doc_id").eqNullSafe(F.col("pii_doc"))) & (F.col("pii_key") == F.col("pii_hash")), "left")
+    doc, key, text_hash, marks = unused(docs, "pii_doc", "pii_key", "pii_hash", "pii_marks")
+    found = find_spans(docs, disclosing_terms(docs)).filter(F.size("spans") > 0)
+    found = found.groupBy(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash)).agg(F.first(F.struct("spans", "gone")).alias(marks))
+    keyed = docs.withColumn(key, F.xxhash64(text_or_empty()))
+    joined = keyed.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(text_hash)), "left")
     at, names = docs.columns.index("text"), docs.columns
-    bits = term_bitmap(gone)
 
     def run(batches):
-        screen = _Screen(bits)
         for b in batches:
             texts = b.column(at).to_pylist()
-            for i, spans in enumerate(b.column("pii_spans").to_pylist()):
-                if spans:
-                    texts[i] = _replace(texts[i], spans, screen)
+            for i, mark in enumerate(b.column(len(names)).to_pylist()):
+                if mark:
+                    texts[i] = _replace(texts[i], mark["spans"], set(mark["gone"]))
             cols = [pa.array(texts, pa.string()) if j == at else b.column(j) for j in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.drop("pii_doc", "pii_hash", "pii_key").mapInArrow(run, docs.schema)
+    return joined.drop(doc, text_hash, key).mapInArrow(run, docs.schema)
 
 
-def _replace(text: str, spans: list[dict], unique_term) -> str:
+def _replace(text: str, spans: list[dict], gone: set[int]) -> str:
     out, at = [], 0
     for s in spans:
         if s["start"] >= at:
-            word = text[s["start"]:s["end"]]
-            out += [text[at:s["start"]], "" if s["kind"] == 4 and unique_term(word) else f"[{KINDS[s['kind']].upper()}]"]
+            out += [text[at:s["start"]], "" if s["kind"] == 4 and s["start"] in gone else f"[{KINDS[s['kind']].upper()}]"]
         at = max(at, s["end"])
     return "".join(out) + text[at:]
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import materialise, partitions, small_batches, table, text_or_empty
+from vigil.llm.common import materialise, partitions, small_batches, table, text_or_empty, unused
 from vigil.llm.neardup import components
 
 WORDS, DISTANCE, SEED = 4, 4, 42
@@ -159,8 +159,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """The documents that are the smallest id of their component, or have none; all columns as they were."""
-    gone = near_duplicates(docs, words, distance).filter("not kept").select(F.struct("doc_id").alias("sim"))
-    return docs.alias("docs").join(gone.distinct().alias("gone"), F.col("docs.doc_id").cast("long") == F.col("gone.sim.doc_id"), "left_anti")
+    (sim_id,) = unused(docs, "sim_id")
+    gone = near_duplicates(docs, words, distance).filter("not kept").select(F.col("doc_id").alias(sim_id)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(sim_id), "left_anti")
 
 
 def op12_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
