@@ -169,6 +169,25 @@ def q_alert_history_build(spark, d):
     return al.alert_history_build(_web(spark, d))
 
 
+@query("alert_texts_trimmed", with_views("alerts") + """,
+t AS (SELECT *, CASE (event_id % 3 + 3) % 3 WHEN 1 THEN '' ELSE alertname END AS name,
+             coalesce(nullif(CASE WHEN event_id % 2 = 0 THEN severity ELSE '' END, ''), 'warning') AS sev FROM alerts)
+SELECT event_id, name AS alert_name, instance, sev AS severity, alertname || ' on ' || instance AS summary,
+       CASE WHEN name <> '' THEN name || ':' || instance ELSE fingerprint END AS group_key FROM t""")
+def q_alert_texts_trimmed(spark, d):
+    """Tabs, line ends and wide spaces around label values and texts go, as in the stream form."""
+    def around(c, *ends):
+        return F.concat(F.lit(ends[0]), c, F.lit(ends[1]))
+
+    e, k = _alerts(spark, d), F.pmod("event_id", F.lit(3))
+    name = F.when(k == 0, around(F.col("alertname"), "\t", "\n")).when(k == 1, F.lit(" \u2003\r")).otherwise(around(F.col("alertname"), "\u00a0", "\x0b"))
+    sev = F.when(F.pmod("event_id", F.lit(2)) == 0, around(F.coalesce("severity", F.lit("")), "\n", " ")).otherwise(F.lit("\t"))
+    labels = F.create_map(F.lit("alertname"), name, F.lit("instance"), around(F.col("instance"), "\n\t", "\u3000"), F.lit("severity"), sev)
+    e = e.withColumn("labels", labels).withColumn("annotations", F.create_map(F.lit("summary"), around(F.element_at("annotations", F.lit("summary")), "\n", "\t")))
+    h = al.alert_history_build(e).select("event_id", "alert_name", "instance", "severity", "summary")
+    return h.join(e.select("event_id", al.aggregate_key().alias("group_key")), "event_id")
+
+
 def _hist_sql(*extra: str) -> str:
     return _web_sql(*extra) + _HIST_CTE
 

@@ -246,7 +246,7 @@ RULE_SCHEMA = T.StructType([
     T.StructField("expr", T.StringType()), T.StructField("duration", T.StringType()),
 ])
 
-# The shipped host rules, in structured form (fixed values).
+# The shipped host rules, in structured form (fixed values; the description of rule 5 is our own text).
 HOST_RULES = [
     (1, "HighCPU", "cpu_usage_percent", {}, "none", 0, "none", [], ">", 80.0, 120_000, "warning",
      "High CPU usage on {{ $labels.instance }}", "CPU usage is {{ $value }}% (threshold: 80%).", True,

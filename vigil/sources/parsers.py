@@ -1,8 +1,8 @@
 """Readers for the wire formats that feed the engine: query-API responses, text
 exposition, alert webhooks, the alert-event topic and container log lines.
 
-Each parser is a ``DataFrame -> DataFrame`` over a text column, so it works on
-``spark.read.text``/``json`` batches and on ``readStream`` sources alike.
+Each parser is a ``DataFrame -> DataFrame`` over a text column, for batches and for streams. All but
+``src_cri_logs`` work row by row; that one keeps the open pieces of a file as state on a stream.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.sources import topic as topics
 from vigil.functions.labels import series_key
+from vigil.sources import topic as topics
 
 # ---------------------------------------------------------------- query API responses
 

@@ -215,27 +215,25 @@ class ActiveProcessor(StatefulProcessor):
         self.active = handle.getValueState("active", ACTIVE_STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        # What decides is the last event; edges need each event's status only.
-        events, newest = [], None
+        # Edges need each event's time and whether it fires; of the rows themselves only the newest is kept.
+        parts, newest = [], None
         for c in rows:
-            events += zip(c["received_us"].astype("int64"), c["event_id"].astype("int64"), c["status"])
-            for r in c.itertuples(index=False):
-                if newest is None or (r.received_us, r.event_id) > (newest.received_us, newest.event_id):
-                    newest = r
-        on, out = self.active.exists(), []
-        for _, event_id, status in sorted(events):
-            edge = None
-            if status == "firing":
-                edge, on = ("updated" if on else "added"), True
-            elif on:
-                edge, on = "removed", False
-            out.append((key[0], int(event_id), edge))
+            t, i = c["received_us"].to_numpy(np.int64), c["event_id"].to_numpy(np.int64)
+            parts.append((t, i, (c["status"] == "firing").to_numpy()))
+            last = c.iloc[int(np.lexsort((i, t))[-1])]
+            if newest is None or (last.received_us, last.event_id) > (newest.received_us, newest.event_id):
+                newest = last
+        t, i, firing = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((i, t))
+        i, firing = i[order], firing[order]
+        on = np.concatenate([[self.active.exists()], firing[:-1]])
+        edge = np.where(firing, np.where(on, "updated", "added"), np.where(on, "removed", None))
         if newest.status == "firing":
             self.active.update((int(newest.event_id), newest.status, newest.alertname, newest.instance, newest.severity, int(newest.starts_us),
                                 int(newest.received_us)))
         elif self.active.exists():
             self.active.clear()
-        yield pd.DataFrame(out, columns=["fingerprint", "event_id", "edge"])
+        yield pd.DataFrame({"fingerprint": key[0], "event_id": i, "edge": edge})
 
     def close(self) -> None:
         pass
