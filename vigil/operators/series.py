@@ -419,8 +419,8 @@ def metric_catalogue(S: DataFrame, name: str, start_us: int, end_us: int, step:
 
 def host_metric_ranges(S: DataFrame, instance: str, range_name: str = "1h", now_us: int | None = None,
                        mountpoint: str | None = None) -> DataFrame:
-    """The host detail page: eight named series over one of the fixed ranges, one plan (a
-    union of one branch per series over the host's samples)."""
+    """The host detail page: eight named series over one of the fixed ranges. One grid lookup for
+    all levels and one rate pass for all counters; without a mount, disk is the maximum."""
     if not range_name:
         range_name = "1h"
     if range_name not in METRIC_RANGES:
@@ -429,15 +429,20 @@ def host_metric_ranges(S: DataFrame, instance: str, range_name: str = "1h", now_
     end = now_us
     start = end - dur_us(dur)
     mp = (mountpoint or "").strip() or None
+    kinds = {CATALOGUE[cat][0]: (name, CATALOGUE[cat][1]) for name, cat in HOST_DETAIL}
+    name_of = F.element_at(F.create_map(*(F.lit(x) for m, (name, _) in kinds.items() for x in (m, name))), F.col("metric"))
     host = S.filter(F.col("instance") == instance)
-    parts = []
-    for out_name, cat in HOST_DETAIL:
-        v = metric_catalogue(host, cat, start, end, step, instance=instance, mountpoint=mp)
-        parts.append(v.select(F.lit(out_name).alias("name"), "series", "eval_us", "value"))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+    levels = host.filter(F.col("metric").isin([m for m, (_, kind) in kinds.items() if kind != "rate"]))
+    disk = F.col("metric").isin([m for m, (_, kind) in kinds.items() if kind == "disk"])
+    if mp:
+        levels = levels.filter(~disk | (label("labels", "mountpoint") == mp))
+    g = range_vector_grid(levels, start, end, step)
+    if not mp:
+        whole = F.concat("metric", F.lit("{instance="), "instance", F.lit("}"))
+        g = g.groupBy("metric", F.when(disk, whole).otherwise(F.col("series")).alias("series"), "eval_us").agg(_AGG["max"]("value").alias("value"))
+    rates = rate(host.filter(F.col("metric").isin([m for m, (_, kind) in kinds.items() if kind == "rate"])), start, end, step)
+    both = g.select("metric", "series", "eval_us", "value").unionByName(rates.select("metric", "series", "eval_us", "value"))
+    return both.select(name_of.alias("name"), "series", "eval_us", "value")
 
 
 # ---------------------------------------------------------------- volumes and display
