@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from vigil.functions.timeutil import dur_us
 from vigil.operators.routing import GROUP_BY
-from vigil.operators.scans import DEFAULT_BUCKET_US, keyed_lag, keyed_running_sum
+from vigil.operators.scans import DEFAULT_BUCKET_US, _materialize, keyed_lag, keyed_running_sum
+from vigil.session import checkpoint_dir
 
 GROUP_WAIT = "10s"
 GROUP_INTERVAL = "30s"
@@ -155,7 +156,7 @@ def alert_notify(E: DataFrame, now_us: int, wait: str = GROUP_WAIT, interval: st
     changed (``change``), else every ``repeat`` while it still fires (``repeat``).
 
     A group is dealt by stretches of ``bucket_us``; the walk over their maps holds one number per group.
-    Members of a group and of a tick are counted, never gathered.
+    Members of a group and of a tick are counted, never gathered. Status changes and flushes are stored (reliable checkpoints).
     """
     by, wait_us, every = list(by), dur_us(wait), dur_us(interval)
     e = E.select(*(F.coalesce(F.element_at("labels", F.lit(k)), F.lit("")).alias(k) for k in by), "fingerprint", "status", "received_us", "event_id")
@@ -166,6 +167,8 @@ def alert_notify(E: DataFrame, now_us: int, wait: str = GROUP_WAIT, interval: st
     e = keyed_running_sum(e, by, "received_us", "event_id", "_step", "_firing", bucket_us)
     e = e.select(*by, "fingerprint", "status", "received_us", "event_id", "_firing", F.floor(F.col("received_us") / F.lit(bucket_us)).cast("bigint").alias("_stretch"))
 
+    checkpoint_dir(E.sparkSession)
+    e = _materialize(e)  # read by the maps and again by the lives
     heads = e.groupBy(*by, "_stretch").agg((-F.min("received_us")).alias("_neg"))
     heads = keyed_lag(heads, by, "_neg", "_stretch", [], bucket_us * 1024).select(*by, "_stretch", (-F.col("prev__neg")).alias("_following"))
     e = e.join(heads, [*by, "_stretch"])
@@ -208,6 +211,7 @@ def _flushes(lived: DataFrame, by: list[str], now_us: int, every: int, repeat_us
         F.max_by("status", last).alias("status"), F.max(F.struct("received_us", "event_id", "_firing")).alias("_last"))
     flush = member.groupBy(*by, "flush_us").agg(F.sum((F.col("status") == "resolved").cast("bigint")).alias("_resolved"), F.max("_last").alias("_last"))
     flush = flush.select(*by, "flush_us", (F.col("_last._firing") + F.col("_resolved")).alias("n_alerts"), F.col("_last._firing").alias("n_firing"))
+    flush = _materialize(flush)  # read four times below
     # A flush after which none fires ended the life before; the first of all has none before it.
     flush = keyed_lag(flush.withColumn("_tie", F.lit(0)), by, "flush_us", "_tie", ["n_firing"], bucket_us)
     flush = flush.withColumn("reason", F.when(F.coalesce("prev_n_firing", F.lit(0)) == 0, "initial").otherwise("change")).drop("prev_n_firing", "prev_flush_us")

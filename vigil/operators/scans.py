@@ -65,35 +65,33 @@ def keyed_running_sums(df: DataFrame, keys: Sequence[str], ts: str, tie: str, co
     d = df.withColumn("_bk", F.floor(F.col(ts) / F.lit(bucket_us)).cast("bigint"))
     w = Window.partitionBy(*keys, "_bk").orderBy(ts, tie)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tot = d.groupBy(*keys, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])  # combined before the shuffle
     for c in cols:
         d = d.withColumn(c, F.sum(c).over(run))
-    d = d.withColumn("_last", F.lead(F.col(ts)).over(w).isNull())
-    tot = d.filter("_last").select(*keys, "_bk", *[F.col(c).alias(f"_t_{c}") for c in cols])
     wt = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*keys, "_bk", F.struct(*[F.coalesce(F.sum(f"_t_{c}").over(wt), F.lit(0)).alias(c)
                                               for c in cols]).alias("_off"))
     j = _edge_join(d, tot, keys, "_off")
     for c in cols:
         j = j.withColumn(c, F.col(c) + F.coalesce(F.col("_off")[c], F.lit(0)))
-    return j.drop("_bk", "_off", "_last")
+    return j.drop("_bk", "_off")
 
 
 def keyed_running_sum(df: DataFrame, keys: Sequence[str], ts: str, tie: str, col: str, out: str,
                       bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
     """Running (inclusive) sum of ``col`` per key in ``(ts, tie)`` order, split by time bucket:
-    local running sums per (key, bucket), plus the prefix of earlier bucket totals (taken
-    from each bucket's last row, over the small per-key bucket list)."""
+    local running sums per (key, bucket), plus the prefix of earlier bucket totals (over the
+    small per-key bucket list)."""
     keys = list(keys)
     d = df.withColumn("_bk", F.floor(F.col(ts) / F.lit(bucket_us)).cast("bigint"))
     w = Window.partitionBy(*keys, "_bk").orderBy(ts, tie)
-    d = (d.withColumn("_loc", F.sum(col).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-         .withColumn("_last", F.lead(F.col(ts)).over(w).isNull()))
-    tot = d.filter("_last").select(*keys, "_bk", F.col("_loc").alias("_tot"))
+    tot = d.groupBy(*keys, "_bk").agg(F.sum(col).alias("_tot"))  # combined before the shuffle
+    d = d.withColumn("_loc", F.sum(col).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     wt = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*keys, "_bk", F.coalesce(F.sum("_tot").over(wt), F.lit(0)).alias("_off"))
     j = _edge_join(d, tot, keys, "_off")
     return (j.withColumn(out, F.col("_loc") + F.coalesce(F.col("_off"), F.lit(0)))
-            .drop("_bk", "_loc", "_off", "_last"))
+            .drop("_bk", "_loc", "_off"))
 
 
 def sliding_count(df: DataFrame, keys: Sequence[str], ts: str, tie: str, window_us: int,
