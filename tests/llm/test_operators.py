@@ -387,3 +387,66 @@ def test_warc_pages(spark, tmp_path):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in read_back(pages, tmp_path).collect()}
     assert got == {r.page_id: (len(r.html.encode()), hashlib.sha1(r.html.encode()).hexdigest()) for r in pages.collect()}
+
+
+def _siblings(rng, n, words, edits):
+    """Texts from one template, each with words of its own at ``edits`` places."""
+    out = []
+    for d in range(n):
+        text = [f"w{i}" for i in range(words)]
+        for at in rng.choice(words, edits, replace=False):
+            text[at] = f"x{d}.{at}"
+        out.append(" ".join(text))
+    return out
+
+
+def _open_frame(spark, texts, words):
+    sets = minhash.shingle_sets(texts, words)
+    rows = [(d, d, len(s), minhash.odd_sketch(minhash.signature(s)).tolist(), minhash.set_sketch(s).tolist(), s.tobytes()) for d, s in enumerate(sets)]
+    return neardup.widened(spark.createDataFrame(rows, "key long, id long, n long, odd array<long>, whole array<long>, members binary")), sets
+
+
+def _similar(sets, percent):
+    common = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in range(len(sets)) for b in range(a + 1, len(sets))}
+    return {(a, b) for (a, b), c in common.items() if 100 * c >= percent * (len(sets[a]) + len(sets[b]) - c)}
+
+
+def test_siblings_below_the_threshold_are_no_pairs(spark):
+    """Long texts at 0.74 of each other: the short sketches let them pass, the wide ones do not."""
+    frame, sets = _open_frame(spark, _siblings(np.random.default_rng(3), 40, 5000, 80), 5)
+    share = len(np.intersect1d(sets[0], sets[1])) / len(np.union1d(sets[0], sets[1]))
+    assert 0.7 < share < 0.78
+    labels = spark.createDataFrame([], "id long, component long")
+    groups = neardup.rare_groups(frame, 80)
+    assert groups.count() > 0
+    for nearest in (True, False):
+        pairs = neardup._across(groups, frame, labels, 80, nearest)
+        assert neardup.screen(pairs, frame, 80).count() <= len(sets)
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_groups_lose_no_pair(spark, block):
+    """Pairs above and below the threshold, in groups of one unit and of many pairs of blocks, with a component over a block."""
+    rng = np.random.default_rng(11)
+    texts = _siblings(rng, 36, 150, 2) + _siblings(rng, 12, 150, 3) + ["w1 w2 w3", "w1 w2 w3 w4", "w7", "w8"]
+    frame, sets = _open_frame(spark, texts, 3)
+    want = _similar(sets, 85)
+    labels = spark.createDataFrame([(d, 0) for d in range(16)] + [(d, 40) for d in (40, 41, 42)], "id long, component long")
+    comp = {d: 0 if d < 16 else 40 if d in (40, 41, 42) else d for d in range(len(sets))}
+    want = {(a, b) for a, b in want if comp[a] != comp[b]}
+    groups = neardup.rare_groups(frame, 85)
+    got = {(r.a, r.b) for r in neardup._across(groups, frame, labels, 85, False, block).collect()}
+    assert got >= want and len(want) > 50 and all(comp[a] != comp[b] for a, b in got)
+    pairs = spark.createDataFrame(sorted(got), "a long, b long")
+    assert got >= {(r.a, r.b) for r in neardup.screen(pairs, frame, 85).collect()} >= want
+    near = {(r.a, r.b) for r in neardup._across(groups, frame, labels, 85, True, block).collect()}
+    assert near <= got and {x for p in near for x in p} == {x for p in got for x in p}
+    sizes = neardup._units(groups.join(labels, "id", "left").selectExpr("*", "coalesce(component, id) as c").drop("component").withColumnRenamed("c", "component"), block)
+    assert sizes.groupBy("unit").count().agg({"count": "max"}).first()[0] <= 6 * block
+
+
+def test_near_duplicates_in_small_blocks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(d, t) for d, t in enumerate(_siblings(rng, 30, 150, 2) + _siblings(rng, 30, 150, 3))]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, block=8).collect()}
+    assert got == {d: c for d, (_, c) in brute.near_components(rows, 3, 85).items()}

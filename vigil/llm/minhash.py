@@ -72,9 +72,12 @@ def odd_sketch(sig: np.ndarray) -> np.ndarray:
     return _parity(mix((_AT << np.uint64(32)) + sig) % np.uint64(SKETCH_BITS), SKETCH_BITS)
 
 
-def set_sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parity bitmap of the whole set: the XOR of two has at most as many bits as the sets have differing members."""
-    return _parity(shingles % np.uint64(SET_BITS), SET_BITS)
+def set_sketch(shingles: np.ndarray, bits: int = SET_BITS) -> np.ndarray:
+    """Parity bitmap of the whole set: the XOR of two has at most as many bits as the sets have differing members.
+
+    The XOR of the halves of one of ``2 * bits`` bits is the one of ``bits`` bits (powers of two).
+    """
+    return _parity(shingles % np.uint64(bits), bits)
 
 
 def most_flips(similarity: float, slack: float = 0.2) -> int:

@@ -5,15 +5,19 @@
    which the smallest id stands for all.
 2. Classes that share a band key form a bucket. In each bucket all are paired with the smallest
    id (a star); pairs whose sketches allow the similarity are confirmed on full sets.
-3. Components of the confirmed links. In buckets that hold more than one component, members
-   are compared across components by sketch, inside the task. First each member's nearest
-   allowed partner in every other component is confirmed, then, over the components found by
-   then, all allowed pairs that still lie across.
+3. Components of the confirmed links. Documents in buckets that hold more than one component
+   are dealt again, by their rarest shingles (``rare_groups``): two sets similar enough share one
+   of these. Members of a group are compared across components inside the task, by the places of
+   the shingle and by sketch; pairs that stay are compared by sketches as wide as the sets
+   (``screen``), then confirmed. First each member's nearest partner is, over again while that
+   finds links, then, over the components found by then, all that still lie across.
 
 So links inside a class or a component are never spelled out as pairs, and no bucket is cut.
-The screen of whole sets has no false negatives (see ``minhash.set_sketch``); that of the
-samples leaves six standard errors. Hot buckets: the star is a skew-splittable join; the
-comparison of step 3 is dealt in parts of ``PART`` members.
+Sizes, places and the sketches of whole sets refuse no pair that is similar enough (see
+``minhash.set_sketch``); the sketch of the samples leaves six standard errors. Hot buckets: the
+star is a skew-splittable join; a group of more than ``PART`` members is compared in pairs of
+blocks, and two blocks of one component are no pair, so a component that holds nearly all of
+a group meets only the few others.
 
 Nulls and empty texts have an empty set: no links, kept, own component (null for a null id,
 which takes part in no link). Repeated rows are copies. Rows that repeat an id with other
@@ -32,7 +36,10 @@ from pyspark.sql import functions as F
 from vigil.llm import minhash
 from vigil.llm.common import bitmap, materialise, partitions, small_batches, table, text_or_empty, unused
 
-PART = 20_000
+#: Members of a group that are compared in one unit; a larger group is dealt as pairs of blocks of this size.
+PART = 1_024
+#: Slots by which shingles are counted, to put them in one order from rare to frequent.
+SLOTS = 1 << 22
 FILTER_BITS = 1 << 23
 SIGNED = "doc_id long, set_key string, n long, bands array<long>, odd array<long>, whole array<long>"
 
@@ -133,10 +140,10 @@ def components(links: DataFrame) -> DataFrame:
                                           F.struct(F.col("v").alias("id"), F.col("v").alias("component")))).alias("e")).select("e.*").distinct()
 
 
-def _allowed_pairs(i: np.ndarray, j: np.ndarray, n: np.ndarray, whole: np.ndarray, odd: np.ndarray, percent: int, flips: int) -> tuple[np.ndarray, ...]:
-    """The pairs of rows that sizes and sketches allow, and their flipped bits."""
+def _allowed_pairs(i: np.ndarray, j: np.ndarray, n: np.ndarray, rest: np.ndarray, whole: np.ndarray, odd: np.ndarray, percent: int, flips: int) -> tuple[np.ndarray, ...]:
+    """The pairs of rows that sizes, places in the order of shingles and sketches allow, and their flipped bits."""
     room = (100 - percent) * (n[i] + n[j])
-    ok = np.abs(n[i] - n[j]) * (100 + percent) <= room
+    ok = np.minimum(rest[i], rest[j]) * (100 + percent) >= percent * (n[i] + n[j])
     i, j, room = i[ok], j[ok], room[ok]
     z = np.bitwise_count(whole[i] ^ whole[j]).sum(1, dtype=np.int64)
     ok = z * (100 + percent) <= room
@@ -145,83 +152,173 @@ def _allowed_pairs(i: np.ndarray, j: np.ndarray, n: np.ndarray, whole: np.ndarra
     return i[ok], j[ok], z[ok]
 
 
-#: Members of a bucket up to which all its pairs are compared side by side with those of other buckets.
-_SMALL = 48
+def _open_sets(buckets: DataFrame, labels: DataFrame, first: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(key, id, n, odd, whole, wide, members)``: the sets in band buckets that hold several components (stored)."""
+    named = buckets.select("bucket", "id", "set_key").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    spread = named.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2")
+    ids = named.join(spread.select("bucket"), "bucket", "left_semi").select("id", "set_key").distinct()
+    full = ids.join(first.select("id", "set_key", "n", "odd", "whole"), ["id", "set_key"]).join(sets, ["id", "set_key"])
+    return materialise(widened(full.select(F.monotonically_increasing_id().alias("key"), "id", "n", "odd", "whole", "members")), "near-open")
 
 
-def _across(buckets: DataFrame, labels: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs ``(a, b)`` across components that sketches allow, in buckets that hold several components.
+def widened(open_: DataFrame) -> DataFrame:
+    """``open_`` with ``wide``: the odd sketch of the whole set, four to eight bits a member."""
+    small_batches(open_.sparkSession)
 
-    ``nearest``: for each member and each other component only the nearest member of that
-    component, by sketch; else all. Compared inside the task, by blocks.
+    def run(batches):
+        for b in batches:
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in b.column("members")]
+            wide = [minhash.set_sketch(x, max(minhash.SET_BITS, 1 << (4 * len(x) - 1).bit_length())).tobytes() for x in sets]
+            yield b.append_column("wide", pa.array(wide, pa.binary()))
+
+    return open_.mapInArrow(run, "key long, id long, n long, odd array<long>, whole array<long>, members binary, wide binary")
+
+
+def screen(pairs: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that the wide sketches allow; a wider one is folded to the width of the other."""
+    sides = [open_.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab"]
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for n1, n2, x, y in zip(*(b.column(c).to_pylist() for c in ("na", "nb")), b.column("wa"), b.column("wb")):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                least = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(w.reshape(-1, least), 0) for w in (x, y))
+                keep.append(int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (100 - percent) * (n1 + n2))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    small_batches(pairs.sparkSession)
+    return pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long").distinct()
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(10)).astype(np.int64) & (SLOTS - 1)
+
+
+def _slot_counts(open_: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each slot, at most 32,767: ``SLOTS`` numbers reach the driver, whatever the input."""
+    small_batches(open_.sparkSession)
+
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for x in b.column("members"):
+                np.add.at(total, _slots(np.frombuffer(x.as_py(), np.uint64)), 1)
+        full = np.flatnonzero(total)
+        for a in range(0, len(full), 65_536):
+            yield pa.RecordBatch.from_arrays([pa.array(full[a:a + 65_536]), pa.array(total[full[a:a + 65_536]])], names=["slot", "n"])
+
+    got = open_.select("members").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.least(F.sum("n"), F.lit(32_767)).cast("short").alias("n")).toPandas()
+    out = np.zeros(SLOTS, np.int16)
+    out[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def rare_groups(open_: DataFrame, percent: int) -> DataFrame:
+    """``(bucket, key, id, rest)``: the groups in which the sets of ``open_`` meet all partners that ``percent`` allows (stored).
+
+    All shingles have one order, by the count of their slot, then by value. Two sets that share enough
+    share one of the first ``n - ceil(percent * n / 100) + 1`` of each, so a set joins the groups of these alone.
+    A shingle whose slot counts one set has no group. ``rest`` is the number of members from this one on:
+    where it is the first that two sets share, they share no more than the smaller ``rest``.
+    """
+    counts = _slot_counts(open_)
+
+    def run(batches):
+        for b in batches:
+            rare, rest = [], []
+            for x in b.column("members"):
+                x = np.frombuffer(x.as_py(), np.uint64)
+                count = counts[_slots(x)]
+                head = np.lexsort((x, count))[:len(x) - -(-percent * len(x) // 100) + 1]
+                at = np.flatnonzero(count[head] > 1)
+                rare.append(x[head[at]])
+                rest.append(len(x) - at)
+            if rare:
+                each = [len(x) for x in rare]
+                cols = [np.concatenate(rare).view(np.int64), *(np.repeat(b.column(c).to_numpy(), each) for c in ("key", "id")), np.concatenate(rest)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "key", "id", "rest"])
+
+    small_batches(open_.sparkSession)
+    groups = materialise(open_.select("key", "id", "members").mapInArrow(run, "bucket long, key long, id long, rest long"), "near-rare")
+    several = groups.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("bucket")
+    return materialise(groups.join(several, "bucket", "left_semi"), "near-groups")
+
+
+def _units(named: DataFrame, block: int) -> DataFrame:
+    """``(unit, bucket, side, key, id, rest, component)``: the members of groups with several components, in units of a bounded size.
+
+    A group of up to ``block`` members is a unit. A larger one is dealt to blocks, a component of more than
+    ``block`` members to blocks of its own; each pair of blocks is a unit, but for two blocks of the same component.
+    """
+    each = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+    spread = each.groupBy("bucket").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("components")).filter("components > 1").select("bucket", "m")
+    small = named.join(spread.filter(F.col("m") <= block), "bucket").select(F.col("bucket").alias("unit"), "bucket", F.lit(0).alias("side"), "key", "id", "rest", "component")
+
+    large = each.join(spread.filter(F.col("m") > block), "bucket").withColumn("solo", F.col("c") > block)
+    cut = F.when(F.col("solo"), F.pmod(F.xxhash64("key"), F.ceil(F.col("c") / block))).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("m") / block)))
+    dealt = named.join(large, ["bucket", "component"]).withColumn("block", F.struct("solo", F.when(F.col("solo"), F.col("component")).otherwise(0).alias("own"), cut.alias("cut")))
+    blocks = dealt.select("bucket", "block").distinct()
+    x, y = blocks.select("bucket", F.col("block").alias("x")), blocks.select("bucket", F.col("block").alias("y"))
+    pairs = x.join(y, "bucket").filter((F.col("x") <= F.col("y")) & ~(F.col("x.solo") & F.col("y.solo") & (F.col("x.own") == F.col("y.own"))))
+    sides = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("block")))).otherwise(
+        F.array(F.struct(F.lit(1).alias("side"), F.col("x").alias("block")), F.struct(F.lit(2).alias("side"), F.col("y").alias("block"))))
+    placed = pairs.select(F.xxhash64("bucket", "x", "y").alias("unit"), "bucket", F.explode(sides).alias("s")).select("unit", "bucket", "s.side", "s.block")
+    return small.unionByName(placed.join(dealt, ["bucket", "block"]).select("unit", "bucket", "side", "key", "id", "rest", "component"))
+
+
+def _across(groups: DataFrame, open_: DataFrame, labels: DataFrame, percent: int, nearest: bool, block: int = PART) -> DataFrame:
+    """Pairs ``(a, b)`` across components that sketches allow, in groups that hold several components.
+
+    ``nearest``: for each member of a unit only its nearest allowed partner, by sketch; else all.
     """
-    named = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    spread = named.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("m")).filter("c1 < c2")
-    parts = F.ceil(F.col("m") / PART).cast("int")
-    open_ = named.join(spread.select("bucket", parts.alias("parts")), "bucket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    named = groups.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     flips = minhash.most_flips(percent / 100)
 
-    def compare(t: pa.Table, out: list[np.ndarray]) -> None:
-        """All buckets of ``t``, whole ones, sorted by bucket and part."""
-        ids, comp, n, part, parts, bucket = (t.column(c).to_numpy() for c in ("id", "component", "n", "part", "parts", "bucket"))
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        """The pairs of whole units, sorted by unit."""
+        ids, comp, n, rest, side, unit, bucket = (t.column(c).to_numpy() for c in ("id", "component", "n", "rest", "side", "unit", "bucket"))
         odd, whole = (t.column(c).combine_chunks().flatten().to_numpy().reshape(len(ids), -1).view(np.uint64) for c in ("odd", "whole"))
-        first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])]))
-        size = np.diff(np.append(first, len(ids)))
-        found = []
-        # Small buckets: all pairs at distance d in the order, for all buckets at once.
-        end = np.repeat(first + size, size)
-        row = np.flatnonzero(np.repeat(size, size) <= _SMALL)
-        for d in range(1, _SMALL):
+        end = np.searchsorted(unit, unit, side="right")
+        found, row = [], np.arange(len(ids))
+        # All pairs at distance d in the order, for as many units at once as are so long.
+        for d in range(1, len(ids)):
             row = row[row + d < end[row]]
             if not len(row):
                 break
-            i = row[comp[row] != comp[row + d]]
-            found.append(_allowed_pairs(i, i + d, n, whole, odd, percent, flips))
-        # Larger ones: each member against the rest.
-        for a, m in zip(first[size > _SMALL], size[size > _SMALL]):
-            rest = np.arange(a, a + m)
-            for i in rest[ids[rest] % parts[a] == part[a]]:
-                j = rest[(comp[rest] != comp[i]) & ((ids[rest] > ids[i]) | (parts[a] > 1))]
-                found.append(_allowed_pairs(np.full(len(j), i), j, n, whole, odd, percent, flips))
+            i = row[(comp[row] != comp[row + d]) & ((side[row] == 0) | (side[row] != side[row + d])) & (bucket[row] == bucket[row + d])]
+            found.append(_allowed_pairs(i, i + d, n, rest, whole, odd, percent, flips))
         i, j, z = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
         if nearest:
             u, v, z = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([z, z])
-            order = np.lexsort((ids[v], z, comp[v], u))
-            u, v = u[order], v[order]
-            new = np.concatenate([[True], (u[1:] != u[:-1]) | (comp[v][1:] != comp[v][:-1])])[:len(u)]
-            i, j = u[new], v[new]
-        out.append(np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1), axis=0))
+            order = np.lexsort((ids[v], z, u))
+            i, j = u[order], v[order]
+            new = np.concatenate([[True], i[1:] != i[:-1]])[:len(i)]
+            i, j = i[new], j[new]
+        pairs = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     def run(batches):
         held, size = [], 0
         for b in batches:
             held.append(pa.Table.from_batches([b]))
             size += len(b)
-            if size >= 20_000:
-                t, out = pa.concat_tables(held), []
-                bucket, part = t.column("bucket").to_numpy(), t.column("part").to_numpy()
-                cut = int(np.flatnonzero((bucket != bucket[-1]) | (part != part[-1]))[-1]) + 1 if bucket[0] != bucket[-1] or part[0] != part[-1] else 0
-                if cut:  # the last bucket may go on
-                    compare(t.slice(0, cut), out)
-                    yield from _pair_batches(out)
-                held = [t.slice(cut)]
-                size = len(t) - cut
+            if size >= block:  # the last unit may go on
+                t = pa.concat_tables(held)
+                cut = int(np.searchsorted(t.column("unit").to_numpy(), t.column("unit")[-1].as_py()))
+                if cut:
+                    yield compare(t.slice(0, cut))
+                held, size = [t.slice(cut)], size - cut
         if size:
-            out = []
-            compare(pa.concat_tables(held), out)
-            yield from _pair_batches(out)
+            yield compare(pa.concat_tables(held))
 
-    dealt = open_.repartition(partitions(buckets.sparkSession), "bucket", "part").sortWithinPartitions("bucket", "part")
-    return dealt.select("bucket", "part", "parts", "id", "component", "n", "odd", "whole").mapInArrow(run, "a long, b long").distinct()
+    units = _units(named, block).join(open_.select("key", "n", "odd", "whole"), "key")
+    dealt = units.repartition(partitions(groups.sparkSession), "unit").sortWithinPartitions("unit", "n")
+    return dealt.select("unit", "bucket", "side", "id", "rest", "component", "n", "odd", "whole").mapInArrow(run, "a long, b long").distinct()
 
 
-def _pair_batches(out: list[np.ndarray]):
-    for pairs in out:
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: int = PART) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``.
 
     Links: ``100 * shared shingles >= percent * all shingles`` of two documents.
@@ -242,14 +339,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         _allowed(F.col("n"), F.col("na"), _flips("whole", "wa"), _flips("odd", "oa"), percent)).select("a", F.col("id").alias("b")).distinct()
     links = confirm(pairs, sets, percent)
     labels = materialise(components(links), "near-labels")
-    for nearest in (True, False):
-        pairs = materialise(_across(buckets, labels, percent, nearest), "near-across")
-        if pairs.isEmpty():
-            break
-        more = confirm(pairs, sets, percent)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = materialise(components(links), "near-labels")
+    open_ = _open_sets(buckets, labels, first, sets)
+    if not open_.isEmpty():
+        groups, nearest = rare_groups(open_, percent), True
+        while True:
+            pairs = materialise(_across(groups, open_, labels, percent, nearest, block), "near-across")
+            if pairs.isEmpty():
+                break
+            more = confirm(screen(pairs, open_, percent), sets, percent)
+            found = not more.isEmpty()
+            if found:
+                links = links.unionByName(more)
+                labels = materialise(components(links), "near-labels")
+            if not nearest:
+                break
+            nearest = found
     named = classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("class_component"))
     whole = signed.select("doc_id", "set_key", "n").join(named, "set_key", "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class_component")).otherwise(F.col("doc_id"))
