@@ -39,7 +39,7 @@ from vigil.llm.common import bitmap, materialise, partitions, small_batches, tab
 #: Members of a group that are compared in one unit; a larger group is dealt as pairs of blocks of this size.
 PART = 1_024
 #: Slots by which shingles are counted, to put them in one order from rare to frequent.
-SLOTS = 1 << 22
+SLOTS, RANGE = 1 << 20, 1 << 12
 FILTER_BITS = 1 << 23
 SIGNED = "doc_id long, set_key string, n long, bands array<long>, odd array<long>, whole array<long>"
 
@@ -197,7 +197,7 @@ def _slots(shingles: np.ndarray) -> np.ndarray:
 
 
 def _slot_counts(open_: DataFrame) -> np.ndarray:
-    """How many sets hold a shingle of each slot, at most 32,767: ``SLOTS`` numbers reach the driver, whatever the input."""
+    """How many sets hold a shingle of each slot, at most 32,767: 2 MB reach the driver, whatever the input."""
     small_batches(open_.sparkSession)
 
     def run(batches):
@@ -209,9 +209,16 @@ def _slot_counts(open_: DataFrame) -> np.ndarray:
         for a in range(0, len(full), 65_536):
             yield pa.RecordBatch.from_arrays([pa.array(full[a:a + 65_536]), pa.array(total[full[a:a + 65_536]])], names=["slot", "n"])
 
-    got = open_.select("members").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.least(F.sum("n"), F.lit(32_767)).cast("short").alias("n")).toPandas()
+    def pack(t: pa.Table) -> pa.Table:
+        slot = t.column("slot").to_numpy()
+        row = np.zeros(RANGE, "<i2")
+        row[slot % RANGE] = t.column("n").to_numpy()
+        return pa.table({"at": [int(slot[0]) // RANGE], "counts": pa.array([row.tobytes()], pa.binary())})
+
+    summed = open_.select("members").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.least(F.sum("n"), F.lit(32_767)).alias("n"))
     out = np.zeros(SLOTS, np.int16)
-    out[got["slot"].to_numpy()] = got["n"].to_numpy()
+    for r in summed.groupBy(F.floor(F.col("slot") / RANGE)).applyInArrow(pack, "at long, counts binary").collect():
+        out[r.at * RANGE:(r.at + 1) * RANGE] = np.frombuffer(r.counts, "<i2")
     return out
 
 
