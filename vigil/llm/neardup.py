@@ -9,8 +9,8 @@
    are dealt again, by their rarest shingles (``rare_groups``): two sets similar enough share one
    of these. Members of a group are compared across components inside the task, by the places of
    the shingle and by sketch; pairs that stay are compared by sketches as wide as the sets
-   (``screen``), then confirmed. First each member's nearest partner is, over again while that
-   finds links, then, over the components found by then, all that still lie across.
+   (``screen``), then confirmed. First each member's nearest partner is, then, over the
+   components found by then, all that still lie across.
 
 So links inside a class or a component are never spelled out as pairs, and no bucket is cut.
 Sizes, places and the sketches of whole sets refuse no pair that is similar enough (see
@@ -280,7 +280,7 @@ def _across(groups: DataFrame, open_: DataFrame, labels: DataFrame, percent: int
 
     ``nearest``: for each member of a unit only its nearest allowed partner, by sketch; else all.
     """
-    named = groups.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = materialise(groups.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "near-named")
     flips = minhash.most_flips(percent / 100)
 
     def compare(t: pa.Table) -> pa.RecordBatch:
@@ -348,19 +348,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     labels = materialise(components(links), "near-labels")
     open_ = _open_sets(buckets, labels, first, sets)
     if not open_.isEmpty():
-        groups, nearest = rare_groups(open_, percent), True
-        while True:
+        groups = rare_groups(open_, percent)
+        for nearest in (True, False):
             pairs = materialise(_across(groups, open_, labels, percent, nearest, block), "near-across")
             if pairs.isEmpty():
                 break
             more = confirm(screen(pairs, open_, percent), sets, percent)
-            found = not more.isEmpty()
-            if found:
+            if not more.isEmpty():
                 links = links.unionByName(more)
                 labels = materialise(components(links), "near-labels")
-            if not nearest:
-                break
-            nearest = found
     named = classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("class_component"))
     whole = signed.select("doc_id", "set_key", "n").join(named, "set_key", "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class_component")).otherwise(F.col("doc_id"))
