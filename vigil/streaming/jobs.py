@@ -164,42 +164,71 @@ SEEN_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField(
                          *(T.StructField(c, T.LongType() if c.endswith("_us") else T.StringType()) for c in ALERT_COLS if c != "event_id")])
 
 
+DEDUPE_KEY = ["fingerprint", "status", "starts_us", "ends_us"]
+#: Groups that the keys of de-duplication are dealt into: state and timers cost per group, not per key.
+DEDUPE_GROUPS = 512
+SEEN_STATE = "fingerprint array<string>, status array<string>, starts_us array<long>, ends_us array<long>, last_us array<long>"
+
+
 class DedupeProcessor(_Clearing):
     """Per (fingerprint, status, starts, ends): a repeat within ``ttl`` of the accepted event is
-    dropped and does not extend the window. State: the time of the accepted event."""
+    dropped and does not extend the window. A group holds many such keys; its state is the time of
+    the last accepted event of those whose window the watermark has not passed."""
 
     def __init__(self, ttl_us: int):
         self.ttl_us = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.last = handle.getValueState("last", "last_us long")
+        self.last = handle.getValueState("last", SEEN_STATE)
 
     def forget(self) -> None:
         self.last.clear()
 
     def handleInputRows(self, key, rows, timerValues):
         chunks = list(rows)
-        last = self.last.get()[0] if self.last.exists() else None
-        times, ids = _sorted(chunks, "received_us", "event_id")
-        known = chunks[0]["status"].iloc[0] in ("firing", "resolved")
-        accepted = set()
-        for t, i in zip(times.tolist(), ids.tolist()):
-            if known and (last is None or t - last > self.ttl_us):
-                last = t
-                accepted.add(i)
-        if last is not None:
-            self.last.update((last,))
-            self.expire_at(last + self.ttl_us)
-        for c in chunks:
-            yield c[["event_id"]].assign(accepted=c["event_id"].isin(accepted), **{x: c[x] for x in ALERT_COLS if x != "event_id"})
-
-
-def dedupe_stream(E: DataFrame, ttl: str | int = "5m") -> DataFrame:
+        old = pd.DataFrame(dict(zip([*DEDUPE_KEY, "last_us"], self.last.get())) if self.last.exists() else {c: [] for c in [*DEDUPE_KEY, "last_us"]}, dtype=object)
+        keys = pd.concat([old[DEDUPE_KEY], *(c[DEDUPE_KEY].astype(object) for c in chunks)], ignore_index=True)
+        keys["ends_us"] = keys["ends_us"].where(keys["ends_us"].notna(), -1)
+        code = keys.groupby(DEDUPE_KEY, sort=False, dropna=False).ngroup().to_numpy()
+        last = dict(zip(code.tolist(), old["last_us"].tolist()))
+        code = code[len(old):]
+        first = np.unique(code, return_index=True)[1] + len(old)  # a row of each key of this batch
+        t, i = (np.concatenate([c[x].to_numpy(np.int64) for c in chunks]) for x in ("received_us", "event_id"))
+        known = np.concatenate([c["status"].isin(["firing", "resolved"]).to_numpy(bool) for c in chunks])
+        order = np.lexsort((i, t, code))
+        order = order[known[order]]
+        accepted = np.zeros(len(code), bool)
+        for row, k, at in zip(order.tolist(), code[order].tolist(), t[order].tolist()):
+            if k not in last or at - last[k] > self.ttl_us:
+                last[k] = at
+                accepted[row] = True
+        if len(np.unique(i)) < len(i):  # an id that comes twice in a key is accepted or not as one
+            accepted = pd.Series(accepted).groupby([code, i]).transform("any").to_numpy()
+        self._keep(keys, first, code, old, last, timerValues.getCurrentWatermarkInMs() * 1000)
+        ends = np.cumsum([len(c) for c in chunks])
+        for c, z in zip(chunks, ends.tolist()):
+            yield c[["event_id"]].assign(accepted=accepted[z - len(c):z], **{x: c[x] for x in ALERT_COLS if x != "event_id"})
+
+    def _keep(self, keys, first, code, old, last, watermark_us) -> None:
+        """Store the keys whose window is open; the timer clears them all when the last one has closed."""
+        rows = dict(zip(code[first - len(old)].tolist(), first.tolist()))
+        rows = {**dict(zip(list(last)[:len(old)], range(len(old)))), **rows}
+        kept = [k for k in last if last[k] + self.ttl_us >= watermark_us]
+        if kept:
+            of = keys.iloc[[rows[k] for k in kept]]
+            plain = [[None if pd.isna(v) else v if isinstance(v, str) else int(v) for v in of[c]] for c in DEDUPE_KEY]
+            self.last.update((*plain, [last[k] for k in kept]))
+            self.expire_at(max(last[k] for k in kept) + self.ttl_us)
+        elif self.last.exists():
+            self.last.clear()
+
+
+def dedupe_stream(E: DataFrame, ttl: str | int = "5m", groups: int = DEDUPE_GROUPS) -> DataFrame:
     """Streaming de-duplication: all events with ``accepted``."""
-    keys = ["fingerprint", "status", "starts_us", "ends_us"]
-    e = E.select(*ALERT_COLS).withColumn("_ends", F.coalesce("ends_us", F.lit(-1)))
-    return _timed(e, "received_us").groupBy(*keys[:3], "_ends").transformWithStateInPandas(
+    group = F.pmod(F.xxhash64(*DEDUPE_KEY[:3], F.coalesce("ends_us", F.lit(-1))), F.lit(groups))
+    e = E.select(*ALERT_COLS).withColumn("_group", group)
+    return _timed(e, "received_us").groupBy("_group").transformWithStateInPandas(
         DedupeProcessor(dur_us(ttl)), SEEN_OUT, "Append", "EventTime")
 
 
