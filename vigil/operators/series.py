@@ -19,6 +19,9 @@ from vigil.functions.timeutil import dur_us
 from vigil.operators.scans import keyed_lag
 
 SERIES_COLS = ["metric", "instance", "series"]
+#: Tasks that put the samples of a series and step in order, at least: whole samples are sorted there.
+#: Above 200 Spark's shuffle writers would hold and sort what they write.
+STEP_PARTS = 192
 
 
 def select_series(S: DataFrame, metric: str | None = None,
@@ -151,6 +154,7 @@ def _window_stats(S: DataFrame, start_us: int, end_us: int, step_us: int, win_us
     s = s.withColumn("_b", F.ceil((F.col("t_us") - F.lit(start_us)) / F.lit(step_us)).cast("bigint"))
     inner = F.lit(0.0)
     if resets:
+        s = s.repartition(max(STEP_PARTS, int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "series", "_b")
         s = s.withColumn("_prev", F.lag("value").over(Window.partitionBy("series", "_b").orderBy("t_us", tie)))
         inner = F.sum(F.when(F.col("value") < F.col("_prev"), F.col("_prev")).otherwise(F.lit(0.0)))
     b = (s.groupBy(*keys, "_b").agg(
