@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 # Width of the time buckets used to split one key's rows across tasks, in the unit of the order
 # column. Pass a width that suits it for other units (line numbers) or very dense keys.
 DEFAULT_BUCKET_US = 600_000_000  # 10 min
+#: Events that one task of the as-of scan sorts (with as many probes).
+ASOF_ROWS = 100_000
 
 
 def composite_key(cols: Sequence[str]) -> Column:
@@ -125,9 +127,10 @@ def sliding_count(df: DataFrame, keys: Sequence[str], ts: str, tie: str, window_
     return df.join(used, same).select(df["*"], out)
 
 
-def _asof_next(ev: DataFrame, gap_us: int) -> DataFrame:
+def _asof_next(ev: DataFrame, gap_us: int, parts: int | None = None) -> DataFrame:
     """For each event ``(_k, _t, _id)`` return ``_nxt`` = id of the first event of the same key
-    with ``_t' > _t + gap`` in ``(_t, _id)`` order (null when none)."""
+    with ``_t' > _t + gap`` in ``(_t, _id)`` order (null when none). ``parts``: number of tasks
+    that sort the events, the session's if none is given."""
     W = gap_us
     e = ev.select("_k", "_t", "_id", F.floor(F.col("_t") / F.lit(W)).cast("bigint").alias("_bk"))
     probes = e.select("_k", (F.col("_t") + F.lit(gap_us)).alias("_t"), F.col("_id").alias("_src"))
@@ -136,13 +139,16 @@ def _asof_next(ev: DataFrame, gap_us: int) -> DataFrame:
     u = (e.select("_k", "_bk", "_t", F.lit(0).alias("_kind"), F.col("_id"), F.lit(None).cast("bigint").alias("_src"))
          .unionByName(probes.select("_k", "_bk", "_t", F.lit(1).alias("_kind"),
                                     F.lit(None).cast("bigint").alias("_id"), "_src")))
+    if parts:
+        u = u.repartition(parts, "_k", "_bk")
     wdesc = (Window.partitionBy("_k", "_bk").orderBy(F.col("_t").desc(), F.col("_kind").desc(), F.col("_id").desc())
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    u = u.withColumn("_hit", F.last("_id", ignorenulls=True).over(wdesc))
+    u = u.withColumn("_hit", F.last("_id", ignorenulls=True).over(wdesc)).withColumn("_end", F.lead("_kind").over(wdesc.rowsBetween(1, 1)).isNull())
     inb = u.filter(F.col("_kind") == 1).select("_k", "_bk", "_src", "_hit")
     # Fallback: head of the first non-empty bucket after the probe's bucket.
-    heads = e.groupBy("_k", "_bk").agg(F.min_by("_id", F.struct("_t", "_id")).alias("_head"))
-    pb = inb.filter(F.col("_hit").isNull()).select("_k", "_bk").distinct()
+    heads = u.filter(F.col("_end") & F.col("_hit").isNotNull()).select("_k", "_bk", F.col("_hit").alias("_head"))
+    # A bucket is as wide as the gap, so the probes of a bucket's events lie in the next one.
+    pb = heads.select("_k", (F.col("_bk") + F.lit(1)).alias("_bk"))
     hb = (heads.select("_k", "_bk", "_head", F.lit(0).alias("_kind"))
           .unionByName(pb.select("_k", "_bk", F.lit(None).cast("bigint").alias("_head"), F.lit(1).alias("_kind"))))
     wb = (Window.partitionBy("_k").orderBy(F.col("_bk").desc(), F.col("_kind").desc())
@@ -168,7 +174,7 @@ def greedy_ttl_accept(df: DataFrame, keys: Sequence[str], ts: str, id_col: str,
     after it is accepted and opens a new window. The accepted events of a key are the
     orbit of its first event under ``next(e) = first event with ts > e.ts + ttl``.
     ``next`` comes from a bucketed as-of scan; the orbit is marked by pointer doubling,
-    so no key is ever handled by one task. The number of rounds is ``log2`` of the
+    so no key is ever handled by one task, and the scan has a task for every ``ASOF_ROWS`` events. The number of rounds is ``log2`` of the
     longest possible orbit (``min(events, span / ttl + 1)`` per key, one aggregate); each
     jump table is checkpointed to the shared checkpoint folder, which keeps the plan
     linear and lets a lost executor resume from the last level. ``id_col`` must be a
@@ -182,13 +188,17 @@ def greedy_ttl_accept(df: DataFrame, keys: Sequence[str], ts: str, id_col: str,
     span = ev.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), (F.max("_t") - F.min("_t")).alias("_s"),
                                 F.min_by("_id", F.struct("_t", "_id")).alias("_first"))
     long = span.filter(F.col("_s") > ttl_us)
-    bound = long.agg(F.max(F.least("_n", F.floor(F.col("_s") / F.lit(ttl_us)) + 1)).alias("m")).first()
+    orbit = F.least("_n", F.floor(F.col("_s") / F.lit(ttl_us)) + 1)
+    bound = span.agg(F.max(F.when(F.col("_s") > ttl_us, orbit)).alias("m"), F.sum("_n").alias("rows")).first()
     longest = int(bound["m"] or 0) if bound else 0
     rounds = max(0, math.ceil(math.log2(longest)) - 1) + 1 if longest > 1 else 0
     jumps: list[DataFrame] = []
     if rounds:
+        parts = math.ceil(bound["rows"] / ASOF_ROWS)
+        parts = parts if parts > int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+        ev = ev.repartition(parts, "_k") if parts else ev
         ev = ev.join(long.select("_k"), "_k", "left_semi")
-        j = _materialize(_asof_next(ev, ttl_us).filter(F.col("_nxt").isNotNull()))
+        j = _materialize(_asof_next(ev, ttl_us, parts).filter(F.col("_nxt").isNotNull()))
         jumps.append(j)
         for _ in range(rounds - 1):
             a, b = j.alias("a"), j.alias("b")
