@@ -129,10 +129,14 @@ def read_topic(spark: SparkSession, path: str, streaming: bool = False) -> DataF
     return (spark.readStream if streaming else spark.read).format(FORMAT).option("path", path).load()
 
 
-def append_messages(messages: DataFrame, path: str, partitions: int = 4) -> None:
+#: Files that an append writes to a partition, at most; each is written by a task and read by one.
+WRITERS = 8
+
+
+def append_messages(messages: DataFrame, path: str, partitions: int = 4, writers: int = WRITERS) -> None:
     """Append ``key, value`` rows, each key to its partition, numbered from the end of that partition.
 
-    A partition has one writer (a task writes its messages as one file); two appends at the same time are not provided for.
+    A partition's messages are dealt to ``writers`` tasks by content, which write a file each; two appends at the same time are not provided for.
     """
     spark, ends = messages.sparkSession, {p: found[-1][1] for p, found in segments(path).items()}
     token = uuid.uuid4().hex
@@ -141,20 +145,26 @@ def append_messages(messages: DataFrame, path: str, partitions: int = 4) -> None
         files, root = _open(path)
         open_files: dict[int, list] = {}
         for b in batches:
-            for p, key, value in zip(*(c.to_pylist() for c in b.columns)):
+            lines: dict[int, list] = {}
+            for p, line in zip(*(c.to_pylist() for c in b.columns)):
+                lines.setdefault(p, []).append(line)
+            for p, found in lines.items():
                 if p not in open_files:
                     files.create_dir(f"{root}/partition={p}", recursive=True)
                     name = f"{root}/partition={p}/.{token}-{uuid.uuid4().hex}"
                     open_files[p] = [name, files.open_output_stream(name), 0]
-                open_files[p][1].write((json.dumps({"key": key, "value": value}) + "\n").encode())
-                open_files[p][2] += 1
+                open_files[p][1].write(("\n".join(found) + "\n").encode())
+                open_files[p][2] += len(found)
         for p, (name, stream, n) in open_files.items():
             stream.close()
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([name]), pa.array([n], pa.int64())], names=["partition", "file", "n"])
 
     part = F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int").alias("partition")
-    written = messages.select(part, "key", "value").repartition(partitions, "partition").mapInArrow(write, "partition int, file string, n long").collect()  # a row a partition
+    line = F.to_json(F.struct("key", "value"), {"ignoreNullFields": "false"}).alias("line")  # line breaks are escaped
+    dealt = messages.select(part, line).repartition(partitions * writers, "partition", F.pmod(F.xxhash64("line"), F.lit(writers)))
+    written = dealt.mapInArrow(write, "partition int, file string, n long").collect()  # a row a file
     files, root = _open(path)
-    for r in written:  # the name makes a file part of the topic
+    for r in sorted(written, key=lambda r: (r.partition, r.file)):  # the name makes a file part of the topic
         first = ends.get(r.partition, 0)
+        ends[r.partition] = first + r.n
         files.move(r.file, f"{root}/partition={r.partition}/{first:020d}-{first + r.n:020d}.jsonl")
