@@ -113,3 +113,28 @@ def test_pages_by_rank(spark, tmp_path):
     assert "PartitionFilters: [part" in plan
     al.alert_history_index(h.limit(0), str(tmp_path / "none"))
     assert al.alert_history_page_at(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_as_of_scan_has_a_task_for_so_many_events(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.choice("abc"), rng.randrange(4000) * S, i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, t long, id long")
+    made, real = [], scans._asof_next
+    monkeypatch.setattr(scans, "ASOF_ROWS", 60)
+    monkeypatch.setattr(scans, "_asof_next", lambda ev, gap, parts: made.append(parts) or real(ev, gap, parts))
+    got = {r.id for r in scans.greedy_ttl_accept(df, ["k"], "t", "id", 50 * S).filter("accepted").collect()}
+    want, last = set(), {}
+    for k, t, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        if k not in last or t - last[k] > 50 * S:
+            last[k] = t
+            want.add(i)
+    assert got == want and made == [15]
+
+
+def test_samples_are_put_in_order_by_many_tasks(spark):
+    from vigil.operators import series as sr
+
+    s = spark.createDataFrame([("m", "h", "m{}", {"a": "b"}, i * S, float(i % 7), i) for i in range(600)],
+                              "metric string, instance string, series string, labels map<string,string>, t_us long, value double, event_id long")
+    plan = sr.rate(s, 0, 600 * S, "1m")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [series" in plan and f", {sr.STEP_PARTS}" in plan
