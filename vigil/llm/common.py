@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,26 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+@cache
+def _trim():
+    """glibc's ``malloc_trim``; with another C library, nothing to call."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: Arrow and malloc keep it, and Spark reuses Python workers for all later stages."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches as they come; what the work on one has freed is given back before the next."""
+    for b in batches:
+        yield b
+        del b
+        release_memory()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

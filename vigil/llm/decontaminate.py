@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import bitmap, materialise, out_batch, slabs, small_batches, table, text_or_empty, unused
+from vigil.llm.common import bitmap, materialise, out_batch, released, slabs, small_batches, table, text_or_empty, unused
 from vigil.llm.words import alnum, gram_hashes, mix, word_hashes
 
 MASKS = ["1110111", "11011011", "1101010111"]
@@ -58,7 +58,7 @@ def benchmark_words(benchmark: DataFrame) -> DataFrame:
     small_batches(benchmark.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in released(batches):
             h, bounds, _ = word_hashes(b.column("text").to_pylist(), alnum)
             yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))],
                                              names=["item_id", "words"])
@@ -72,7 +72,7 @@ def benchmark_hashes(items: DataFrame, masks: list[str]) -> DataFrame:
     schema = pa.schema([("hash", pa.int64()), ("item", pa.int64()), ("at", pa.int32())])
 
     def run(batches):
-        for b in batches:
+        for b in released(batches):
             for item, words in zip(b.column("item").to_pylist(), b.column("words").to_pylist()):
                 w = np.array(words, np.int64).view(np.uint64)
                 for m in masks:
@@ -99,7 +99,7 @@ def segments(docs: DataFrame, bits: np.ndarray, masks: list[str], flank: int) ->
     small_batches(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in released(batches):
             texts, out = b.column("text").to_pylist(), [[] for _ in range(6)]
             for s, e in slabs([len(t) for t in texts]):
                 w, bounds, _ = word_hashes(texts[s:e], alnum)
@@ -169,7 +169,7 @@ def alignments(segs: DataFrame, items: DataFrame, masks: list[str]) -> DataFrame
     schema = pa.schema([("seg", pa.int64()), ("item", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("place", pa.int32()), ("same", pa.list_(pa.int32()))])
 
     def run(batches):
-        for b in batches:
+        for b in released(batches):
             out = [[] for _ in range(6)]
             cols = [b.column(c) for c in ("seg", "item", "shifts", "words", "item_words")]
             for seg, item, shift, w, v in zip(*cols):

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import minhash
-from vigil.llm.common import bitmap, materialise, partitions, small_batches, table, text_or_empty, unused
+from vigil.llm.common import bitmap, materialise, partitions, released, small_batches, table, text_or_empty, unused
 
 #: Members of a group that are compared in one unit; a larger group is dealt as pairs of blocks of this size.
 PART = 1_024
@@ -57,7 +57,7 @@ def sign(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         none = np.zeros(0, np.int64)
-        for b in batches:
+        for b in released(batches):
             sets = minhash.shingle_sets(b.column("text").to_pylist(), words)
             signs = [minhash.signature(s) if len(s) else None for s in sets]
             cols = [b.column("doc_id"), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]), pa.array([len(s) for s in sets], pa.int64()),
@@ -77,7 +77,7 @@ def _set_rows(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).filter("id is not null").select("id", "text", slot)
 
     def run(batches):
-        for b in batches:
+        for b in released(batches):
             at = b.column("slot").to_numpy()
             b = b.filter(pa.array((bits[at >> 5] >> (at & 31) & 1).astype(bool)))
             sets = minhash.shingle_sets(b.column("text").to_pylist(), words)
@@ -104,7 +104,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("id").alias("a"), F.col("members").alias("ma"))
 
     def run(batches):
-        for b in batches:
+        for b in released(batches):
             keep = []
             for x, y in zip(b.column("ma"), b.column("mb")):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
@@ -166,7 +166,7 @@ def widened(open_: DataFrame) -> DataFrame:
     small_batches(open_.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in released(batches):
             sets = [np.frombuffer(x.as_py(), np.uint64) for x in b.column("members")]
             wide = [minhash.set_sketch(x, max(minhash.SET_BITS, 1 << (4 * len(x) - 1).bit_length())).tobytes() for x in sets]
             yield b.append_column("wide", pa.array(wide, pa.binary()))
@@ -179,7 +179,7 @@ def screen(pairs: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
     sides = [open_.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab"]
 
     def run(batches):
-        for b in batches:
+        for b in released(batches):
             keep = []
             for n1, n2, x, y in zip(*(b.column(c).to_pylist() for c in ("na", "nb")), b.column("wa"), b.column("wb")):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
@@ -202,7 +202,7 @@ def _slot_counts(open_: DataFrame) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(SLOTS, np.int64)
-        for b in batches:
+        for b in released(batches):
             for x in b.column("members"):
                 np.add.at(total, _slots(np.frombuffer(x.as_py(), np.uint64)), 1)
         full = np.flatnonzero(total)
@@ -233,7 +233,7 @@ def rare_groups(open_: DataFrame, percent: int) -> DataFrame:
     counts = _slot_counts(open_)
 
     def run(batches):
-        for b in batches:
+        for b in released(batches):
             rare, rest = [], []
             for x in b.column("members"):
                 x = np.frombuffer(x.as_py(), np.uint64)
@@ -308,7 +308,7 @@ def _across(groups: DataFrame, open_: DataFrame, labels: DataFrame, percent: int
 
     def run(batches):
         held, size = [], 0
-        for b in batches:
+        for b in released(batches):
             held.append(pa.Table.from_batches([b]))
             size += len(b)
             if size >= block:  # the last unit may go on

@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil.llm import bpe
-from vigil.llm.common import materialise, out_batch, small_batches, table, text_or_empty
+from vigil.llm.common import materialise, out_batch, released, small_batches, table, text_or_empty
 
 CAPACITY = 2048
 #: Parts in which the pieces of one length are ranked.
 SALTS = 64
+#: Pieces a worker stores; it keeps them through the stages of a pipeline.
+STORED = 200_000
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, salt int"
 _PIECES_PA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("salt", pa.int32())])
@@ -46,11 +48,11 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
 
 def token_pieces(docs: DataFrame, vocab: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """Tokenize every whole text once; one row per piece, ids as checksum only."""
-    small_batches(docs.sparkSession, "6m")
+    small_batches(docs.sparkSession, "2m")
 
     def pieces(batches):
-        ids_of = bpe.encoder(vocab)
-        for b in batches:
+        ids_of = bpe.encoder(vocab, STORED)
+        for b in released(batches):
             ids, off = ids_of.encode(b.column("text"), end_id)
             salts = b.column("salt").to_pylist()
             out = [[] for _ in _PIECES_PA]
@@ -149,7 +151,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def place(batches):
         span = 1 + int(intervals[:, 2].max()) if len(intervals) else 1
         keys = intervals[:, 0] * span + intervals[:, 1]
-        for b in batches:
+        for b in released(batches):
             length, at = b.column("length").to_numpy().astype(np.int64), b.column("rank").to_numpy()
             row = intervals[np.searchsorted(keys, length * span + at, side="right") - 1]
             k = at - row[:, 1]

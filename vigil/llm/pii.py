@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import bitmap, materialise, out_batch, small_batches, table, text_or_empty, unused
+from vigil.llm.common import bitmap, materialise, out_batch, released, small_batches, table, text_or_empty, unused
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 REACH, CONTEXTS, FRESH, THRESHOLD = 8, 3, 2.0, 0.9
@@ -112,7 +112,7 @@ def entity_contexts(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("entity", pa.string()), ("term", pa.string()), ("context", pa.string()), ("n", pa.int64())])
 
     def run(batches):
-        for b in batches:
+        for b in released(batches):
             seen: Counter = Counter()
             for t in b.column("text").to_pylist():
                 if spans := base_spans(t):
@@ -141,7 +141,7 @@ def entity_documents(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("entity", pa.string()), ("n", pa.int64())])
 
     def run(batches):
-        for b in batches:
+        for b in released(batches):
             seen: Counter = Counter()
             for t in b.column("text").to_pylist():
                 seen.update({_entity(t, s) for s in base_spans(t)})
@@ -167,7 +167,7 @@ class _Screen:
         if (got := self.known.get(word)) is None:
             import xxhash
 
-            if len(self.known) > 500_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             h = xxhash.xxh64_intdigest(word.lower().encode(), 42)
             h -= (h >> 63) << 64
@@ -181,7 +181,7 @@ def term_documents(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
     def run(batches):
         screen = _Screen(bits)
-        for b in batches:
+        for b in released(batches):
             seen: Counter = Counter()
             for t in b.column("text").to_pylist():
                 seen.update({w.lower() for w in set(_TERM.findall(t)) if screen(w)})
@@ -220,7 +220,7 @@ def find_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     def run(batches):
         screen = _Screen(bits)
-        for b in batches:
+        for b in released(batches):
             base, hits = [], []
             for t in b.column("text").to_pylist():
                 spans = base_spans(t)
@@ -268,7 +268,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches):
-        for b in batches:
+        for b in released(batches):
             texts = b.column(at).to_pylist()
             for i, mark in enumerate(b.column(len(names)).to_pylist()):
                 if mark:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import ASCII_SPACE, out_batch, slabs, small_batches, table, text_or_empty
+from vigil.llm.common import ASCII_SPACE, out_batch, released, slabs, small_batches, table, text_or_empty
 
 SAMPLE_ROWS = 20_000
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -198,7 +198,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROW
     found = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")  # at most ``rows`` rows
 
     def features(batches):
-        for b in batches:
+        for b in released(batches):
             _, x = statistics(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality").cast(pa.int32()), pa.array(x.tolist(), pa.list_(pa.float32()))],
                                              names=["doc_id", "quality", "x"])
@@ -225,7 +225,7 @@ def score_documents(docs: DataFrame, model: Trees | None, cut: float = 0.0) -> D
     types = pa.schema([("doc_id", pa.int64())] + [(c, pa.int64()) for c in BASE] + [("base_failed", pa.bool_()), ("score", pa.float64()), ("kept", pa.bool_())])
 
     def run(batches):
-        for b in batches:
+        for b in released(batches):
             stats, x = statistics(b.column("text").to_pylist())
             yield out_batch(types, [b.column("doc_id"), *(stats[c] for c in BASE), *judge(stats, x, model, cut)])
 
@@ -238,7 +238,7 @@ def filter_documents(docs: DataFrame, model: Trees | None, cut: float = 0.0) ->
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in released(batches):
             stats, x = statistics(["" if t is None else t for t in b.column(at).to_pylist()])
             yield b.filter(pa.array(judge(stats, x, model, cut)[2]))
 
